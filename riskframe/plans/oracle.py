@@ -244,3 +244,172 @@ FROM (VALUES {grid}) g(d1, d2) LEFT JOIN ({b}) r ON r.VAR_DETAIL1 = g.d1 AND r.V
 
 
 _glm("nway_complete", [("VEHICLE_SEATS_GROUP", "VEHICLE_VALUE_GROUP")], [1997], wrap=_complete)
+
+
+# ---------------------------------------------------------------- PNT-11
+def _age_vi(expr: str) -> tuple[str, str]:
+    e, labels = unit_labels([0, 3, 6, 10, INF], "năm", locale="vi")
+    clean = [lab.split("-", 1)[1] for lab in labels]
+    codes = [lab.split("-", 1)[0] for lab in labels]
+    return _case(f"CAST({expr} AS DOUBLE)", e, clean), _case(f"CAST({expr} AS DOUBLE)", e, codes)
+
+
+def _mapped(view: str, cov: str) -> str:
+    grp, code = _age_vi("s.VEHICLE_AGE")
+    return f"""SELECT s.*, coalesce(mc.PROD_MOF_CODE, '') AS PROD_MOF_CODE, coalesce(mc.PROD_MOF_NAME, '') AS PROD_MOF_NAME,
+  coalesce(mv.PNT_11_CODE, '') AS PNT_11_CODE, coalesce(mv.PNT_11_NAME, '') AS PNT_11_NAME,
+  coalesce(mv.SUB_PNT_11_CODE, '') AS SUB_PNT_11_CODE, coalesce(mv.SUB_PNT_11_NAME, '') AS SUB_PNT_11_NAME,
+  {grp} AS VEHICLE_AGE_GROUP, {code} AS AGE_PNT_11_CODE
+FROM {view} s LEFT JOIN m_coverage mc ON CAST(s.{cov} AS VARCHAR) = mc.cols LEFT JOIN m_vehicle mv ON CAST(s.TYPE_VEHICLE AS VARCHAR) = mv.cols"""
+
+
+KEYS8 = "PROD_MOF_CODE, PROD_MOF_NAME, PNT_11_CODE, PNT_11_NAME, SUB_PNT_11_CODE, SUB_PNT_11_NAME, VEHICLE_AGE_GROUP, AGE_PNT_11_CODE"
+MOF_VIEWS = ("v_mof_premium", "v_mof_claim", "v_reserve", "m_coverage", "m_vehicle")
+MOF_CTES = f"""
+mp AS ({_mapped('v_mof_premium', 'COVERAGE_ID')}),
+mc8 AS ({_mapped('v_mof_claim', 'COVERAGE_ID')}),
+mr AS ({_mapped('v_reserve', 'USAGE_CODE')}),
+sg AS (SELECT {KEYS8}, count(DISTINCT REG_NO) AS NUM_CARS, sum(VEHICLE_VALUE) AS SUM_ASSURED, sum(GWP) AS GROSS_PREMIUM FROM mp GROUP BY ALL),
+sc AS (SELECT {KEYS8}, count(DISTINCT CLAIM_ID) AS NUM_CLAIMS, sum(CLAIM_PMT) AS CLAIM_PMT FROM mc8 GROUP BY ALL),
+sr AS (SELECT {KEYS8}, sum(UPR_END) AS UPR_END, sum(OSC_END) AS OSC_END, sum(LARC_RES_END) AS LARC_RES_END,
+  sum(UPR_BEG) AS UPR_BEG, sum(OSC_BEG) AS OSC_BEG, sum(LARC_RES_BEG) AS LARC_RES_BEG FROM mr GROUP BY ALL)"""
+
+_q("apply_mapping", MOF_VIEWS, MOF_CTES + f"""
+SELECT POLICY_ID, COVERAGE_ID, TYPE_VEHICLE, VEHICLE_AGE, {KEYS8} FROM mp""")
+_q("pnt11_gwp", MOF_VIEWS, MOF_CTES + f"""
+SELECT {KEYS8}, NUM_CARS, CAST(SUM_ASSURED AS DECIMAL(38,4)) AS SUM_ASSURED, CAST(GROSS_PREMIUM AS DECIMAL(38,4)) AS GROSS_PREMIUM FROM sg""")
+_q("pnt11_claims", MOF_VIEWS, MOF_CTES + f"""
+SELECT {KEYS8}, NUM_CLAIMS, CAST(CLAIM_PMT AS DECIMAL(38,4)) AS CLAIM_PMT FROM sc""")
+_RES = ["UPR_END", "OSC_END", "LARC_RES_END", "UPR_BEG", "OSC_BEG", "LARC_RES_BEG"]
+_q("pnt11_reserves", MOF_VIEWS, MOF_CTES + f"""
+SELECT {KEYS8}, {', '.join(f'CAST({c} AS DECIMAL(38,4)) AS {c}' for c in _RES)} FROM sr""")
+_q("pnt11_opening", MOF_VIEWS, MOF_CTES + f"""
+SELECT {KEYS8}, CAST(sum(UPR_END) AS DECIMAL(38,4)) AS UPR_BEG, CAST(sum(OSC_END) AS DECIMAL(38,4)) AS OSC_BEG,
+  CAST(sum(LARC_RES_END) AS DECIMAL(38,4)) AS LARC_RES_BEG FROM mr GROUP BY ALL""")
+_q("pnt11_combined", MOF_VIEWS, MOF_CTES + f""",
+j AS (SELECT * FROM sc JOIN sg USING ({KEYS8}) JOIN sr USING ({KEYS8}))
+SELECT {KEYS8}, CAST(NUM_CARS AS BIGINT) AS NUM_CARS, CAST(NUM_CLAIMS AS BIGINT) AS NUM_CLAIMS,
+  CAST(SUM_ASSURED AS DECIMAL(38,4)) AS SUM_ASSURED, CAST(GROSS_PREMIUM AS DECIMAL(38,4)) AS GROSS_PREMIUM,
+  CAST(CLAIM_PMT AS DECIMAL(38,4)) AS CLAIM_PMT,
+  {', '.join(f'CAST({c} AS DECIMAL(38,4)) AS {c}' for c in _RES)},
+  CAST(UPR_END - UPR_BEG AS DECIMAL(38,4)) AS UPR_PERIOD, CAST(OSC_END - OSC_BEG AS DECIMAL(38,4)) AS OSC_PERIOD,
+  CAST(LARC_RES_END - LARC_RES_BEG AS DECIMAL(38,4)) AS LARC_RES_PERIOD,
+  CAST(UPR_END + OSC_END + LARC_RES_END AS DECIMAL(38,4)) AS RES_END, CAST(UPR_BEG + OSC_BEG + LARC_RES_BEG AS DECIMAL(38,4)) AS RES_BEG,
+  CAST((UPR_END + OSC_END + LARC_RES_END) - (UPR_BEG + OSC_BEG + LARC_RES_BEG) AS DECIMAL(38,4)) AS RES_PERIOD
+FROM j""")
+
+# ---------------------------------------------------------------- ledger and statements
+GL_CTES = """
+glm_map AS (SELECT g.*, d.accountSM AS DEBIT_SM, d.accountBS AS DEBIT_BS, d.accountPL AS DEBIT_PL,
+    c.accountSM AS CREDIT_SM, c.accountBS AS CREDIT_BS, c.accountPL AS CREDIT_PL
+  FROM v_gl g LEFT JOIN v_account d ON g.DEBIT_ACC = d.code LEFT JOIN v_account c ON g.CREDIT_ACC = c.code),
+glm_map96 AS (SELECT g.*, d.accountSM AS DEBIT_SM, d.accountBS AS DEBIT_BS, d.accountPL AS DEBIT_PL
+  FROM v_gl_1996 g LEFT JOIN v_account d ON g.DEBIT_ACC = d.code),
+tbp AS (SELECT DEBIT_ACC AS ACCOUNT, DEBIT_SM AS AG_CODE, DEBIT_BS AS BS_CODE, DEBIT_PL AS PL_CODE,
+    sum(coalesce(DEBIT_AMT, 0)) AS PD, sum(coalesce(CREDIT_AMT, 0)) AS PC FROM glm_map
+  WHERE DEBIT_ACC IS NOT NULL AND DEBIT_SM IS NOT NULL AND DEBIT_BS IS NOT NULL AND DEBIT_PL IS NOT NULL GROUP BY ALL),
+tb96 AS (SELECT DEBIT_ACC AS ACCOUNT, DEBIT_SM AS AG_CODE, DEBIT_BS AS BS_CODE, DEBIT_PL AS PL_CODE,
+    greatest(sum(DEBIT_AMT) - sum(CREDIT_AMT), 0) AS OD, greatest(sum(CREDIT_AMT) - sum(DEBIT_AMT), 0) AS OC FROM glm_map96
+  WHERE DEBIT_ACC IS NOT NULL AND DEBIT_SM IS NOT NULL AND DEBIT_BS IS NOT NULL AND DEBIT_PL IS NOT NULL GROUP BY ALL),
+tb AS (SELECT ACCOUNT, AG_CODE, BS_CODE, PL_CODE, 0 AS OD, 0 AS OC, PD, PC,
+    greatest(PD - PC, 0) AS CD, greatest(PC - PD, 0) AS CC FROM tbp),
+tbo AS (SELECT ACCOUNT, AG_CODE, BS_CODE, PL_CODE, coalesce(OD, 0) AS OD, coalesce(OC, 0) AS OC, coalesce(PD, 0) AS PD, coalesce(PC, 0) AS PC,
+    greatest(coalesce(OD, 0) + coalesce(PD, 0) - coalesce(OC, 0) - coalesce(PC, 0), 0) AS CD,
+    greatest(coalesce(OC, 0) + coalesce(PC, 0) - coalesce(OD, 0) - coalesce(PD, 0), 0) AS CC
+  FROM tbp FULL OUTER JOIN tb96 USING (ACCOUNT, AG_CODE, BS_CODE, PL_CODE))"""
+LEDGER_VIEWS = ("v_gl", "v_gl_1996", "v_account", "t_bs", "t_pl01", "t_pl02", "t_cf01", "t_cf02", "t_duno")
+
+
+def _tb_select(src: str) -> str:
+    m = "DECIMAL(38,4)"
+    return f"""SELECT ACCOUNT, AG_CODE, BS_CODE, PL_CODE, CAST(OD AS {m}) AS OPENING_DEBIT_AMOUNT, CAST(OC AS {m}) AS OPENING_CREDIT_AMOUNT,
+  CAST(PD AS {m}) AS PERIOD_DEBIT_AMOUNT, CAST(PC AS {m}) AS PERIOD_CREDIT_AMOUNT, CAST(CD AS {m}) AS CLOSING_DEBIT_AMOUNT,
+  CAST(CC AS {m}) AS CLOSING_CREDIT_AMOUNT, CAST(CD - CC AS {m}) AS CLOSING_NET_AMOUNT FROM {src}"""
+
+
+_q("period_filter", ("v_gl",), """
+SELECT * FROM v_gl WHERE INVOICE_DATE BETWEEN DATE '1997-07-01' AND DATE '1997-09-30'""")
+_q("account_mapping", LEDGER_VIEWS, GL_CTES + "\nSELECT * FROM glm_map")
+_q("gl_checks", ("v_gl",), """
+SELECT count(*) FILTER (WHERE INVOICE_DATE < DATE '1997-01-01' OR INVOICE_DATE > DATE '1997-09-30') AS ROWS_OUTSIDE_PERIOD,
+  bool_or(DEBIT_ACC = '911' OR CREDIT_ACC = '911') AS HAS_CLOSING_ACCOUNT FROM v_gl""")
+_q("trial_balance", LEDGER_VIEWS, GL_CTES + "\n" + _tb_select("tb"))
+_q("trial_balance_opening", LEDGER_VIEWS, GL_CTES + "\n" + _tb_select("tbo"))
+
+# detail amounts written out line by line from the templates' formulas
+STMT_CTES = GL_CTES + """,
+bsd AS (SELECT BS_CODE AS code, sum(CD - CC) AS net, sum(CD) AS duno, sum(CC) AS duco FROM tb GROUP BY BS_CODE),
+bsv AS (SELECT code, CASE WHEN TRY_CAST(code AS DOUBLE) IS NULL OR TRY_CAST(code AS DOUBLE) < 300 THEN net ELSE -net END AS amt FROM bsd),
+b(c, amt) AS (SELECT code, amt FROM bsv),
+ytd AS (SELECT * FROM glm_map WHERE INVOICE_DATE BETWEEN DATE '1997-01-01' AND DATE '1997-09-30'),
+pco AS (SELECT CREDIT_PL AS code, sum(DEBIT_AMT - CREDIT_AMT) FILTER (WHERE INVOICE_DATE >= DATE '1997-07-01') AS cur,
+    sum(DEBIT_AMT - CREDIT_AMT) AS acc FROM ytd WHERE DEBIT_SM = '911' GROUP BY CREDIT_PL),
+pno AS (SELECT DEBIT_PL AS code, sum(DEBIT_AMT - CREDIT_AMT) FILTER (WHERE INVOICE_DATE >= DATE '1997-07-01') AS cur,
+    sum(DEBIT_AMT - CREDIT_AMT) AS acc FROM ytd WHERE CREDIT_SM = '911' GROUP BY DEBIT_PL),
+l01 AS (SELECT coalesce((SELECT cur FROM pco WHERE code = '01'), 0) AS cur, coalesce((SELECT acc FROM pco WHERE code = '01'), 0) AS acc),
+l02 AS (SELECT coalesce((SELECT cur FROM pco WHERE code = '02'), 0) AS cur, coalesce((SELECT acc FROM pco WHERE code = '02'), 0) AS acc),
+l11 AS (SELECT coalesce((SELECT cur FROM pno WHERE code = '11'), 0) AS cur, coalesce((SELECT acc FROM pno WHERE code = '11'), 0) AS acc),
+l12 AS (SELECT -coalesce((SELECT cur FROM pno WHERE code = '12'), 0) AS cur, -coalesce((SELECT acc FROM pno WHERE code = '12'), 0) AS acc),
+l10 AS (SELECT l01.cur + l02.cur AS cur, l01.acc + l02.acc AS acc FROM l01, l02),
+l20 AS (SELECT l11.cur + l12.cur AS cur, l11.acc + l12.acc AS acc FROM l11, l12),
+l50 AS (SELECT l10.cur - l20.cur AS cur, l10.acc - l20.acc AS acc FROM l10, l20),
+pl01 AS (SELECT '01' AS code, cur, acc FROM l01 UNION ALL SELECT '02', cur, acc FROM l02 UNION ALL SELECT '10', cur, acc FROM l10
+  UNION ALL SELECT '11', cur, acc FROM l11 UNION ALL SELECT '12', cur, acc FROM l12 UNION ALL SELECT '20', cur, acc FROM l20
+  UNION ALL SELECT '50', cur, acc FROM l50 UNION ALL SELECT '60', 0, 0 UNION ALL SELECT '70', cur, acc FROM l50),
+cf AS (SELECT CREDIT_SM AS code, sum(greatest(DEBIT_AMT - CREDIT_AMT, 0)) AS no_amt, sum(-greatest(CREDIT_AMT - DEBIT_AMT, 0)) AS co_amt
+  FROM ytd WHERE substr(DEBIT_SM, 1, 2) = '11' GROUP BY CREDIT_SM)"""
+
+
+def _stmt(template: str, values: str, cols: str) -> str:
+    return f"""
+SELECT t.{cols.replace(', ', ', t.')}, {values} FROM {template} t"""
+
+
+def _money(expr: str) -> str:
+    return f"CAST(coalesce({expr}, 0) AS DECIMAL(38,4))"
+
+
+_q("balance_sheet", LEDGER_VIEWS, STMT_CTES + """,
+v AS (SELECT
+  coalesce((SELECT amt FROM b WHERE c = '110'), 0) AS a110, coalesce((SELECT amt FROM b WHERE c = '120'), 0) AS a120,
+  coalesce((SELECT amt FROM b WHERE c = '130'), 0) AS a130, coalesce((SELECT amt FROM b WHERE c = '220'), 0) AS a220,
+  coalesce((SELECT amt FROM b WHERE c = '310'), 0) AS a310, coalesce((SELECT amt FROM b WHERE c = '320'), 0) AS a320,
+  coalesce((SELECT amt FROM b WHERE c = '410'), 0) AS a410, coalesce((SELECT amt FROM b WHERE c = '420'), 0) AS a420),
+w AS (SELECT *, a110 + a120 + a130 AS a100, a220 AS a200, a310 + a320 AS a300, a410 + a420 AS a400 FROM v),
+x AS (SELECT *, a100 + a200 AS a270, a300 + a400 AS a440 FROM w)
+SELECT t.lineCode, t.lineName, t.code, t.noteRef, CAST(CASE t.code
+  WHEN '100' THEN a100 WHEN '110' THEN a110 WHEN '120' THEN a120 WHEN '130' THEN a130 WHEN '200' THEN a200 WHEN '220' THEN a220
+  WHEN '270' THEN a270 WHEN '300' THEN a300 WHEN '310' THEN a310 WHEN '320' THEN a320 WHEN '400' THEN a400 WHEN '410' THEN a410
+  WHEN '420' THEN a420 WHEN '440' THEN a440 END AS DECIMAL(38,4)) AS CURRENT_AMOUNT FROM t_bs t, x""")
+
+_q("duno_duco", LEDGER_VIEWS, STMT_CTES + """
+SELECT t.lineCode, t.lineName, t.code, t.noteRef, CAST(CASE t.code
+  WHEN '900' THEN coalesce((SELECT duno FROM bsd WHERE code = '130'), 0) - (-coalesce((SELECT duco FROM bsd WHERE code = '310'), 0))
+  WHEN '901' THEN coalesce((SELECT duno FROM bsd WHERE code = '110'), 0) + coalesce((SELECT duno FROM bsd WHERE code = '120'), 0)
+  WHEN '902' THEN -(-coalesce((SELECT duco FROM bsd WHERE code = '420'), 0)) END AS DECIMAL(38,4)) AS CURRENT_AMOUNT FROM t_duno t""")
+
+_q("profit_loss", LEDGER_VIEWS, STMT_CTES + """
+SELECT t.lineCode, t.lineName, t.code, t.noteRef, CAST(p.cur AS DECIMAL(38,4)) AS CURRENT_AMOUNT, CAST(p.acc AS DECIMAL(38,4)) AS ACCUMULATED_AMOUNT
+FROM t_pl01 t JOIN pl01 p ON t.code = p.code""")
+
+_q("profit_loss_summary", LEDGER_VIEWS, STMT_CTES + """,
+q AS (SELECT (SELECT cur FROM pl01 WHERE code = '50') AS c1, (SELECT acc FROM pl01 WHERE code = '50') AS a1,
+  (SELECT cur FROM pl01 WHERE code = '10') - (SELECT cur FROM pl01 WHERE code = '20') AS c2,
+  (SELECT acc FROM pl01 WHERE code = '10') - (SELECT acc FROM pl01 WHERE code = '20') AS a2)
+SELECT t.lineCode, t.lineName, t.code,
+  CAST(CASE t.code WHEN '1' THEN c1 WHEN '2' THEN c2 ELSE c1 + c2 END AS DECIMAL(38,4)) AS CURRENT_AMOUNT,
+  CAST(CASE t.code WHEN '1' THEN a1 WHEN '2' THEN a2 ELSE a1 + a2 END AS DECIMAL(38,4)) AS ACCUMULATED_AMOUNT
+FROM t_pl02 t, q""")
+
+_q("cash_flow", LEDGER_VIEWS, STMT_CTES + """,
+q AS (SELECT coalesce((SELECT no_amt FROM cf WHERE code = '131'), 0) AS v01, coalesce((SELECT co_amt FROM cf WHERE code = '331'), 0) AS v02,
+  coalesce((SELECT no_amt FROM cf WHERE code = '511'), 0) - coalesce((SELECT no_amt FROM cf WHERE code = '515'), 0) AS v03)
+SELECT t.lineCode, t.lineName, t.code, t.noteRef,
+  CAST(CASE t.code WHEN '01' THEN v01 WHEN '02' THEN v02 WHEN '03' THEN v03 ELSE v01 + v02 + v03 END AS DECIMAL(38,4)) AS CURRENT_AMOUNT
+FROM t_cf01 t, q""")
+
+_q("cash_flow_indirect", LEDGER_VIEWS, STMT_CTES + """,
+q AS (SELECT (SELECT cur FROM pl01 WHERE code = '50') AS v01, coalesce((SELECT co_amt FROM cf WHERE code = '334'), 0) AS v02)
+SELECT t.lineCode, t.lineName, t.code, t.noteRef,
+  CAST(CASE t.code WHEN '01' THEN v01 WHEN '02' THEN v02 ELSE v01 + v02 END AS DECIMAL(38,4)) AS CURRENT_AMOUNT
+FROM t_cf02 t, q""")

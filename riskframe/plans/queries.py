@@ -173,3 +173,127 @@ def nway_complete(spark, sf_dir):
     return complete_groups(res, [glm.bucket_labels("VEHICLE_SEATS_GROUP"), glm.bucket_labels("VEHICLE_VALUE_GROUP")],
                            [glm.ANALYSIS_YEAR], "001: VEHICLE_SEATS_GROUP & VEHICLE_VALUE_GROUP",
                            ["VEHICLE_SEATS_GROUP", "VEHICLE_VALUE_GROUP"])
+
+
+# ---------------------------------------------------------------- PNT-11
+from riskframe.operators import ledger as L  # noqa: E402
+from riskframe.operators import pnt11 as P  # noqa: E402
+from riskframe.operators import statements as S  # noqa: E402
+from riskframe.plans import mof  # noqa: E402
+
+
+@query("apply_mapping")
+def apply_mapping(spark, sf_dir):
+    m = mof.mapped(_fx(spark, sf_dir), "v_mof_premium")
+    return m.select("POLICY_ID", "COVERAGE_ID", "TYPE_VEHICLE", "VEHICLE_AGE", *P.KEYS)
+
+
+@query("pnt11_gwp")
+def pnt11_gwp(spark, sf_dir):
+    s = P.summary_gwp(mof.mapped(_fx(spark, sf_dir), "v_mof_premium"))
+    return s.select(*P.KEYS, "NUM_CARS", F.col("SUM_ASSURED").cast("decimal(38,4)").alias("SUM_ASSURED"),
+                    F.col("GROSS_PREMIUM").cast("decimal(38,4)").alias("GROSS_PREMIUM"))
+
+
+@query("pnt11_claims")
+def pnt11_claims(spark, sf_dir):
+    s = P.summary_claim(mof.mapped(_fx(spark, sf_dir), "v_mof_claim"))
+    return s.select(*P.KEYS, "NUM_CLAIMS", F.col("CLAIM_PMT").cast("decimal(38,4)").alias("CLAIM_PMT"))
+
+
+_RES = ["UPR_END", "OSC_END", "LARC_RES_END", "UPR_BEG", "OSC_BEG", "LARC_RES_BEG"]
+
+
+@query("pnt11_reserves")
+def pnt11_reserves(spark, sf_dir):
+    s = P.summary_reserve(mof.mapped(_fx(spark, sf_dir), "v_reserve", "USAGE_CODE"), "RES_PNT_11_02")
+    return s.select(*P.KEYS, *[F.col(c).cast("decimal(38,4)").alias(c) for c in _RES])
+
+
+@query("pnt11_opening")
+def pnt11_opening(spark, sf_dir):
+    s = P.summary_opening(mof.mapped(_fx(spark, sf_dir), "v_reserve", "USAGE_CODE"))
+    return s.select(*P.KEYS, *[F.col(c).cast("decimal(38,4)").alias(c) for c in _RES[3:]])
+
+
+@query("pnt11_combined")
+def pnt11_combined(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    out = P.combine_summaries(P.summary_claim(mof.mapped(fx, "v_mof_claim")),
+                              P.summary_gwp(mof.mapped(fx, "v_mof_premium")),
+                              P.summary_reserve(mof.mapped(fx, "v_reserve", "USAGE_CODE"), "RES_PNT_11_02"))
+    money = [c for c in P.NUMERIC if c not in ("NUM_CARS", "NUM_CLAIMS")] + \
+        ["UPR_PERIOD", "OSC_PERIOD", "LARC_RES_PERIOD", "RES_END", "RES_BEG", "RES_PERIOD"]
+    return out.select(*P.KEYS, F.col("NUM_CARS").cast("long").alias("NUM_CARS"),
+                      F.col("NUM_CLAIMS").cast("long").alias("NUM_CLAIMS"),
+                      *[F.col(c).cast("decimal(38,4)").alias(c) for c in money])
+
+
+# ---------------------------------------------------------------- ledger
+@query("period_filter")
+def period_filter(spark, sf_dir):
+    period, _ = mof.periods()
+    return L.filter_period(_fx(spark, sf_dir)["v_gl"], *period)
+
+
+@query("account_mapping")
+def account_mapping(spark, sf_dir):
+    return mof.gl_mapped(_fx(spark, sf_dir))
+
+
+@query("gl_checks")
+def gl_checks(spark, sf_dir):
+    _, ytd = mof.periods()
+    return L.gl_checks(_fx(spark, sf_dir)["v_gl"], *ytd)
+
+
+@query("trial_balance")
+def trial_balance(spark, sf_dir):
+    return mof.trial_balance(_fx(spark, sf_dir))
+
+
+@query("trial_balance_opening")
+def trial_balance_opening(spark, sf_dir):
+    return mof.trial_balance(_fx(spark, sf_dir), opening=True)
+
+
+# ---------------------------------------------------------------- statements
+@query("balance_sheet")
+def balance_sheet(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return S.balance_sheet(mof.trial_balance(fx), fx["t_bs"])
+
+
+@query("duno_duco")
+def duno_duco(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return S.duno_duco(mof.trial_balance(fx), fx["t_duno"])
+
+
+@query("profit_loss")
+def profit_loss(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    period, ytd = mof.periods()
+    return S.profit_loss(mof.gl_mapped(fx), fx["t_pl01"], period, ytd)
+
+
+@query("profit_loss_summary")
+def profit_loss_summary(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    period, ytd = mof.periods()
+    return S.profit_loss_summary(S.profit_loss(mof.gl_mapped(fx), fx["t_pl01"], period, ytd), fx["t_pl02"])
+
+
+@query("cash_flow")
+def cash_flow(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    _, ytd = mof.periods()
+    return S.cash_flow(mof.gl_mapped(fx), fx["t_cf01"], ytd)
+
+
+@query("cash_flow_indirect")
+def cash_flow_indirect(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    period, ytd = mof.periods()
+    g = mof.gl_mapped(fx)
+    return S.cash_flow(g, fx["t_cf02"], ytd, pl01=S.profit_loss(g, fx["t_pl01"], period, ytd))

@@ -41,6 +41,19 @@ FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipda
 SELECT INVOICE_DATE, x.code AS DEBIT_ACC, y.code AS CREDIT_ACC, amt AS DEBIT_AMT, CAST(0 AS DECIMAL(20,4)) AS CREDIT_AMT FROM {v_journal} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx
 UNION ALL
 SELECT INVOICE_DATE, y.code, x.code, CAST(0 AS DECIMAL(20,4)), amt FROM {v_journal} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx""",
+    # the 1996 journal, same construction, whose trial balance is the opening balance of 1997
+    "v_journal_1996": """
+SELECT CAST(l_shipdate AS DATE) AS INVOICE_DATE, CAST(l_suppkey % 14 AS INT) AS a, CAST(l_partkey % 14 AS INT) AS b, CAST(l_extendedprice AS DECIMAL(20,4)) AS amt
+FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00' AND l_suppkey % 14 <> l_partkey % 14""",
+    "v_gl_1996": """
+SELECT INVOICE_DATE, x.code AS DEBIT_ACC, y.code AS CREDIT_ACC, amt AS DEBIT_AMT, CAST(0 AS DECIMAL(20,4)) AS CREDIT_AMT FROM {v_journal_1996} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx
+UNION ALL
+SELECT INVOICE_DATE, y.code, x.code, CAST(0 AS DECIMAL(20,4)), amt FROM {v_journal_1996} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx""",
+    # MOF inputs: USAGE_CODE stands for COVERAGE_ID, the customer for the registration number
+    "v_mof_premium": """
+SELECT POLICY_ID, USAGE_CODE AS COVERAGE_ID, TYPE_VEHICLE, VEHICLE_AGE, CERTIFICATE_ID AS REG_NO, VEHICLE_VALUE, GWP FROM {v_policy}""",
+    "v_mof_claim": """
+SELECT c.CLAIM_ID, c.POLICY_ID, p.USAGE_CODE AS COVERAGE_ID, p.TYPE_VEHICLE, p.VEHICLE_AGE, c.CLAIM_PMT FROM {v_claim} c JOIN {v_policy} p ON c.POLICY_ID = p.POLICY_ID""",
     "v_reserve": """
 SELECT POLICY_ID, TYPE_VEHICLE, USAGE_CODE, VEHICLE_AGE,
   CAST(GWP * CAST(0.40 AS DECIMAL(4,2)) AS DECIMAL(20,4)) AS UPR_END, CAST(GWP * CAST(0.10 AS DECIMAL(4,2)) AS DECIMAL(20,4)) AS OSC_END, CAST(GWP * CAST(0.05 AS DECIMAL(4,2)) AS DECIMAL(20,4)) AS LARC_RES_END,
