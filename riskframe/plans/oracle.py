@@ -17,9 +17,17 @@ ORACLE: dict[str, str] = {}
 
 
 def _q(name: str, views: tuple[str, ...], body: str) -> None:
+    """Prefix the view CTEs; a body may add CTEs of its own (starting with ``name AS`` or ``,``)."""
     head = oracle_with(*views)
-    ORACLE[name] = (head + ", " + body) if head and not body.lstrip().upper().startswith("SELECT") else (
-        head + body if head else body)
+    b = body.lstrip()
+    if not head:
+        ORACLE[name] = ("WITH " + b.lstrip(",")) if not (b.upper().startswith("SELECT") or b.startswith("(")) else b
+    elif b.startswith(","):
+        ORACLE[name] = head + b
+    elif b.upper().startswith("SELECT") or b.startswith("("):
+        ORACLE[name] = head + b
+    else:
+        ORACLE[name] = head + ", " + b
 
 
 def _case(expr: str, edges, labels) -> str:
@@ -413,3 +421,153 @@ q AS (SELECT (SELECT cur FROM pl01 WHERE code = '50') AS v01, coalesce((SELECT c
 SELECT t.lineCode, t.lineName, t.code, t.noteRef,
   CAST(CASE t.code WHEN '01' THEN v01 WHEN '02' THEN v02 ELSE v01 + v02 END AS DECIMAL(38,4)) AS CURRENT_AMOUNT
 FROM t_cf02 t, q""")
+
+
+# ---------------------------------------------------------------- text, periods, quality, ingest
+from riskframe.functions.text import FOREIGN_PLATE_PATTERN, PLATE_PATTERN  # noqa: E402
+from riskframe.operators.ingest import IMPORT_DATE_FORMATS  # noqa: E402
+from riskframe.operators.validate import DATE_FORMATS  # noqa: E402
+from riskframe.plans.quality import DIRTY_SETTINGS, EXPECTED_COLUMNS  # noqa: E402
+
+# v_dirty holds ASCII text only, where NFKC is the identity, so the oracle needs no NFKC.
+_q("reg_no_standardized", ("v_dirty",), """,
+r AS (SELECT event_id, REG_NO, regexp_replace(regexp_replace(upper(regexp_replace(REG_NO, '^\\s+|\\s+$', '', 'g')),
+    '[-‐‑–‒—―.]', '', 'g'), '\\s+', '', 'g') AS x FROM v_dirty)
+SELECT event_id, REG_NO, CASE WHEN REG_NO IS NULL OR regexp_replace(REG_NO, '^\\s+|\\s+$', '', 'g') = '' THEN 'ERROR_REG_NO'
+  WHEN regexp_full_match(x, '""" + PLATE_PATTERN + """') OR regexp_full_match(x, '""" + FOREIGN_PLATE_PATTERN + """') THEN x
+  ELSE 'ERROR_REG_NO' END AS REG_NO_STD FROM r""")
+
+_q("coverage_prefix", ("v_dirty",), """
+SELECT event_id, COVERAGE_ID, CASE WHEN regexp_matches(COVERAGE_ID, '^0.') THEN COVERAGE_ID ELSE '0' || COVERAGE_ID END AS COVERAGE_ID_STD FROM v_dirty""")
+
+_q("report_period", ("v_gl",), """,
+ym AS (SELECT DISTINCT CAST(year(INVOICE_DATE) AS INT) AS y, CAST(month(INVOICE_DATE) AS INT) AS m FROM v_gl),
+yq AS (SELECT y, m, CAST(floor((m + 2) / 3) AS INT) AS q FROM ym)
+SELECT y AS REPORT_YEAR, m AS REPORT_MONTH, make_date(y, m, 1) AS MONTH_START, CAST(last_day(make_date(y, m, 1)) AS DATE) AS MONTH_END,
+  q AS REPORT_QUARTER, make_date(y, 3 * q - 2, 1) AS QUARTER_START, CAST(last_day(make_date(y, 3 * q, 1)) AS DATE) AS QUARTER_END,
+  make_date(y, 1, 1) AS YTD_START, make_date(y, 12, 31) AS YEAR_END FROM yq""")
+
+
+def _vals(c: str) -> str:
+    return f"list_filter(list_transform(string_split(trim(CAST({c} AS VARCHAR)), ','), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _fmt_ok(c: str, fmt: str) -> str:
+    present = f"(CAST({c} AS VARCHAR) IS NOT NULL AND trim(CAST({c} AS VARCHAR)) <> '')"
+    return (f"coalesce(bool_and(CASE WHEN {present} THEN list_bool_and(list_transform({_vals(c)}, "
+            f"lambda x: try_strptime(x, '{fmt}') IS NOT NULL)) END), false)")
+
+
+def _validate_sql() -> str:
+    """C9 for the dirty extract with the GLM claim profile (INFO columns, unknown check always,
+    CLAIM_ID unique), written per column from the settings."""
+    present = {"event_id", "CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"}
+    parts = []
+    for s in DIRTY_SETTINGS:
+        if s.import_name not in present:
+            parts.append(f"""SELECT '{s.standard_name}' AS COLUMN, CAST(NULL AS VARCHAR) AS TYPE, CAST(NULL AS BIGINT) AS MISSING_COUNT,
+  CAST(NULL AS DOUBLE) AS MISSING_PCT, CAST(NULL AS BIGINT) AS UNKNOWN_COUNT, CAST(NULL AS DOUBLE) AS UNKNOWN_PCT,
+  CAST(NULL AS BOOLEAN) AS TYPE_OK, CAST(NULL AS BOOLEAN) AS MISSING_OK, CAST(NULL AS BOOLEAN) AS UNKNOWN_OK, CAST(NULL AS BOOLEAN) AS DUP_OK,
+  CAST(NULL AS DOUBLE) AS MIN_VALUE, CAST(NULL AS DOUBLE) AS MAX_VALUE, CAST(NULL AS DOUBLE) AS AVG_VALUE, 'Column not found' AS "CHECK\"""")
+            continue
+        c = s.import_name
+        v = f"CAST({c} AS VARCHAR)"
+        numeric = s.data_type in ("Double", "Integer")
+        if s.data_type == "Date":
+            has = f"(count(*) FILTER (WHERE {v} IS NOT NULL AND len({_vals(c)}) > 0) > 0)"
+            type_ok = has + " AND (" + " OR ".join(_fmt_ok(c, f) for f, _ in DATE_FORMATS) + ")"
+        elif numeric:
+            type_ok = f"(count(*) FILTER (WHERE {v} IS NOT NULL AND {v} <> '' AND TRY_CAST({v} AS DOUBLE) IS NULL) = 0 AND count(*) > 0)"
+        else:
+            type_ok = "(count(*) > 0)"
+        miss = f"count(*) FILTER (WHERE {c} IS NULL)"
+        unk = f"count(*) FILTER (WHERE starts_with(coalesce({v}, 'None'), 'Unknown'))"
+        miss_ok = "true" if s.allow_null else f"({miss} = 0)"
+        dup_ok = f"(count(*) = count(DISTINCT {{'k': {c}}}))" if s.standard_name == "CLAIM_ID" else "true"
+        num = lambda f: f"{f}(TRY_CAST({v} AS DOUBLE))" if numeric else "CAST(NULL AS DOUBLE)"
+        avg = f"round_even(avg(TRY_CAST({v} AS DOUBLE)), 6)" if numeric else "CAST(NULL AS DOUBLE)"
+        parts.append(f"""SELECT '{s.standard_name}' AS COLUMN, '{s.data_type}' AS TYPE, {miss} AS MISSING_COUNT,
+  round_even({miss} * 100.0 / count(*), 2) AS MISSING_PCT, {unk} AS UNKNOWN_COUNT, round_even({unk} * 100.0 / count(*), 2) AS UNKNOWN_PCT,
+  {type_ok} AS TYPE_OK, {miss_ok} AS MISSING_OK, ({unk} = 0) AS UNKNOWN_OK, {dup_ok} AS DUP_OK,
+  {num('min')} AS MIN_VALUE, {num('max')} AS MAX_VALUE, {avg} AS AVG_VALUE,
+  CASE WHEN {type_ok} AND {miss_ok} AND {dup_ok} AND ({unk} = 0) THEN 'Pass' ELSE 'Fail' END AS "CHECK" FROM v_dirty""")
+    return "\nUNION ALL\n".join(parts)
+
+
+_q("validate_columns", ("v_dirty",), _validate_sql())
+_q("validate_status", ("v_dirty",), f""",
+rep AS ({_validate_sql()})
+SELECT (count(*) FILTER (WHERE TYPE_OK = false) = 0 AND count(*) FILTER (WHERE MISSING_OK = false) = 0
+    AND count(*) FILTER (WHERE DUP_OK = false) = 0) AS STATUS,
+  CASE WHEN count(*) FILTER (WHERE TYPE_OK = false) > 0 THEN 'type' WHEN count(*) FILTER (WHERE MISSING_OK = false) > 0 THEN 'missing'
+    WHEN count(*) FILTER (WHERE DUP_OK = false) > 0 THEN 'duplicate' END AS FIRST_FAILURE,
+  count(*) FILTER (WHERE TYPE_OK = false) AS TYPE_ERRORS, count(*) FILTER (WHERE MISSING_OK = false) AS MISSING_ERRORS,
+  count(*) FILTER (WHERE DUP_OK = false) AS DUPLICATE_ERRORS, count(*) FILTER (WHERE "CHECK" = 'Column not found') AS COLUMNS_NOT_FOUND
+FROM rep""")
+
+_dates = []
+for _col, _src in (("DATE_TXT", "v_dirty"), ("START_DATE_TXT", "(SELECT strftime(START_DATE, '%Y-%m-%d') AS START_DATE_TXT FROM v_policy)")):
+    for _j, (_f, _) in enumerate(DATE_FORMATS):
+        _dates.append(f"SELECT '{_col}' AS COLUMN, {_j + 1} AS FORMAT_NO, '{_f}' AS FORMAT, {_fmt_ok(_col, _f)} AS PARSES_ALL FROM {_src}")
+_q("validate_dates", ("v_dirty", "v_policy"), "\n" + "\nUNION ALL\n".join(_dates))
+
+_q("validate_duplicates", ("v_claim",), """,
+c AS (SELECT *, split_part(CLAIM_ID, '-', 1) || '-' || split_part(CLAIM_ID, '-', 2) AS CLAIM_KEY2 FROM v_claim)
+SELECT 'CLAIM_ID' AS KEY_COLUMNS, count(*) AS NUM_ROWS, count(DISTINCT {'k': CLAIM_ID}) AS DISTINCT_KEYS,
+  count(*) - count(DISTINCT {'k': CLAIM_ID}) AS DUPLICATE_ROWS, count(*) = count(DISTINCT {'k': CLAIM_ID}) AS DUP_OK FROM c
+UNION ALL
+SELECT 'CLAIM_KEY2', count(*), count(DISTINCT {'k': CLAIM_KEY2}), count(*) - count(DISTINCT {'k': CLAIM_KEY2}),
+  count(*) = count(DISTINCT {'k': CLAIM_KEY2}) FROM c
+UNION ALL
+SELECT 'POLICY_ID,CERTIFICATE_ID', count(*), count(DISTINCT {'a': POLICY_ID, 'b': CERTIFICATE_ID}),
+  count(*) - count(DISTINCT {'a': POLICY_ID, 'b': CERTIFICATE_ID}), count(*) = count(DISTINCT {'a': POLICY_ID, 'b': CERTIFICATE_ID}) FROM c""")
+
+_cols = ["event_id", "CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"]
+_q("profile_table", ("v_dirty",), f"""
+SELECT count(*) AS NUM_ROWS, {len(_cols)} AS NUM_COLUMNS, '{",".join(sorted(set(EXPECTED_COLUMNS) - set(_cols)))}' AS MISSING_COLUMNS,
+  '{",".join(sorted(set(_cols) - set(EXPECTED_COLUMNS)))}' AS EXTRA_COLUMNS,
+  count(*) FILTER (WHERE {' AND '.join(f'{c} IS NULL' for c in _cols)}) AS EMPTY_ROWS FROM v_dirty""")
+
+_MAP_SELECT = ", ".join(f"{s.import_name} AS {s.standard_name}" for s in DIRTY_SETTINGS if s.import_name in _cols)
+_q("map_columns", ("v_dirty",), f"\nSELECT {_MAP_SELECT} FROM v_dirty")
+
+
+def _multi(expr: str, fmts) -> str:
+    return "coalesce(" + ", ".join(f"try_strptime(trim({expr}), '{f}')" for f, _ in fmts) + ")"
+
+
+_q("convert_types", ("v_dirty",), f""",
+m AS (SELECT {_MAP_SELECT} FROM v_dirty)
+SELECT CAST(TRY_CAST(CAST(CLAIM_ID AS VARCHAR) AS DOUBLE) AS BIGINT) AS CLAIM_ID, coalesce(SALES_CHANNEL, 'Unknown') AS SALES_CHANNEL,
+  TRY_CAST(GWP AS DOUBLE) AS GWP, CAST({_multi('START_DATE', IMPORT_DATE_FORMATS)} AS DATE) AS START_DATE,
+  coalesce(REG_NO, 'Unknown') AS REG_NO,
+  CASE WHEN regexp_matches(coalesce(COVERAGE_ID, 'Unknown'), '^0.') THEN coalesce(COVERAGE_ID, 'Unknown') ELSE '0' || coalesce(COVERAGE_ID, 'Unknown') END AS COVERAGE_ID
+FROM m""")
+
+_q("date_multi_format", ("v_dirty", "v_policy"), f""",
+p AS (SELECT POLICY_ID, strftime(START_DATE, '%-d/%-m/%Y') AS START_TXT FROM v_policy)
+SELECT CAST(event_id AS VARCHAR) AS ROW_ID, DATE_TXT AS RAW, CAST({_multi('DATE_TXT', IMPORT_DATE_FORMATS)} AS DATE) AS PARSED FROM v_dirty
+UNION ALL
+SELECT POLICY_ID, START_TXT, CAST(try_strptime(trim(START_TXT), '%d/%m/%Y') AS DATE) FROM p""")
+
+_int_cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_q("narrow_integers", (), "\n" + "\nUNION ALL\n".join(f"""SELECT '{c}' AS COLUMN, CAST(min({c}) AS BIGINT) AS MIN_VALUE, CAST(max({c}) AS BIGINT) AS MAX_VALUE,
+  CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
+    WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS NARROW_TYPE FROM lineitem""" for c in _int_cols))
+
+_q("low_cardinality", ("v_dirty",), "\n" + "\nUNION ALL\n".join(f"""SELECT '{c}' AS COLUMN, count(DISTINCT {c}) AS DISTINCT_VALUES, count(*) AS NUM_ROWS,
+  (count(DISTINCT {c}) * 1.0 / count(*)) < 0.5 AS IS_CATEGORICAL FROM v_dirty""" for c in ["CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"]))
+
+_q("clean_table", ("v_dirty",), f"""
+SELECT event_id, CHANNEL, TRY_CAST(AMOUNT_TXT AS DOUBLE) AS AMOUNT_TXT, {_multi('DATE_TXT', IMPORT_DATE_FORMATS)} AS DATE_TXT,
+  REG_NO, TRY_CAST(COVERAGE_ID AS DOUBLE) AS COVERAGE_ID FROM v_dirty""")
+
+_q("snapshot_diff", ("v_policy",), """
+(SELECT *, 'new' AS SIDE FROM (SELECT * FROM v_policy EXCEPT ALL SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01'))
+UNION ALL
+(SELECT *, 'old' AS SIDE FROM (SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01' EXCEPT ALL SELECT * FROM v_policy))""")
+
+_q("union_parts", (), """
+SELECT c_custkey AS PARTY_KEY, c_name AS NAME, c_nationkey AS NATION_KEY, c_acctbal AS BALANCE, c_mktsegment AS SEGMENT, 'DATA_CUSTOMER' AS SOURCE FROM customer
+UNION ALL
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL, 'DATA_SUPPLIER' FROM supplier""")

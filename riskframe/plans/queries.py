@@ -297,3 +297,128 @@ def cash_flow_indirect(spark, sf_dir):
     period, ytd = mof.periods()
     g = mof.gl_mapped(fx)
     return S.cash_flow(g, fx["t_cf02"], ytd, pl01=S.profit_loss(g, fx["t_pl01"], period, ytd))
+
+
+# ---------------------------------------------------------------- text (E7, B9), dates
+from riskframe.functions import dates as D  # noqa: E402
+from riskframe.functions.text import coverage_prefix as _coverage_prefix  # noqa: E402
+from riskframe.functions.text import standardize_reg_no  # noqa: E402
+from riskframe.operators import ingest as I  # noqa: E402
+from riskframe.operators import validate as V  # noqa: E402
+from riskframe.plans import quality  # noqa: E402
+
+
+@query("reg_no_standardized")
+def reg_no_standardized(spark, sf_dir):
+    d = _fx(spark, sf_dir)["v_dirty"]
+    return d.select("event_id", "REG_NO", standardize_reg_no(F.col("REG_NO")).alias("REG_NO_STD"))
+
+
+@query("coverage_prefix")
+def coverage_prefix(spark, sf_dir):
+    d = _fx(spark, sf_dir)["v_dirty"]
+    return d.select("event_id", "COVERAGE_ID", _coverage_prefix(F.col("COVERAGE_ID")).alias("COVERAGE_ID_STD"))
+
+
+@query("report_period")
+def report_period(spark, sf_dir):
+    g = _fx(spark, sf_dir)["v_gl"]
+    ym = g.select(F.year("INVOICE_DATE").alias("REPORT_YEAR"), F.month("INVOICE_DATE").alias("REPORT_MONTH")).distinct()
+    y, m = F.col("REPORT_YEAR"), F.col("REPORT_MONTH")
+    q = F.floor((m + 2) / 3).cast("int")
+    return ym.select("REPORT_YEAR", "REPORT_MONTH",
+                     D.period_start(y, "MONTHLY", m).alias("MONTH_START"), D.period_end(y, "MONTHLY", m).alias("MONTH_END"),
+                     q.alias("REPORT_QUARTER"), D.period_start(y, "QUARTERLY", q).alias("QUARTER_START"),
+                     D.period_end(y, "QUARTERLY", q).alias("QUARTER_END"),
+                     D.period_start(y, "MONTHLY", m, accumulated=True).alias("YTD_START"),
+                     D.period_end(y, "YEARLY", F.lit(1)).alias("YEAR_END"))
+
+
+# ---------------------------------------------------------------- validation
+@query("validate_columns")
+def validate_columns(spark, sf_dir):
+    return V.validate(_fx(spark, sf_dir)["v_dirty"], quality.DIRTY_SETTINGS, V.Profile.of("GLM_CLM"))
+
+
+@query("validate_status")
+def validate_status(spark, sf_dir):
+    p = V.Profile.of("GLM_CLM")
+    return V.validation_status(V.validate(_fx(spark, sf_dir)["v_dirty"], quality.DIRTY_SETTINGS, p), p)
+
+
+@query("validate_dates")
+def validate_dates(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    pol = fx["v_policy"].select(F.date_format("START_DATE", "yyyy-MM-dd").alias("START_DATE_TXT"))
+    return V.date_format_report(fx["v_dirty"], ["DATE_TXT"]).unionByName(V.date_format_report(pol, ["START_DATE_TXT"]))
+
+
+@query("validate_duplicates")
+def validate_duplicates(spark, sf_dir):
+    c = _fx(spark, sf_dir)["v_claim"]
+    c = c.withColumn("CLAIM_KEY2", F.concat_ws("-", F.slice(F.split("CLAIM_ID", "-"), 1, 2)))
+    return V.duplicate_report(c, [("CLAIM_ID",), ("CLAIM_KEY2",), ("POLICY_ID", "CERTIFICATE_ID")])
+
+
+@query("profile_table")
+def profile_table(spark, sf_dir):
+    return V.profile_table(_fx(spark, sf_dir)["v_dirty"], quality.EXPECTED_COLUMNS)
+
+
+# ---------------------------------------------------------------- ingest
+@query("map_columns")
+def map_columns(spark, sf_dir):
+    return I.map_columns(_fx(spark, sf_dir)["v_dirty"], quality.DIRTY_SETTINGS)
+
+
+@query("convert_types")
+def convert_types(spark, sf_dir):
+    m = I.map_columns(_fx(spark, sf_dir)["v_dirty"], quality.DIRTY_SETTINGS)
+    return I.convert_types(m, quality.DIRTY_SETTINGS)
+
+
+@query("date_multi_format")
+def date_multi_format(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    d = fx["v_dirty"]
+    chosen = I.date_format_choice(d, ["DATE_TXT"])
+    p = fx["v_policy"].select("POLICY_ID", F.date_format("START_DATE", "d/M/yyyy").alias("START_TXT"))
+    chosen_p = I.date_format_choice(p, ["START_TXT"])
+    a = d.select(F.col("event_id").cast("string").alias("ROW_ID"), F.col("DATE_TXT").alias("RAW"),
+                 I.to_date_multi("DATE_TXT", chosen["DATE_TXT"]).alias("PARSED"))
+    b = p.select(F.col("POLICY_ID").alias("ROW_ID"), F.col("START_TXT").alias("RAW"),
+                 I.to_date_multi("START_TXT", chosen_p["START_TXT"]).alias("PARSED"))
+    return a.unionByName(b)
+
+
+@query("narrow_integers")
+def narrow_integers(spark, sf_dir):
+    li = _fx(spark, sf_dir)["lineitem"]
+    return I.integer_widths(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+
+
+@query("low_cardinality")
+def low_cardinality(spark, sf_dir):
+    return I.low_cardinality(_fx(spark, sf_dir)["v_dirty"], ["CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"])
+
+
+@query("clean_table")
+def clean_table(spark, sf_dir):
+    return I.clean_table(_fx(spark, sf_dir)["v_dirty"])
+
+
+@query("snapshot_diff")
+def snapshot_diff(spark, sf_dir):
+    p = _fx(spark, sf_dir)["v_policy"]
+    return I.snapshot_diff(p, p.filter(F.col("START_DATE") < F.lit("2000-01-01").cast("date")))
+
+
+@query("union_parts")
+def union_parts(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    cust = fx["customer"].select(F.col("c_custkey").alias("PARTY_KEY"), F.col("c_name").alias("NAME"),
+                                 F.col("c_nationkey").alias("NATION_KEY"), F.col("c_acctbal").alias("BALANCE"),
+                                 F.col("c_mktsegment").alias("SEGMENT"))
+    supp = fx["supplier"].select(F.col("s_suppkey").alias("PARTY_KEY"), F.col("s_name").alias("NAME"),
+                                 F.col("s_nationkey").alias("NATION_KEY"), F.col("s_acctbal").alias("BALANCE"))
+    return I.union_parts({"DATA_CUSTOMER": cust, "DATA_SUPPLIER": supp})
