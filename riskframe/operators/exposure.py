@@ -15,10 +15,10 @@ y = year(EXPIRY)        y-01-01    EXPIRY    END - START (no +1)
 (days/366 when EXPIRY is after Feb 28, else days/365, for both rows). ``TOTAL_EXPOSURE`` is the
 sum over the policy's rows and ``EXPOSURE_PREM = GWP * EXPOSURE_YEAR / TOTAL_EXPOSURE``.
 
-Design: the years of one policy are built as an array inside the row, the total is a left fold
-over that array (``aggregate``) and the array is exploded afterwards. No self join and no window:
-the whole operator is a narrow projection that runs inside the scan stage, so it scales with the
-input and is immune to key skew. Kept quirks: same-year policies are exposed to Dec 31, and the
+Design: the total is a left fold over the policy's year list inside the row (``aggregate`` over
+``sequence(year(START), year(EXPIRY))`` of plain numbers), then ``posexplode`` emits one row per
+year and scalar expressions give the segment columns. No self join and no window: the operator
+is narrow, runs inside the scan stage, scales with the input and is immune to key skew. Kept quirks: same-year policies are exposed to Dec 31, and the
 expiry-year row excludes the expiry day. Fixed: the key is the (POLICY_ID, CERTIFICATE_ID) row
 itself, never a concatenated string, so repeated keys are not multiplied.
 """
@@ -54,57 +54,53 @@ def split_exposure(df: DataFrame, years: Iterable[int] | None = None, *, start:
     """Policy rows → policy-year rows (see module doc). ``years=None`` keeps every year.
 
     ``positive_only`` keeps rows with EXPOSURE_PREM > 0 (the reference's output); rows with a
-    null date have no year and are dropped. ``YEAR_SEQ`` numbers the kept rows of one policy row
-    in year order (1 = first), which later operators use as the first-row marker.
+    null date have no year and are dropped. ``YEAR_SEQ`` numbers the rows of one policy row in
+    year order (1 = first). Kept rows always form a prefix of the years (only the expiry-year
+    row can have zero days), so YEAR_SEQ also numbers the kept rows.
+
+    Plan: one projection computes the year list and the total exposure (a left fold over the
+    years, in year order, so the float result does not depend on partitioning), ``posexplode``
+    emits the rows, and plain per-row expressions give the segment columns.
     """
     df = prepare_policy_dates(df, start, expiry, init)
     st, ex = F.col(start), F.col(expiry)
-    ys, ye = F.year(st), F.year(ex)
-    nb_year = ye - ys
-    years_arr = F.when(st <= ex, F.sequence(ys, ye)).otherwise(F.array(ye))
-    one_year_leap = (nb_year == 1) & _is_leap(ye)
+    ys, ye = F.col("_ys"), F.col("_ye")
+    one_year_leap = ((ye - ys) == 1) & _is_leap(ye)
     leap_days = F.when(ex > F.make_date(ye, F.lit(2), F.lit(28)), F.lit(366)).otherwise(F.lit(365))
 
-    def segment(y: Column) -> Column:
+    def segment(y: Column) -> tuple[Column, Column, Column, Column, Column]:
         dec31 = F.make_date(y, F.lit(12), F.lit(31))
-        jan1 = F.make_date(y, F.lit(1), F.lit(1))
         first = y == ys
-        middle = (y > ys) & (y < ye)
-        seq_start = F.when(first, st).otherwise(jan1)
-        seq_end = F.when(first | middle, dec31).otherwise(ex)
-        days = F.datediff(seq_end, seq_start) + F.when(first | middle, F.lit(1)).otherwise(F.lit(0))
+        full = first | ((y > ys) & (y < ye))
+        seq_start = F.when(first, st).otherwise(F.make_date(y, F.lit(1), F.lit(1)))
+        seq_end = F.when(full, dec31).otherwise(ex)
+        days = F.datediff(seq_end, seq_start) + F.when(full, F.lit(1)).otherwise(F.lit(0))
         doy = F.dayofyear(dec31)
-        denom = F.when(one_year_leap, leap_days).otherwise(doy)
-        return F.struct(y.alias("CL_YEAR"), seq_start.alias("START_SEQ"), seq_end.alias("END_SEQ"),
-                        days.alias("EXPOSURE_DAY"), doy.alias("DAYS_OF_YEAR"),
-                        F.try_divide(days.cast("double"), denom.cast("double")).alias("EXPOSURE_YEAR"))
-
-    segs = F.transform(years_arr, segment)
-    total = F.aggregate(segs, F.lit(0.0).cast("double"), lambda acc, s: acc + s["EXPOSURE_YEAR"])
-    out = (df.withColumn("NB_YEAR", nb_year)
-             .withColumn("_segs", segs)
-             .withColumn("TOTAL_EXPOSURE", total))
-    prem = lambda s: F.col(gwp).cast("double") * F.try_divide(s["EXPOSURE_YEAR"], F.col("TOTAL_EXPOSURE"))
-    keep = F.filter(F.transform("_segs", lambda s: s.withField("EXPOSURE_PREM", prem(s))),
-                    lambda s: _keep(s, years, positive_only))
-    out = out.withColumn("_segs", keep).select("*", F.posexplode("_segs").alias("_pos", "_seg"))
-    base = [c for c in df.columns]
-    return out.select(
-        *base, "NB_YEAR",
-        F.col("_seg.CL_YEAR").alias("CL_YEAR"), (F.col("_pos") + 1).alias("YEAR_SEQ"),
-        F.col("_seg.START_SEQ").alias("START_SEQ"), F.col("_seg.END_SEQ").alias("END_SEQ"),
-        F.col("_seg.EXPOSURE_DAY").alias("EXPOSURE_DAY"), F.col("_seg.DAYS_OF_YEAR").alias("DAYS_OF_YEAR"),
-        F.col("_seg.EXPOSURE_YEAR").alias("EXPOSURE_YEAR"), "TOTAL_EXPOSURE",
-        F.col("_seg.EXPOSURE_PREM").alias("EXPOSURE_PREM"))
-
-
-def _keep(s: Column, years: Iterable[int] | None, positive_only: bool) -> Column:
+        denom = F.coalesce(F.col("_leap_den"), doy)
+        return seq_start, seq_end, days, doy, F.try_divide(days.cast("double"), denom.cast("double"))
+
+    base = list(df.columns)
+    out = df.withColumns({"_ys": F.year(st), "_ye": F.year(ex)})
+    out = out.withColumns({
+        "NB_YEAR": ye - ys,
+        "_years": F.when(st <= ex, F.sequence(ys, ye)).otherwise(F.array(ye)),
+        "_leap_den": F.when(one_year_leap, leap_days),
+    })
+    out = out.withColumn("TOTAL_EXPOSURE", F.aggregate("_years", F.lit(0.0).cast("double"),
+                                                       lambda acc, y: acc + segment(y)[4]))
+    out = out.select("*", F.posexplode("_years").alias("_pos", "CL_YEAR"))
+    seq_start, seq_end, days, doy, ey = segment(F.col("CL_YEAR"))
+    out = out.select(*base, "NB_YEAR", "CL_YEAR", (F.col("_pos") + 1).alias("YEAR_SEQ"),
+                     seq_start.alias("START_SEQ"), seq_end.alias("END_SEQ"), days.alias("EXPOSURE_DAY"),
+                     doy.alias("DAYS_OF_YEAR"), ey.alias("EXPOSURE_YEAR"), "TOTAL_EXPOSURE")
+    out = out.withColumn("EXPOSURE_PREM",
+                         F.col(gwp).cast("double") * F.try_divide(F.col("EXPOSURE_YEAR"), F.col("TOTAL_EXPOSURE")))
     cond = F.lit(True)
     if positive_only:
-        cond = cond & F.coalesce(s["EXPOSURE_PREM"] > 0, F.lit(False))
+        cond = cond & (F.col("EXPOSURE_PREM") > 0)
     if years is not None:
-        cond = cond & s["CL_YEAR"].isin([int(y) for y in years])
-    return cond
+        cond = cond & F.col("CL_YEAR").isin([int(y) for y in years])
+    return out.filter(cond) if (positive_only or years is not None) else out
 
 
 def reconcile_exposure(policies: DataFrame, *, start: str = "START_DATE", expiry: str = "EXPIRY_DATE",
