@@ -90,6 +90,17 @@ SELECT * FROM (VALUES ('1-URGENT','01','Xe cho nguoi','0101','Duoi 6 cho'),('2-H
 _PLACEHOLDER = re.compile(r"\{([a-z_0-9]+)\}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores (a small file
+    written as one row group); per-row work behind it then runs on every core. Filters and
+    column pruning still reach the scan (Catalyst pushes them through the repartition). On large
+    inputs the scan already has enough splits and this is a no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def dependencies(name: str) -> list[str]:
     return list(dict.fromkeys(_PLACEHOLDER.findall(VIEW_SQL[name])))
 
@@ -108,7 +119,7 @@ class Fixtures:
                 args = {dep: self.table(dep) for dep in dependencies(name)}
                 self._cache[name] = self.spark.sql(VIEW_SQL[name], **args)
             else:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         return self._cache[name]
 
     __getitem__ = table
