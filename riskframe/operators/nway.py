@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskframe.functions.numeric import round_half_even
+
 METRIC_COLUMNS = ["NUM_POLS", "NUM_CLAIMS", "EXPOSURE_YEAR", "EXPOSURE_PREM", "CLAIM_PMT", "FREQUENCY",
                   "SEVERITY", "AVG_PREMIUM", "PURE_PREMIUM", "LOSS_RATIO", "GWP_%", "SUM_ASSURED",
                   "AVG_SUM_ASSURED"]
@@ -197,19 +199,19 @@ def _finish(df: DataFrame, combos, n: int, spec: NWaySpec) -> DataFrame:
     metrics = {
         "NUM_POLS": F.col("NUM_POLS").cast("long"),
         "NUM_CLAIMS": nc.cast("long"),
-        "EXPOSURE_YEAR": F.bround(F.coalesce(ey, F.lit(0.0)), 6),
+        "EXPOSURE_YEAR": round_half_even(F.coalesce(ey, F.lit(0.0)), 6),
         # money stays exact: decimal sums, no float rounding noise
         "EXPOSURE_PREM": F.coalesce(ep, F.lit(0)).cast("decimal(38,4)"),
-        "CLAIM_PMT": F.bround(cp, 0).cast("decimal(38,0)"),
-        "FREQUENCY": F.bround(freq, 6),
-        "SEVERITY": F.bround(sev, 6),
-        "AVG_PREMIUM": F.bround(_ratio(ep, ey), 6),
-        "PURE_PREMIUM": F.bround(freq * sev, 6),
-        "LOSS_RATIO": F.bround(_ratio(cp, ep), 6),
-        "GWP_%": F.bround(_ratio(ep, F.sum(ep).over(share_w)), 6),
+        "CLAIM_PMT": F.bround(cp, 0).cast("decimal(38,0)"),  # exact decimal rounding
+        "FREQUENCY": round_half_even(freq, 6),
+        "SEVERITY": round_half_even(sev, 6),
+        "AVG_PREMIUM": round_half_even(_ratio(ep, ey), 6),
+        "PURE_PREMIUM": round_half_even(freq * sev, 6),
+        "LOSS_RATIO": round_half_even(_ratio(cp, ep), 6),
+        "GWP_%": round_half_even(_ratio(ep, F.sum(ep).over(share_w)), 6),
         "SUM_ASSURED": F.coalesce(F.col("SUM_ASSURED"), F.lit(0)).cast("decimal(38,4)"),
         # unrounded in the reference; 2 decimals keep it independent of float summation order
-        "AVG_SUM_ASSURED": F.bround(_ratio(F.col("SUM_ASSURED"), ey), 2),
+        "AVG_SUM_ASSURED": round_half_even(_ratio(F.col("SUM_ASSURED"), ey), 2),
     }
     if n == 1:
         labels = [name_exprs[0].alias("VAR_NAME"), F.concat(F.col("_v1"), F.lit(dsuffix)).alias("VAR_DETAIL")]

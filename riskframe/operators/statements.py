@@ -164,6 +164,11 @@ def evaluate(spark: SparkSession, lines: list[dict], vec: dict[int, Vec], atoms:
 
 
 # ----------------------------------------------------------------------------- atom tables
+def _amt(c: str):
+    """Ledger amount as money; text that is not a number is missing (skipped by the sums)."""
+    return F.col(c).try_cast(MONEY)
+
+
 def _atoms(df: DataFrame, kind: str, key, value_cols: dict) -> DataFrame:
     return (df.groupBy(F.col(key).cast("string").alias("_key") if isinstance(key, str) else key.alias("_key"))
               .agg(*[F.sum(v).cast(MONEY).alias(m) for m, v in value_cols.items()])
@@ -182,7 +187,7 @@ def pl_atoms(gl_mapped: DataFrame, period: tuple[dt.date, dt.date], ytd: tuple[d
     CREDIT_SM = 911, by DEBIT_PL. CURRENT over the period, ACCUMULATED over the year to date."""
     d = F.col("INVOICE_DATE").cast("date")
     g = gl_mapped.filter(d.between(F.lit(ytd[0]), F.lit(ytd[1])))
-    net = F.col("DEBIT_AMT") - F.col("CREDIT_AMT")
+    net = _amt("DEBIT_AMT") - _amt("CREDIT_AMT")
     in_period = d.between(F.lit(period[0]), F.lit(period[1]))
     vals = {"CURRENT_AMOUNT": F.when(in_period, net), "ACCUMULATED_AMOUNT": net}
     co = _atoms(g.filter(F.col("DEBIT_SM") == "911"), "PLCO", "CREDIT_PL", vals)
@@ -197,8 +202,8 @@ def cf_atoms(gl_mapped: DataFrame, ytd: tuple[dt.date, dt.date], pl01: DataFrame
     g = gl_mapped.filter(d.between(F.lit(ytd[0]), F.lit(ytd[1])) & (F.substring("DEBIT_SM", 1, 2) == "11"))
     zero = F.lit(0)
     a = g.groupBy(F.col("CREDIT_SM").cast("string").alias("_key")).agg(
-        F.sum(F.greatest(F.col("DEBIT_AMT") - F.col("CREDIT_AMT"), zero)).cast(MONEY).alias("NO"),
-        F.sum(-F.greatest(F.col("CREDIT_AMT") - F.col("DEBIT_AMT"), zero)).cast(MONEY).alias("CO"))
+        F.sum(F.greatest(_amt("DEBIT_AMT") - _amt("CREDIT_AMT"), zero)).cast(MONEY).alias("NO"),
+        F.sum(-F.greatest(_amt("CREDIT_AMT") - _amt("DEBIT_AMT"), zero)).cast(MONEY).alias("CO"))
     out = a.selectExpr("_key", "stack(2, 'PSNO11', NO, 'PSCO11', CO) AS (_atom, CURRENT_AMOUNT)")
     if pl01 is not None:
         out = out.unionByName(_atoms(pl01, "PL", "code", {"CURRENT_AMOUNT": F.col("CURRENT_AMOUNT")})

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import round_half_even
+
 # The accepted date formats (Python strptime spelling → Spark pattern), in order.
 DATE_FORMATS = [
     ("%Y-%m-%d", "yyyy-M-d"), ("%d-%m-%Y", "d-M-yyyy"), ("%m-%d-%Y", "M-d-yyyy"), ("%d/%m/%Y", "d/M/yyyy"),
@@ -159,13 +161,13 @@ def validate(df: DataFrame, settings: Sequence[ColumnSetting], profile: Profile)
         rows.append(F.struct(
             F.lit(c).alias("COLUMN"), F.lit(s.data_type).alias("TYPE"),
             miss.cast("long").alias("MISSING_COUNT"),
-            F.bround(F.coalesce(F.try_divide(miss * 100.0, total), F.lit(0.0)), 2).alias("MISSING_PCT"),
+            round_half_even(F.coalesce(F.try_divide(miss * 100.0, total), F.lit(0.0)), 2).alias("MISSING_PCT"),
             unk.cast("long").alias("UNKNOWN_COUNT"),
-            F.bround(F.coalesce(F.try_divide(unk * 100.0, total), F.lit(0.0)), 2).alias("UNKNOWN_PCT"),
+            round_half_even(F.coalesce(F.try_divide(unk * 100.0, total), F.lit(0.0)), 2).alias("UNKNOWN_PCT"),
             type_ok.alias("TYPE_OK"), miss_ok.alias("MISSING_OK"), unk_ok.alias("UNKNOWN_OK"), dup_ok.alias("DUP_OK"),
             (F.col(f"_lo{i}") if numeric else F.lit(None).cast("double")).alias("MIN_VALUE"),
             (F.col(f"_hi{i}") if numeric else F.lit(None).cast("double")).alias("MAX_VALUE"),
-            (F.bround(F.col(f"_av{i}"), 6) if numeric else F.lit(None).cast("double")).alias("AVG_VALUE"),
+            (round_half_even(F.col(f"_av{i}"), 6) if numeric else F.lit(None).cast("double")).alias("AVG_VALUE"),
             F.when(passed, F.lit("Pass")).otherwise(F.lit("Fail")).alias("CHECK")))
     return agg.select(F.inline(F.array(*rows)))
 

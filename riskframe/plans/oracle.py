@@ -11,6 +11,7 @@ import math
 
 from riskframe.functions.buckets import INF, amount_labels, unit_labels
 from riskframe.functions.money import money_sql
+from riskframe.functions.numeric import round_sql
 from riskframe.sources.fixtures import oracle_with
 
 ORACLE: dict[str, str] = {}
@@ -83,10 +84,10 @@ SELECT CAST(CL_YEAR AS INT) AS CL_YEAR, count(*) AS NUM_ROWS, count(DISTINCT POL
   CAST(sum(EXPOSURE_DAY) AS BIGINT) AS EXPOSURE_DAYS, CAST(sum(EXPOSURE_PREM) AS DECIMAL(38,4)) AS EXPOSURE_PREM
 FROM py GROUP BY CL_YEAR""")
 
-_q("exposure_reconcile", ("v_policy",), EXPOSURE_CTES + """
+_q("exposure_reconcile", ("v_policy",), EXPOSURE_CTES + f"""
 SELECT count(*) AS rows_after_split,
   CAST((SELECT sum(GWP) FROM v_policy WHERE START_DATE IS NOT NULL AND EXPIRY_DATE IS NOT NULL) AS DECIMAL(38,4)) AS premium_of_original,
-  CAST(round_even(sum(EXPOSURE_PREM_D), 2) AS DECIMAL(38,2)) AS premium_after_exposure,
+  CAST({money_sql("sum(EXPOSURE_PREM_D)", 2, 36)} AS DECIMAL(38,2)) AS premium_after_exposure,
   count(*) FILTER (WHERE EXPOSURE_PREM_D > 0) AS rows_positive,
   count(*) FILTER (WHERE NOT (EXPOSURE_PREM_D > 0) OR EXPOSURE_PREM_D IS NULL) AS rows_non_positive,
   count(*) FILTER (WHERE EXPOSURE_PREM_D IS NULL) AS rows_null_premium
@@ -197,14 +198,14 @@ LEFT JOIN (SELECT {fl}, sum(EXPOSURE_YEAR) AS EXPOSURE_YEAR, sum(EXPOSURE_PREM)
     return f"""
 SELECT CAST(VAR_YEAR AS INT) AS VAR_YEAR, VAR_NAME_CODE, {names},
   CAST(NUM_POLS AS BIGINT) AS NUM_POLS, CAST({nc} AS BIGINT) AS NUM_CLAIMS,
-  round_even({ey}, 6) AS EXPOSURE_YEAR, CAST({ep} AS DECIMAL(38,4)) AS EXPOSURE_PREM,
+  {round_sql(ey, 6)} AS EXPOSURE_YEAR, CAST({ep} AS DECIMAL(38,4)) AS EXPOSURE_PREM,
   CAST(round_even(CAST({cp} AS DECIMAL(38,4)), 0) AS DECIMAL(38,0)) AS CLAIM_PMT,
-  round_even({_div(nc, ey)}, 6) AS FREQUENCY, round_even({_div(cp, nc)}, 6) AS SEVERITY,
-  round_even({_div(ep, ey)}, 6) AS AVG_PREMIUM, round_even({_div(nc, ey)} * {_div(cp, nc)}, 6) AS PURE_PREMIUM,
-  round_even({_div(cp, ep)}, 6) AS LOSS_RATIO,
-  round_even({_div(ep, f'sum({ep}) OVER (PARTITION BY VAR_YEAR, VAR_NAME_CODE)')}, 6) AS "GWP_%",
+  {round_sql(_div(nc, ey), 6)} AS FREQUENCY, {round_sql(_div(cp, nc), 6)} AS SEVERITY,
+  {round_sql(_div(ep, ey), 6)} AS AVG_PREMIUM, {round_sql(_div(nc, ey) + ' * ' + _div(cp, nc), 6)} AS PURE_PREMIUM,
+  {round_sql(_div(cp, ep), 6)} AS LOSS_RATIO,
+  {round_sql(_div(ep, f'sum({ep}) OVER (PARTITION BY VAR_YEAR, VAR_NAME_CODE)'), 6)} AS "GWP_%",
   CAST(coalesce(SUM_ASSURED, 0) AS DECIMAL(38,4)) AS SUM_ASSURED,
-  round_even({_div('SUM_ASSURED', ey)}, 2) AS AVG_SUM_ASSURED
+  {round_sql(_div('SUM_ASSURED', ey), 2)} AS AVG_SUM_ASSURED
 FROM ({body}) t"""
 
 
@@ -485,9 +486,9 @@ def _validate_sql() -> str:
         miss_ok = "true" if s.allow_null else f"({miss} = 0)"
         dup_ok = f"(count(*) = count(DISTINCT {{'k': {c}}}))" if s.standard_name == "CLAIM_ID" else "true"
         num = lambda f: f"{f}(TRY_CAST({v} AS DOUBLE))" if numeric else "CAST(NULL AS DOUBLE)"
-        avg = f"round_even(avg(TRY_CAST({v} AS DOUBLE)), 6)" if numeric else "CAST(NULL AS DOUBLE)"
+        avg = round_sql(f"avg(TRY_CAST({v} AS DOUBLE))", 6) if numeric else "CAST(NULL AS DOUBLE)"
         parts.append(f"""SELECT '{s.standard_name}' AS COLUMN, '{s.data_type}' AS TYPE, {miss} AS MISSING_COUNT,
-  round_even({miss} * 100.0 / count(*), 2) AS MISSING_PCT, {unk} AS UNKNOWN_COUNT, round_even({unk} * 100.0 / count(*), 2) AS UNKNOWN_PCT,
+  {round_sql(f"{miss} * 100.0 / count(*)", 2)} AS MISSING_PCT, {unk} AS UNKNOWN_COUNT, {round_sql(f"{unk} * 100.0 / count(*)", 2)} AS UNKNOWN_PCT,
   {type_ok} AS TYPE_OK, {miss_ok} AS MISSING_OK, ({unk} = 0) AS UNKNOWN_OK, {dup_ok} AS DUP_OK,
   {num('min')} AS MIN_VALUE, {num('max')} AS MAX_VALUE, {avg} AS AVG_VALUE,
   CASE WHEN {type_ok} AND {miss_ok} AND {dup_ok} AND ({unk} = 0) THEN 'Pass' ELSE 'Fail' END AS "CHECK" FROM v_dirty""")

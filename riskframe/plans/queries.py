@@ -57,7 +57,7 @@ def exposure_total_by_year(spark, sf_dir):
 def exposure_reconcile(spark, sf_dir):
     r = reconcile_exposure(_fx(spark, sf_dir)["v_policy"])
     return r.select("rows_after_split", "premium_of_original",
-                    F.bround("premium_after_exposure", 2).cast("decimal(38,2)").alias("premium_after_exposure"),
+                    to_money(F.col("premium_after_exposure"), 2, 36).cast("decimal(38,2)").alias("premium_after_exposure"),
                     "rows_positive", "rows_non_positive", "rows_null_premium")
 
 
