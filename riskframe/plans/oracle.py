@@ -572,3 +572,8 @@ _q("union_parts", (), """
 SELECT c_custkey AS PARTY_KEY, c_name AS NAME, c_nationkey AS NATION_KEY, c_acctbal AS BALANCE, c_mktsegment AS SEGMENT, 'DATA_CUSTOMER' AS SOURCE FROM customer
 UNION ALL
 SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL, 'DATA_SUPPLIER' FROM supplier""")
+
+_q("profile_parts", (), "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{t}.parquet' AS FILE_NAME, count(*) AS NUM_ROWS, count(*) > 1 AS HAS_DATA FROM {t}"
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"]))

@@ -422,3 +422,15 @@ def union_parts(spark, sf_dir):
     supp = fx["supplier"].select(F.col("s_suppkey").alias("PARTY_KEY"), F.col("s_name").alias("NAME"),
                                  F.col("s_nationkey").alias("NATION_KEY"), F.col("s_acctbal").alias("BALANCE"))
     return I.union_parts({"DATA_CUSTOMER": cust, "DATA_SUPPLIER": supp})
+
+
+# ---------------------------------------------------------------- sources (A4)
+from riskframe.sources.files import profile_parts as _profile_parts  # noqa: E402
+
+ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("profile_parts")
+def profile_parts(spark, sf_dir):
+    return _profile_parts(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ALL_TABLES])
