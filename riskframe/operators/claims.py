@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.money import to_money
+
 KEYS = ["POLICY_ID", "CERTIFICATE_ID"]
 
 
@@ -124,8 +126,9 @@ def unmatched_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "
 
 def reconcile_claims(policy_years: DataFrame, claims: DataFrame, cal_year: int,
                      amount: str = "CLAIM_PMT") -> DataFrame:
-    """Claim-combine reconciliation figures in one row (negative total, duplicates, totals
-    before/after grouping and joining, unmatched, in/out of sequence, premium in/out of year)."""
+    """Claim-combine reconciliation figures as (metric, value) rows: negative total, totals
+    before/after grouping and joining, unmatched, in/out of sequence, premium in/out of year
+    (premium as money, so the figures are exact)."""
     g = group_claims(claims, amount)
     comb = attach_claims(policy_years, claims, amount)
     neg = claims.agg(F.sum(F.when(F.col(amount) < 0, F.col(amount))).alias("claim_negative"))
@@ -135,8 +138,8 @@ def reconcile_claims(policy_years: DataFrame, claims: DataFrame, cal_year: int,
                  F.sum(f"{amount}_NOT_SEQ").alias("claim_not_in_sequence"),
                  F.sum("NUM_CLAIMS_SEQ").alias("num_in_sequence"),
                  F.sum("NUM_CLAIMS_NOT_SEQ").alias("num_not_in_sequence"),
-                 F.sum(F.when(F.col("CL_YEAR") == cal_year, F.col("EXPOSURE_PREM"))).alias("premium_in_year"),
-                 F.sum(F.when(F.col("CL_YEAR") != cal_year, F.col("EXPOSURE_PREM"))).alias("premium_out_of_year"))
+                 F.sum(F.when(F.col("CL_YEAR") == cal_year, to_money(F.col("EXPOSURE_PREM")))).alias("premium_in_year"),
+                 F.sum(F.when(F.col("CL_YEAR") != cal_year, to_money(F.col("EXPOSURE_PREM")))).alias("premium_out_of_year"))
     un = unmatched_claims(policy_years, claims, amount).agg(F.sum(amount).alias("claim_unmatched"),
                                                            F.count(F.lit(1)).alias("rows_unmatched"))
     return metric_rows(neg, tot, c, un)

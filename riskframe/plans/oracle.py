@@ -577,3 +577,26 @@ _q("profile_parts", (), "\n" + "\nUNION ALL\n".join(
     f"SELECT '{t}.parquet' AS FILE_NAME, count(*) AS NUM_ROWS, count(*) > 1 AS HAS_DATA FROM {t}"
     for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
               "embeddings", "pages", "benchmark", "labels", "conversations"]))
+
+_q("claims_reconcile", ("v_policy", "v_claim"), EXPOSURE_CTES + "," + CLAIM_CTES + SEQ_CTES + """,
+comb AS (SELECT py.*, cg.CLAIM_PMT, s.pin, s.pout, s.nin, s.nout FROM py
+  LEFT JOIN cg ON py.POLICY_ID = cg.POLICY_ID AND py.CERTIFICATE_ID = cg.CERTIFICATE_ID AND py.CL_YEAR = cg.LD_YEAR
+  LEFT JOIN (SELECT POLICY_ID, CERTIFICATE_ID, LD_YEAR, START_SEQ, END_SEQ, sum(CLAIM_PMT) FILTER (WHERE IN_SEQ) AS pin,
+               sum(CLAIM_PMT) FILTER (WHERE NOT IN_SEQ) AS pout, count(*) FILTER (WHERE IN_SEQ) AS nin,
+               count(*) FILTER (WHERE NOT IN_SEQ) AS nout FROM cseq GROUP BY ALL) s
+    ON py.POLICY_ID = s.POLICY_ID AND py.CERTIFICATE_ID = s.CERTIFICATE_ID AND py.CL_YEAR = s.LD_YEAR
+   AND py.START_SEQ = s.START_SEQ AND py.END_SEQ = s.END_SEQ),
+un AS (SELECT * FROM cg WHERE POLICY_ID NOT IN (SELECT POLICY_ID FROM py))
+SELECT metric, CAST(value AS DECIMAL(38,4)) AS value FROM (
+  SELECT 'claim_negative' AS metric, (SELECT sum(CLAIM_PMT) FROM v_claim WHERE CLAIM_PMT < 0) AS value
+  UNION ALL SELECT 'claim_grouped', (SELECT sum(CLAIM_PMT) FROM cg)
+  UNION ALL SELECT 'rows_grouped', (SELECT count(*) FROM cg)
+  UNION ALL SELECT 'claim_combined', (SELECT sum(CLAIM_PMT) FROM comb)
+  UNION ALL SELECT 'claim_in_sequence', (SELECT sum(pin) FROM comb)
+  UNION ALL SELECT 'claim_not_in_sequence', (SELECT sum(pout) FROM comb)
+  UNION ALL SELECT 'num_in_sequence', (SELECT sum(coalesce(nin, 0)) FROM comb)
+  UNION ALL SELECT 'num_not_in_sequence', (SELECT sum(coalesce(nout, 0)) FROM comb)
+  UNION ALL SELECT 'premium_in_year', (SELECT sum(EXPOSURE_PREM) FROM py WHERE CL_YEAR = 1997)
+  UNION ALL SELECT 'premium_out_of_year', (SELECT sum(EXPOSURE_PREM) FROM py WHERE CL_YEAR <> 1997)
+  UNION ALL SELECT 'claim_unmatched', (SELECT sum(CLAIM_PMT) FROM un)
+  UNION ALL SELECT 'rows_unmatched', (SELECT count(*) FROM un)) t""")

@@ -434,3 +434,9 @@ ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lin
 @query("profile_parts")
 def profile_parts(spark, sf_dir):
     return _profile_parts(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ALL_TABLES])
+
+
+@query("claims_reconcile")
+def claims_reconcile(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return C.reconcile_claims(glm.policy_years(fx), fx["v_claim"], glm.ANALYSIS_YEAR)

@@ -39,3 +39,24 @@ def test_repeated_claim_id_counts_rows_but_sequence_once(spark):
     py = spark.createDataFrame([("p", "c", 2020, D(2020, 1, 1), D(2020, 12, 31), 1.0)], PY)
     r = attach_claims(py, cl).first()
     assert r.NUM_CLAIMS_SEQ == 1 and r.CLAIM_PMT_SEQ == Decimal("15.0000")   # latest entry kept
+
+
+def test_prepare_claims_parses_text_dates(spark):
+    from riskframe.operators.claims import prepare_claims
+    df = spark.createDataFrame([("1", "p", "c", "3-15-2020", "12.5", "51A12345"), ("2", "p", "c", "bad", "x", None),
+                                ("3", "p", "c", "1-2-2019", "1", None)],
+                               "CLAIM_ID string, POLICY_ID string, CERTIFICATE_ID string, OCCURENCE_DATE string, "
+                               "CLAIM_COST string, REG_NO string")
+    out = prepare_claims(df, 2020).collect()
+    assert len(out) == 1 and out[0].OCCURENCE_DATE == D(2020, 3, 15) and out[0].CLAIM_COST == 12.5
+    assert out[0].REG_NO == "51A12345" and out[0].LD_YEAR == 2020
+
+
+def test_coverage_codes(spark):
+    from riskframe.functions.text import coverage_codes
+    s = spark.createDataFrame([("NUM_CLAIMS_AC01", "NUM_CLAIMS_Glass", "VARS_AC", 1),
+                               ("CLAIM_PMT_AC01", "CLAIM_PMT_Windscreen", "VARS_AC", 2),
+                               ("NUM_CLAIMS_AC02", "AC02", "VARS_AC", 3),
+                               ("GWP", "Premium", "INFO", 4)],
+                              "standard_name string, import_name string, variable_type string, ordinal int")
+    assert [tuple(r) for r in coverage_codes(s).collect()] == [("AC01", "Windscreen")]
