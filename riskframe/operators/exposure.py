@@ -15,9 +15,9 @@ y = year(EXPIRY)        y-01-01    EXPIRY    END - START (no +1)
 (days/366 when EXPIRY is after Feb 28, else days/365, for both rows). ``TOTAL_EXPOSURE`` is the
 sum over the policy's rows and ``EXPOSURE_PREM = GWP * EXPOSURE_YEAR / TOTAL_EXPOSURE``.
 
-Design: the total is a left fold over the policy's year list inside the row (``aggregate`` over
-``sequence(year(START), year(EXPIRY))`` of plain numbers), then ``posexplode`` emits one row per
-year and scalar expressions give the segment columns. No self join and no window: the operator
+Design: the total is computed inside the row in closed form (first-year share + one per full
+middle year + last-year share), then ``posexplode(sequence(year(START), year(EXPIRY)))`` emits
+one row per year and scalar expressions give the segment columns. No self join and no window: the operator
 is narrow, runs inside the scan stage, scales with the input and is immune to key skew. Kept quirks: same-year policies are exposed to Dec 31, and the
 expiry-year row excludes the expiry day. Fixed: the key is the (POLICY_ID, CERTIFICATE_ID) row
 itself, never a concatenated string, so repeated keys are not multiplied.
@@ -58,49 +58,59 @@ def split_exposure(df: DataFrame, years: Iterable[int] | None = None, *, start:
     year order (1 = first). Kept rows always form a prefix of the years (only the expiry-year
     row can have zero days), so YEAR_SEQ also numbers the kept rows.
 
-    Plan: one projection computes the year list and the total exposure (a left fold over the
-    years, in year order, so the float result does not depend on partitioning), ``posexplode``
-    emits the rows, and plain per-row expressions give the segment columns.
+    Plan: one projection computes the year list and the total exposure (closed form, so the
+    float result does not depend on partitioning), ``posexplode`` emits the rows, and plain
+    per-row expressions give the segment columns.
     """
     df = prepare_policy_dates(df, start, expiry, init)
     st, ex = F.col(start), F.col(expiry)
     ys, ye = F.col("_ys"), F.col("_ye")
-    one_year_leap = ((ye - ys) == 1) & _is_leap(ye)
-    leap_days = F.when(ex > F.make_date(ye, F.lit(2), F.lit(28)), F.lit(366)).otherwise(F.lit(365))
-
-    def segment(y: Column) -> tuple[Column, Column, Column, Column, Column]:
-        dec31 = F.make_date(y, F.lit(12), F.lit(31))
-        first = y == ys
-        full = first | ((y > ys) & (y < ye))
-        seq_start = F.when(first, st).otherwise(F.make_date(y, F.lit(1), F.lit(1)))
-        seq_end = F.when(full, dec31).otherwise(ex)
-        days = F.datediff(seq_end, seq_start) + F.when(full, F.lit(1)).otherwise(F.lit(0))
-        doy = F.dayofyear(dec31)
-        denom = F.coalesce(F.col("_leap_den"), doy)
-        return seq_start, seq_end, days, doy, F.try_divide(days.cast("double"), denom.cast("double"))
-
     base = list(df.columns)
+
+    def year_days(y: Column) -> Column:
+        return F.lit(365) + _is_leap(y).cast("int")
+
+    # per policy row: year bounds, the one-year-leap denominator, first- and last-year shares
     out = df.withColumns({"_ys": F.year(st), "_ye": F.year(ex)})
     out = out.withColumns({
         "NB_YEAR": ye - ys,
         "_years": F.when(st <= ex, F.sequence(ys, ye)).otherwise(F.array(ye)),
-        "_leap_den": F.when(one_year_leap, leap_days),
+        "_leap_den": F.when(((ye - ys) == 1) & _is_leap(ye),
+                            F.when(ex > F.make_date(ye, F.lit(2), F.lit(28)), F.lit(366)).otherwise(F.lit(365))),
+        "_d_first": F.datediff(F.make_date(ys, F.lit(12), F.lit(31)), st) + 1,
+        "_d_last": F.datediff(ex, F.make_date(ye, F.lit(1), F.lit(1))),
     })
-    out = out.withColumn("TOTAL_EXPOSURE", F.aggregate("_years", F.lit(0.0).cast("double"),
-                                                       lambda acc, y: acc + segment(y)[4]))
-    out = out.select("*", F.posexplode("_years").alias("_pos", "CL_YEAR"))
-    seq_start, seq_end, days, doy, ey = segment(F.col("CL_YEAR"))
-    out = out.select(*base, "NB_YEAR", "CL_YEAR", (F.col("_pos") + 1).alias("YEAR_SEQ"),
-                     seq_start.alias("START_SEQ"), seq_end.alias("END_SEQ"), days.alias("EXPOSURE_DAY"),
-                     doy.alias("DAYS_OF_YEAR"), ey.alias("EXPOSURE_YEAR"), "TOTAL_EXPOSURE")
-    out = out.withColumn("EXPOSURE_PREM",
-                         F.col(gwp).cast("double") * F.try_divide(F.col("EXPOSURE_YEAR"), F.col("TOTAL_EXPOSURE")))
-    cond = F.lit(True)
+    ey_first = F.col("_d_first").cast("double") / F.coalesce("_leap_den", year_days(ys)).cast("double")
+    ey_last = F.col("_d_last").cast("double") / F.coalesce("_leap_den", year_days(ye)).cast("double")
+    n_mid = F.greatest(ye - ys - 1, F.lit(0)).cast("double")
+    # Σ EXPOSURE_YEAR in closed form: middle years are full years (exactly 1.0 each), so the total
+    # is (first + number of middle years) + last, in that order (the oracle uses the same order).
+    total = (F.when(st <= ex, (ey_first + n_mid) + F.when(ye > ys, ey_last).otherwise(F.lit(0.0)))
+              .when(ys == ye, ey_first).otherwise(ey_last))
+    out = out.withColumn("TOTAL_EXPOSURE", total)
+    out = out.select(*base, "NB_YEAR", "TOTAL_EXPOSURE", "_ys", "_ye", "_leap_den",
+                     F.posexplode("_years").alias("_pos", "CL_YEAR"))
+    y = F.col("CL_YEAR")
+    first = y == ys
+    full = first | (y < ye)
+    out = out.withColumns({
+        "START_SEQ": F.when(first, st).otherwise(F.make_date(y, F.lit(1), F.lit(1))),
+        "END_SEQ": F.when(full, F.make_date(y, F.lit(12), F.lit(31))).otherwise(ex),
+        "_plus": full.cast("int"),
+        "DAYS_OF_YEAR": year_days(y),
+    })
+    out = out.withColumn("EXPOSURE_DAY", F.datediff("END_SEQ", "START_SEQ") + F.col("_plus"))
     if positive_only:
-        cond = cond & (F.col("EXPOSURE_PREM") > 0)
+        # EXPOSURE_DAY >= 0 and TOTAL_EXPOSURE >= 0, so EXPOSURE_PREM > 0 ⇔ GWP > 0 and the row has days
+        out = out.filter((F.col(gwp) > 0) & (F.col("EXPOSURE_DAY") > 0))
     if years is not None:
-        cond = cond & F.col("CL_YEAR").isin([int(y) for y in years])
-    return out.filter(cond) if (positive_only or years is not None) else out
+        out = out.filter(F.col("CL_YEAR").isin([int(x) for x in years]))
+    out = out.withColumn("EXPOSURE_YEAR", F.try_divide(F.col("EXPOSURE_DAY").cast("double"),
+                                                       F.coalesce("_leap_den", "DAYS_OF_YEAR").cast("double")))
+    out = out.withColumn("EXPOSURE_PREM",
+                         F.col(gwp).cast("double") * F.try_divide(F.col("EXPOSURE_YEAR"), F.col("TOTAL_EXPOSURE")))
+    return out.select(*base, "NB_YEAR", "CL_YEAR", (F.col("_pos") + 1).alias("YEAR_SEQ"), "START_SEQ", "END_SEQ",
+                      "EXPOSURE_DAY", "DAYS_OF_YEAR", "EXPOSURE_YEAR", "TOTAL_EXPOSURE", "EXPOSURE_PREM")
 
 
 def reconcile_exposure(policies: DataFrame, *, start: str = "START_DATE", expiry: str = "EXPIRY_DATE",

@@ -66,8 +66,11 @@ p3 AS (SELECT *, CAST(END_SEQ - START_SEQ + plus_one AS INT) AS EXPOSURE_DAY,
     CASE WHEN one_leap THEN (CASE WHEN EXPIRY_DATE > make_date(CAST(ye AS INT), 2, 28) THEN 366 ELSE 365 END) ELSE DAYS_OF_YEAR END AS denom
   FROM p2),
 p4 AS (SELECT *, CAST(EXPOSURE_DAY AS DOUBLE) / CAST(denom AS DOUBLE) AS EXPOSURE_YEAR FROM p3),
-ptot AS (SELECT POLICY_ID, CERTIFICATE_ID, list_reduce(list(EXPOSURE_YEAR ORDER BY CL_YEAR), lambda a, b: a + b) AS TOTAL_EXPOSURE
-  FROM p4 GROUP BY POLICY_ID, CERTIFICATE_ID),
+ptot AS (SELECT POLICY_ID, CERTIFICATE_ID,
+    (max(EXPOSURE_YEAR) FILTER (WHERE CL_YEAR = min_y) + CAST(greatest(max(NB_YEAR) - 1, 0) AS DOUBLE))
+      + coalesce(max(EXPOSURE_YEAR) FILTER (WHERE CL_YEAR = max_y AND max_y > min_y), 0.0) AS TOTAL_EXPOSURE
+  FROM (SELECT *, min(CL_YEAR) OVER w AS min_y, max(CL_YEAR) OVER w AS max_y FROM p4
+        WINDOW w AS (PARTITION BY POLICY_ID, CERTIFICATE_ID)) GROUP BY POLICY_ID, CERTIFICATE_ID),
 p5 AS (SELECT p4.*, ptot.TOTAL_EXPOSURE, CAST(GWP AS DOUBLE) * (EXPOSURE_YEAR / ptot.TOTAL_EXPOSURE) AS EXPOSURE_PREM_D
   FROM p4 JOIN ptot USING (POLICY_ID, CERTIFICATE_ID)),
 py AS (SELECT *, CAST(row_number() OVER (PARTITION BY POLICY_ID, CERTIFICATE_ID ORDER BY CL_YEAR) AS INT) AS YEAR_SEQ,

@@ -105,13 +105,19 @@ def dependencies(name: str) -> list[str]:
     return list(dict.fromkeys(_PLACEHOLDER.findall(VIEW_SQL[name])))
 
 
+_SHARED: dict[tuple[int, str], dict[str, DataFrame]] = {}
+
+
 class Fixtures:
-    """Lazily built DataFrames for the base tables of one scale-factor folder and the derived views."""
+    """Lazily built DataFrames for the base tables of one scale-factor folder and the derived views.
+
+    DataFrames are immutable plans, so one set per (session, folder) is shared by every query:
+    footers are read and scans are sized once, not once per query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._cache: dict[str, DataFrame] = {}
+        self._cache = _SHARED.setdefault((id(spark), self.sf_dir), {})
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
