@@ -123,7 +123,11 @@ def validate(df: DataFrame, settings: Sequence[ColumnSetting], profile: Profile)
     checked = [s for s in settings if not profile.info_only or s.variable_type == "INFO"]
     n = F.count(F.lit(1))
     aggs, rows = [n.alias("_n")], []
-    dup_cols = {k[0] for k in profile.duplicate_keys if len(k) == 1}
+    # every key set whose columns are all present is checked once; each of its columns reports it
+    keys = [tuple(k) for k in profile.duplicate_keys if all(c in present for c in k)]
+    for j, k in enumerate(keys):
+        aggs.append((n > F.count_distinct(F.struct(*[F.col(f"`{c}`") for c in k]))).alias(f"_dk{j}"))
+    dup_of = {c: [j for j, k in enumerate(keys) if c in k] for s in settings for c in [s.standard_name]}
     for i, s in enumerate(checked):
         c = s.standard_name
         if c not in present:
@@ -132,8 +136,6 @@ def validate(df: DataFrame, settings: Sequence[ColumnSetting], profile: Profile)
         aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"_m{i}"),
                  F.count_if(F.coalesce(v, F.lit("None")).startswith(UNKNOWN_PREFIX)).alias(f"_u{i}"),
                  _type_ok(c, s.data_type, profile.case_insensitive_types).alias(f"_t{i}")]
-        if c in dup_cols:
-            aggs.append((n > F.count_distinct(F.struct(F.col(f"`{c}`")))).alias(f"_d{i}"))
         if s.data_type.lower() in ("double", "integer"):
             x = v.try_cast("double")
             aggs += [F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"), F.avg(x).alias(f"_av{i}")]
@@ -155,7 +157,9 @@ def validate(df: DataFrame, settings: Sequence[ColumnSetting], profile: Profile)
             unk_ok = F.lit(True)
         else:
             unk_ok = unk == 0
-        dup_ok = ~F.col(f"_d{i}") if c in dup_cols else F.lit(True)
+        dup_ok = F.lit(True)
+        for j in dup_of.get(c, []):
+            dup_ok = dup_ok & ~F.col(f"_dk{j}")
         passed = type_ok & miss_ok & dup_ok & (unk_ok if profile.unknown_in_status or profile.unknown != "never" else F.lit(True))
         numeric = s.data_type.lower() in ("double", "integer")
         rows.append(F.struct(
@@ -204,23 +208,28 @@ def date_format_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def validation_status(report: DataFrame, profile: Profile) -> DataFrame:
-    """Overall pass/fail and the first failing family (type → missing → [unknown] → duplicate)."""
+    """Overall pass/fail, the first failing family (type → missing → [unknown] → duplicate),
+    error counts and a message naming the failing columns of that family (sorted)."""
     fam = [("type", "TYPE_OK"), ("missing", "MISSING_OK")]
     if profile.unknown_in_status:
         fam.append(("unknown", "UNKNOWN_OK"))
     fam.append(("duplicate", "DUP_OK"))
-    fails = {name: F.count_if(F.col(col) == F.lit(False)) for name, col in fam}
-    agg = report.agg(*[v.alias(k) for k, v in fails.items()],
-                     F.count_if(F.col("CHECK") == "Column not found").alias("not_found"))
-    first = None
+    words = {"type": "wrong type", "missing": "missing", "unknown": "unknown", "duplicate": "duplicate"}
+    aggs = []
+    for name, col in fam:
+        aggs.append(F.count_if(F.col(col) == F.lit(False)).alias(name))
+        aggs.append(F.array_join(F.array_sort(F.collect_list(F.when(F.col(col) == F.lit(False), F.col("COLUMN")))),
+                                 ", ").alias(f"_{name}_cols"))
+    agg = report.agg(*aggs, F.count_if(F.col("CHECK") == "Column not found").alias("not_found"))
+    first = msg = ok = None
     for name, _ in fam:
         cond = F.col(name) > 0
+        text = F.concat(F.lit(f"Data validation failed! Due to {words[name]}: "), F.col(f"_{name}_cols"))
         first = F.when(cond, F.lit(name)) if first is None else first.when(cond, F.lit(name))
-    ok = None
-    for name, _ in fam:
-        c = F.col(name) == 0
-        ok = c if ok is None else ok & c
+        msg = F.when(cond, text) if msg is None else msg.when(cond, text)
+        ok = (F.col(name) == 0) if ok is None else ok & (F.col(name) == 0)
     return agg.select(ok.alias("STATUS"), first.alias("FIRST_FAILURE"),
+                      msg.otherwise(F.lit("Data validation completed successfully")).alias("MESSAGE"),
                       *[F.col(name).cast("long").alias(f"{name.upper()}_ERRORS") for name, _ in fam],
                       F.col("not_found").cast("long").alias("COLUMNS_NOT_FOUND"))
 

@@ -431,7 +431,7 @@ FROM t_cf02 t, q""")
 from riskframe.functions.text import FOREIGN_PLATE_PATTERN, PLATE_PATTERN  # noqa: E402
 from riskframe.operators.ingest import IMPORT_DATE_FORMATS  # noqa: E402
 from riskframe.operators.validate import DATE_FORMATS  # noqa: E402
-from riskframe.plans.quality import DIRTY_SETTINGS, EXPECTED_COLUMNS  # noqa: E402
+from riskframe.plans.quality import DIRTY_SETTINGS, EXPECTED_COLUMNS, MOF_GWP_SETTINGS  # noqa: E402
 
 # v_dirty holds ASCII text only, where NFKC is the identity, so the oracle needs no NFKC.
 _q("reg_no_standardized", ("v_dirty",), """,
@@ -462,12 +462,17 @@ def _fmt_ok(c: str, fmt: str) -> str:
             f"lambda x: try_strptime(x, '{fmt}') IS NOT NULL)) END), false)")
 
 
-def _validate_sql() -> str:
-    """C9 for the dirty extract with the GLM claim profile (INFO columns, unknown check always,
-    CLAIM_ID unique), written per column from the settings."""
-    present = {"event_id", "CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"}
+def _validate_sql(settings=DIRTY_SETTINGS, view="v_dirty",
+                  present=("event_id", "CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"),
+                  dup_keys=(("CLAIM_ID",),)) -> str:
+    """C9 written per column from the settings: INFO columns only, unknown check always, the
+    given unique keys (standard names) reported on each of their columns."""
+    std = {s.standard_name: s.import_name for s in settings if s.import_name in present}
+    keys = [k for k in dup_keys if all(c in std for c in k)]
     parts = []
-    for s in DIRTY_SETTINGS:
+    for s in settings:
+        if s.variable_type != "INFO":
+            continue
         if s.import_name not in present:
             parts.append(f"""SELECT '{s.standard_name}' AS COLUMN, CAST(NULL AS VARCHAR) AS TYPE, CAST(NULL AS BIGINT) AS MISSING_COUNT,
   CAST(NULL AS DOUBLE) AS MISSING_PCT, CAST(NULL AS BIGINT) AS UNKNOWN_COUNT, CAST(NULL AS DOUBLE) AS UNKNOWN_PCT,
@@ -487,27 +492,44 @@ def _validate_sql() -> str:
         miss = f"count(*) FILTER (WHERE {c} IS NULL)"
         unk = f"count(*) FILTER (WHERE starts_with(coalesce({v}, 'None'), 'Unknown'))"
         miss_ok = "true" if s.allow_null else f"({miss} = 0)"
-        dup_ok = f"(count(*) = count(DISTINCT {{'k': {c}}}))" if s.standard_name == "CLAIM_ID" else "true"
+        dup_ok = " AND ".join(
+            ["true"] + [f"(count(*) = count(DISTINCT {{{', '.join(f'{chr(39)}k{i}{chr(39)}: {std[kc]}' for i, kc in enumerate(k))}}}))"
+                        for k in keys if s.standard_name in k])
         num = lambda f: f"{f}(TRY_CAST({v} AS DOUBLE))" if numeric else "CAST(NULL AS DOUBLE)"
         avg = round_sql(f"avg(TRY_CAST({v} AS DOUBLE))", 6) if numeric else "CAST(NULL AS DOUBLE)"
         parts.append(f"""SELECT '{s.standard_name}' AS COLUMN, '{s.data_type}' AS TYPE, {miss} AS MISSING_COUNT,
   {round_sql(f"{miss} * 100.0 / count(*)", 2)} AS MISSING_PCT, {unk} AS UNKNOWN_COUNT, {round_sql(f"{unk} * 100.0 / count(*)", 2)} AS UNKNOWN_PCT,
-  {type_ok} AS TYPE_OK, {miss_ok} AS MISSING_OK, ({unk} = 0) AS UNKNOWN_OK, {dup_ok} AS DUP_OK,
+  {type_ok} AS TYPE_OK, {miss_ok} AS MISSING_OK, ({unk} = 0) AS UNKNOWN_OK, ({dup_ok}) AS DUP_OK,
   {num('min')} AS MIN_VALUE, {num('max')} AS MAX_VALUE, {avg} AS AVG_VALUE,
-  CASE WHEN {type_ok} AND {miss_ok} AND {dup_ok} AND ({unk} = 0) THEN 'Pass' ELSE 'Fail' END AS "CHECK" FROM v_dirty""")
+  CASE WHEN {type_ok} AND {miss_ok} AND ({dup_ok}) AND ({unk} = 0) THEN 'Pass' ELSE 'Fail' END AS "CHECK" FROM {view}""")
     return "\nUNION ALL\n".join(parts)
 
 
+def _status_sql(report: str, with_unknown: bool) -> str:
+    fams = [("type", "TYPE_OK", "wrong type"), ("missing", "MISSING_OK", "missing")]
+    if with_unknown:
+        fams.append(("unknown", "UNKNOWN_OK", "unknown"))
+    fams.append(("duplicate", "DUP_OK", "duplicate"))
+    cnt = {n: f"count(*) FILTER (WHERE {c} = false)" for n, c, _ in fams}
+    cols = {n: f"""coalesce(string_agg("COLUMN", ', ' ORDER BY "COLUMN") FILTER (WHERE {c} = false), '')""" for n, c, _ in fams}
+    first = "CASE " + " ".join(f"WHEN {cnt[n]} > 0 THEN '{n}'" for n, _, _ in fams) + " END"
+    msg = ("CASE " + " ".join(f"WHEN {cnt[n]} > 0 THEN 'Data validation failed! Due to {w}: ' || {cols[n]}"
+                              for n, _, w in fams) + " ELSE 'Data validation completed successfully' END")
+    ok = " AND ".join(f"{cnt[n]} = 0" for n, _, _ in fams)
+    counts = ", ".join(f"{cnt[n]} AS {n.upper()}_ERRORS" for n, _, _ in fams)
+    return f"""
+SELECT ({ok}) AS STATUS, {first} AS FIRST_FAILURE, {msg} AS MESSAGE, {counts},
+  count(*) FILTER (WHERE "CHECK" = 'Column not found') AS COLUMNS_NOT_FOUND FROM ({report}) rep"""
+
+
 _q("validate_columns", ("v_dirty",), _validate_sql())
-_q("validate_status", ("v_dirty",), f""",
-rep AS ({_validate_sql()})
-SELECT (count(*) FILTER (WHERE TYPE_OK = false) = 0 AND count(*) FILTER (WHERE MISSING_OK = false) = 0
-    AND count(*) FILTER (WHERE DUP_OK = false) = 0) AS STATUS,
-  CASE WHEN count(*) FILTER (WHERE TYPE_OK = false) > 0 THEN 'type' WHEN count(*) FILTER (WHERE MISSING_OK = false) > 0 THEN 'missing'
-    WHEN count(*) FILTER (WHERE DUP_OK = false) > 0 THEN 'duplicate' END AS FIRST_FAILURE,
-  count(*) FILTER (WHERE TYPE_OK = false) AS TYPE_ERRORS, count(*) FILTER (WHERE MISSING_OK = false) AS MISSING_ERRORS,
-  count(*) FILTER (WHERE DUP_OK = false) AS DUPLICATE_ERRORS, count(*) FILTER (WHERE "CHECK" = 'Column not found') AS COLUMNS_NOT_FOUND
-FROM rep""")
+_q("validate_status", ("v_dirty",), _status_sql(_validate_sql(), False))
+_MOF_ARGS = dict(settings=MOF_GWP_SETTINGS, view="v_policy",
+                 present=("POLICY_ID", "CERTIFICATE_ID", "START_DATE", "EXPIRY_DATE", "GWP", "VEHICLE_AGE",
+                          "TYPE_VEHICLE", "USAGE_CODE"),
+                 dup_keys=(("POLICY_ID", "CERTIFICATE_ID"),))
+_q("validate_mof_gwp", ("v_policy",), _validate_sql(**_MOF_ARGS))
+_q("validate_mof_status", ("v_policy",), _status_sql(_validate_sql(**_MOF_ARGS), True))
 
 _dates = []
 for _col, _src in (("DATE_TXT", "v_dirty"), ("START_DATE_TXT", "(SELECT strftime(START_DATE, '%Y-%m-%d') AS START_DATE_TXT FROM v_policy)")):

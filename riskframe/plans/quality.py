@@ -14,3 +14,17 @@ DIRTY_SETTINGS = [
     ColumnSetting("POLICY_ID", "POLICY_NO", "Text", False, "INFO"),
 ]
 EXPECTED_COLUMNS = ["event_id", "CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "POLICY_NO"]
+
+# MOF premium settings over v_policy (INFO columns are checked; the GWP template
+# makes (POLICY_ID, CERTIFICATE_ID) a unique key).
+MOF_GWP_SETTINGS = [
+    ColumnSetting("POLICY_ID", "POLICY_ID", "Text", False, "INFO"),
+    ColumnSetting("CERTIFICATE_ID", "CERTIFICATE_ID", "Text", True, "INFO"),
+    ColumnSetting("START_DATE", "START_DATE", "Date", False, "INFO"),
+    ColumnSetting("EXPIRY_DATE", "EXPIRY_DATE", "Date", False, "INFO"),
+    ColumnSetting("GWP", "GWP", "Double", False, "INFO"),
+    ColumnSetting("VEHICLE_AGE", "VEHICLE_AGE", "Integer", True, "INFO"),
+    ColumnSetting("TYPE_VEHICLE", "TYPE_VEHICLE", "Text", False, "VARS"),
+    ColumnSetting("COVERAGE_ID", "USAGE_CODE", "Text", False, "INFO"),
+]
+MOF_GWP_TEMPLATE = "GWP_PNT_11"

@@ -440,3 +440,15 @@ def profile_parts(spark, sf_dir):
 def claims_reconcile(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return C.reconcile_claims(glm.policy_years(fx), fx["v_claim"], glm.ANALYSIS_YEAR)
+
+
+@query("validate_mof_gwp")
+def validate_mof_gwp(spark, sf_dir):
+    p = V.Profile.of("MOF", quality.MOF_GWP_TEMPLATE)
+    return V.validate(_fx(spark, sf_dir)["v_policy"], quality.MOF_GWP_SETTINGS, p)
+
+
+@query("validate_mof_status")
+def validate_mof_status(spark, sf_dir):
+    p = V.Profile.of("MOF", quality.MOF_GWP_TEMPLATE)
+    return V.validation_status(V.validate(_fx(spark, sf_dir)["v_policy"], quality.MOF_GWP_SETTINGS, p), p)

@@ -54,3 +54,16 @@ def test_mapping_guard():
     import pytest
     with pytest.raises(ValueError):
         I.check_mapping([V.ColumnSetting("A", "x", "Text"), V.ColumnSetting("B", "x", "Text")])
+
+
+def test_mof_composite_duplicate_reported_on_both_columns(spark):
+    df = spark.createDataFrame([("p1", "c1", "Unknown"), ("p1", "c1", "x"), ("p2", "c1", "y")],
+                               "POLICY_ID string, CERTIFICATE_ID string, CH string")
+    settings = [V.ColumnSetting("POLICY_ID", "POLICY_ID", "Text", False), V.ColumnSetting("CERTIFICATE_ID", "CERTIFICATE_ID", "Text"),
+                V.ColumnSetting("CHANNEL", "CH", "Text")]
+    p = V.Profile.of("MOF", "GWP_PNT_11")
+    rep = {r.COLUMN: r for r in V.validate(df, settings, p).collect()}
+    assert rep["POLICY_ID"].DUP_OK is False and rep["CERTIFICATE_ID"].DUP_OK is False and rep["CHANNEL"].DUP_OK is True
+    st = V.validation_status(V.validate(df, settings, p), p).first()
+    # unknown counts in MOF status, duplicate comes after it in the order of families
+    assert st.FIRST_FAILURE == "unknown" and st.MESSAGE == "Data validation failed! Due to unknown: CHANNEL"
