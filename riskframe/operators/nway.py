@@ -84,11 +84,15 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def n_way(df: DataFrame, spec: NWaySpec) -> DataFrame:
+def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str | None]] | None = None) -> DataFrame:
     """Rating table for every combination × year in one plan (see module doc).
 
     Output: VAR_YEAR, VAR_NAME_CODE, VAR_NAME1..n, VAR_DETAIL1..n (VAR_NAME / VAR_DETAIL for n = 1)
     followed by METRIC_COLUMNS. VAR_NAME_CODE numbers combinations ``001``, ``002``, … in order.
+
+    ``codes`` = [(code, description), …] (``None`` code = all benefits) tables several claim
+    measures in the same pass: their sums are aggregated side by side, the exposure side is
+    shared, and the result is stacked to one row per code with ``explode``.
     """
     prod = Product.of(spec.product)
     combos = [tuple(c) for c in (spec.combos or combinations(spec.factors, spec.n))]
@@ -100,11 +104,12 @@ def n_way(df: DataFrame, spec: NWaySpec) -> DataFrame:
     factors = list(dict.fromkeys(f for c in combos for f in c))
     years = list(spec.years)
     specific = [y for y in years if y != 0]
-    num = f"NUM_CLAIMS_{spec.code}" if spec.code else "NUM_CLAIMS"
-    pmt = f"CLAIM_PMT_{spec.code}" if spec.code else "CLAIM_PMT"
+    measures = list(codes) if codes is not None else [(spec.code, spec.description)]
+    cols = lambda c: (f"NUM_CLAIMS_{c}", f"CLAIM_PMT_{c}") if c else ("NUM_CLAIMS", "CLAIM_PMT")
+    claim_cols = list(dict.fromkeys(x for c, _ in measures for x in cols(c)))
     yc, cnt, sa = spec.year_col, prod.count_col, prod.sum_assured
 
-    base = df.select(F.col(yc).cast("int").alias(yc), *factors, cnt, num, pmt, "EXPOSURE_YEAR",
+    base = df.select(F.col(yc).cast("int").alias(yc), *factors, cnt, *claim_cols, "EXPOSURE_YEAR",
                      "EXPOSURE_PREM", sa, *[c for c in spec.order_by if c not in (yc, *factors, cnt)])
     if 0 not in years:
         base = base.filter(F.col(yc).isin(specific))
@@ -117,8 +122,8 @@ def n_way(df: DataFrame, spec: NWaySpec) -> DataFrame:
         if 0 in years:
             sets.append(list(combo))
     allrow = (base.groupingSets(sets, yc, *factors)
-                  .agg(F.count_distinct(cnt).alias("NUM_POLS"), F.sum(num).alias("NUM_CLAIMS"),
-                       F.sum(pmt).alias("CLAIM_PMT"), F.grouping_id().alias("_gid")))
+                  .agg(F.count_distinct(cnt).alias("NUM_POLS"),
+                       *[F.sum(x).alias(f"_s_{x}") for x in claim_cols], F.grouping_id().alias("_gid")))
     allrow = _label_groups(allrow, combos, factors, yc, years).filter(F.col("VAR_YEAR").isin(years))
 
     # --- first row per policy within each year scope, then the same grouping sets ----------------
@@ -140,6 +145,10 @@ def n_way(df: DataFrame, spec: NWaySpec) -> DataFrame:
 
     keys = ["VAR_YEAR", "_combo"] + [f"_v{i}" for i in range(1, n + 1)]
     joined = allrow.join(expo.drop("_gid"), keys, "left")
+    stacked = F.array(*[F.struct(F.lit(c).cast("string").alias("_code"), F.lit(d).cast("string").alias("_desc"),
+                                 F.col(f"_s_{cols(c)[0]}").alias("NUM_CLAIMS"), F.col(f"_s_{cols(c)[1]}").alias("CLAIM_PMT"))
+                        for c, d in measures])
+    joined = joined.select("*", F.explode(stacked).alias("_m")).select("*", "_m.*").drop("_m")
     return _finish(joined, combos, n, spec)
 
 
@@ -178,22 +187,22 @@ def _label_groups(agg: DataFrame, combos, factors, yc, years, year_is_scope: boo
 
 
 def _finish(df: DataFrame, combos, n: int, spec: NWaySpec) -> DataFrame:
-    suffix = f": {spec.code}" if spec.code else ""
-    dsuffix = f": {spec.description}" if spec.code else ""
+    suffix = F.when(F.col("_code").isNull(), F.lit("")).otherwise(F.concat(F.lit(": "), F.col("_code")))
+    dsuffix = F.when(F.col("_code").isNull(), F.lit("")).otherwise(F.concat(F.lit(": "), F.col("_desc")))
     code_expr = None
     name_exprs = [None] * n
     for idx, combo in enumerate(combos):
         var_code = f"{idx + 1:03d}"
         label = f"{var_code}_{combo[0]}" if n == 1 else f"{var_code}: {' & '.join(combo)}"
         cond = F.col("_combo") == F.lit(idx)
-        code_expr = F.when(cond, F.lit(label + suffix)) if code_expr is None else code_expr.when(cond, F.lit(label + suffix))
+        code_expr = F.when(cond, F.lit(label)) if code_expr is None else code_expr.when(cond, F.lit(label))
         for i in range(n):
-            e = F.lit(combo[i] + dsuffix)
+            e = F.lit(combo[i])
             name_exprs[i] = F.when(cond, e) if name_exprs[i] is None else name_exprs[i].when(cond, e)
     ey, ep = F.col("EXPOSURE_YEAR"), F.col("EXPOSURE_PREM")
     nc = F.coalesce(F.col("NUM_CLAIMS"), F.lit(0))
     cp = F.coalesce(F.col("CLAIM_PMT"), F.lit(0))
-    share_w = Window.partitionBy("VAR_YEAR", "_combo")
+    share_w = Window.partitionBy("VAR_YEAR", "_combo", "_code")
     freq = _ratio(nc, ey)
     sev = _ratio(cp, nc)
     metrics = {
@@ -214,23 +223,19 @@ def _finish(df: DataFrame, combos, n: int, spec: NWaySpec) -> DataFrame:
         "AVG_SUM_ASSURED": round_half_even(_ratio(F.col("SUM_ASSURED"), ey), 2),
     }
     if n == 1:
-        labels = [name_exprs[0].alias("VAR_NAME"), F.concat(F.col("_v1"), F.lit(dsuffix)).alias("VAR_DETAIL")]
+        labels = [F.concat(name_exprs[0], dsuffix).alias("VAR_NAME"), F.concat(F.col("_v1"), dsuffix).alias("VAR_DETAIL")]
     else:
-        labels = [name_exprs[i].alias(f"VAR_NAME{i + 1}") for i in range(n)]
-        labels += [F.concat(F.col(f"_v{i + 1}"), F.lit(dsuffix)).alias(f"VAR_DETAIL{i + 1}") for i in range(n)]
-    return df.select(F.col("VAR_YEAR").cast("int").alias("VAR_YEAR"), code_expr.alias("VAR_NAME_CODE"),
+        labels = [F.concat(name_exprs[i], dsuffix).alias(f"VAR_NAME{i + 1}") for i in range(n)]
+        labels += [F.concat(F.col(f"_v{i + 1}"), dsuffix).alias(f"VAR_DETAIL{i + 1}") for i in range(n)]
+    return df.select(F.col("VAR_YEAR").cast("int").alias("VAR_YEAR"), F.concat(code_expr, suffix).alias("VAR_NAME_CODE"),
                      *labels, *[v.alias(k) for k, v in metrics.items()])
 
 
 def n_way_codes(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str, str]]) -> DataFrame:
     """the table for each additional coverage code (suffix ``: <code>``) plus the all-benefit
-    table without suffix (the reference's ``: None`` label on that run is not reproduced)."""
-    parts = [n_way(df, NWaySpec(**{**spec.__dict__, "code": c, "description": d})) for c, d in codes]
-    parts.append(n_way(df, NWaySpec(**{**spec.__dict__, "code": None, "description": None})))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    table without suffix (the reference's ``: None`` label on that run is not reproduced), all
+    from one scan and one pair of aggregations."""
+    return n_way(df, spec, codes=[*codes, (None, None)])
 
 
 def complete_groups(result: DataFrame, domains: Sequence[Sequence[str]], years: Sequence[int],

@@ -50,3 +50,12 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(ocols)
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(ocols, res.fetchall())
+
+
+def test_no_python_udf_cartesian_or_nested_loop_in_any_plan(spark):
+    """Every registered query plans without Python evaluation, cartesian products or nested loops."""
+    import re
+    for name, fn in entry.queries().items():
+        text = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        bad = re.findall(r"BatchEvalPython|ArrowEvalPython|CartesianProduct|BroadcastNestedLoopJoin", text)
+        assert not bad, (name, bad)
