@@ -45,6 +45,14 @@ def report_period(year: int, code: str, value: int, accumulated: bool = False) -
     return start, end
 
 
+def require_validated(mapping_status: dict[str, str], fields: tuple[str, ...] = ("DEBIT_ACC", "CREDIT_ACC")) -> None:
+    """The account-mapping settings of the ledger columns must be marked ``Validated``
+    before a trial balance is built (a plan-time settings check, no data is read)."""
+    for f in fields:
+        if mapping_status.get(f) != "Validated":
+            raise ValueError(f"{f} mapping must be validated before processing the trial balance")
+
+
 def filter_period(gl: DataFrame, start: dt.date, end: dt.date, col: str = "INVOICE_DATE") -> DataFrame:
     """Rows whose date lies in [start, end] (pushed down to the scan)."""
     return gl.filter(F.col(col).cast("date").between(F.lit(start), F.lit(end)))

@@ -324,9 +324,14 @@ def cash_flow(gl_mapped: DataFrame, template: DataFrame, ytd: tuple[dt.date, dt.
 
 def financial_report(gl: DataFrame, accounts: DataFrame, templates: dict[str, DataFrame], year: int,
                      period_code: str, period_value: int, opening: DataFrame | None = None,
-                     type_: str | None = None, check: bool = True) -> dict[str, DataFrame]:
-    """The six tables. The mapped ledger is the shared input of five of them."""
-    from riskframe.operators.ledger import check_balanced, map_accounts, report_period, trial_balance
+                     type_: str | None = None, check: bool = True,
+                     mapping_status: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The six tables. The mapped ledger is the shared input of five of them. With
+    ``mapping_status`` the G13 guard runs first."""
+    from riskframe.operators.ledger import (check_balanced, map_accounts, report_period, require_validated,
+                                            trial_balance)
+    if mapping_status is not None:
+        require_validated(mapping_status)
     period = report_period(year, period_code, period_value, False)
     ytd = report_period(year, period_code, period_value, True)
     mapped = map_accounts(gl, accounts, check=check, start=ytd[0], end=ytd[1])

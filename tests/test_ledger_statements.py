@@ -65,3 +65,18 @@ def test_profit_loss_tokens_and_forward_reference(spark):
                                                     (D(2024, 1, 1), D(2024, 3, 31))).collect()}
     assert out["05"].CURRENT_AMOUNT == Decimal("0.0000")       # forward reference counts 0
     assert out["02"].CURRENT_AMOUNT == Decimal("0.0000")       # -x + x
+
+
+def test_mapping_guard_and_financial_report(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        ledger.require_validated({"DEBIT_ACC": "Validated", "CREDIT_ACC": "Draft"})
+    ledger.require_validated({"DEBIT_ACC": "Validated", "CREDIT_ACC": "Validated"})
+    from riskframe.sources.fixtures import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    tpl = {"bs": fx["t_bs"], "pl01": fx["t_pl01"], "pl02": fx["t_pl02"], "cf01": fx["t_cf01"], "cf02": fx["t_cf02"]}
+    rep = statements.financial_report(fx["v_gl"], fx["v_account"], tpl, 1997, "QUARTERLY", 3,
+                                      mapping_status={"DEBIT_ACC": "Validated", "CREDIT_ACC": "Validated"})
+    assert set(rep) == {"trial_balance", "balance_sheet", "pl01", "pl02", "cf01", "cf02"}
+    bs = {r.code: r.CURRENT_AMOUNT for r in rep["balance_sheet"].collect()}
+    assert bs["270"] == bs["440"]
