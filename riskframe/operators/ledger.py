@@ -95,17 +95,42 @@ def _amount(c: str):
     return F.coalesce(F.col(c).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
+SUMMARY_KEYS = ["DEBIT_ACC", "DEBIT_SM", "DEBIT_BS", "DEBIT_PL", "CREDIT_SM", "CREDIT_PL"]
+
+
+def ledger_summary(gl_mapped: DataFrame, period: tuple[dt.date, dt.date], ytd: tuple[dt.date, dt.date]) -> DataFrame:
+    """One pass over the mapped ledger down to (account pair codes, in-period, in-year-to-date)
+    with every sum the statements need: trial-balance debit/credit (null → 0), net D−C, and the
+    per-row positive / negative parts used by the cash flow. The key space is bounded by the
+    chart of accounts, so all six statements can be derived from this small table."""
+    d = F.col("INVOICE_DATE").cast("date")
+    deb, cre = F.col("DEBIT_AMT").try_cast(MONEY), F.col("CREDIT_AMT").try_cast(MONEY)
+    zero = F.lit(0).cast(MONEY)
+    return (gl_mapped.groupBy(*SUMMARY_KEYS, d.between(F.lit(period[0]), F.lit(period[1])).alias("IN_PERIOD"),
+                              d.between(F.lit(ytd[0]), F.lit(ytd[1])).alias("IN_YTD"))
+            .agg(F.sum(F.coalesce(deb, zero)).alias("SUM_TB_DEBIT"), F.sum(F.coalesce(cre, zero)).alias("SUM_TB_CREDIT"),
+                 F.sum(deb - cre).alias("SUM_NET"), F.sum(F.greatest(deb - cre, zero)).alias("SUM_POS"),
+                 F.sum(-F.greatest(cre - deb, zero)).alias("SUM_NEG")))
+
+
+def is_summary(df: DataFrame) -> bool:
+    return "SUM_NET" in df.columns
+
+
 def trial_balance(gl_mapped: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """period debit/credit per (DEBIT_ACC, SM, BS, PL) (null keys dropped, text amounts
     coerced, null → 0); opening from a prior balance's closing columns (full join);
     CLOSING_DEBIT = max(OD+PD-OC-PC, 0), CLOSING_CREDIT = max(OC+PC-OD-PD, 0), NET = difference.
-    Fixed: accounts present only in the opening balance get closing amounts (not NaN)."""
+    Fixed: accounts present only in the opening balance get closing amounts (not NaN).
+    Accepts the mapped ledger or its ``ledger_summary``."""
+    summary = is_summary(gl_mapped)
+    dsum = F.sum("SUM_TB_DEBIT") if summary else F.sum(_amount("DEBIT_AMT"))
+    csum = F.sum("SUM_TB_CREDIT") if summary else F.sum(_amount("CREDIT_AMT"))
     g = (gl_mapped.filter(F.col("DEBIT_ACC").isNotNull() & F.col("DEBIT_SM").isNotNull()
                           & F.col("DEBIT_BS").isNotNull() & F.col("DEBIT_PL").isNotNull())
          .groupBy(F.col("DEBIT_ACC").alias("ACCOUNT"), F.col("DEBIT_SM").alias("AG_CODE"),
                   F.col("DEBIT_BS").alias("BS_CODE"), F.col("DEBIT_PL").alias("PL_CODE"))
-         .agg(F.sum(_amount("DEBIT_AMT")).alias("PERIOD_DEBIT_AMOUNT"),
-              F.sum(_amount("CREDIT_AMT")).alias("PERIOD_CREDIT_AMOUNT")))
+         .agg(dsum.alias("PERIOD_DEBIT_AMOUNT"), csum.alias("PERIOD_CREDIT_AMOUNT")))
     zero = F.lit(0).cast(MONEY)
     if opening is not None:
         op = opening.select(*TB_KEYS, F.col("CLOSING_DEBIT_AMOUNT").cast(MONEY).alias("OPENING_DEBIT_AMOUNT"),

@@ -164,11 +164,6 @@ def evaluate(spark: SparkSession, lines: list[dict], vec: dict[int, Vec], atoms:
 
 
 # ----------------------------------------------------------------------------- atom tables
-def _amt(c: str):
-    """Ledger amount as money; text that is not a number is missing (skipped by the sums)."""
-    return F.col(c).try_cast(MONEY)
-
-
 def _atoms(df: DataFrame, kind: str, key, value_cols: dict) -> DataFrame:
     return (df.groupBy(F.col(key).cast("string").alias("_key") if isinstance(key, str) else key.alias("_key"))
               .agg(*[F.sum(v).cast(MONEY).alias(m) for m, v in value_cols.items()])
@@ -182,28 +177,28 @@ def bs_atoms(tb: DataFrame) -> DataFrame:
     return a.selectExpr("_key", "stack(3, 'BS', BS, 'DUNO', DUNO, 'DUCO', DUCO) AS (_atom, CURRENT_AMOUNT)")
 
 
-def pl_atoms(gl_mapped: DataFrame, period: tuple[dt.date, dt.date], ytd: tuple[dt.date, dt.date]) -> DataFrame:
+def _summary(src: DataFrame, period: tuple[dt.date, dt.date], ytd: tuple[dt.date, dt.date]) -> DataFrame:
+    from riskframe.operators.ledger import is_summary, ledger_summary
+    return src if is_summary(src) else ledger_summary(src, period, ytd)
+
+
+def pl_atoms(src: DataFrame, period: tuple[dt.date, dt.date], ytd: tuple[dt.date, dt.date]) -> DataFrame:
     """PhatSinhCO: Σ(DEBIT−CREDIT) where DEBIT_SM = 911, by CREDIT_PL; PhatSinhNO: where
-    CREDIT_SM = 911, by DEBIT_PL. CURRENT over the period, ACCUMULATED over the year to date."""
-    d = F.col("INVOICE_DATE").cast("date")
-    g = gl_mapped.filter(d.between(F.lit(ytd[0]), F.lit(ytd[1])))
-    net = _amt("DEBIT_AMT") - _amt("CREDIT_AMT")
-    in_period = d.between(F.lit(period[0]), F.lit(period[1]))
-    vals = {"CURRENT_AMOUNT": F.when(in_period, net), "ACCUMULATED_AMOUNT": net}
+    CREDIT_SM = 911, by DEBIT_PL. CURRENT over the period, ACCUMULATED over the year to date.
+    ``src`` is the mapped ledger or its summary (built for the same period)."""
+    g = _summary(src, period, ytd).filter(F.col("IN_YTD"))
+    vals = {"CURRENT_AMOUNT": F.when(F.col("IN_PERIOD"), F.col("SUM_NET")), "ACCUMULATED_AMOUNT": F.col("SUM_NET")}
     co = _atoms(g.filter(F.col("DEBIT_SM") == "911"), "PLCO", "CREDIT_PL", vals)
     no = _atoms(g.filter(F.col("CREDIT_SM") == "911"), "PLNO", "DEBIT_PL", vals)
     return co.unionByName(no)
 
 
-def cf_atoms(gl_mapped: DataFrame, ytd: tuple[dt.date, dt.date], pl01: DataFrame | None = None) -> DataFrame:
+def cf_atoms(src: DataFrame, ytd: tuple[dt.date, dt.date], pl01: DataFrame | None = None) -> DataFrame:
     """PhatSinhNO(11/c) = Σ max(D−C, 0), PhatSinhCO(11/c) = −Σ max(C−D, 0), over rows whose
     DEBIT_SM starts with 11 and CREDIT_SM = c; PL(n) = CURRENT_AMOUNT of P&L line n."""
-    d = F.col("INVOICE_DATE").cast("date")
-    g = gl_mapped.filter(d.between(F.lit(ytd[0]), F.lit(ytd[1])) & (F.substring("DEBIT_SM", 1, 2) == "11"))
-    zero = F.lit(0)
+    g = _summary(src, ytd, ytd).filter(F.col("IN_YTD") & (F.substring("DEBIT_SM", 1, 2) == "11"))
     a = g.groupBy(F.col("CREDIT_SM").cast("string").alias("_key")).agg(
-        F.sum(F.greatest(_amt("DEBIT_AMT") - _amt("CREDIT_AMT"), zero)).cast(MONEY).alias("NO"),
-        F.sum(-F.greatest(_amt("CREDIT_AMT") - _amt("DEBIT_AMT"), zero)).cast(MONEY).alias("CO"))
+        F.sum("SUM_POS").cast(MONEY).alias("NO"), F.sum("SUM_NEG").cast(MONEY).alias("CO"))
     out = a.selectExpr("_key", "stack(2, 'PSNO11', NO, 'PSCO11', CO) AS (_atom, CURRENT_AMOUNT)")
     if pl01 is not None:
         out = out.unionByName(_atoms(pl01, "PL", "code", {"CURRENT_AMOUNT": F.col("CURRENT_AMOUNT")})
@@ -328,22 +323,26 @@ def financial_report(gl: DataFrame, accounts: DataFrame, templates: dict[str, Da
                      mapping_status: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The six tables. The mapped ledger is the shared input of five of them. With
     ``mapping_status`` the G13 guard runs first."""
-    from riskframe.operators.ledger import (check_balanced, map_accounts, report_period, require_validated,
-                                            trial_balance)
+    from riskframe.operators.ledger import (check_balanced, ledger_summary, map_accounts, report_period,
+                                            require_validated, trial_balance)
     if mapping_status is not None:
         require_validated(mapping_status)
     period = report_period(year, period_code, period_value, False)
     ytd = report_period(year, period_code, period_value, True)
+    from riskframe.session import cut_lineage
     mapped = map_accounts(gl, accounts, check=check, start=ytd[0], end=ytd[1])
-    tb = trial_balance(mapped, opening)
+    # one scan of the ledger; the small summary is checkpointed to the shared folder and every
+    # statement is derived from it
+    summary = cut_lineage(ledger_summary(mapped, period, ytd))
+    tb = trial_balance(summary, opening)
     if check:
         check_balanced(tb)
-    pl01 = profit_loss(mapped, templates["pl01"], period, ytd, type_)
+    pl01 = profit_loss(summary, templates["pl01"], period, ytd, type_)
     return {
         "trial_balance": tb,
         "balance_sheet": balance_sheet(tb, templates["bs"], type_, check=check),
         "pl01": pl01,
         "pl02": profit_loss_summary(pl01, templates["pl02"], type_),
-        "cf01": cash_flow(mapped, templates["cf01"], ytd, None, type_),
-        "cf02": cash_flow(mapped, templates["cf02"], ytd, pl01, type_),
+        "cf01": cash_flow(summary, templates["cf01"], ytd, None, type_),
+        "cf02": cash_flow(summary, templates["cf02"], ytd, pl01, type_),
     }
