@@ -105,9 +105,6 @@ def dependencies(name: str) -> list[str]:
     return list(dict.fromkeys(_PLACEHOLDER.findall(VIEW_SQL[name])))
 
 
-_SHARED: dict[tuple[int, str], dict[str, DataFrame]] = {}
-
-
 class Fixtures:
     """Lazily built DataFrames for the base tables of one scale-factor folder and the derived views.
 
@@ -117,7 +114,12 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._cache = _SHARED.setdefault((id(spark), self.sf_dir), {})
+        # the cache lives on the session object, so it never outlives (or crosses) sessions
+        shared = getattr(spark, "_riskframe_fixtures", None)
+        if shared is None:
+            shared = {}
+            spark._riskframe_fixtures = shared
+        self._cache = shared.setdefault(self.sf_dir, {})
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
