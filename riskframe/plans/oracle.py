@@ -625,3 +625,10 @@ SELECT metric, CAST(value AS DECIMAL(38,4)) AS value FROM (
   UNION ALL SELECT 'premium_out_of_year', (SELECT sum(EXPOSURE_PREM) FROM py WHERE CL_YEAR <> 1997)
   UNION ALL SELECT 'claim_unmatched', (SELECT sum(CLAIM_PMT) FROM un)
   UNION ALL SELECT 'rows_unmatched', (SELECT count(*) FROM un)) t""")
+
+_q("coverage_codes", (), r"""
+s AS (SELECT 'NUM_CLAIMS_AC' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS standard_name, 'NUM_CLAIMS_' || n_name AS import_name,
+    'VARS_AC' AS variable_type, s_suppkey AS ordinal FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT regexp_extract(standard_name, '(AC\d+)', 1) AS code, regexp_replace(import_name, '^(NUM_CLAIMS_|CLAIM_PMT_)', '') AS description,
+    ordinal FROM s WHERE variable_type = 'VARS_AC')
+SELECT code, arg_max(description, ordinal) AS description FROM c WHERE code <> '' AND description <> code GROUP BY code""")

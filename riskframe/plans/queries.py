@@ -452,3 +452,17 @@ def validate_mof_gwp(spark, sf_dir):
 def validate_mof_status(spark, sf_dir):
     p = V.Profile.of("MOF", quality.MOF_GWP_TEMPLATE)
     return V.validation_status(V.validate(_fx(spark, sf_dir)["v_policy"], quality.MOF_GWP_SETTINGS, p), p)
+
+
+# ---------------------------------------------------------------- coverage codes
+@query("coverage_codes")
+def coverage_codes(spark, sf_dir):
+    """E8 over settings rows derived from the supplier table: one VARS_AC claim-count column per
+    supplier, coded by its nation (``NUM_CLAIMS_AC<nation>``) and described by the nation name."""
+    from riskframe.functions.text import coverage_codes as _codes
+    fx = _fx(spark, sf_dir)
+    s = fx["supplier"].join(F.broadcast(fx["nation"]), F.col("s_nationkey") == F.col("n_nationkey"))
+    settings = s.select(F.concat(F.lit("NUM_CLAIMS_AC"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("standard_name"),
+                        F.concat(F.lit("NUM_CLAIMS_"), F.col("n_name")).alias("import_name"),
+                        F.lit("VARS_AC").alias("variable_type"), F.col("s_suppkey").alias("ordinal"))
+    return _codes(settings)
