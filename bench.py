@@ -26,7 +26,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     from riskframe.session import get_spark
-    spark = get_spark(master=f"local[{cpus}]", **{"spark.sql.shuffle.partitions": str(max(8, int(cpus) * 2))})
+    # one shuffle partition per core at this scale; AQE coalesces further (clusters size this from
+    # the data: spark.sql.shuffle.partitions ≈ shuffle bytes / 128 MB)
+    shuffle = os.environ.get("BENCH_SHUFFLE", cpus)
+    spark = get_spark(master=f"local[{cpus}]", **{"spark.sql.shuffle.partitions": shuffle})
     from riskframe.plans.queries import REGISTRY
     names = list(REGISTRY) if os.environ.get("BENCH_ALL") == "1" else [n for n in HEADLINE if n in REGISTRY]
     times: dict[str, float] = {}
