@@ -142,7 +142,10 @@ def reconcile_claims(policy_years: DataFrame, claims: DataFrame, cal_year: int,
                  F.sum(F.when(F.col("CL_YEAR") != cal_year, to_money(F.col("EXPOSURE_PREM")))).alias("premium_out_of_year"))
     un = unmatched_claims(policy_years, claims, amount).agg(F.sum(amount).alias("claim_unmatched"),
                                                            F.count(F.lit(1)).alias("rows_unmatched"))
-    return metric_rows(neg, tot, c, un)
+    dup = policy_years.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*KEYS, "CL_YEAR"))).alias("dup_gwp"))
+    pos = claims.filter(F.col(amount) >= 0).withColumn("LD_YEAR", F.year("OCCURENCE_DATE"))
+    dupc = pos.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*KEYS, "LD_YEAR"))).alias("dup_claim"))
+    return metric_rows(neg, tot, c, un, dup, dupc)
 
 
 def metric_rows(*one_row_aggs: DataFrame) -> DataFrame:

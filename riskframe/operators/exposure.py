@@ -115,14 +115,16 @@ def split_exposure(df: DataFrame, years: Iterable[int] | None = None, *, start:
 
 def reconcile_exposure(policies: DataFrame, *, start: str = "START_DATE", expiry: str = "EXPIRY_DATE",
                        init: str | None = "INIT_DATE", gwp: str = "GWP") -> DataFrame:
-    """Reconciliation metrics of the split as (metric, value) rows, from one aggregate pass.
-
-    rows_expected = Σ(NB_YEAR+1) over policies whose START <= EXPIRY (one row otherwise), rows,
-    premium before and after, and the positive / non-positive split.
+    """Reconciliation figures of the split from one aggregate pass: rows after
+    the split and the expected Σ(NB_YEAR+1) over policies (they differ by the policies whose
+    START is after EXPIRY), duplicate (POLICY_ID, CERTIFICATE_ID, CL_YEAR) rows, premium before
+    and after, and the positive / non-positive split (null premiums counted apart).
     """
     all_rows = split_exposure(policies, None, start=start, expiry=expiry, init=init, gwp=gwp, positive_only=False)
     agg = all_rows.agg(
         F.count(F.lit(1)).alias("rows_after_split"),
+        F.sum(F.when(F.col("YEAR_SEQ") == 1, F.col("NB_YEAR") + 1)).cast("long").alias("rows_expected"),
+        (F.count(F.lit(1)) - F.count_distinct(F.struct("POLICY_ID", "CERTIFICATE_ID", "CL_YEAR"))).alias("dup_policy_years"),
         F.sum(F.when(F.col("YEAR_SEQ") == 1, F.col(gwp))).cast("decimal(38,4)").alias("premium_of_original"),
         F.sum(F.col("EXPOSURE_PREM")).alias("premium_after_exposure"),
         F.count_if(F.col("EXPOSURE_PREM") > 0).alias("rows_positive"),

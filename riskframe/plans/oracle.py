@@ -89,10 +89,12 @@ FROM py GROUP BY CL_YEAR""")
 
 _q("exposure_reconcile", ("v_policy",), EXPOSURE_CTES + f"""
 SELECT count(*) AS rows_after_split,
+  CAST((SELECT sum(year(EXPIRY_DATE) - year(START_DATE) + 1) FROM v_policy WHERE START_DATE IS NOT NULL AND EXPIRY_DATE IS NOT NULL) AS BIGINT) AS rows_expected,
+  count(*) - count(DISTINCT {{'a': POLICY_ID, 'b': CERTIFICATE_ID, 'c': CL_YEAR}}) AS dup_policy_years,
   CAST((SELECT sum(GWP) FROM v_policy WHERE START_DATE IS NOT NULL AND EXPIRY_DATE IS NOT NULL) AS DECIMAL(38,4)) AS premium_of_original,
   CAST({money_sql("sum(EXPOSURE_PREM_D)", 2, 36)} AS DECIMAL(38,2)) AS premium_after_exposure,
   count(*) FILTER (WHERE EXPOSURE_PREM_D > 0) AS rows_positive,
-  count(*) FILTER (WHERE NOT (EXPOSURE_PREM_D > 0) OR EXPOSURE_PREM_D IS NULL) AS rows_non_positive,
+  count(*) FILTER (WHERE EXPOSURE_PREM_D <= 0) AS rows_non_positive,
   count(*) FILTER (WHERE EXPOSURE_PREM_D IS NULL) AS rows_null_premium
 FROM p5""")
 
@@ -624,7 +626,10 @@ SELECT metric, CAST(value AS DECIMAL(38,4)) AS value FROM (
   UNION ALL SELECT 'premium_in_year', (SELECT sum(EXPOSURE_PREM) FROM py WHERE CL_YEAR = 1997)
   UNION ALL SELECT 'premium_out_of_year', (SELECT sum(EXPOSURE_PREM) FROM py WHERE CL_YEAR <> 1997)
   UNION ALL SELECT 'claim_unmatched', (SELECT sum(CLAIM_PMT) FROM un)
-  UNION ALL SELECT 'rows_unmatched', (SELECT count(*) FROM un)) t""")
+  UNION ALL SELECT 'rows_unmatched', (SELECT count(*) FROM un)
+  UNION ALL SELECT 'dup_gwp', (SELECT count(*) - count(DISTINCT {'a': POLICY_ID, 'b': CERTIFICATE_ID, 'c': CL_YEAR}) FROM py)
+  UNION ALL SELECT 'dup_claim', (SELECT count(*) - count(DISTINCT {'a': POLICY_ID, 'b': CERTIFICATE_ID, 'c': year(OCCURENCE_DATE)})
+                                 FROM v_claim WHERE CLAIM_PMT >= 0)) t""")
 
 _q("coverage_codes", (), r"""
 s AS (SELECT 'NUM_CLAIMS_AC' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS standard_name, 'NUM_CLAIMS_' || n_name AS import_name,

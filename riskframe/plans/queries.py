@@ -56,7 +56,7 @@ def exposure_total_by_year(spark, sf_dir):
 @query("exposure_reconcile")
 def exposure_reconcile(spark, sf_dir):
     r = reconcile_exposure(_fx(spark, sf_dir)["v_policy"])
-    return r.select("rows_after_split", "premium_of_original",
+    return r.select("rows_after_split", "rows_expected", "dup_policy_years", "premium_of_original",
                     to_money(F.col("premium_after_exposure"), 2, 36).cast("decimal(38,2)").alias("premium_after_exposure"),
                     "rows_positive", "rows_non_positive", "rows_null_premium")
 
