@@ -58,6 +58,18 @@ def profile_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet
     return df.groupBy("FILE_NAME").agg(F.count(F.lit(1)).alias("NUM_ROWS")).withColumn("HAS_DATA", F.col("NUM_ROWS") > 1)
 
 
+def preview_parts(spark: SparkSession, paths: Sequence[str], n: int = 3) -> DataFrame:
+    """A4/I4 preview: the first ``n`` rows of every Parquet part (FILE_NAME, ROW_INDEX, ROW_JSON
+    with the part's own columns). Uses the row position within the file, so it is a filter on
+    each task's input, never a window over a whole (possibly huge) file; the limit is the
+    feature."""
+    df = spark.read.option("mergeSchema", "true").parquet(*paths)
+    data = [c for c in df.columns]
+    return (df.filter(F.col("_metadata.row_index") < n)
+              .select(F.col("_metadata.file_name").alias("FILE_NAME"), F.col("_metadata.row_index").alias("ROW_INDEX"),
+                      F.to_json(F.struct(*[F.col(f"`{c}`") for c in data])).alias("ROW_JSON")))
+
+
 def read_table(spark: SparkSession, path: str, columns: Sequence[str], extra_codes: Sequence[str] = ()) -> DataFrame:
     """A5: Parquet scan of the needed columns only, plus NUM_CLAIMS_<code> / CLAIM_PMT_<code>
     for each additional coverage code (the column list reaches the scan)."""

@@ -38,3 +38,13 @@ def test_template_order_and_snapshot_sink(spark):
     snap = spark.createDataFrame([(1,), (2,)], "k int")
     assert write_if_changed(snap, None, f"{d}/s1")
     assert not write_if_changed(snap, f"{d}/s1", f"{d}/s2")
+
+
+def test_preview_parts(spark):
+    from riskframe.sources.files import preview_parts
+    d = tempfile.mkdtemp(prefix="rf-")
+    spark.createDataFrame([(i, "x") for i in range(10)], "k int, a string").coalesce(1).write.parquet(f"{d}/DATA_A")
+    spark.createDataFrame([(float(i),) for i in range(2)], "b double").coalesce(1).write.parquet(f"{d}/DATA_B")
+    rows = preview_parts(spark, [f"{d}/DATA_A", f"{d}/DATA_B"], 3).collect()
+    assert len(rows) == 5 and sorted(r.ROW_INDEX for r in rows) == [0, 0, 1, 1, 2]
+    assert {r.ROW_JSON for r in rows if r.ROW_INDEX == 0} == {'{"k":0,"a":"x"}', '{"b":0.0}'}
