@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from riskframe.functions.numeric import round_half_even
 
+MAX_GRID = 1_000_000          # cells of a completion grid built on the driver (plan-time label lists)
 METRIC_COLUMNS = ["NUM_POLS", "NUM_CLAIMS", "EXPOSURE_YEAR", "EXPOSURE_PREM", "CLAIM_PMT", "FREQUENCY",
                   "SEVERITY", "AVG_PREMIUM", "PURE_PREMIUM", "LOSS_RATIO", "GWP_%", "SUM_ASSURED",
                   "AVG_SUM_ASSURED"]
@@ -154,7 +155,6 @@ def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str |
 
 def _label_groups(agg: DataFrame, combos, factors, yc, years, year_is_scope: bool = False) -> DataFrame:
     """Recover (VAR_YEAR, combination index, values) from grouping_id; drop null-key groups."""
-    nf = len(factors)
 
     def gid_of(cols: Sequence[str]) -> int:
         # grouping_id bit order: first grouping column is the most significant bit
@@ -244,6 +244,11 @@ def complete_groups(result: DataFrame, domains: Sequence[Sequence[str]], years:
     appears, zero-filled. ``domains`` are plan-time label lists (bucket labels), so the grid is a
     bounded constant built from parameters, never a data-sized product."""
     n = len(domains)
+    size = len(years)
+    for d in domains:
+        size *= len(d)
+    if size > MAX_GRID:
+        raise ValueError(f"completion grid of {size} cells exceeds {MAX_GRID}; use observed groups for wide products")
     grid_rows = [(int(y), *vals) for y in years for vals in itertools.product(*domains)]
     detail_cols = ["VAR_DETAIL"] if n == 1 else [f"VAR_DETAIL{i + 1}" for i in range(n)]
     spark = result.sparkSession
