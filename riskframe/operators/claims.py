@@ -104,14 +104,27 @@ def attach_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLA
     py = policy_years.withColumn("LD_YEAR", F.col("CL_YEAR"))
     if not with_sequence:
         return py.join(grouped, KEYS + ["LD_YEAR"], "left").drop("LD_YEAR")
-    seq = (claims_in_sequence(policy_years, claims, amount)
-           .groupBy(*KEYS, "LD_YEAR", "START_SEQ", "END_SEQ")
-           .agg(F.count_if(F.col("IN_SEQ")).alias("NUM_CLAIMS_SEQ"),
-                F.count_if(~F.col("IN_SEQ")).alias("NUM_CLAIMS_NOT_SEQ"),
-                F.sum(F.when(F.col("IN_SEQ"), F.col(amount))).alias(f"{amount}_SEQ"),
-                F.sum(F.when(~F.col("IN_SEQ"), F.col(amount))).alias(f"{amount}_NOT_SEQ")))
-    out = (py.join(grouped, KEYS + ["LD_YEAR"], "left")
-             .join(seq, KEYS + ["LD_YEAR", "START_SEQ", "END_SEQ"], "left"))
+    # One hash partitioning by the policy-year key serves every step: the interval dedup, the
+    # join with the claim rows, the per-interval sums and both joins back (the interval match
+    # is a join condition, not a key, so no step needs another exchange of the policy years).
+    key = KEYS + ["LD_YEAR"]
+    py = py.repartition(*key)
+    iv = py.select(*key, "START_SEQ", "END_SEQ").dropDuplicates()
+    j = claim_rows(claims, amount).join(iv, key, "inner")
+    in_seq = F.col("OCCURENCE_DATE").between(F.col("START_SEQ"), F.col("END_SEQ"))
+    seq = (j.withColumn("IN_SEQ", in_seq)
+            .groupBy(*key, "START_SEQ", "END_SEQ")
+            .agg(F.count_if(F.col("IN_SEQ")).alias("NUM_CLAIMS_SEQ"),
+                 F.count_if(~F.col("IN_SEQ")).alias("NUM_CLAIMS_NOT_SEQ"),
+                 F.sum(F.when(F.col("IN_SEQ"), F.col(amount))).alias(f"{amount}_SEQ"),
+                 F.sum(F.when(~F.col("IN_SEQ"), F.col(amount))).alias(f"{amount}_NOT_SEQ"))
+            .select(*[F.col(k).alias(f"_s_{k}") for k in key], F.col("START_SEQ").alias("_s_start"),
+                    F.col("END_SEQ").alias("_s_end"), "NUM_CLAIMS_SEQ", "NUM_CLAIMS_NOT_SEQ",
+                    f"{amount}_SEQ", f"{amount}_NOT_SEQ"))
+    out = py.join(grouped, key, "left")
+    cond = [out[k] == seq[f"_s_{k}"] for k in key]
+    cond += [F.datediff(out["START_SEQ"], seq["_s_start"]) == 0, F.datediff(out["END_SEQ"], seq["_s_end"]) == 0]
+    out = out.join(seq, cond, "left").drop(*[f"_s_{k}" for k in key], "_s_start", "_s_end")
     return out.withColumns({
         "NUM_CLAIMS_SEQ": F.coalesce("NUM_CLAIMS_SEQ", F.lit(0).cast("long")),
         "NUM_CLAIMS_NOT_SEQ": F.coalesce("NUM_CLAIMS_NOT_SEQ", F.lit(0).cast("long")),
