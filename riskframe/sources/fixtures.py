@@ -95,10 +95,12 @@ def spread(df: DataFrame) -> DataFrame:
     written as one row group); per-row work behind it then runs on every core. Filters and
     column pruning still reach the scan (Catalyst pushes them through the repartition). On large
     inputs the scan already has enough splits and this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session exposes no RDD view
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def dependencies(name: str) -> list[str]:
