@@ -1,4 +1,4 @@
-"""GLM rating pipeline over the driver tables: policies → exposure → claims → buckets → n-way.
+"""GLM rating plan over the driver tables: policies → exposure → claims → buckets → n-way.
 
 Parameters follow FIXTURES.md: VEHICLE_AGE bins [0,3,6,10,inf] (years), VEHICLE_SEATS bins
 [0,6,9,inf] (seats), VEHICLE_VALUE bins [0,4e8,8e8,1.2e9,inf] (amount labels); text factors

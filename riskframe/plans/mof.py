@@ -1,4 +1,4 @@
-"""MOF pipelines over the driver tables: PNT-11 and the financial statements.
+"""MOF report plans over the driver tables: PNT-11 and the financial statements.
 
 Parameters follow FIXTURES.md: report period QUARTERLY 3 of 1997 (YTD Jan 1 … Sep 30), PNT-11
 vehicle-age bins [0,3,6,10,inf] in years (Vietnamese labels), opening balance = trial balance of
