@@ -127,6 +127,29 @@ def bucketize_all(df: DataFrame, specs: Sequence[tuple[str, str, Sequence, str,
     return df.withColumns(cols)
 
 
+# Group columns bucketed with amount labels (all other *_GROUP columns use unit labels).
+AMOUNT_GROUPS = ("VEHICLE_VALUE_GROUP", "SUM_ASSURED_GROUP")
+
+
+def bucketize_from_settings(df: DataFrame, groups: dict[str, dict]) -> DataFrame:
+    """E5: ``{<COL>_GROUP: {"bin": [...], "unit": "..."}}`` → one projection adding every group
+    column from its source column ``<COL>``. Value / sum-assured groups get amount labels, the
+    others unit labels; ``"Infinity"`` edges are +inf. Groups whose source column is missing are
+    an error (the reference failed later on an empty frame)."""
+    specs = []
+    for target, cfg in groups.items():
+        if not target.endswith("_GROUP"):
+            raise ValueError(f"bucket setting {target!r} must end with _GROUP")
+        source = target[: -len("_GROUP")]
+        if source not in df.columns:
+            raise ValueError(f"column {source!r} for {target!r} not found")
+        kind = "amount" if target in AMOUNT_GROUPS else "unit"
+        specs.append((source, target, cfg["bin"], kind, cfg.get("unit", "")))
+    if not specs:
+        raise ValueError("no bucket settings")
+    return bucketize_all(df, specs)
+
+
 def sql_case(expr: str, edges: Sequence[float], labels: Sequence[str]) -> str:
     """The same cut as portable SQL text (used by the oracle and by SQL users)."""
     parts = []
