@@ -50,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         spark.sparkContext.setCheckpointDir(str(current))
         return str(current)
-    # Only reached where the cluster names no folder (local runs, tests).
+    # A machine-local folder is only acceptable when everything runs on this machine.
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) before cutting lineage")
     path = tempfile.mkdtemp(prefix="riskframe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
