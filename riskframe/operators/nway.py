@@ -238,6 +238,24 @@ def n_way_codes(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str, str]])
     return n_way(df, spec, codes=[*codes, (None, None)])
 
 
+MAX_DOMAIN = 10_000          # distinct values of one categorical factor read to build a grid
+
+
+def factor_domain(df: DataFrame, factor: str, labels: Sequence[str] | None = None,
+                  max_values: int = MAX_DOMAIN) -> list[str]:
+    """The category list of one factor over the whole table (not a year slice), as pandas keeps
+    it: a bucket's label list (plus ``NaN`` when some row is unbucketed), or the distinct values
+    of a text factor, read under a hard bound (a high-cardinality column is not a category)."""
+    if labels is not None:
+        has_nan = df.filter(F.col(factor) == F.lit("NaN")).limit(1).count() > 0
+        return list(labels) + (["NaN"] if has_nan else [])
+    vals = [r[0] for r in df.select(F.col(factor).cast("string")).where(F.col(factor).isNotNull())
+                              .distinct().limit(max_values + 1).collect()]
+    if len(vals) > max_values:
+        raise ValueError(f"{factor} has more than {max_values} values; complete only categorical factors")
+    return sorted(vals)
+
+
 def complete_groups(result: DataFrame, domains: Sequence[Sequence[str]], years: Sequence[int],
                     var_code: str, names: Sequence[str]) -> DataFrame:
     """F11 (pandas categorical ``observed=False``): every label combination of one n-way table

@@ -637,3 +637,20 @@ s AS (SELECT 'NUM_CLAIMS_AC' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS st
 c AS (SELECT regexp_extract(standard_name, '(AC\d+)', 1) AS code, regexp_replace(import_name, '^(NUM_CLAIMS_|CLAIM_PMT_)', '') AS description,
     ordinal FROM s WHERE variable_type = 'VARS_AC')
 SELECT code, arg_max(description, ordinal) AS description FROM c WHERE code <> '' AND description <> code GROUP BY code""")
+
+
+def _complete_text(b: str) -> str:
+    return f"""
+SELECT 1997 AS VAR_YEAR, '001: TYPE_VEHICLE & USAGE_CODE' AS VAR_NAME_CODE,
+  'TYPE_VEHICLE' AS VAR_NAME1, 'USAGE_CODE' AS VAR_NAME2, g.d1 AS VAR_DETAIL1, g.d2 AS VAR_DETAIL2,
+  coalesce(r.NUM_POLS, 0) AS NUM_POLS, coalesce(r.NUM_CLAIMS, 0) AS NUM_CLAIMS, coalesce(r.EXPOSURE_YEAR, 0.0) AS EXPOSURE_YEAR,
+  coalesce(r.EXPOSURE_PREM, CAST(0 AS DECIMAL(38,4))) AS EXPOSURE_PREM, coalesce(r.CLAIM_PMT, CAST(0 AS DECIMAL(38,0))) AS CLAIM_PMT,
+  coalesce(r.FREQUENCY, 0.0) AS FREQUENCY, coalesce(r.SEVERITY, 0.0) AS SEVERITY, coalesce(r.AVG_PREMIUM, 0.0) AS AVG_PREMIUM,
+  coalesce(r.PURE_PREMIUM, 0.0) AS PURE_PREMIUM, coalesce(r.LOSS_RATIO, 0.0) AS LOSS_RATIO, coalesce(r."GWP_%", 0.0) AS "GWP_%",
+  coalesce(r.SUM_ASSURED, CAST(0 AS DECIMAL(38,4))) AS SUM_ASSURED, coalesce(r.AVG_SUM_ASSURED, 0.0) AS AVG_SUM_ASSURED
+FROM (SELECT a.d1, b.d2 FROM (SELECT DISTINCT TYPE_VEHICLE AS d1 FROM glm WHERE TYPE_VEHICLE IS NOT NULL) a,
+      (SELECT DISTINCT USAGE_CODE AS d2 FROM glm WHERE USAGE_CODE IS NOT NULL) b) g
+LEFT JOIN ({b}) r ON r.VAR_DETAIL1 = g.d1 AND r.VAR_DETAIL2 = g.d2"""
+
+
+_glm("nway_complete_text", [("TYPE_VEHICLE", "USAGE_CODE")], [1997], wrap=_complete_text)

@@ -466,3 +466,15 @@ def coverage_codes(spark, sf_dir):
                         F.concat(F.lit("NUM_CLAIMS_"), F.col("n_name")).alias("import_name"),
                         F.lit("VARS_AC").alias("variable_type"), F.col("s_suppkey").alias("ordinal"))
     return _codes(settings)
+
+
+@query("nway_complete_text")
+def nway_complete_text(spark, sf_dir):
+    """F11 with categories read from the data: every TYPE_VEHICLE × USAGE_CODE pair of the whole
+    table appears in the 1997 table, zero-filled."""
+    from riskframe.operators.nway import factor_domain
+    t, s = _nway(spark, sf_dir, n=2, years=[glm.ANALYSIS_YEAR], combos=[("TYPE_VEHICLE", "USAGE_CODE")])
+    res = n_way(t, s)
+    domains = [factor_domain(t, "TYPE_VEHICLE"), factor_domain(t, "USAGE_CODE")]
+    return complete_groups(res, domains, [glm.ANALYSIS_YEAR], "001: TYPE_VEHICLE & USAGE_CODE",
+                           ["TYPE_VEHICLE", "USAGE_CODE"])
