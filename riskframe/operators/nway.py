@@ -277,3 +277,17 @@ def complete_groups(result: DataFrame, domains: Sequence[Sequence[str]], years:
     out = grid.join(result, ["VAR_YEAR", "VAR_NAME_CODE", *name_cols.keys(), *detail_cols], "left")
     fills = {c: F.coalesce(F.col(c), F.lit(0).cast(dict(result.dtypes)[c])) for c in METRIC_COLUMNS}
     return out.withColumns(fills).select(*cols)
+
+
+def rating_tables(df: DataFrame, product: str, factors: Sequence[str], n: int, cal_years: Sequence[int],
+                  group_settings: dict[str, dict] | None = None, options: Sequence[Sequence[str]] | None = None,
+                  codes: Sequence[tuple[str, str]] | None = None, order_by: Sequence[str] = ("CAL_YEAR",)) -> DataFrame:
+    """F8/F9/E5 as one call, shaped like a rating request: bucket the ``*_GROUP`` factors from
+    their settings, expand the year list ([a, b] → a..b), take all n-combinations of ``factors``
+    (or the explicit ``options`` for 3/4-way tables, B19), and table every combination × year —
+    per additional coverage code plus all benefits when ``codes`` are given — in one plan."""
+    from riskframe.functions.buckets import bucketize_from_settings
+    table = bucketize_from_settings(df, group_settings) if group_settings else df
+    spec = NWaySpec(factors=list(factors), n=n, years=year_list(cal_years), product=product,
+                    combos=[tuple(o) for o in options] if options else None, order_by=list(order_by))
+    return n_way_codes(table, spec, codes) if codes else n_way(table, spec)

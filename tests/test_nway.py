@@ -60,3 +60,15 @@ def test_grouping_sets_equal_per_combination(spark):
     a = sorted(tuple(r) for r in together.select(*cols).collect())
     b = sorted(tuple(r) for df in one_by_one for r in df.select(*cols).collect())
     assert a == b
+
+
+def test_rating_tables_request(spark):
+    from riskframe.operators.nway import rating_tables
+    t = _table(spark).withColumn("VEHICLE_AGE", F.lit(4)).withColumn("NUM_CLAIMS_AC01", F.col("NUM_CLAIMS")) \
+        .withColumn("CLAIM_PMT_AC01", F.col("CLAIM_PMT"))
+    out = rating_tables(t, "CAR", ["A", "VEHICLE_AGE_GROUP"], 2, [2020, 2021],
+                        group_settings={"VEHICLE_AGE_GROUP": {"bin": [0, 3, 6, "Infinity"], "unit": "years"}},
+                        codes=[("AC01", "Glass")]).collect()
+    assert {r.VAR_YEAR for r in out} == {2020, 2021}
+    assert {r.VAR_NAME_CODE for r in out} == {"001: A & VEHICLE_AGE_GROUP: AC01", "001: A & VEHICLE_AGE_GROUP"}
+    assert {r.VAR_DETAIL2 for r in out} == {"02-From 3 to 5 years: Glass", "02-From 3 to 5 years"}
