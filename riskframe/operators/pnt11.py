@@ -110,3 +110,16 @@ def combine_summaries(claim: DataFrame, gwp: DataFrame, reserve: DataFrame, open
         "RES_END": F.col("UPR_END") + F.col("OSC_END") + F.col("LARC_RES_END"),
         "RES_BEG": F.col("UPR_BEG") + F.col("OSC_BEG") + F.col("LARC_RES_BEG"),
     }).withColumn("RES_PERIOD", F.col("RES_END") - F.col("RES_BEG"))
+
+
+def pnt11_report(premium: DataFrame, claims: DataFrame, reserves: DataFrame, coverage, vehicle, age_edges: Sequence,
+                 age_unit: str = "năm", reserve_template: str = "RES_PNT_11_01", prior_report: DataFrame | None = None,
+                 how: str = "inner", coverage_col: str = "COVERAGE_ID") -> DataFrame:
+    """The PNT-11 report in one call: map the three extracts (D11, E6), summarise each (F17-F19),
+    take the opening reserves from the prior report when given (F20; it wins over BEG columns of
+    the reserve template) and combine (F21). Opening reserves come from the ``RES_PNT_11_02``
+    template or a prior report."""
+    m = lambda df: apply_mapping(df, coverage, vehicle, age_edges, age_unit, coverage_col=coverage_col)
+    opening = summary_opening(prior_report) if prior_report is not None else None
+    return combine_summaries(summary_claim(m(claims)), summary_gwp(m(premium)),
+                             summary_reserve(m(reserves), reserve_template), opening, how=how)

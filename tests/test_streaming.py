@@ -21,3 +21,18 @@ def test_ingest_stream_is_complete_and_idempotent(spark):
     q2 = ingest_stream(spark, f"{src}/*", dirty.schema, DIRTY_SETTINGS, sink, checkpoint=ck)
     q2.awaitTermination(120)
     assert spark.read.parquet(sink).count() == dirty.count()
+
+
+def test_pnt11_report_one_call_equals_registered_query(spark):
+    import __spark_entry__ as entry
+    from riskframe.operators.pnt11 import pnt11_report
+    from riskframe.plans import mof
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    res = fx["v_reserve"].withColumnRenamed("USAGE_CODE", "COVERAGE_ID")
+    rep = pnt11_report(fx["v_mof_premium"], fx["v_mof_claim"], res, fx["m_coverage"], fx["m_vehicle"], mof.AGE_EDGES,
+                       reserve_template="RES_PNT_11_02")
+    q = entry.queries()["pnt11_combined"](spark, "/root/testdata/sf0.001")
+    key = ["PROD_MOF_CODE", "PNT_11_CODE", "SUB_PNT_11_CODE", "AGE_PNT_11_CODE"]
+    a = {tuple(r[k] for k in key): float(r.RES_PERIOD) for r in rep.collect()}
+    b = {tuple(r[k] for k in key): float(r.RES_PERIOD) for r in q.collect()}
+    assert a == b and len(a) > 0
