@@ -654,3 +654,17 @@ LEFT JOIN ({b}) r ON r.VAR_DETAIL1 = g.d1 AND r.VAR_DETAIL2 = g.d2"""
 
 
 _glm("nway_complete_text", [("TYPE_VEHICLE", "USAGE_CODE")], [1997], wrap=_complete_text)
+
+_q("pnt11_combined_prior", MOF_VIEWS, MOF_CTES + f""",
+sr1 AS (SELECT {KEYS8}, sum(UPR_END) AS UPR_END, sum(OSC_END) AS OSC_END, sum(LARC_RES_END) AS LARC_RES_END FROM mr GROUP BY ALL),
+op AS (SELECT {KEYS8}, sum(UPR_END) AS UPR_BEG, sum(OSC_END) AS OSC_BEG, sum(LARC_RES_END) AS LARC_RES_BEG FROM mr GROUP BY ALL),
+j AS (SELECT * FROM sc JOIN sg USING ({KEYS8}) JOIN sr1 USING ({KEYS8}) JOIN op USING ({KEYS8}))
+SELECT {KEYS8}, CAST(NUM_CARS AS BIGINT) AS NUM_CARS, CAST(NUM_CLAIMS AS BIGINT) AS NUM_CLAIMS,
+  CAST(SUM_ASSURED AS DECIMAL(38,4)) AS SUM_ASSURED, CAST(GROSS_PREMIUM AS DECIMAL(38,4)) AS GROSS_PREMIUM,
+  CAST(CLAIM_PMT AS DECIMAL(38,4)) AS CLAIM_PMT,
+  {', '.join(f'CAST({c} AS DECIMAL(38,4)) AS {c}' for c in _RES)},
+  CAST(UPR_END - UPR_BEG AS DECIMAL(38,4)) AS UPR_PERIOD, CAST(OSC_END - OSC_BEG AS DECIMAL(38,4)) AS OSC_PERIOD,
+  CAST(LARC_RES_END - LARC_RES_BEG AS DECIMAL(38,4)) AS LARC_RES_PERIOD,
+  CAST(UPR_END + OSC_END + LARC_RES_END AS DECIMAL(38,4)) AS RES_END, CAST(UPR_BEG + OSC_BEG + LARC_RES_BEG AS DECIMAL(38,4)) AS RES_BEG,
+  CAST((UPR_END + OSC_END + LARC_RES_END) - (UPR_BEG + OSC_BEG + LARC_RES_BEG) AS DECIMAL(38,4)) AS RES_PERIOD
+FROM j""")

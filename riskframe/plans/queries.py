@@ -478,3 +478,21 @@ def nway_complete_text(spark, sf_dir):
     domains = [factor_domain(t, "TYPE_VEHICLE"), factor_domain(t, "USAGE_CODE")]
     return complete_groups(res, domains, [glm.ANALYSIS_YEAR], "001: TYPE_VEHICLE & USAGE_CODE",
                            ["TYPE_VEHICLE", "USAGE_CODE"])
+
+
+@query("pnt11_combined_prior")
+def pnt11_combined_prior(spark, sf_dir):
+    """PNT-11 with end reserves only (template RES_PNT_11_01) and opening reserves taken from a
+    prior report (here the previous report is the mapped reserve extract itself): the four-way
+    combination of D10 with F20."""
+    from riskframe.operators.pnt11 import pnt11_report
+    fx = _fx(spark, sf_dir)
+    res = fx["v_reserve"].withColumnRenamed("USAGE_CODE", "COVERAGE_ID")
+    prior = mof.mapped(fx, "v_reserve", "USAGE_CODE")
+    out = pnt11_report(fx["v_mof_premium"], fx["v_mof_claim"], res, fx["m_coverage"], fx["m_vehicle"], mof.AGE_EDGES,
+                       mof.AGE_UNIT, reserve_template="RES_PNT_11_01", prior_report=prior)
+    money = [c for c in P.NUMERIC if c not in ("NUM_CARS", "NUM_CLAIMS")] + \
+        ["UPR_PERIOD", "OSC_PERIOD", "LARC_RES_PERIOD", "RES_END", "RES_BEG", "RES_PERIOD"]
+    return out.select(*P.KEYS, F.col("NUM_CARS").cast("long").alias("NUM_CARS"),
+                      F.col("NUM_CLAIMS").cast("long").alias("NUM_CLAIMS"),
+                      *[F.col(c).cast("decimal(38,4)").alias(c) for c in money])
