@@ -270,7 +270,7 @@ def complete_groups(result: DataFrame, domains: Sequence[Sequence[str]], years:
     grid_rows = [(int(y), *vals) for y in years for vals in itertools.product(*domains)]
     detail_cols = ["VAR_DETAIL"] if n == 1 else [f"VAR_DETAIL{i + 1}" for i in range(n)]
     spark = result.sparkSession
-    grid = spark.createDataFrame(grid_rows, ["VAR_YEAR", *detail_cols])
+    grid = spark.createDataFrame(grid_rows, ["VAR_YEAR", *detail_cols]).withColumn("VAR_YEAR", F.col("VAR_YEAR").cast("int"))
     name_cols = {"VAR_NAME": F.lit(names[0])} if n == 1 else {f"VAR_NAME{i + 1}": F.lit(names[i]) for i in range(n)}
     grid = grid.withColumns({"VAR_NAME_CODE": F.lit(var_code), **name_cols})
     cols = result.columns

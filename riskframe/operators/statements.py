@@ -147,7 +147,7 @@ def _template_frame(spark: SparkSession, lines: list[dict], cols: list[str]) ->
 
 
 def evaluate(spark: SparkSession, lines: list[dict], vec: dict[int, Vec], atoms: DataFrame,
-             measures: list[str], out_cols: list[str]) -> DataFrame:
+             measures: list[str], out_cols: list[str], template_types: dict[str, str] | None = None) -> DataFrame:
     """Σ coef × atom value per line, template columns first; lines without atoms give 0.
 
     ``atoms`` = (_atom, _key, *measures). Both join partners are bounded by the template and
@@ -160,7 +160,10 @@ def evaluate(spark: SparkSession, lines: list[dict], vec: dict[int, Vec], atoms:
     res = res.withColumns({m: F.coalesce(F.col(m), F.lit(0)).cast(MONEY) for m in measures})
     if "noteRef" in res.columns:
         res = res.withColumn("noteRef", F.coalesce(F.col("noteRef").cast("string"), F.lit("")))
-    return res.orderBy("_line").select(*out_cols)
+    # template columns keep the template's own types
+    keep = {c: F.col(c).cast(t) for c, t in (template_types or {}).items() if c in res.columns and c not in measures
+            and c != "noteRef"}
+    return res.withColumns(keep).orderBy("_line").select(*out_cols)
 
 
 # ----------------------------------------------------------------------------- atom tables
@@ -227,7 +230,7 @@ def balance_sheet(tb: DataFrame, template: DataFrame, type_: str | None = None,
                                                                   -(_num(ln["code"]) if _num(ln["code"]) is not None else float("-inf"))))]
     vec = compile_template(lines, lambda ln: {("BS", ln["code"]): _bs_sign(ln["code"])}, order)
     out = evaluate(spark, lines, vec, bs_atoms(tb), ["CURRENT_AMOUNT"],
-                   ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT"])
+                   ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT"], dict(template.dtypes))
     if check:
         r = out.agg(F.sum(F.when(F.col("code") == "270", F.col("CURRENT_AMOUNT"))).alias("a"),
                     F.sum(F.when(F.col("code") == "440", F.col("CURRENT_AMOUNT"))).alias("c")).first()
@@ -251,7 +254,7 @@ def duno_duco(tb: DataFrame, template: DataFrame, type_: str | None = None) -> D
     order = [ln["_line"] for ln in lines if ln["_kind"] == "TRUE"]
     vec = compile_template(lines, detail, order)
     return evaluate(spark, lines, vec, bs_atoms(tb), ["CURRENT_AMOUNT"],
-                    ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT"])
+                    ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT"], dict(template.dtypes))
 
 
 def profit_loss(gl_mapped: DataFrame, template: DataFrame, period: tuple[dt.date, dt.date],
@@ -273,7 +276,8 @@ def profit_loss(gl_mapped: DataFrame, template: DataFrame, period: tuple[dt.date
     order = [ln["_line"] for ln in lines if ln["_kind"] == "TRUE"]
     vec = compile_template(lines, detail, order)
     return evaluate(spark, lines, vec, pl_atoms(gl_mapped, period, ytd), ["CURRENT_AMOUNT", "ACCUMULATED_AMOUNT"],
-                    ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT", "ACCUMULATED_AMOUNT"])
+                    ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT", "ACCUMULATED_AMOUNT"],
+                    dict(template.dtypes))
 
 
 def profit_loss_summary(pl01: DataFrame, template: DataFrame, type_: str | None = None) -> DataFrame:
@@ -288,7 +292,7 @@ def profit_loss_summary(pl01: DataFrame, template: DataFrame, type_: str | None
                       F.sum("ACCUMULATED_AMOUNT").cast(MONEY).alias("ACCUMULATED_AMOUNT"))
                  .withColumn("_atom", F.lit("PL01")))
     return evaluate(spark, lines, vec, atoms, ["CURRENT_AMOUNT", "ACCUMULATED_AMOUNT"],
-                    ["lineCode", "lineName", "code", "CURRENT_AMOUNT", "ACCUMULATED_AMOUNT"])
+                    ["lineCode", "lineName", "code", "CURRENT_AMOUNT", "ACCUMULATED_AMOUNT"], dict(template.dtypes))
 
 
 def cash_flow(gl_mapped: DataFrame, template: DataFrame, ytd: tuple[dt.date, dt.date],
@@ -314,7 +318,7 @@ def cash_flow(gl_mapped: DataFrame, template: DataFrame, ytd: tuple[dt.date, dt.
     order = [ln["_line"] for ln in lines if ln["_kind"] == "TRUE"]
     vec = compile_template(lines, detail, order)
     return evaluate(spark, lines, vec, cf_atoms(gl_mapped, ytd, pl01), ["CURRENT_AMOUNT"],
-                    ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT"])
+                    ["lineCode", "lineName", "code", "noteRef", "CURRENT_AMOUNT"], dict(template.dtypes))
 
 
 def financial_report(gl: DataFrame, accounts: DataFrame, templates: dict[str, DataFrame], year: int,

@@ -591,9 +591,11 @@ SELECT event_id, CHANNEL, TRY_CAST(AMOUNT_TXT AS DOUBLE) AS AMOUNT_TXT, {_multi(
   REG_NO, TRY_CAST(COVERAGE_ID AS DOUBLE) AS COVERAGE_ID FROM v_dirty""")
 
 _q("snapshot_diff", ("v_policy",), """
-(SELECT *, 'new' AS SIDE FROM (SELECT * FROM v_policy EXCEPT ALL SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01'))
+(SELECT * REPLACE (CAST(VEHICLE_VALUE AS DECIMAL(38,4)) AS VEHICLE_VALUE), 'new' AS SIDE
+ FROM (SELECT * FROM v_policy EXCEPT ALL SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01'))
 UNION ALL
-(SELECT *, 'old' AS SIDE FROM (SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01' EXCEPT ALL SELECT * FROM v_policy))""")
+(SELECT * REPLACE (CAST(VEHICLE_VALUE AS DECIMAL(38,4)) AS VEHICLE_VALUE), 'old' AS SIDE
+ FROM (SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01' EXCEPT ALL SELECT * FROM v_policy))""")
 
 _q("union_parts", (), """
 SELECT c_custkey AS PARTY_KEY, c_name AS NAME, c_nationkey AS NATION_KEY, c_acctbal AS BALANCE, c_mktsegment AS SEGMENT, 'DATA_CUSTOMER' AS SOURCE FROM customer
@@ -601,7 +603,10 @@ UNION ALL
 SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL, 'DATA_SUPPLIER' FROM supplier""")
 
 _q("profile_parts", (), "\n" + "\nUNION ALL\n".join(
-    f"SELECT '{t}.parquet' AS FILE_NAME, count(*) AS NUM_ROWS, count(*) > 1 AS HAS_DATA FROM {t}"
+    f"SELECT '{t}.parquet' AS FILE_NAME, count(*) AS NUM_ROWS, count(*) > 1 AS HAS_DATA, "
+    f"(SELECT count(*) FROM duckdb_columns() WHERE table_name = '{t}') AS NUM_COLUMNS, "
+    f"(SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() "
+    f"WHERE table_name = '{t}' AND column_index <= 10) AS FIRST_COLUMNS FROM {t}"
     for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
               "embeddings", "pages", "benchmark", "labels", "conversations"]))
 

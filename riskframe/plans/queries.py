@@ -410,7 +410,8 @@ def clean_table(spark, sf_dir):
 @query("snapshot_diff")
 def snapshot_diff(spark, sf_dir):
     p = _fx(spark, sf_dir)["v_policy"]
-    return I.snapshot_diff(p, p.filter(F.col("START_DATE") < F.lit("2000-01-01").cast("date")))
+    d = I.snapshot_diff(p, p.filter(F.col("START_DATE") < F.lit("2000-01-01").cast("date")))
+    return d.withColumn("VEHICLE_VALUE", F.col("VEHICLE_VALUE").cast("decimal(38,4)"))
 
 
 @query("union_parts")

@@ -59,3 +59,15 @@ def test_no_python_udf_cartesian_or_nested_loop_in_any_plan(spark):
         text = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         bad = re.findall(r"BatchEvalPython|ArrowEvalPython|CartesianProduct|BroadcastNestedLoopJoin", text)
         assert not bad, (name, bad)
+
+
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "date": "DATE",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "tinyint": "TINYINT", "smallint": "SMALLINT"}
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_types_match_oracle(spark, duck, name):
+    st = dict(entry.queries()[name](spark, SF).dtypes)
+    rel = duck.sql(entry.oracle_sql()[name])
+    ot = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t.upper()) for c, t in st.items()} == ot
