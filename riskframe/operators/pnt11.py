@@ -60,30 +60,77 @@ def apply_mapping(df: DataFrame, coverage: DataFrame | Sequence[Mapping], vehicl
     return df.withColumns(cols)
 
 
-def summary_gwp(df: DataFrame) -> DataFrame:
+class Segments:
+    """The eight report keys are functions of (coverage entry, vehicle entry, age bucket). Each
+    distinct output tuple of a mapping gets an index (inputs mapping to the same tuple share
+    it), so one integer SEG = (coverage, vehicle, age) index identifies exactly one 8-key
+    tuple: summaries group and join on SEG (narrow shuffles) and the text keys are decoded
+    only on the final, small result."""
+
+    def __init__(self, coverage, vehicle, age_edges: Sequence, age_unit: str = "năm"):
+        cov, veh = mapping_rows(coverage), mapping_rows(vehicle)
+        last_cov = {str(r["cols"]): tuple("" if r.get(f) is None else str(r[f]) for f in COVERAGE_FIELDS) for r in cov}
+        last_veh = {str(r["cols"]): tuple("" if r.get(f) is None else str(r[f]) for f in VEHICLE_FIELDS) for r in veh}
+        self.cov = list(dict.fromkeys([*last_cov.values(), ("",) * len(COVERAGE_FIELDS)]))
+        self.veh = list(dict.fromkeys([*last_veh.values(), ("",) * len(VEHICLE_FIELDS)]))
+        edges, labels = unit_labels(age_edges, age_unit, locale="vi")
+        self.edges = edges
+        self.age = [(lab.split("-", 1)[1], lab.split("-", 1)[0]) for lab in labels] + [("NaN", "NaN")]
+        self.cov_of = {k: self.cov.index(v) for k, v in last_cov.items()}
+        self.veh_of = {k: self.veh.index(v) for k, v in last_veh.items()}
+
+    def _index(self, key: Column, of: dict[str, int], missing: int) -> Column:
+        if not of:
+            return F.lit(missing)
+        m = F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.lit(v))])
+        return F.coalesce(F.try_element_at(m, key.cast("string")), F.lit(missing))
+
+    def seg(self, coverage_col: str = "COVERAGE_ID", vehicle_col: str = "TYPE_VEHICLE",
+            age_col: str = "VEHICLE_AGE") -> Column:
+        nv, na = len(self.veh), len(self.age)
+        ci = self._index(F.col(coverage_col), self.cov_of, len(self.cov) - 1).cast("long")
+        vi = self._index(F.col(vehicle_col), self.veh_of, nv - 1).cast("long")
+        b = bucketize_col(numeric(age_col), self.edges, [str(i) for i in range(na - 1)])
+        ai = F.when(b == "NaN", F.lit(na - 1)).otherwise(b.try_cast("int")).cast("long")
+        return (ci * nv + vi) * na + ai
+
+    def decode(self, df: DataFrame, seg: str = "_SEG") -> DataFrame:
+        nv, na = len(self.veh), len(self.age)
+        s = F.col(seg)
+        ci, vi, ai = (s / (nv * na)).cast("long"), (s / na).cast("long") % nv, s % na
+        pick = lambda values, idx: F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+        cols = {f: pick([t[i] for t in self.cov], ci) for i, f in enumerate(COVERAGE_FIELDS)}
+        cols.update({f: pick([t[i] for t in self.veh], vi) for i, f in enumerate(VEHICLE_FIELDS)})
+        cols["VEHICLE_AGE_GROUP"] = pick([t[0] for t in self.age], ai)
+        cols["AGE_PNT_11_CODE"] = pick([t[1] for t in self.age], ai)
+        rest = [c for c in df.columns if c != seg]
+        return df.select(*[v.alias(k) for k, v in cols.items()], *rest)
+
+
+def summary_gwp(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """NUM_CARS = distinct REG_NO, SUM_ASSURED = Σ VEHICLE_VALUE, GROSS_PREMIUM = Σ GWP."""
-    return df.groupBy(*KEYS).agg(F.count_distinct("REG_NO").alias("NUM_CARS"),
+    return df.groupBy(*keys).agg(F.count_distinct("REG_NO").alias("NUM_CARS"),
                                  F.sum("VEHICLE_VALUE").alias("SUM_ASSURED"),
                                  F.sum("GWP").alias("GROSS_PREMIUM"))
 
 
-def summary_claim(df: DataFrame) -> DataFrame:
+def summary_claim(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """NUM_CLAIMS = distinct CLAIM_ID, CLAIM_PMT = Σ."""
-    return df.groupBy(*KEYS).agg(F.count_distinct("CLAIM_ID").alias("NUM_CLAIMS"),
+    return df.groupBy(*keys).agg(F.count_distinct("CLAIM_ID").alias("NUM_CLAIMS"),
                                  F.sum("CLAIM_PMT").alias("CLAIM_PMT"))
 
 
-def summary_reserve(df: DataFrame, template: str = "RES_PNT_11_01") -> DataFrame:
+def summary_reserve(df: DataFrame, template: str = "RES_PNT_11_01", keys: Sequence[str] = KEYS) -> DataFrame:
     """end reserves; template ``RES_PNT_11_02`` also carries the opening (BEG) reserves."""
     cols = ["UPR_END", "OSC_END", "LARC_RES_END"]
     if template == "RES_PNT_11_02":
         cols += ["UPR_BEG", "OSC_BEG", "LARC_RES_BEG"]
-    return df.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in cols])
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
 
 
-def summary_opening(prior_report: DataFrame) -> DataFrame:
+def summary_opening(prior_report: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """the prior report's end reserves become this report's opening reserves."""
-    return prior_report.groupBy(*KEYS).agg(F.sum("UPR_END").alias("UPR_BEG"), F.sum("OSC_END").alias("OSC_BEG"),
+    return prior_report.groupBy(*keys).agg(F.sum("UPR_END").alias("UPR_BEG"), F.sum("OSC_END").alias("OSC_BEG"),
                                            F.sum("LARC_RES_END").alias("LARC_RES_BEG"))
 
 
@@ -92,15 +139,15 @@ NUMERIC = ["NUM_CARS", "SUM_ASSURED", "GROSS_PREMIUM", "NUM_CLAIMS", "CLAIM_PMT"
 
 
 def combine_summaries(claim: DataFrame, gwp: DataFrame, reserve: DataFrame, opening: DataFrame | None = None,
-                      how: str = "inner") -> DataFrame:
+                      how: str = "inner", keys: Sequence[str] = KEYS) -> DataFrame:
     """F21 + D10: join the summaries on the eight keys (inner by default, as the reference, or
     ``how='full'``), null → 0, derived PERIOD / RES columns. A prior report wins over BEG columns
     already present in the reserves (the reference fails on the duplicate names)."""
     if opening is not None:
         reserve = reserve.drop(*[c for c in ("UPR_BEG", "OSC_BEG", "LARC_RES_BEG") if c in reserve.columns])
-    out = claim.join(gwp, KEYS, how).join(reserve, KEYS, how)
+    out = claim.join(gwp, list(keys), how).join(reserve, list(keys), how)
     if opening is not None:
-        out = out.join(opening, KEYS, how)
+        out = out.join(opening, list(keys), how)
     fills = {c: F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0) for c in NUMERIC}
     out = out.withColumns(fills)
     return out.withColumns({
@@ -115,11 +162,15 @@ def combine_summaries(claim: DataFrame, gwp: DataFrame, reserve: DataFrame, open
 def pnt11_report(premium: DataFrame, claims: DataFrame, reserves: DataFrame, coverage, vehicle, age_edges: Sequence,
                  age_unit: str = "năm", reserve_template: str = "RES_PNT_11_01", prior_report: DataFrame | None = None,
                  how: str = "inner", coverage_col: str = "COVERAGE_ID") -> DataFrame:
-    """The PNT-11 report in one call: map the three extracts (D11, E6), summarise each (F17-F19),
-    take the opening reserves from the prior report when given (F20; it wins over BEG columns of
-    the reserve template) and combine (F21). Opening reserves come from the ``RES_PNT_11_02``
-    template or a prior report."""
-    m = lambda df: apply_mapping(df, coverage, vehicle, age_edges, age_unit, coverage_col=coverage_col)
-    opening = summary_opening(prior_report) if prior_report is not None else None
-    return combine_summaries(summary_claim(m(claims)), summary_gwp(m(premium)),
-                             summary_reserve(m(reserves), reserve_template), opening, how=how)
+    """The PNT-11 report in one call: key the three extracts by segment (D11, E6), summarise each
+    (F17-F19), take the opening reserves from the prior report when given (F20; it wins over
+    BEG columns of the reserve template), combine (F21) and decode the eight text keys. The
+    prior report is an extract of the same shape (COVERAGE_ID, TYPE_VEHICLE, VEHICLE_AGE and
+    *_END columns)."""
+    sg = Segments(coverage, vehicle, age_edges, age_unit)
+    k = ["_SEG"]
+    m = lambda df, cc=coverage_col: df.withColumn("_SEG", sg.seg(cc))
+    opening = summary_opening(m(prior_report), k) if prior_report is not None else None
+    out = combine_summaries(summary_claim(m(claims), k), summary_gwp(m(premium), k),
+                            summary_reserve(m(reserves), reserve_template, k), opening, how=how, keys=k)
+    return sg.decode(out)

@@ -24,6 +24,14 @@ def mapped(fx: Fixtures, view: str, coverage_col: str = "COVERAGE_ID") -> DataFr
                                coverage_col=coverage_col)
 
 
+def segments(fx: Fixtures) -> pnt11.Segments:
+    return pnt11.Segments(fx["m_coverage"], fx["m_vehicle"], AGE_EDGES, AGE_UNIT)
+
+
+def keyed(fx: Fixtures, view: str, sg: pnt11.Segments, coverage_col: str = "COVERAGE_ID") -> DataFrame:
+    return fx[view].withColumn("_SEG", sg.seg(coverage_col))
+
+
 def periods():
     y, code, v = REPORT
     return ledger.report_period(y, code, v, False), ledger.report_period(y, code, v, True)

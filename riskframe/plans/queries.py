@@ -190,14 +190,18 @@ def apply_mapping(spark, sf_dir):
 
 @query("pnt11_gwp")
 def pnt11_gwp(spark, sf_dir):
-    s = P.summary_gwp(mof.mapped(_fx(spark, sf_dir), "v_mof_premium"))
+    fx = _fx(spark, sf_dir)
+    sg = mof.segments(fx)
+    s = sg.decode(P.summary_gwp(mof.keyed(fx, "v_mof_premium", sg), ["_SEG"]))
     return s.select(*P.KEYS, "NUM_CARS", F.col("SUM_ASSURED").cast("decimal(38,4)").alias("SUM_ASSURED"),
                     F.col("GROSS_PREMIUM").cast("decimal(38,4)").alias("GROSS_PREMIUM"))
 
 
 @query("pnt11_claims")
 def pnt11_claims(spark, sf_dir):
-    s = P.summary_claim(mof.mapped(_fx(spark, sf_dir), "v_mof_claim"))
+    fx = _fx(spark, sf_dir)
+    sg = mof.segments(fx)
+    s = sg.decode(P.summary_claim(mof.keyed(fx, "v_mof_claim", sg), ["_SEG"]))
     return s.select(*P.KEYS, "NUM_CLAIMS", F.col("CLAIM_PMT").cast("decimal(38,4)").alias("CLAIM_PMT"))
 
 
@@ -206,27 +210,36 @@ _RES = ["UPR_END", "OSC_END", "LARC_RES_END", "UPR_BEG", "OSC_BEG", "LARC_RES_BE
 
 @query("pnt11_reserves")
 def pnt11_reserves(spark, sf_dir):
-    s = P.summary_reserve(mof.mapped(_fx(spark, sf_dir), "v_reserve", "USAGE_CODE"), "RES_PNT_11_02")
+    fx = _fx(spark, sf_dir)
+    sg = mof.segments(fx)
+    s = sg.decode(P.summary_reserve(mof.keyed(fx, "v_reserve", sg, "USAGE_CODE"), "RES_PNT_11_02", ["_SEG"]))
     return s.select(*P.KEYS, *[F.col(c).cast("decimal(38,4)").alias(c) for c in _RES])
 
 
 @query("pnt11_opening")
 def pnt11_opening(spark, sf_dir):
-    s = P.summary_opening(mof.mapped(_fx(spark, sf_dir), "v_reserve", "USAGE_CODE"))
+    fx = _fx(spark, sf_dir)
+    sg = mof.segments(fx)
+    s = sg.decode(P.summary_opening(mof.keyed(fx, "v_reserve", sg, "USAGE_CODE"), ["_SEG"]))
     return s.select(*P.KEYS, *[F.col(c).cast("decimal(38,4)").alias(c) for c in _RES[3:]])
 
 
+_PNT_MONEY = [c for c in P.NUMERIC if c not in ("NUM_CARS", "NUM_CLAIMS")] + \
+    ["UPR_PERIOD", "OSC_PERIOD", "LARC_RES_PERIOD", "RES_END", "RES_BEG", "RES_PERIOD"]
+
+
+def _pnt11_out(out):
+    return out.select(*P.KEYS, F.col("NUM_CARS").cast("long").alias("NUM_CARS"),
+                      F.col("NUM_CLAIMS").cast("long").alias("NUM_CLAIMS"),
+                      *[F.col(c).cast("decimal(38,4)").alias(c) for c in _PNT_MONEY])
+
+
 @query("pnt11_combined")
 def pnt11_combined(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    out = P.combine_summaries(P.summary_claim(mof.mapped(fx, "v_mof_claim")),
-                              P.summary_gwp(mof.mapped(fx, "v_mof_premium")),
-                              P.summary_reserve(mof.mapped(fx, "v_reserve", "USAGE_CODE"), "RES_PNT_11_02"))
-    money = [c for c in P.NUMERIC if c not in ("NUM_CARS", "NUM_CLAIMS")] + \
-        ["UPR_PERIOD", "OSC_PERIOD", "LARC_RES_PERIOD", "RES_END", "RES_BEG", "RES_PERIOD"]
-    return out.select(*P.KEYS, F.col("NUM_CARS").cast("long").alias("NUM_CARS"),
-                      F.col("NUM_CLAIMS").cast("long").alias("NUM_CLAIMS"),
-                      *[F.col(c).cast("decimal(38,4)").alias(c) for c in money])
+    res = fx["v_reserve"].withColumnRenamed("USAGE_CODE", "COVERAGE_ID")
+    return _pnt11_out(P.pnt11_report(fx["v_mof_premium"], fx["v_mof_claim"], res, fx["m_coverage"], fx["m_vehicle"],
+                                     mof.AGE_EDGES, mof.AGE_UNIT, reserve_template="RES_PNT_11_02"))
 
 
 # ---------------------------------------------------------------- ledger
@@ -484,16 +497,9 @@ def nway_complete_text(spark, sf_dir):
 @query("pnt11_combined_prior")
 def pnt11_combined_prior(spark, sf_dir):
     """PNT-11 with end reserves only (template RES_PNT_11_01) and opening reserves taken from a
-    prior report (here the previous report is the mapped reserve extract itself): the four-way
+    prior report (here the previous report is the reserve extract itself): the four-way
     combination of D10 with F20."""
-    from riskframe.operators.pnt11 import pnt11_report
     fx = _fx(spark, sf_dir)
     res = fx["v_reserve"].withColumnRenamed("USAGE_CODE", "COVERAGE_ID")
-    prior = mof.mapped(fx, "v_reserve", "USAGE_CODE")
-    out = pnt11_report(fx["v_mof_premium"], fx["v_mof_claim"], res, fx["m_coverage"], fx["m_vehicle"], mof.AGE_EDGES,
-                       mof.AGE_UNIT, reserve_template="RES_PNT_11_01", prior_report=prior)
-    money = [c for c in P.NUMERIC if c not in ("NUM_CARS", "NUM_CLAIMS")] + \
-        ["UPR_PERIOD", "OSC_PERIOD", "LARC_RES_PERIOD", "RES_END", "RES_BEG", "RES_PERIOD"]
-    return out.select(*P.KEYS, F.col("NUM_CARS").cast("long").alias("NUM_CARS"),
-                      F.col("NUM_CLAIMS").cast("long").alias("NUM_CLAIMS"),
-                      *[F.col(c).cast("decimal(38,4)").alias(c) for c in money])
+    return _pnt11_out(P.pnt11_report(fx["v_mof_premium"], fx["v_mof_claim"], res, fx["m_coverage"], fx["m_vehicle"],
+                                     mof.AGE_EDGES, mof.AGE_UNIT, reserve_template="RES_PNT_11_01", prior_report=res))

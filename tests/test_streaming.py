@@ -36,3 +36,26 @@ def test_pnt11_report_one_call_equals_registered_query(spark):
     a = {tuple(r[k] for k in key): float(r.RES_PERIOD) for r in rep.collect()}
     b = {tuple(r[k] for k in key): float(r.RES_PERIOD) for r in q.collect()}
     assert a == b and len(a) > 0
+
+
+def test_segments_equal_text_key_grouping(spark):
+    from decimal import Decimal
+
+    from riskframe.functions.buckets import INF
+    from riskframe.operators import pnt11 as P
+    cov = [{"cols": "A", "PROD_MOF_CODE": "01", "PROD_MOF_NAME": "Motor"},
+           {"cols": "B", "PROD_MOF_CODE": "01", "PROD_MOF_NAME": "Motor"},      # same output tuple as A
+           {"cols": "C", "PROD_MOF_CODE": "02", "PROD_MOF_NAME": "Other"}]
+    veh = [{"cols": "car", "PNT_11_CODE": "1", "PNT_11_NAME": "Car", "SUB_PNT_11_CODE": "11", "SUB_PNT_11_NAME": "Small"}]
+    rows = [("A", "car", 1, "r1", Decimal("1"), Decimal("10")), ("B", "car", 2, "r2", Decimal("2"), Decimal("20")),
+            ("C", "truck", 7, "r3", Decimal("3"), Decimal("30")), ("Z", "car", None, "r1", Decimal("4"), Decimal("40")),
+            ("A", "car", 99, "r4", Decimal("5"), Decimal("50"))]
+    df = spark.createDataFrame(rows, "COVERAGE_ID string, TYPE_VEHICLE string, VEHICLE_AGE int, REG_NO string, "
+                                     "VEHICLE_VALUE decimal(20,4), GWP decimal(20,4)")
+    edges = [0, 3, 6, INF]
+    by_text = P.summary_gwp(P.apply_mapping(df, cov, veh, edges))
+    sg = P.Segments(cov, veh, edges)
+    by_seg = sg.decode(P.summary_gwp(df.withColumn("_SEG", sg.seg()), ["_SEG"]))
+    norm = lambda d: sorted(tuple(r[c] for c in P.KEYS + ["NUM_CARS", "SUM_ASSURED", "GROSS_PREMIUM"]) for r in d.collect())
+    assert norm(by_text) == norm(by_seg)
+    assert len(norm(by_seg)) == 4            # A and B share a segment; unmapped and NaN ages get their own
