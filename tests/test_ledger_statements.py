@@ -80,3 +80,17 @@ def test_mapping_guard_and_financial_report(spark):
     assert set(rep) == {"trial_balance", "balance_sheet", "pl01", "pl02", "cf01", "cf02"}
     bs = {r.code: r.CURRENT_AMOUNT for r in rep["balance_sheet"].collect()}
     assert bs["270"] == bs["440"]
+
+
+def test_ledger_summary_path_equals_raw_path(spark):
+    from riskframe.plans import mof
+    from riskframe.sources.fixtures import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    period, ytd = mof.periods()
+    mapped = mof.gl_mapped(fx)
+    summary = ledger.ledger_summary(mapped, period, ytd)
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(ledger.trial_balance(summary)) == rows(ledger.trial_balance(mapped))
+    assert rows(statements.profit_loss(summary, fx["t_pl01"], period, ytd)) == \
+        rows(statements.profit_loss(mapped, fx["t_pl01"], period, ytd))
+    assert rows(statements.cash_flow(summary, fx["t_cf01"], ytd)) == rows(statements.cash_flow(mapped, fx["t_cf01"], ytd))
