@@ -71,3 +71,17 @@ def test_query_types_match_oracle(spark, duck, name):
     rel = duck.sql(entry.oracle_sql()[name])
     ot = dict(zip(rel.columns, [str(t) for t in rel.types]))
     assert {c: SPARK_TO_DUCK.get(t, t.upper()) for c, t in st.items()} == ot
+
+
+@pytest.mark.parametrize("name", ["exposure_split", "date_multi_format", "clean_table", "report_period", "profit_loss"])
+def test_date_queries_do_not_depend_on_session_time_zone(spark, duck, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Ho_Chi_Minh")
+    try:
+        sdf = entry.queries()[name](spark, SF)
+        srows = [tuple(r) for r in sdf.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    res = duck.execute(entry.oracle_sql()[name])
+    ocols = [d[0] for d in res.description]
+    assert _rows(sdf.columns, srows) == _rows(ocols, res.fetchall())
