@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import common, language, toxicity
+from riskframe.llm import bpe, common, language, packing, toxicity
+
+
+def vocabulary() -> str:
+    """The vocabulary file that the token queries use."""
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +28,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "passages")
 
 
-REGISTRY = {f.__name__: f for f in (op1_language_id, op3_toxicity)}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary()
+    return bpe.encode_digests(docs, bpe.fit_lexicon(docs, path), path).drop("text")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary())
+
+
+REGISTRY = {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_bpe, op9_best_fit_packing)}
 
 ORACLE: dict[str, str] = {}
