@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, common, language, packing, toxicity
+from riskframe.llm import bpe, common, language, packing, repeats, simhash, toxicity
 
 
 def vocabulary() -> str:
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(common.table(spark, sf_dir, "documents"), size=100)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, common.table(spark, sf_dir, "labels"))
@@ -28,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "passages")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary()
@@ -38,6 +46,6 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
-REGISTRY = {f.__name__: f for f in (op1_language_id, op3_toxicity, op6_bpe, op9_best_fit_packing)}
+REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_toxicity, op4_simhash, op6_bpe, op9_best_fit_packing)}
 
 ORACLE: dict[str, str] = {}
