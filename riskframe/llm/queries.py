@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, common, language, packing, repeats, simhash, toxicity
+from riskframe.llm import bpe, common, language, packing, quality, repeats, simhash, toxicity
 
 
 def vocabulary() -> str:
@@ -36,6 +36,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op5_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.quality_verdicts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary()
@@ -46,6 +51,6 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
-REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_toxicity, op4_simhash, op6_bpe, op9_best_fit_packing)}
+REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_toxicity, op4_simhash, op5_token_fertility, op6_bpe, op9_best_fit_packing)}
 
 ORACLE: dict[str, str] = {}
