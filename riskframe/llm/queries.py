@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, common, language, packing, quality, repeats, simhash, toxicity
+from riskframe.llm import bpe, common, html, language, packing, quality, repeats, simhash, toxicity
 
 
 def vocabulary() -> str:
@@ -51,6 +51,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
-REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_toxicity, op4_simhash, op5_token_fertility, op6_bpe, op9_best_fit_packing)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(common.table(spark, sf_dir, "pages"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_toxicity, op4_simhash, op5_token_fertility, op6_bpe, op9_best_fit_packing, op10_main_text)}
 
 ORACLE: dict[str, str] = {}
