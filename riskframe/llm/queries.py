@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, common, html, language, packing, quality, repeats, simhash, toxicity
+from riskframe.llm import bpe, common, hamming, html, language, packing, quality, repeats, simhash, tokencount, toxicity
 
 
 def vocabulary() -> str:
@@ -47,6 +48,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, bpe.fit_lexicon(docs, path), path).drop("text")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.search(rows, rows.where(F.col("vec_id") % 50 == 0), k=10)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,6 +66,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(common.table(spark, sf_dir, "pages"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_toxicity, op4_simhash, op5_token_fertility, op6_bpe, op9_best_fit_packing, op10_main_text)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_toxicity, op4_simhash, op5_token_fertility, op6_bpe, op7_top_k, op8_token_counts, op9_best_fit_packing, op10_main_text, pipeline)}
 
 ORACLE: dict[str, str] = {}

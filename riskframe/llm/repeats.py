@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.llm import common
 
@@ -300,24 +301,30 @@ def removed_spans(positions: list[int], size: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text",
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``).
 
+    ``carry`` names columns of ``docs`` that come along as one struct ``carried``.
+
     A null text is empty; texts shorter than ``size`` bytes lose nothing; a null id comes before
-    all ids. ``kept`` is the remaining bytes (binary).
+    all ids. ``kept`` is the remaining text, without the parts of characters that a cut left over.
     """
     if not GRAM < size < GRAM + 120:
         raise ValueError(f"size must lie between {GRAM + 1} and {GRAM + 119}")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
         .withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 21)))
-    rows = texts.where(F.octet_length("text") >= size).mapInArrow(_index_rows(size), _RUN)
+    if carry:
+        rest = F.struct(*[F.col(c) for c in carry])
+        texts = docs.select(rest.alias("carried"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
+            .withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 21)))
+    extra = ["carried"] if carry else []
+    rows = texts.select("doc", "text", "tag").where(F.octet_length("text") >= size).mapInArrow(_index_rows(size), _RUN)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     verdicts = rows.repartition(parts, "key").sortWithinPartitions("key", "ctx", "doc", "pos") \
         .mapInArrow(_verdicts, "doc long, pos long, key long")
     runs = verdicts.withColumn("tag", F.shiftrightunsigned("pos", 42)).groupBy("doc", "tag") \
         .agg(F.collect_list(F.struct("pos", "key")).alias("runs"))
-    # a left join as below: both then read one exchange of the texts
-    opened = texts.join(runs.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs") \
+    opened = texts.join(runs.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "text", "runs", *extra) \
         .mapInArrow(_open_bytes(size), "key long, doc long, pos long, data binary")
     found = opened.repartition(parts, "key").sortWithinPartitions("key", "doc", "pos") \
         .mapInArrow(_order_open(size), "doc long, pos long")
@@ -336,12 +343,13 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
                     gone.append(len(raw) - len(kept))
                     count.append(len(cut))
                     sha.append(hashlib.sha256(kept).hexdigest())
-                    left.append(kept if with_text else None)
+                    left.append(kept.decode("utf-8", "ignore") if with_text else None)
                 ids = part.column(0)
                 ids = pc.if_else(pc.equal(ids, _NULL_ID), pa.scalar(None, pa.int64()), ids)
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (n, gone, count)], pa.array(sha, pa.string()), pa.array(left, pa.binary())],
-                                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (n, gone, count)], pa.array(sha, pa.string()), pa.array(left, pa.string()), *part.columns[3:]],
+                                                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *extra])
 
-    out = texts.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "spans") \
-        .mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = texts.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "spans", *extra)
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = out.mapInArrow(finish, T.StructType([*schema.fields, *[out.schema[c] for c in extra]]))
     return out if with_text else out.drop("kept")
