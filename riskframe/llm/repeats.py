@@ -324,7 +324,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
         .mapInArrow(_verdicts, "doc long, pos long, key long")
     runs = verdicts.withColumn("tag", F.shiftrightunsigned("pos", 42)).groupBy("doc", "tag") \
         .agg(F.collect_list(F.struct("pos", "key")).alias("runs"))
-    opened = texts.join(runs.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "text", "runs", *extra) \
+    # a left join as below: both then read one exchange of the texts
+    opened = texts.join(runs.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", *extra) \
         .mapInArrow(_open_bytes(size), "key long, doc long, pos long, data binary")
     found = opened.repartition(parts, "key").sortWithinPartitions("key", "doc", "pos") \
         .mapInArrow(_order_open(size), "doc long, pos long")
