@@ -30,10 +30,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id; repeated ids keep one row."""
+    """One document of each group of near copies, the one of the smallest id; repeated ids keep one row.
+
+    Rows without an id cannot be told apart: they go if one of them is a copy of a row with an id.
+    """
     groups = simhash.near_duplicates(docs, words=4, radius=4)
-    gone = common.written(groups.where("doc_id <> component_id").select("doc_id"))
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    gone = common.written(groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")))
+    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
 

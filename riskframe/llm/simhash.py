@@ -37,6 +37,8 @@ MAX_LEVELS = 12
 #: Members of a branch that are compared outright.
 LEAF = 128
 
+#: Stands for a null id while classes are linked.
+_NO_ID = 2**63 - 1
 _BIT_SUMS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
 
 
@@ -249,9 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3, segments:
     too. A null id takes part like any other and is never the smallest of a group that has an id.
     """
     prints = common.checkpointed(fingerprints(docs, words, id_col, text_col))
-    classes = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = connected_components(link_fingerprints(classes.where("rep is not null"), radius, segments))
+    classes = common.checkpointed(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep")))
+    groups = connected_components(link_fingerprints(classes, radius, segments))
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
+        .select("fp", F.nullif(F.coalesce("component", "rep"), F.lit(_NO_ID)).alias("component_id"))
     return prints.join(named, "fp") \
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
