@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "exposure_split", "claims_attached", "nway_1", "nway_2", "nway_all_pairs", "nway_coverage_code",
     "pnt11_combined", "trial_balance_opening", "balance_sheet", "profit_loss", "cash_flow_indirect",
-    "validate_columns", "reg_no_standardized", "clean_table", "snapshot_diff",
+    "validate_columns", "claims_reconcile", "exposure_reconcile", "low_cardinality", "reg_no_standardized", "clean_table", "snapshot_diff",
 ]
 
 
@@ -29,7 +29,8 @@ def main() -> None:
     # one shuffle partition per core at this scale; AQE coalesces further (clusters size this from
     # the data: spark.sql.shuffle.partitions ≈ shuffle bytes / 128 MB)
     shuffle = os.environ.get("BENCH_SHUFFLE", cpus)
-    spark = get_spark(master=f"local[{cpus}]", **{"spark.sql.shuffle.partitions": shuffle})
+    spark = get_spark(master=f"local[{cpus}]", **{"spark.sql.shuffle.partitions": shuffle,
+                                                     "spark.riskframe.spread": "true"})
     from riskframe.plans.queries import REGISTRY
     names = list(REGISTRY) if os.environ.get("BENCH_ALL") == "1" else [n for n in HEADLINE if n in REGISTRY]
     times: dict[str, float] = {}

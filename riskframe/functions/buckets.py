@@ -29,60 +29,45 @@ def _check_edges(edges: Sequence[float]) -> None:
             raise ValueError(f"bucket edges must increase strictly, got {list(edges)}")
 
 
-def _amount_text(v: float, threshold: float) -> str:
-    if v >= threshold:
-        return f"{v / threshold:.2f}bn"
-    return f"{v / 1000000:.0f}m"
+# Label wording by the interval's place (amounts; unit buckets in English and, for
+# PNT-11, Vietnamese).
+AMOUNT_WORDING = {"first": "From 0 to {high}", "last": "Above {low}", "mid": "Above {low} to {high}"}
+UNIT_WORDING = {
+    "en": {"first": "Under {high} {unit}", "last": "From {low} {unit} and above", "mid": "From {low} to {high} {unit}"},
+    "vi": {"first": "Dưới {high} {unit}", "last": "Từ {low} {unit} trở lên", "mid": "Từ {low} đến {high} {unit}"},
+}
+
+
+def _worded(words: dict[str, str], lows: list, highs: list, open_ended: bool, **more: str) -> list[str]:
+    """Numbered label per interval: the first, those between, and an open last one have their own wording."""
+    places = ["first", *["mid"] * (len(lows) - 1)]
+    if open_ended and len(places) > 1:
+        places[-1] = "last"
+    texts = [words[p].format(low=a, high=b, **more) for p, a, b in zip(places, lows, highs, strict=True)]
+    return [f"{k:02d}-{t}" for k, t in enumerate(texts, start=1)]
 
 
 def amount_labels(edges: Sequence, billion_threshold: float = 1e9) -> tuple[list[float], list[str]]:
     """``01-From 0 to 400m``, ``02-Above 400m to 1.00bn``, ``03-Above 1.00bn``; edges unchanged."""
-    edges = parse_edges(edges)
-    _check_edges(edges)
-    labels = []
-    for i in range(len(edges) - 1):
-        cur, nxt = edges[i], edges[i + 1]
-        if i == 0:
-            text = f"From 0 to {_amount_text(nxt, billion_threshold)}"
-        elif nxt == INF:
-            text = f"Above {_amount_text(cur, billion_threshold)}"
-        else:
-            text = f"Above {_amount_text(cur, billion_threshold)} to {_amount_text(nxt, billion_threshold)}"
-        labels.append(f"{i + 1:02d}-{text}")
-    return list(edges), labels
-
-
-# Label wording per locale for unit buckets (English; Vietnamese for PNT-11).
-UNIT_WORDING = {
-    "en": {"first": "Under {hi} {unit}", "last": "From {lo} {unit} and above", "mid": "From {lo} to {hi_1} {unit}"},
-    "vi": {"first": "Dưới {hi} {unit}", "last": "Từ {lo} {unit} trở lên", "mid": "Từ {lo} đến {hi_1} {unit}"},
-}
+    cuts = parse_edges(edges)
+    _check_edges(cuts)
+    money = [f"{v / billion_threshold:.2f}bn" if v >= billion_threshold else f"{v / 1e6:.0f}m" for v in cuts]
+    return cuts, _worded(AMOUNT_WORDING, money[:-1], money[1:], math.isinf(cuts[-1]))
 
 
 def unit_labels(edges: Sequence, unit: str, locale: str = "en") -> tuple[list[float], list[str]]:
-    """Integer ranges. Inner edges move down by one so ``[0,3,6,inf]`` buckets as
-    ``[0,2] (2,5] (5,inf)`` with labels ``Under 3``, ``From 3 to 5``, ``From 6 and above``.
-    The last edge must be +inf (otherwise edges and labels disagree)."""
-    edges = parse_edges(edges)
-    _check_edges(edges)
-    if edges[-1] != INF:
-        raise ValueError(f"unit buckets need +inf as the last edge, got {edges}")
-    words = UNIT_WORDING[locale]
-    labels, shifted = [], [edges[0]]
-    for i in range(len(edges) - 1):
-        lo, hi = int(edges[i]), edges[i + 1]
-        if i == 0:
-            text = words["first"].format(hi=int(hi), unit=unit)
-        elif hi == INF:
-            text = words["last"].format(lo=lo, unit=unit)
-        else:
-            text = words["mid"].format(lo=lo, hi_1=int(hi) - 1, unit=unit)
-        labels.append(f"{i + 1:02d}-{text}")
-        if i < len(edges) - 2:
-            shifted.append(INF if hi == INF else float(int(hi) - 1))
-    shifted.append(INF)
-    _check_edges(shifted)
-    return shifted, labels
+    """Whole numbers. ``[0,3,6,inf]`` cuts at ``[0,2] (2,5] (5,inf)`` with labels
+    ``Under 3``, ``From 3 to 5``, ``From 6 and above``: an inner edge belongs to the bucket above
+    it, so the right-closed cut lies one below. The last edge must be +inf."""
+    starts = parse_edges(edges)
+    _check_edges(starts)
+    if starts[-1] != INF:
+        raise ValueError(f"unit buckets need +inf as the last edge, got {starts}")
+    inner = [int(e) for e in starts[1:-1]]
+    tops = [*inner[:1], *[e - 1 for e in inner[1:]], INF]  # the first label names the edge itself
+    cuts = [starts[0], *[float(e - 1) for e in inner], INF]
+    _check_edges(cuts)
+    return cuts, _worded(UNIT_WORDING[locale], [int(e) for e in starts[:-1]], tops, True, unit=unit)
 
 
 def bucketize_col(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -148,14 +133,3 @@ def bucketize_from_settings(df: DataFrame, groups: dict[str, dict]) -> DataFrame
     if not specs:
         raise ValueError("no bucket settings")
     return bucketize_all(df, specs)
-
-
-def sql_case(expr: str, edges: Sequence[float], labels: Sequence[str]) -> str:
-    """The same cut as portable SQL text (used by the oracle and by SQL users)."""
-    parts = []
-    for i, label in enumerate(labels):
-        lo, hi = edges[i], edges[i + 1]
-        lower = f"{expr} >= {lo!r}" if i == 0 else f"{expr} > {lo!r}"
-        cond = lower if math.isinf(hi) else f"{lower} AND {expr} <= {hi!r}"
-        parts.append(f"WHEN {cond} THEN '{label}'")
-    return "CASE " + " ".join(parts) + f" ELSE '{UNBUCKETED}' END"

@@ -12,12 +12,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.numeric import to_number
 from riskframe.functions.text import coverage_prefix
-from riskframe.operators.validate import ColumnSetting
+from riskframe.operators.validate import DATE_FORMATS, ColumnSetting
 
 # Import date formats tried in order (strptime spelling → Spark pattern).
 IMPORT_DATE_FORMATS = [("%d/%m/%Y %H:%M", "d/M/yyyy H:m"), ("%d/%m/%Y", "d/M/yyyy"),
                        ("%Y-%m-%d %H:%M:%S", "yyyy-M-d H:m:s"), ("%Y-%m-%d", "yyyy-M-d")]
+# After them, every other format that validation accepts, so a validated date is never lost.
+ALL_DATE_FORMATS = [*IMPORT_DATE_FORMATS, *[f for f in DATE_FORMATS if f not in IMPORT_DATE_FORMATS]]
 NULL_TEXTS = ("", "nan", "NaN", "None", "NaT")
 
 
@@ -48,14 +51,14 @@ def date_format_choice(df: DataFrame, columns: Sequence[str]) -> dict[str, str |
     aggs = []
     for i, c in enumerate(columns):
         v = F.trim(F.col(f"`{c}`").cast("string"))
-        for j, (_, p) in enumerate(IMPORT_DATE_FORMATS):
+        for j, (_, p) in enumerate(ALL_DATE_FORMATS):
             aggs.append(F.count_if(~_blank(v) & F.try_to_timestamp(v, F.lit(p)).isNull()).alias(f"_{i}_{j}"))
     if not aggs:
         return {}
     r = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(columns):
-        out[c] = next((p for j, (_, p) in enumerate(IMPORT_DATE_FORMATS) if r[f"_{i}_{j}"] == 0), None)
+        out[c] = next((p for j, (_, p) in enumerate(ALL_DATE_FORMATS) if r[f"_{i}_{j}"] == 0), None)
     return out
 
 
@@ -64,7 +67,7 @@ def to_date_multi(c: str, chosen: str | None) -> Column:
     v = F.trim(F.col(f"`{c}`").cast("string"))
     if chosen is not None:
         return F.to_date(F.try_to_timestamp(v, F.lit(chosen)))
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for _, p in IMPORT_DATE_FORMATS]))
+    return F.to_date(F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for _, p in ALL_DATE_FORMATS]))
 
 
 def convert_types(df: DataFrame, settings: Sequence[ColumnSetting], integer_null: int | None = None,
@@ -80,9 +83,9 @@ def convert_types(df: DataFrame, settings: Sequence[ColumnSetting], integer_null
         if t == "date":
             cols[c] = to_date_multi(c, chosen.get(c))
         elif t in ("double", "integer"):
-            x = F.col(f"`{c}`").cast("string").try_cast("double")
+            x = to_number(F.col(f"`{c}`"))
             if t == "integer":
-                x = x.cast("long")
+                x = x.try_cast("long")  # beyond 64 bits: null
                 if integer_null is not None:
                     x = F.coalesce(x, F.lit(integer_null).cast("long"))
             cols[c] = x
@@ -138,17 +141,17 @@ def clean_table(df: DataFrame, date_words: Sequence[str] = ("date", "time")) ->
     df = df.na.drop(how="all")
     texts = [c for c, t in df.dtypes if t == "string"]
     agg = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_nn{i}") for i, c in enumerate(df.columns)],
-                 *[F.count(F.col(f"`{c}`").try_cast("double")).alias(f"_num{i}") for i, c in enumerate(texts)]).first()
+                 *[F.count(to_number(F.col(f"`{c}`"))).alias(f"_num{i}") for i, c in enumerate(texts)]).first()
     keep = [c for i, c in enumerate(df.columns) if agg[f"_nn{i}"] > 0]
     numeric = {c for i, c in enumerate(texts) if agg[f"_num{i}"] > 0}
     cols = []
     for c in keep:
         e = F.col(f"`{c}`")
         if c in numeric:
-            e = e.try_cast("double")
+            e = to_number(e)
         if any(w in c.lower() for w in date_words):
             v = e.cast("string")
-            e = (F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for _, p in IMPORT_DATE_FORMATS]) if c not in numeric
+            e = (F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for _, p in ALL_DATE_FORMATS]) if c not in numeric
                  else F.lit(None).cast("timestamp")).cast("timestamp_ntz")
         cols.append(e.alias(c))
     return df.select(*cols)
@@ -158,9 +161,11 @@ def snapshot_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows (with multiplicity) only in the new or only in the old snapshot, tagged by side.
     Column sets must agree (else everything differs; compare schemas first)."""
     cols = new.columns
-    old = old.select(*cols)
-    return (new.exceptAll(old).withColumn("SIDE", F.lit("new"))
-               .unionByName(old.exceptAll(new).withColumn("SIDE", F.lit("old"))))
+    both = new.withColumn("_n", F.lit(1)).unionByName(old.select(*cols).withColumn("_n", F.lit(-1)))
+    # one pass over each side: the sign of the count says where a row is in excess, and how often
+    left = both.groupBy(*cols).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+    return left.withColumn("SIDE", F.when(F.col("_n") > 0, F.lit("new")).otherwise(F.lit("old"))) \
+        .withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))).select(*cols, "SIDE")
 
 
 def snapshot_changed(new: DataFrame, old: DataFrame) -> bool:

@@ -1,8 +1,8 @@
 """General-ledger mapping and the trial balance.
 
 The ledger is an account / contra-account journal (every line stored once from each side), so
-both amounts are summed under the debit-side account. The chart of accounts is small but comes
-from a table, so it is broadcast only behind a row-count check.
+both amounts are summed under the debit-side account. The chart of accounts is joined plainly: the
+planner broadcasts it by its size in bytes, or shuffles.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ TB_KEYS = ["ACCOUNT", "AG_CODE", "BS_CODE", "PL_CODE"]
 TB_COLUMNS = TB_KEYS + ["OPENING_DEBIT_AMOUNT", "OPENING_CREDIT_AMOUNT", "PERIOD_DEBIT_AMOUNT",
                         "PERIOD_CREDIT_AMOUNT", "CLOSING_DEBIT_AMOUNT", "CLOSING_CREDIT_AMOUNT", "CLOSING_NET_AMOUNT"]
 MONEY = "decimal(38,4)"
-BROADCAST_ROWS = 1_000_000
 
 
 def report_period(year: int, code: str, value: int, accumulated: bool = False) -> tuple[dt.date, dt.date]:
@@ -66,12 +65,6 @@ def gl_checks(gl: DataFrame, start: dt.date, end: dt.date, closing_account: str
                    .alias("HAS_CLOSING_ACCOUNT"))
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup side only when a bounded count proves it small."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def map_accounts(gl: DataFrame, accounts: DataFrame, check: bool = False, start: dt.date | None = None,
                  end: dt.date | None = None) -> DataFrame:
     """G11 (D1, D2): attach DEBIT_SM/BS/PL and CREDIT_SM/BS/PL from the chart of accounts (left
@@ -82,7 +75,7 @@ def map_accounts(gl: DataFrame, accounts: DataFrame, check: bool = False, start:
             raise ValueError(f"INVOICE_DATE outside {start}..{end}: {r['ROWS_OUTSIDE_PERIOD']} rows")
         if not r["HAS_CLOSING_ACCOUNT"]:
             raise ValueError("closing account 911 does not occur in the ledger")
-    acc = _maybe_broadcast(accounts.select("code", "accountSM", "accountBS", "accountPL"))
+    acc = accounts.select("code", "accountSM", "accountBS", "accountPL")  # broadcast where the planner sees it is small
     deb = acc.select(F.col("code").alias("_dcode"), F.col("accountSM").alias("DEBIT_SM"),
                      F.col("accountBS").alias("DEBIT_BS"), F.col("accountPL").alias("DEBIT_PL"))
     cre = acc.select(F.col("code").alias("_ccode"), F.col("accountSM").alias("CREDIT_SM"),

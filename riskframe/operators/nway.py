@@ -34,7 +34,6 @@ from pyspark.sql.window import Window
 
 from riskframe.functions.numeric import round_half_even
 
-MAX_GRID = 1_000_000          # cells of a completion grid built on the driver (plan-time label lists)
 METRIC_COLUMNS = ["NUM_POLS", "NUM_CLAIMS", "EXPOSURE_YEAR", "EXPOSURE_PREM", "CLAIM_PMT", "FREQUENCY",
                   "SEVERITY", "AVG_PREMIUM", "PURE_PREMIUM", "LOSS_RATIO", "GWP_%", "SUM_ASSURED",
                   "AVG_SUM_ASSURED"]
@@ -238,43 +237,36 @@ def n_way_codes(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str, str]])
     return n_way(df, spec, codes=[*codes, (None, None)])
 
 
-MAX_DOMAIN = 10_000          # distinct values of one categorical factor read to build a grid
+def factor_domain(df: DataFrame, factor: str, labels: Sequence[str] | None = None) -> DataFrame:
+    """The categories of one factor over the whole table (not a year slice) as one column
+    ``VALUE``: a bucket's label list, plus whatever other value (``NaN``) the rows have, or the
+    distinct values of a text factor."""
+    seen = df.select(F.col(factor).cast("string").alias("VALUE")).where(F.col("VALUE").isNotNull()).distinct()
+    return seen if labels is None else seen.unionByName(_values(df, labels)).distinct()
 
 
-def factor_domain(df: DataFrame, factor: str, labels: Sequence[str] | None = None,
-                  max_values: int = MAX_DOMAIN) -> list[str]:
-    """The category list of one factor over the whole table (not a year slice), as pandas keeps
-    it: a bucket's label list (plus ``NaN`` when some row is unbucketed), or the distinct values
-    of a text factor, read under a hard bound (a high-cardinality column is not a category)."""
-    if labels is not None:
-        has_nan = df.filter(F.col(factor) == F.lit("NaN")).limit(1).count() > 0
-        return list(labels) + (["NaN"] if has_nan else [])
-    vals = [r[0] for r in df.select(F.col(factor).cast("string")).where(F.col(factor).isNotNull())
-                              .distinct().limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{factor} has more than {max_values} values; complete only categorical factors")
-    return sorted(vals)
+def _values(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("VALUE"))
 
 
-def complete_groups(result: DataFrame, domains: Sequence[Sequence[str]], years: Sequence[int],
+def complete_groups(result: DataFrame, domains: Sequence[DataFrame | Sequence[str]], years: Sequence[int],
                     var_code: str, names: Sequence[str]) -> DataFrame:
     """F11 (pandas categorical ``observed=False``): every label combination of one n-way table
-    appears, zero-filled. ``domains`` are plan-time label lists (bucket labels), so the grid is a
-    bounded constant built from parameters, never a data-sized product."""
+    appears, zero-filled. A domain is a column of categories (:func:`factor_domain`) or a label
+    list. The grid, which is the result's own size, is built in Spark by joining the domains on
+    the year; groups outside the domains stay."""
     n = len(domains)
-    size = len(years)
-    for d in domains:
-        size *= len(d)
-    if size > MAX_GRID:
-        raise ValueError(f"completion grid of {size} cells exceeds {MAX_GRID}; use observed groups for wide products")
-    grid_rows = [(int(y), *vals) for y in years for vals in itertools.product(*domains)]
     detail_cols = ["VAR_DETAIL"] if n == 1 else [f"VAR_DETAIL{i + 1}" for i in range(n)]
-    spark = result.sparkSession
-    grid = spark.createDataFrame(grid_rows, ["VAR_YEAR", *detail_cols]).withColumn("VAR_YEAR", F.col("VAR_YEAR").cast("int"))
+    all_years = F.explode(F.array(*[F.lit(int(y)) for y in years])).alias("VAR_YEAR")
+    grid = None
+    for domain, col in zip(domains, detail_cols, strict=True):
+        values = domain if isinstance(domain, DataFrame) else _values(result, domain)
+        side = values.select(all_years, F.col("VALUE").alias(col))
+        grid = side if grid is None else grid.join(side, "VAR_YEAR")
     name_cols = {"VAR_NAME": F.lit(names[0])} if n == 1 else {f"VAR_NAME{i + 1}": F.lit(names[i]) for i in range(n)}
     grid = grid.withColumns({"VAR_NAME_CODE": F.lit(var_code), **name_cols})
     cols = result.columns
-    out = grid.join(result, ["VAR_YEAR", "VAR_NAME_CODE", *name_cols.keys(), *detail_cols], "left")
+    out = grid.join(result, ["VAR_YEAR", "VAR_NAME_CODE", *name_cols.keys(), *detail_cols], "full")
     fills = {c: F.coalesce(F.col(c), F.lit(0).cast(dict(result.dtypes)[c])) for c in METRIC_COLUMNS}
     return out.withColumns(fills).select(*cols)
 

@@ -1,8 +1,7 @@
 """The motor statutory report PNT-11.
 
-Code mappings come from settings (a few dozen entries), so they become literal map lookups
-(``create_map``) evaluated inside the scan stage: no join, no broadcast, no shuffle. Each summary
-is one ``groupBy`` over the eight report keys with partial aggregation; the combination joins
+Code mappings are settings. The report compiles them into segment ids at plan time; row-wise
+mapping joins them. Each summary is one ``groupBy`` over the eight report keys with partial aggregation; the combination joins
 one-row-per-key summaries only.
 """
 
@@ -15,49 +14,47 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.buckets import bucketize_col, numeric, unit_labels
 
+# The report's keys and the fields of its code mappings (output contract).
 KEYS = ["PROD_MOF_CODE", "PROD_MOF_NAME", "PNT_11_CODE", "PNT_11_NAME", "SUB_PNT_11_CODE", "SUB_PNT_11_NAME",
         "VEHICLE_AGE_GROUP", "AGE_PNT_11_CODE"]
 COVERAGE_FIELDS = ["PROD_MOF_CODE", "PROD_MOF_NAME"]
 VEHICLE_FIELDS = ["PNT_11_CODE", "PNT_11_NAME", "SUB_PNT_11_CODE", "SUB_PNT_11_NAME"]
-MAX_MAPPING_ROWS = 100_000
 
 
 def mapping_rows(mapping: DataFrame | Sequence[Mapping]) -> list[dict]:
-    """Settings rows ``{cols, <fields>}``; a DataFrame is read with a hard size bound."""
-    if isinstance(mapping, DataFrame):
-        rows = mapping.limit(MAX_MAPPING_ROWS + 1).collect()
-        if len(rows) > MAX_MAPPING_ROWS:
-            raise ValueError(f"code mapping larger than {MAX_MAPPING_ROWS} rows; join it instead")
-        return [r.asDict() for r in rows]
-    return [dict(m) for m in mapping]
+    """Settings rows ``{cols, <fields>}``: they make the plan, so a settings table is read here."""
+    return [r.asDict() for r in mapping.collect()] if isinstance(mapping, DataFrame) else [dict(m) for m in mapping]
 
 
-def _lookup(key: Column, rows: list[dict], field: str) -> Column:
-    """dict.get(str(key), {}).get(field, '') as a literal map lookup; later duplicates win."""
-    pairs = {}
-    for r in rows:
-        pairs[str(r["cols"])] = "" if r.get(field) is None else str(r[field])
-    if not pairs:
-        return F.lit("")
-    m = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(m, key.cast("string")), F.lit(""))
+def _mapping_side(spark, mapping: DataFrame | Sequence[Mapping], fields: Sequence[str], key: str) -> DataFrame:
+    """One row per code with its fields ('' for null). Of a list's duplicates the last wins, of a
+    table's (which has no order) the greatest."""
+    if isinstance(mapping, DataFrame):
+        rows = mapping.select(F.col("cols").cast("string").alias(key),
+                              *[(F.col(f).cast("string") if f in mapping.columns else F.lit(None).cast("string")).alias(f) for f in fields])
+    else:
+        last = {str(r["cols"]): tuple(None if r.get(f) is None else str(r[f]) for f in fields) for r in mapping}
+        rows = spark.createDataFrame([(k, *v) for k, v in last.items()], ", ".join(f"{c} string" for c in (key, *fields)))
+    one = rows.groupBy(key).agg(F.max(F.struct(*[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields])).alias("_s"))
+    return one.select(key, "_s.*")
 
 
 def apply_mapping(df: DataFrame, coverage: DataFrame | Sequence[Mapping], vehicle: DataFrame | Sequence[Mapping],
                   age_edges: Sequence, age_unit: str = "năm", coverage_col: str = "COVERAGE_ID",
                   vehicle_col: str = "TYPE_VEHICLE", age_col: str = "VEHICLE_AGE") -> DataFrame:
-    """D11 + E6: add the eight report keys. Unmapped codes give ``""``; the age bucket label
-    (Vietnamese wording, without the ``01-`` prefix) and its code; unbucketed ages → ``NaN``."""
-    cov, veh = mapping_rows(coverage), mapping_rows(vehicle)
+    """D11 + E6: add the eight report keys. Mappings are left-joined (the planner broadcasts them
+    by size). Unmapped codes give ``""``; the age bucket label (Vietnamese wording, without the
+    ``01-`` prefix) and its code; unbucketed ages → ``NaN``."""
     edges, labels = unit_labels(age_edges, age_unit, locale="vi")
     clean = [lab.split("-", 1)[1] if "-" in lab else lab for lab in labels]
     codes = [lab.split("-", 1)[0] if "-" in lab else lab for lab in labels]
     age = numeric(age_col)
-    cols = {f: _lookup(F.col(coverage_col), cov, f) for f in COVERAGE_FIELDS}
-    cols.update({f: _lookup(F.col(vehicle_col), veh, f) for f in VEHICLE_FIELDS})
-    cols["VEHICLE_AGE_GROUP"] = bucketize_col(age, edges, clean)
-    cols["AGE_PNT_11_CODE"] = bucketize_col(age, edges, codes)
-    return df.withColumns(cols)
+    out = df
+    for mapping, fields, col, key in ((coverage, COVERAGE_FIELDS, coverage_col, "_cov"), (vehicle, VEHICLE_FIELDS, vehicle_col, "_veh")):
+        side = _mapping_side(df.sparkSession, mapping, fields, key)
+        out = out.join(side, F.col(col).cast("string") == F.col(key), "left").drop(key) \
+            .withColumns({f: F.coalesce(F.col(f), F.lit("")) for f in fields})
+    return out.withColumns({"VEHICLE_AGE_GROUP": bucketize_col(age, edges, clean), "AGE_PNT_11_CODE": bucketize_col(age, edges, codes)})
 
 
 class Segments:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import round_half_even
+from riskframe.functions.numeric import round_half_even, to_number
 
 # The accepted date formats (Python strptime spelling → Spark pattern), in order.
 DATE_FORMATS = [
@@ -58,7 +58,8 @@ class Profile:
         if n == "GLM_CMB":
             return Profile(n, True, "if_not_null_allowed", (), True, False)
         if n == "MOF":
-            keys = (("POLICY_ID", "CERTIFICATE_ID"),) if "GWP" in template.upper() else (("CLAIM_ID",),)
+            t = template.upper()  # reserve templates have no key
+            keys = (("POLICY_ID", "CERTIFICATE_ID"),) if "GWP" in t else (("CLAIM_ID",),) if "CLM" in t else ()
             return Profile(n, True, "always", keys, True, True)
         raise ValueError(f"unknown validation profile {name!r}")
 
@@ -70,7 +71,7 @@ def _text(c: str) -> Column:
 def is_numeric_expr(c: str) -> Column:
     """C3 as an aggregate: every non-null, non-empty value casts to a number (and rows exist)."""
     v = _text(c)
-    bad = F.count_if(v.isNotNull() & (v != "") & v.try_cast("double").isNull())
+    bad = F.count_if(v.isNotNull() & (v != "") & to_number(v).isNull())
     return (bad == 0) & (F.count(F.lit(1)) > 0)
 
 
@@ -137,7 +138,7 @@ def validate(df: DataFrame, settings: Sequence[ColumnSetting], profile: Profile)
                  F.count_if(F.coalesce(v, F.lit("None")).startswith(UNKNOWN_PREFIX)).alias(f"_u{i}"),
                  _type_ok(c, s.data_type, profile.case_insensitive_types).alias(f"_t{i}")]
         if s.data_type.lower() in ("double", "integer"):
-            x = v.try_cast("double")
+            x = to_number(v)
             aggs += [F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"), F.avg(x).alias(f"_av{i}")]
     agg = df.agg(*aggs)
     for i, s in enumerate(checked):

@@ -7,6 +7,8 @@ the 1996 journal, reserves from template RES_PNT_11_02 (with opening columns).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 
 from riskframe.functions.buckets import INF
@@ -37,10 +39,15 @@ def periods():
     return ledger.report_period(y, code, v, False), ledger.report_period(y, code, v, True)
 
 
-def gl_mapped(fx: Fixtures, view: str = "v_gl") -> DataFrame:
-    return ledger.map_accounts(fx[view], fx["v_account"])
+# The ledger periods of the statements: the year to the report's end, and the year before it.
+LEDGER_PERIOD = (dt.date(1997, 1, 1), dt.date(1997, 9, 30))
+OPENING_PERIOD = (dt.date(1996, 1, 1), dt.date(1996, 12, 31))
+
+
+def gl_mapped(fx: Fixtures, period: tuple[dt.date, dt.date] = LEDGER_PERIOD) -> DataFrame:
+    return ledger.map_accounts(ledger.filter_period(fx["v_gl"], *period), fx["v_account"])
 
 
 def trial_balance(fx: Fixtures, opening: bool = False) -> DataFrame:
-    op = ledger.trial_balance(gl_mapped(fx, "v_gl_1996")) if opening else None
+    op = ledger.trial_balance(gl_mapped(fx, OPENING_PERIOD)) if opening else None
     return ledger.trial_balance(gl_mapped(fx), op)

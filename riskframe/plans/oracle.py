@@ -134,7 +134,7 @@ FROM py LEFT JOIN cg ON py.POLICY_ID = cg.POLICY_ID AND py.CERTIFICATE_ID = cg.C
 LEFT JOIN sagg ON py.POLICY_ID = sagg.POLICY_ID AND py.CERTIFICATE_ID = sagg.CERTIFICATE_ID AND py.CL_YEAR = sagg.LD_YEAR
   AND py.START_SEQ = sagg.START_SEQ AND py.END_SEQ = sagg.END_SEQ""")
 
-_q("claims_unmatched", ("v_policy", "v_claim"), EXPOSURE_CTES + "," + CLAIM_CTES + """
+_q("claims_unmatched", ("v_policy", "v_claim", "v_claim_ext"), EXPOSURE_CTES + "," + CLAIM_CTES.replace("v_claim", "v_claim_ext") + """
 SELECT POLICY_ID, CERTIFICATE_ID, LD_YEAR, NUM_CLAIMS, CAST(CLAIM_PMT AS DECIMAL(38,4)) AS CLAIM_PMT FROM cg
 WHERE POLICY_ID NOT IN (SELECT POLICY_ID FROM py WHERE POLICY_ID IS NOT NULL)""")
 
@@ -248,13 +248,13 @@ def _complete(b: str) -> str:
     grid = ", ".join(f"('{s}', '{v}')" for s in seats for v in value)
     return f"""
 SELECT 1997 AS VAR_YEAR, '001: VEHICLE_SEATS_GROUP & VEHICLE_VALUE_GROUP' AS VAR_NAME_CODE,
-  'VEHICLE_SEATS_GROUP' AS VAR_NAME1, 'VEHICLE_VALUE_GROUP' AS VAR_NAME2, g.d1 AS VAR_DETAIL1, g.d2 AS VAR_DETAIL2,
+  'VEHICLE_SEATS_GROUP' AS VAR_NAME1, 'VEHICLE_VALUE_GROUP' AS VAR_NAME2, coalesce(g.d1, r.VAR_DETAIL1) AS VAR_DETAIL1, coalesce(g.d2, r.VAR_DETAIL2) AS VAR_DETAIL2,
   coalesce(r.NUM_POLS, 0) AS NUM_POLS, coalesce(r.NUM_CLAIMS, 0) AS NUM_CLAIMS, coalesce(r.EXPOSURE_YEAR, 0.0) AS EXPOSURE_YEAR,
   coalesce(r.EXPOSURE_PREM, CAST(0 AS DECIMAL(38,4))) AS EXPOSURE_PREM, coalesce(r.CLAIM_PMT, CAST(0 AS DECIMAL(38,0))) AS CLAIM_PMT,
   coalesce(r.FREQUENCY, 0.0) AS FREQUENCY, coalesce(r.SEVERITY, 0.0) AS SEVERITY, coalesce(r.AVG_PREMIUM, 0.0) AS AVG_PREMIUM,
   coalesce(r.PURE_PREMIUM, 0.0) AS PURE_PREMIUM, coalesce(r.LOSS_RATIO, 0.0) AS LOSS_RATIO, coalesce(r."GWP_%", 0.0) AS "GWP_%",
   coalesce(r.SUM_ASSURED, CAST(0 AS DECIMAL(38,4))) AS SUM_ASSURED, coalesce(r.AVG_SUM_ASSURED, 0.0) AS AVG_SUM_ASSURED
-FROM (VALUES {grid}) g(d1, d2) LEFT JOIN ({b}) r ON r.VAR_DETAIL1 = g.d1 AND r.VAR_DETAIL2 = g.d2"""
+FROM (VALUES {grid}) g(d1, d2) FULL JOIN ({b}) r ON r.VAR_DETAIL1 = g.d1 AND r.VAR_DETAIL2 = g.d2"""
 
 
 _glm("nway_complete", [("VEHICLE_SEATS_GROUP", "VEHICLE_VALUE_GROUP")], [1997], wrap=_complete)
@@ -316,9 +316,11 @@ FROM j""")
 GL_CTES = """
 glm_map AS (SELECT g.*, d.accountSM AS DEBIT_SM, d.accountBS AS DEBIT_BS, d.accountPL AS DEBIT_PL,
     c.accountSM AS CREDIT_SM, c.accountBS AS CREDIT_BS, c.accountPL AS CREDIT_PL
-  FROM v_gl g LEFT JOIN v_account d ON g.DEBIT_ACC = d.code LEFT JOIN v_account c ON g.CREDIT_ACC = c.code),
+  FROM v_gl g LEFT JOIN v_account d ON g.DEBIT_ACC = d.code LEFT JOIN v_account c ON g.CREDIT_ACC = c.code
+  WHERE g.INVOICE_DATE BETWEEN DATE '1997-01-01' AND DATE '1997-09-30'),
 glm_map96 AS (SELECT g.*, d.accountSM AS DEBIT_SM, d.accountBS AS DEBIT_BS, d.accountPL AS DEBIT_PL
-  FROM v_gl_1996 g LEFT JOIN v_account d ON g.DEBIT_ACC = d.code),
+  FROM v_gl g LEFT JOIN v_account d ON g.DEBIT_ACC = d.code
+  WHERE g.INVOICE_DATE BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'),
 tbp AS (SELECT DEBIT_ACC AS ACCOUNT, DEBIT_SM AS AG_CODE, DEBIT_BS AS BS_CODE, DEBIT_PL AS PL_CODE,
     sum(coalesce(DEBIT_AMT, 0)) AS PD, sum(coalesce(CREDIT_AMT, 0)) AS PC FROM glm_map
   WHERE DEBIT_ACC IS NOT NULL AND DEBIT_SM IS NOT NULL AND DEBIT_BS IS NOT NULL AND DEBIT_PL IS NOT NULL GROUP BY ALL),
@@ -331,7 +333,7 @@ tbo AS (SELECT ACCOUNT, AG_CODE, BS_CODE, PL_CODE, coalesce(OD, 0) AS OD, coales
     greatest(coalesce(OD, 0) + coalesce(PD, 0) - coalesce(OC, 0) - coalesce(PC, 0), 0) AS CD,
     greatest(coalesce(OC, 0) + coalesce(PC, 0) - coalesce(OD, 0) - coalesce(PD, 0), 0) AS CC
   FROM tbp FULL OUTER JOIN tb96 USING (ACCOUNT, AG_CODE, BS_CODE, PL_CODE))"""
-LEDGER_VIEWS = ("v_gl", "v_gl_1996", "v_account", "t_bs", "t_pl01", "t_pl02", "t_cf01", "t_cf02", "t_duno")
+LEDGER_VIEWS = ("v_gl", "v_account", "t_bs", "t_pl01", "t_pl02", "t_cf01", "t_cf02", "t_duno")
 
 
 def _tb_select(src: str) -> str:
@@ -590,12 +592,13 @@ _q("clean_table", ("v_dirty",), f"""
 SELECT event_id, CHANNEL, TRY_CAST(AMOUNT_TXT AS DOUBLE) AS AMOUNT_TXT, {_multi('DATE_TXT', IMPORT_DATE_FORMATS)} AS DATE_TXT,
   REG_NO, TRY_CAST(COVERAGE_ID AS DOUBLE) AS COVERAGE_ID FROM v_dirty""")
 
-_q("snapshot_diff", ("v_policy",), """
+_q("snapshot_diff", ("v_policy",), """,
+older AS (SELECT * REPLACE (CAST(CASE WHEN CAST(POLICY_ID AS BIGINT) % 9 = 0 THEN VEHICLE_AGE + 1 ELSE VEHICLE_AGE END AS INT) AS VEHICLE_AGE) FROM v_policy WHERE CAST(POLICY_ID AS BIGINT) % 11 <> 0)
 (SELECT * REPLACE (CAST(VEHICLE_VALUE AS DECIMAL(38,4)) AS VEHICLE_VALUE), 'new' AS SIDE
- FROM (SELECT * FROM v_policy EXCEPT ALL SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01'))
+ FROM (SELECT * FROM v_policy EXCEPT ALL SELECT * FROM older))
 UNION ALL
 (SELECT * REPLACE (CAST(VEHICLE_VALUE AS DECIMAL(38,4)) AS VEHICLE_VALUE), 'old' AS SIDE
- FROM (SELECT * FROM v_policy WHERE START_DATE < DATE '2000-01-01' EXCEPT ALL SELECT * FROM v_policy))""")
+ FROM (SELECT * FROM older EXCEPT ALL SELECT * FROM v_policy))""")
 
 _q("union_parts", (), """
 SELECT c_custkey AS PARTY_KEY, c_name AS NAME, c_nationkey AS NATION_KEY, c_acctbal AS BALANCE, c_mktsegment AS SEGMENT, 'DATA_CUSTOMER' AS SOURCE FROM customer

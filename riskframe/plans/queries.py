@@ -84,7 +84,7 @@ def claims_attached(spark, sf_dir):
 @query("claims_unmatched")
 def claims_unmatched(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    u = C.unmatched_claims(glm.policy_years(fx), fx["v_claim"])
+    u = C.unmatched_claims(glm.policy_years(fx), fx["v_claim_ext"])
     return u.select("POLICY_ID", "CERTIFICATE_ID", "LD_YEAR", "NUM_CLAIMS",
                     F.col("CLAIM_PMT").cast("decimal(38,4)").alias("CLAIM_PMT"))
 
@@ -423,7 +423,9 @@ def clean_table(spark, sf_dir):
 @query("snapshot_diff")
 def snapshot_diff(spark, sf_dir):
     p = _fx(spark, sf_dir)["v_policy"]
-    d = I.snapshot_diff(p, p.filter(F.col("START_DATE") < F.lit("2000-01-01").cast("date")))
+    number = F.col("POLICY_ID").cast("long")
+    older = p.where(number % 11 != 0).withColumn("VEHICLE_AGE", F.when(number % 9 == 0, F.col("VEHICLE_AGE") + 1).otherwise(F.col("VEHICLE_AGE")))
+    d = I.snapshot_diff(p, older)
     return d.withColumn("VEHICLE_VALUE", F.col("VEHICLE_VALUE").cast("decimal(38,4)"))
 
 
@@ -475,7 +477,7 @@ def coverage_codes(spark, sf_dir):
     supplier, coded by its nation (``NUM_CLAIMS_AC<nation>``) and described by the nation name."""
     from riskframe.functions.text import coverage_codes as _codes
     fx = _fx(spark, sf_dir)
-    s = fx["supplier"].join(F.broadcast(fx["nation"]), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = fx["supplier"].join(fx["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
     settings = s.select(F.concat(F.lit("NUM_CLAIMS_AC"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("standard_name"),
                         F.concat(F.lit("NUM_CLAIMS_"), F.col("n_name")).alias("import_name"),
                         F.lit("VARS_AC").alias("variable_type"), F.col("s_suppkey").alias("ordinal"))

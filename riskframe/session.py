@@ -7,8 +7,10 @@ only fill in defaults where nothing is set (local runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a local session; a cluster session keeps its own values.
@@ -29,34 +31,40 @@ _LOCAL_CONF = {
 
 
 def get_spark(master: str | None = None, app: str = "riskframe", **conf: str) -> SparkSession:
-    """Return the active session, or build a local one with the defaults above."""
+    """The active session, or a new one. Under ``spark-submit`` (or any other given configuration)
+    nothing that is set is changed and no master is named; a plain Python process gets a local
+    master and the defaults above. ``conf`` is the caller's own and always set."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    given = SparkConf()
+    submitted = given.contains("spark.master")
     builder = SparkSession.builder.appName(app)
-    builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
-    for k, v in {**_LOCAL_CONF, **conf}.items():
+    if master or not submitted:
+        builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+    defaults = {} if submitted else {k: v for k, v in _LOCAL_CONF.items() if not given.contains(k)}
+    for k, v in {**defaults, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if not submitted:
+        spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder from ``spark.checkpoint.dir``; set a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
-    if hasattr(current, "isDefined"):
-        current = current.get() if current.isDefined() else None
-    if current:
-        spark.sparkContext.setCheckpointDir(str(current))
-        return str(current)
-    # A machine-local folder is only acceptable when everything runs on this machine.
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) before cutting lineage")
-    path = tempfile.mkdtemp(prefix="riskframe-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The shared checkpoint folder from ``spark.checkpoint.dir``; a scratch one only where all runs on this machine."""
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        had = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = had.get() if had.isDefined() else None
+    if not current:
+        # local and local[n] run in this process; local-cluster and all others have executors elsewhere
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) before cutting lineage")
+        current = tempfile.mkdtemp(prefix="riskframe-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    spark.sparkContext.setCheckpointDir(str(current))
+    return str(current)
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

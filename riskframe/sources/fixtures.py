@@ -31,24 +31,20 @@ SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-'
   CAST(l_orderkey AS STRING) AS POLICY_ID, CAST(o_custkey AS STRING) AS CERTIFICATE_ID,
   CAST(l_shipdate AS DATE) AS OCCURENCE_DATE,
   CAST(CAST(l_extendedprice AS DECIMAL(20,4)) * (CAST(l_discount AS DECIMAL(4,2)) - CAST(0.02 AS DECIMAL(4,2))) AS DECIMAL(20,4)) AS CLAIM_PMT
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""",
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # claims of policies that no extract holds, beside the others
+    "v_claim_ext": """
+SELECT CLAIM_ID, CASE WHEN CLAIM_ID LIKE '%1-1-%' OR CLAIM_ID LIKE '%7-2-%' THEN concat('U', POLICY_ID) ELSE POLICY_ID END AS POLICY_ID,
+  CERTIFICATE_ID, OCCURENCE_DATE, CLAIM_PMT FROM {v_claim}""",
     "v_account": """
 SELECT * FROM (VALUES (0,'1111','111','110','00'),(1,'1121','112','110','00'),(2,'1131','113','120','00'),(3,'1311','131','130','00'),(4,'2111','211','220','00'),(5,'3311','331','310','00'),(6,'3341','334','320','00'),(7,'4111','411','410','00'),(8,'4211','421','420','00'),(9,'5111','511','420','01'),(10,'5151','515','420','02'),(11,'6321','632','420','11'),(12,'6421','642','420','12'),(13,'911','911','420','00')) AS t(idx, code, accountSM, accountBS, accountPL)""",
     "v_journal": """
 SELECT CAST(l_shipdate AS DATE) AS INVOICE_DATE, CAST(l_suppkey % 14 AS INT) AS a, CAST(l_partkey % 14 AS INT) AS b, CAST(l_extendedprice AS DECIMAL(20,4)) AS amt
-FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-10-01 00:00:00' AND l_suppkey % 14 <> l_partkey % 14""",
+FROM {lineitem}""",
     "v_gl": """
 SELECT INVOICE_DATE, x.code AS DEBIT_ACC, y.code AS CREDIT_ACC, amt AS DEBIT_AMT, CAST(0 AS DECIMAL(20,4)) AS CREDIT_AMT FROM {v_journal} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx
 UNION ALL
 SELECT INVOICE_DATE, y.code, x.code, CAST(0 AS DECIMAL(20,4)), amt FROM {v_journal} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx""",
-    # the 1996 journal, same construction, whose trial balance is the opening balance of 1997
-    "v_journal_1996": """
-SELECT CAST(l_shipdate AS DATE) AS INVOICE_DATE, CAST(l_suppkey % 14 AS INT) AS a, CAST(l_partkey % 14 AS INT) AS b, CAST(l_extendedprice AS DECIMAL(20,4)) AS amt
-FROM {lineitem} WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00' AND l_suppkey % 14 <> l_partkey % 14""",
-    "v_gl_1996": """
-SELECT INVOICE_DATE, x.code AS DEBIT_ACC, y.code AS CREDIT_ACC, amt AS DEBIT_AMT, CAST(0 AS DECIMAL(20,4)) AS CREDIT_AMT FROM {v_journal_1996} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx
-UNION ALL
-SELECT INVOICE_DATE, y.code, x.code, CAST(0 AS DECIMAL(20,4)), amt FROM {v_journal_1996} JOIN {v_account} x ON a = x.idx JOIN {v_account} y ON b = y.idx""",
     # MOF inputs: USAGE_CODE stands for COVERAGE_ID, the customer for the registration number
     "v_mof_premium": """
 SELECT POLICY_ID, USAGE_CODE AS COVERAGE_ID, TYPE_VEHICLE, VEHICLE_AGE, CERTIFICATE_ID AS REG_NO, VEHICLE_VALUE, GWP FROM {v_policy}""",
@@ -91,16 +87,11 @@ _PLACEHOLDER = re.compile(r"\{([a-z_0-9]+)\}")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores (a small file
-    written as one row group); per-row work behind it then runs on every core. Filters and
-    column pruning still reach the scan (Catalyst pushes them through the repartition). On large
-    inputs the scan already has enough splits and this is a no-op."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session exposes no RDD view
+    """For benchmarks of one-file tables only (``spark.riskframe.spread``): deal a scan's rows to all
+    cores. Off by default; a table's own splits hold."""
+    if df.sparkSession.conf.get("spark.riskframe.spread", "false") != "true":
         return df
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def dependencies(name: str) -> list[str]:

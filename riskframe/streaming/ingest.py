@@ -10,6 +10,7 @@ which defaults to a sub-folder of the cluster's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,11 @@ from riskframe.operators.validate import ColumnSetting
 from riskframe.session import checkpoint_dir
 
 
+def _job_name(source: str, sink: str) -> str:
+    """The same in every process, so a restart finds its progress."""
+    return hashlib.sha256(f"{source}\n{sink}".encode()).hexdigest()[:24]
+
+
 def _typed_batch(batch: DataFrame, settings: Sequence[ColumnSetting], batch_id: int) -> DataFrame:
     # a micro-batch is a bounded DataFrame: the batch operators apply as they are
     return convert_types(map_columns(batch, settings), settings).withColumn("batch_id", F.lit(batch_id))
@@ -37,7 +43,7 @@ def ingest_stream(spark: SparkSession, source: str, schema: StructType, settings
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source)
-    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/ingest-{abs(hash((source, sink)))}"
+    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/ingest-{_job_name(source, sink)}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (_typed_batch(batch, settings, batch_id).write.mode("overwrite")
