@@ -126,13 +126,15 @@ def narrow_integers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def low_cardinality(df: DataFrame, columns: Sequence[str], ratio: float = 0.5) -> DataFrame:
     """Distinct / rows < ratio marks a categorical (dictionary-friendly) text column."""
-    n = F.count(F.lit(1))
-    agg = df.agg(n.alias("_n"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"_d{i}") for i, c in enumerate(columns)])
-    rows = [F.struct(F.lit(c).alias("COLUMN"), F.col(f"_d{i}").alias("DISTINCT_VALUES"), F.col("_n").alias("NUM_ROWS"),
-                     (F.coalesce(F.try_divide(F.col(f"_d{i}").cast("double"), F.col("_n").cast("double")), F.lit(1.0))
-                      < F.lit(ratio)).alias("IS_CATEGORICAL"))
-            for i, c in enumerate(columns)]
-    return agg.select(F.inline(F.array(*rows)))
+    out = None
+    for c in columns:  # each column is counted alone: no row is expanded
+        values = df.groupBy(F.col(f"`{c}`").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        one = values.agg(F.count("_v").alias("DISTINCT_VALUES"), F.coalesce(F.sum("_n"), F.lit(0).cast("long")).alias("NUM_ROWS"))
+        one = one.select(F.lit(c).alias("COLUMN"), "DISTINCT_VALUES", "NUM_ROWS",
+                         (F.coalesce(F.try_divide(F.col("DISTINCT_VALUES").cast("double"), F.col("NUM_ROWS").cast("double")), F.lit(1.0))
+                          < F.lit(ratio)).alias("IS_CATEGORICAL"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def clean_table(df: DataFrame, date_words: Sequence[str] = ("date", "time")) -> DataFrame:

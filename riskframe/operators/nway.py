@@ -8,14 +8,15 @@ Per (year, combination of factors, factor values):
 * FREQUENCY, SEVERITY, AVG_PREMIUM, AVG_SUM_ASSURED, PURE_PREMIUM, LOSS_RATIO and GWP_% (share of
   the exposure premium of this (year, combination)); half-even rounding as the reference.
 
-Plan shape (one job for every combination and year, not one per combination × year):
+Plan shape (one job and one scan for every combination × year):
 
-1. first-row reduction ``groupBy(scope, COUNT).agg(min_by(struct(...), order))`` — a plain
-   aggregate, so partial aggregation absorbs a policy key holding a third of all rows (no window,
-   no collect);
-2. ``GROUPING SETS`` over the year scope × every requested combination, once for the all-row
-   metrics (with ``count(DISTINCT)``) and once for the first-row sums; both results are one row
-   per group and are joined on (year, combination, values).
+1. ``groupBy(scope, policy, factor tuple)``: claim sums and the tuple's first row. Partial
+   aggregation reduces a policy that holds a third of all rows before the shuffle;
+2. in one partitioning by (scope, policy): the first tuple carries the policy's exposure, each
+   tuple emits its (combination, values) groups with ``explode``, and a second aggregate over the
+   same partitioning leaves one record per policy and group, so policies are counted with a plain
+   count. Nothing is expanded before the policy shuffle, and only group-sized partial sums are
+   shuffled after it.
 
 Decisions: division by zero gives 0 (the reference keeps ±inf for x/0; inf poisons later sums);
 null factor values are dropped per combination (pandas ``dropna``); the order of "first" is
@@ -91,8 +92,7 @@ def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str |
     followed by METRIC_COLUMNS. VAR_NAME_CODE numbers combinations ``001``, ``002``, … in order.
 
     ``codes`` = [(code, description), …] (``None`` code = all benefits) tables several claim
-    measures in the same pass: their sums are aggregated side by side, the exposure side is
-    shared, and the result is stacked to one row per code with ``explode``.
+    measures in the same pass: their sums are aggregated side by side, and the result is stacked to one row per code with ``explode``.
     """
     prod = Product.of(spec.product)
     combos = [tuple(c) for c in (spec.combos or combinations(spec.factors, spec.n))]
@@ -114,37 +114,29 @@ def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str |
     if 0 not in years:
         base = base.filter(F.col(yc).isin(specific))
 
-    # --- all-row metrics: GROUPING SETS over (year scope) × combination -------------------------
-    sets = []
-    for combo in combos:
-        if specific:
-            sets.append([yc, *combo])
-        if 0 in years:
-            sets.append(list(combo))
-    allrow = (base.groupingSets(sets, yc, *factors)
-                  .agg(F.count_distinct(cnt).alias("NUM_POLS"),
-                       *[F.sum(x).alias(f"_s_{x}") for x in claim_cols], F.grouping_id().alias("_gid")))
-    allrow = _label_groups(allrow, combos, factors, yc, years).filter(F.col("VAR_YEAR").isin(years))
-
-    # --- first row per policy within each year scope, then the same grouping sets ----------------
-    payload = F.struct(*factors, F.col("EXPOSURE_YEAR"), F.col("EXPOSURE_PREM"), F.col(sa).alias("_sa"))
-    order = F.struct(*[F.col(c) for c in spec.order_by], *factors, "EXPOSURE_YEAR", "EXPOSURE_PREM", sa)
-    firsts = []
-    if specific:
-        firsts.append(base.filter(F.col(yc).isin(specific)).groupBy(yc, cnt)
-                          .agg(F.min_by(payload, order).alias("_f")).select(F.col(yc).alias("VAR_YEAR"), "_f.*"))
-    if 0 in years:
-        firsts.append(base.groupBy(cnt).agg(F.min_by(payload, order).alias("_f"))
-                          .select(F.lit(0).alias("VAR_YEAR"), "_f.*"))
-    first = firsts[0] if len(firsts) == 1 else firsts[0].unionByName(firsts[1])
-    esets = [["VAR_YEAR", *combo] for combo in combos]
-    expo = (first.groupingSets(esets, "VAR_YEAR", *factors)
-                 .agg(F.sum("EXPOSURE_YEAR").alias("EXPOSURE_YEAR"), F.sum("EXPOSURE_PREM").alias("EXPOSURE_PREM"),
-                      F.sum("_sa").alias("SUM_ASSURED"), F.grouping_id().alias("_gid")))
-    expo = _label_groups(expo, combos, factors, "VAR_YEAR", [1], year_is_scope=True)
-
-    keys = ["VAR_YEAR", "_combo"] + [f"_v{i}" for i in range(1, n + 1)]
-    joined = allrow.join(expo.drop("_gid"), keys, "left")
+    # --- one record per (scope, policy, factor tuple): claim sums and the tuple's first row ------
+    scopes = [F.when(F.col(yc).isin(specific), F.col(yc))] if specific else []
+    scopes += [F.lit(0)] if 0 in years else []
+    scoped = base.withColumn("VAR_YEAR", F.explode(F.array_compact(F.array(*scopes))) if len(scopes) > 1 else scopes[0])
+    order_cols = [*spec.order_by, *factors, "EXPOSURE_YEAR", "EXPOSURE_PREM", sa]
+    order = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)])
+    sums = [f"_s_{x}" for x in claim_cols]
+    tuples = scoped.groupBy("VAR_YEAR", cnt, *factors) \
+        .agg(F.min(order).alias("_o"), *[F.sum(x).alias(y) for x, y in zip(claim_cols, sums, strict=True)])
+    # --- in the policy's own partition: its first tuple gives the exposure, every tuple emits its
+    # groups, and a policy counts once per group ---------------------------------------------------
+    first = F.row_number().over(Window.partitionBy("VAR_YEAR", cnt).orderBy("_o")) == 1
+    exposure = {c: f"o{len(order_cols) - 3 + i}" for i, c in enumerate(("EXPOSURE_YEAR", "EXPOSURE_PREM", "SUM_ASSURED"))}
+    vs = [f"_v{i + 1}" for i in range(n)]
+    groups = F.array(*[F.struct(F.lit(k).alias("_combo"), *[F.col(c).cast("string").alias(v) for c, v in zip(combo, vs, strict=True)])
+                       for k, combo in enumerate(combos)])
+    emitted = tuples.withColumn("_first", first) \
+        .select("VAR_YEAR", F.col(cnt).alias("_policy"), *sums, *[F.when(F.col("_first"), F.col(f"_o.{o}")).alias(c) for c, o in exposure.items()],
+                F.explode(groups).alias("_g")).select("*", "_g.*").drop("_g").dropna(subset=vs)
+    add = [F.sum(c).alias(c) for c in (*sums, *exposure)]
+    keys = ["VAR_YEAR", "_combo", *vs]
+    joined = emitted.groupBy("_policy", *keys).agg(*add).groupBy(*keys).agg(F.count("_policy").alias("NUM_POLS"), *add)
+
     stacked = F.array(*[F.struct(F.lit(c).cast("string").alias("_code"), F.lit(d).cast("string").alias("_desc"),
                                  F.col(f"_s_{cols(c)[0]}").alias("NUM_CLAIMS"), F.col(f"_s_{cols(c)[1]}").alias("CLAIM_PMT"))
                         for c, d in measures])
@@ -152,39 +144,6 @@ def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str |
     return _finish(joined, combos, n, spec)
 
 
-def _label_groups(agg: DataFrame, combos, factors, yc, years, year_is_scope: bool = False) -> DataFrame:
-    """Recover (VAR_YEAR, combination index, values) from grouping_id; drop null-key groups."""
-
-    def gid_of(cols: Sequence[str]) -> int:
-        # grouping_id bit order: first grouping column is the most significant bit
-        allcols = [yc, *factors]
-        return sum(1 << (len(allcols) - 1 - i) for i, c in enumerate(allcols) if c not in cols)
-
-    combo_expr = None
-    year_expr = None
-    for idx, combo in enumerate(combos):
-        variants = [([yc, *combo], F.col(yc))]
-        if not year_is_scope and 0 in years:
-            variants.append((list(combo), F.lit(0)))
-        for cols, yv in variants:
-            cond = F.col("_gid") == F.lit(gid_of(cols))
-            combo_expr = F.when(cond, F.lit(idx)) if combo_expr is None else combo_expr.when(cond, F.lit(idx))
-            year_expr = F.when(cond, yv) if year_expr is None else year_expr.when(cond, yv)
-    out = agg.withColumn("_combo", combo_expr).withColumn("VAR_YEAR", year_expr.cast("int"))
-    n = len(combos[0])
-    for i in range(n):
-        v = None
-        for idx, combo in enumerate(combos):
-            cond = F.col("_combo") == F.lit(idx)
-            v = F.when(cond, F.col(combo[i]).cast("string")) if v is None else v.when(cond, F.col(combo[i]).cast("string"))
-        out = out.withColumn(f"_v{i + 1}", v)
-    keep = F.col("_combo").isNotNull()
-    for i in range(n):
-        keep = keep & F.col(f"_v{i + 1}").isNotNull()
-    drop_cols = [c for c in factors if c != yc] + ([yc] if yc in out.columns and yc != "VAR_YEAR" else [])
-    return out.filter(keep).drop(*drop_cols)
-
-
 def _finish(df: DataFrame, combos, n: int, spec: NWaySpec) -> DataFrame:
     suffix = F.when(F.col("_code").isNull(), F.lit("")).otherwise(F.concat(F.lit(": "), F.col("_code")))
     dsuffix = F.when(F.col("_code").isNull(), F.lit("")).otherwise(F.concat(F.lit(": "), F.col("_desc")))

@@ -1,9 +1,9 @@
 """Data-quality validation of an imported extract against its mapping settings.
 
-Every check of every column is one expression of a single aggregate (one job, partial
+Every check of every column but the keys is one expression of a single aggregate (partial
 aggregation, no per-column passes); the one-row result is unpivoted to one row per setting
-column with ``inline``. Duplicate checks count ``count(*) - count(DISTINCT struct(key))`` (nulls
-compare equal, as pandas ``duplicated``).
+column with ``inline``. Each key is counted on its own columns with ``groupBy(key).count()`` (nulls
+compare equal, as pandas ``duplicated``), so wide buffers never travel by a unique key.
 
 Re-aimed: the reference's last-resort free-form date parser (a per-value Python library) is not
 reproduced; a column is a date column when one of the explicit formats parses all its values.
@@ -123,11 +123,11 @@ def validate(df: DataFrame, settings: Sequence[ColumnSetting], profile: Profile)
     present = set(df.columns)
     checked = [s for s in settings if not profile.info_only or s.variable_type == "INFO"]
     n = F.count(F.lit(1))
-    aggs, rows = [n.alias("_n")], []
+    aggs, rows, checks = [n.alias("_n")], [], {}
     # every key set whose columns are all present is checked once; each of its columns reports it
     keys = [tuple(k) for k in profile.duplicate_keys if all(c in present for c in k)]
     for j, k in enumerate(keys):
-        aggs.append((n > F.count_distinct(F.struct(*[F.col(f"`{c}`") for c in k]))).alias(f"_dk{j}"))
+        checks[f"_dk{j}"] = (key_counts(df, k).select("DUPLICATE_ROWS").scalar() > 0)
     dup_of = {c: [j for j, k in enumerate(keys) if c in k] for s in settings for c in [s.standard_name]}
     for i, s in enumerate(checked):
         c = s.standard_name
@@ -140,7 +140,7 @@ def validate(df: DataFrame, settings: Sequence[ColumnSetting], profile: Profile)
         if s.data_type.lower() in ("double", "integer"):
             x = to_number(v)
             aggs += [F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"), F.avg(x).alias(f"_av{i}")]
-    agg = df.agg(*aggs)
+    agg = df.agg(*aggs).withColumns(checks) if checks else df.agg(*aggs)
     for i, s in enumerate(checked):
         c = s.standard_name
         if c not in present:
@@ -182,17 +182,22 @@ _NUM_FIELDS = [("MISSING_COUNT", "long"), ("MISSING_PCT", "double"), ("UNKNOWN_C
                ("MIN_VALUE", "double"), ("MAX_VALUE", "double"), ("AVG_VALUE", "double")]
 
 
+def key_counts(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row: NUM_ROWS, DISTINCT_KEYS and DUPLICATE_ROWS of a key (nulls compare equal)."""
+    per_key = df.select(*[F.col(f"`{c}`") for c in key]).groupBy(*[F.col(f"`{c}`") for c in key]).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.coalesce(F.sum("_n"), F.lit(0).cast("long"))
+    return per_key.agg(rows.alias("NUM_ROWS"), F.count(F.lit(1)).alias("DISTINCT_KEYS"), (rows - F.count(F.lit(1))).alias("DUPLICATE_ROWS"))
+
+
 def duplicate_report(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
-    """Per key set: rows, distinct keys and rows beyond the first per key (one pass)."""
-    n = F.count(F.lit(1))
-    aggs = [n.alias("_n")]
-    for i, k in enumerate(keys):
-        aggs.append(F.count_distinct(F.struct(*[F.col(c) for c in k])).alias(f"_k{i}"))
-    agg = df.agg(*aggs)
-    rows = [F.struct(F.lit(",".join(k)).alias("KEY_COLUMNS"), F.col("_n").alias("NUM_ROWS"),
-                     F.col(f"_k{i}").alias("DISTINCT_KEYS"), (F.col("_n") - F.col(f"_k{i}")).alias("DUPLICATE_ROWS"),
-                     (F.col("_n") == F.col(f"_k{i}")).alias("DUP_OK")) for i, k in enumerate(keys)]
-    return agg.select(F.inline(F.array(*rows)))
+    """Per key set: rows, distinct keys and rows beyond the first per key. Each key set
+    is counted on its own columns alone (a narrow shuffle after partial counts)."""
+    out = None
+    for k in keys:
+        one = key_counts(df, k).select(F.lit(",".join(k)).alias("KEY_COLUMNS"), "NUM_ROWS", "DISTINCT_KEYS", "DUPLICATE_ROWS",
+                                       (F.col("DUPLICATE_ROWS") == 0).alias("DUP_OK"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def date_format_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,23 +6,28 @@ of CSV or Parquet parts read by Spark. Workbook decoding itself is not built (se
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Texts that are data and no column name (decimal numbers, dates and timestamps).
+_DATA_VALUE = re.compile(r"-?\d*\.\d+$|\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$")
+
+
 def mapping_from_header(df: DataFrame) -> dict[str, str]:
     """A3: ``{standard_name: business_name}`` from a two-header file read with the first header
     row as column names (the second header row is the first data row). Only that one row is
-    read. Rejects a second row that looks numeric or like a timestamp (data, not names)."""
+    read. Rejects a second row that is a decimal number or a timestamp (data, not names)."""
     first = df.limit(1).collect()
     if not first:
         raise ValueError("file has no second header row")
     row = first[0].asDict()
     for k, v in row.items():
-        if v is not None and (str(v).replace(".", "", 1).lstrip("-").isdigit()):
-            raise ValueError(f"second header row holds a number in column {k!r}: not a header")
+        if v is not None and _DATA_VALUE.match(str(v).strip()):
+            raise ValueError(f"second header row holds data in column {k!r}: not a header")
     return {k: ("" if v is None else str(v)) for k, v in row.items()}
 
 

@@ -72,10 +72,14 @@ def test_mapping_guard_and_financial_report(spark):
     with pytest.raises(ValueError):
         ledger.require_validated({"DEBIT_ACC": "Validated", "CREDIT_ACC": "Draft"})
     ledger.require_validated({"DEBIT_ACC": "Validated", "CREDIT_ACC": "Validated"})
+    from riskframe.plans import mof
     from riskframe.sources.fixtures import Fixtures
     fx = Fixtures(spark, "/root/testdata/sf0.001")
     tpl = {"bs": fx["t_bs"], "pl01": fx["t_pl01"], "pl02": fx["t_pl02"], "cf01": fx["t_cf01"], "cf02": fx["t_cf02"]}
-    rep = statements.financial_report(fx["v_gl"], fx["v_account"], tpl, 1997, "QUARTERLY", 3,
+    ledger_rows = ledger.filter_period(fx["v_gl"], *mof.LEDGER_PERIOD)
+    with pytest.raises(ValueError):
+        statements.financial_report(fx["v_gl"], fx["v_account"], tpl, 1997, "QUARTERLY", 3)
+    rep = statements.financial_report(ledger_rows, fx["v_account"], tpl, 1997, "QUARTERLY", 3,
                                       mapping_status={"DEBIT_ACC": "Validated", "CREDIT_ACC": "Validated"})
     assert set(rep) == {"trial_balance", "balance_sheet", "pl01", "pl02", "cf01", "cf02"}
     bs = {r.code: r.CURRENT_AMOUNT for r in rep["balance_sheet"].collect()}
