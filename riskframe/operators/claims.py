@@ -2,10 +2,10 @@
 
 The reference builds, per (POLICY_ID, CERTIFICATE_ID, LD_YEAR), a dict of all claims and splits it
 row by row into in-period / out-of-period dicts. Collecting every claim of a key into one value
-breaks on a hot key (a fleet policy can own a third of all claims), so here the claim rows stay
-rows: they are joined to the (small, per key) set of exposure intervals and reduced with
-partial aggregation. The per-claim table (``claims_in_sequence``) is the exploded form of the
-reference's maps.
+breaks on a hot key (a fleet policy can own a third of all claims), so here claims are first
+summed per occurrence date (at most 366 per key and year) by partial aggregation, and the
+intervals are matched against those dates inside the joined row. The per-claim table
+(``claims_in_sequence``) is the exploded form of the reference's maps.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.money import to_money
+from riskframe.operators.validate import key_counts
 
 KEYS = ["POLICY_ID", "CERTIFICATE_ID"]
 
@@ -38,6 +39,12 @@ def prepare_claims(df: DataFrame, cal_year: int | None = None, date_format: str
     return out
 
 
+def _usable(claims: DataFrame, amount: str) -> DataFrame:
+    """Non-negative claims with a complete key and year."""
+    return claims.filter(F.col(amount) >= 0).withColumn("LD_YEAR", F.year("OCCURENCE_DATE")) \
+        .filter(F.col("POLICY_ID").isNotNull() & F.col("CERTIFICATE_ID").isNotNull() & F.col("LD_YEAR").isNotNull())
+
+
 def claim_rows(claims: DataFrame, amount: str = "CLAIM_PMT") -> DataFrame:
     """Non-negative claims with LD_YEAR and non-null keys, one row per (keys, LD_YEAR, CLAIM_ID).
 
@@ -45,10 +52,7 @@ def claim_rows(claims: DataFrame, amount: str = "CLAIM_PMT") -> DataFrame:
     file order; without a file order we keep the latest occurrence, then the largest amount).
     Dedup is a plain aggregation, so partial aggregation absorbs hot keys.
     """
-    c = (claims.filter(F.col(amount) >= 0)
-               .withColumn("LD_YEAR", F.year("OCCURENCE_DATE"))
-               .filter(F.col("POLICY_ID").isNotNull() & F.col("CERTIFICATE_ID").isNotNull()
-                       & F.col("LD_YEAR").isNotNull()))
+    c = _usable(claims, amount)
     keyed = c.filter(F.col("CLAIM_ID").isNotNull())
     last = F.max_by(F.struct("OCCURENCE_DATE", amount), F.struct("OCCURENCE_DATE", amount))
     dedup = (keyed.groupBy(*KEYS, "LD_YEAR", "CLAIM_ID").agg(last.alias("_v"))
@@ -61,10 +65,7 @@ def claim_rows(claims: DataFrame, amount: str = "CLAIM_PMT") -> DataFrame:
 def group_claims(claims: DataFrame, amount: str = "CLAIM_PMT") -> DataFrame:
     """per (POLICY_ID, CERTIFICATE_ID, LD_YEAR): NUM_CLAIMS = count of non-null CLAIM_ID
     (before dedup, as the reference counts rows), CLAIM_PMT = sum. Null keys are dropped."""
-    c = (claims.filter(F.col(amount) >= 0)
-               .withColumn("LD_YEAR", F.year("OCCURENCE_DATE"))
-               .filter(F.col("POLICY_ID").isNotNull() & F.col("CERTIFICATE_ID").isNotNull()
-                       & F.col("LD_YEAR").isNotNull()))
+    c = _usable(claims, amount)
     return c.groupBy(*KEYS, "LD_YEAR").agg(F.count("CLAIM_ID").alias("NUM_CLAIMS"),
                                            F.sum(amount).alias(amount))
 
@@ -82,6 +83,29 @@ def claims_in_sequence(policy_years: DataFrame, claims: DataFrame, amount: str =
     return j.withColumn("IN_SEQ", F.col("OCCURENCE_DATE").between(F.col("START_SEQ"), F.col("END_SEQ")))
 
 
+def claims_by_year(claims: DataFrame, amount: str = "CLAIM_PMT", codes: dict[str, object] | None = None) -> DataFrame:
+    """Per (POLICY_ID, CERTIFICATE_ID, LD_YEAR): the grouped totals of F14 and ``_DATES``, the
+    claims after F16's dedup summed per occurrence date (at most 366 entries).
+
+    Three aggregates, each with partial aggregation: by claim id (spreads a hot policy over its
+    claims), by date (reduces it to 366 rows a task), by key.
+    """
+    c = _usable(claims, amount)
+    raw = [F.count("CLAIM_ID").alias("NUM_CLAIMS"), F.sum(amount).alias(amount)]
+    for code, cond in (codes or {}).items():
+        raw += [F.count(F.when(cond, F.col("CLAIM_ID"))).alias(f"NUM_CLAIMS_{code}"), F.sum(F.when(cond, F.col(amount))).alias(f"{amount}_{code}")]
+    totals = ["NUM_CLAIMS", amount, *[f"{x}_{code}" for code in (codes or {}) for x in ("NUM_CLAIMS", amount)]]
+    # a claim without an id is no repetition of another: such claims stay apart by date
+    by_claim = c.groupBy(*KEYS, "LD_YEAR", "CLAIM_ID", F.when(F.col("CLAIM_ID").isNull(), F.col("OCCURENCE_DATE")).alias("_own")) \
+        .agg(*raw, F.max(F.struct("OCCURENCE_DATE", amount)).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    has_id = F.col("CLAIM_ID").isNotNull()
+    again = [F.sum(x).alias(x) for x in totals]
+    by_date = by_claim.groupBy(*KEYS, "LD_YEAR", F.col("_last.OCCURENCE_DATE").alias("_date")) \
+        .agg(*again, F.sum(F.when(has_id, F.lit(1)).otherwise(F.col("_rows"))).alias("_n"),
+             F.sum(F.when(has_id, F.col(f"_last.{amount}")).otherwise(F.col(amount))).alias("_amt"))
+    return by_date.groupBy(*KEYS, "LD_YEAR").agg(*again, F.collect_list(F.struct("_date", "_n", "_amt")).alias("_DATES"))
+
+
 def attach_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLAIM_PMT",
                   codes: dict[str, object] | None = None, with_sequence: bool = True) -> DataFrame:
     """policy-year rows ⟕ grouped claims on (POLICY_ID, CERTIFICATE_ID, CL_YEAR = LD_YEAR).
@@ -90,45 +114,28 @@ def attach_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLA
     NUM_CLAIMS_NOT_SEQ (0 when none), CLAIM_PMT_SEQ, CLAIM_PMT_NOT_SEQ (sums of the in / out of
     interval claims). ``codes`` maps a coverage code (e.g. ``AC01``) to a boolean Column over the
     claim rows; for each code NUM_CLAIMS_<code> and CLAIM_PMT_<code> are added in the same pass.
+
+    One join: claims come as one row per key and year with their dates, and the interval is
+    matched inside the row. No raw claim is shuffled by the policy-year key.
     """
-    grouped = group_claims(claims, amount)
-    if codes:
-        c = (claims.filter(F.col(amount) >= 0).withColumn("LD_YEAR", F.year("OCCURENCE_DATE"))
-                   .filter(F.col("POLICY_ID").isNotNull() & F.col("CERTIFICATE_ID").isNotNull()
-                           & F.col("LD_YEAR").isNotNull()))
-        aggs = [F.count("CLAIM_ID").alias("NUM_CLAIMS"), F.sum(amount).alias(amount)]
-        for code, cond in codes.items():
-            aggs.append(F.count(F.when(cond, F.col("CLAIM_ID"))).alias(f"NUM_CLAIMS_{code}"))
-            aggs.append(F.sum(F.when(cond, F.col(amount))).alias(f"{amount}_{code}"))
-        grouped = c.groupBy(*KEYS, "LD_YEAR").agg(*aggs)
+    key = [*KEYS, "LD_YEAR"]
     py = policy_years.withColumn("LD_YEAR", F.col("CL_YEAR"))
+    years = claims_by_year(claims, amount, codes)
     if not with_sequence:
-        return py.join(grouped, KEYS + ["LD_YEAR"], "left").drop("LD_YEAR")
-    # One hash partitioning by the policy-year key serves every step: the interval dedup, the
-    # join with the claim rows, the per-interval sums and both joins back (the interval match
-    # is a join condition, not a key, so no step needs another exchange of the policy years).
-    key = KEYS + ["LD_YEAR"]
-    py = py.repartition(*key)
-    iv = py.select(*key, "START_SEQ", "END_SEQ").dropDuplicates()
-    j = claim_rows(claims, amount).join(iv, key, "inner")
-    in_seq = F.col("OCCURENCE_DATE").between(F.col("START_SEQ"), F.col("END_SEQ"))
-    seq = (j.withColumn("IN_SEQ", in_seq)
-            .groupBy(*key, "START_SEQ", "END_SEQ")
-            .agg(F.count_if(F.col("IN_SEQ")).alias("NUM_CLAIMS_SEQ"),
-                 F.count_if(~F.col("IN_SEQ")).alias("NUM_CLAIMS_NOT_SEQ"),
-                 F.sum(F.when(F.col("IN_SEQ"), F.col(amount))).alias(f"{amount}_SEQ"),
-                 F.sum(F.when(~F.col("IN_SEQ"), F.col(amount))).alias(f"{amount}_NOT_SEQ"))
-            .select(*[F.col(k).alias(f"_s_{k}") for k in key], F.col("START_SEQ").alias("_s_start"),
-                    F.col("END_SEQ").alias("_s_end"), "NUM_CLAIMS_SEQ", "NUM_CLAIMS_NOT_SEQ",
-                    f"{amount}_SEQ", f"{amount}_NOT_SEQ"))
-    out = py.join(grouped, key, "left")
-    cond = [out[k] == seq[f"_s_{k}"] for k in key]
-    cond += [F.datediff(out["START_SEQ"], seq["_s_start"]) == 0, F.datediff(out["END_SEQ"], seq["_s_end"]) == 0]
-    out = out.join(seq, cond, "left").drop(*[f"_s_{k}" for k in key], "_s_start", "_s_end")
-    return out.withColumns({
-        "NUM_CLAIMS_SEQ": F.coalesce("NUM_CLAIMS_SEQ", F.lit(0).cast("long")),
-        "NUM_CLAIMS_NOT_SEQ": F.coalesce("NUM_CLAIMS_NOT_SEQ", F.lit(0).cast("long")),
-    }).drop("LD_YEAR")
+        return py.join(years.drop("_DATES"), key, "left").drop("LD_YEAR")
+    out = py.join(years, key, "left")
+    dates = F.coalesce("_DATES", F.array().cast(years.schema["_DATES"].dataType))
+    amount_type = years.schema["_DATES"].dataType.elementType["_amt"].dataType
+
+    def inside(d):
+        return d["_date"].between(F.col("START_SEQ"), F.col("END_SEQ"))
+
+    new = {}
+    for name, keep in (("SEQ", inside), ("NOT_SEQ", lambda d: ~inside(d))):
+        hit = F.filter(dates, keep)
+        new[f"NUM_CLAIMS_{name}"] = F.aggregate(hit, F.lit(0).cast("long"), lambda x, d: x + d["_n"])
+        new[f"{amount}_{name}"] = F.when(F.size(hit) > 0, F.aggregate(hit, F.lit(0).cast(amount_type), lambda x, d: (x + d["_amt"]).cast(amount_type)))
+    return out.withColumns(new).drop("LD_YEAR", "_DATES")
 
 
 def unmatched_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLAIM_PMT") -> DataFrame:
@@ -141,24 +148,29 @@ def reconcile_claims(policy_years: DataFrame, claims: DataFrame, cal_year: int,
                      amount: str = "CLAIM_PMT") -> DataFrame:
     """Claim-combine reconciliation figures as (metric, value) rows: negative total, totals
     before/after grouping and joining, unmatched, in/out of sequence, premium in/out of year
-    (premium as money, so the figures are exact)."""
-    g = group_claims(claims, amount)
-    comb = attach_claims(policy_years, claims, amount)
-    neg = claims.agg(F.sum(F.when(F.col(amount) < 0, F.col(amount))).alias("claim_negative"))
-    tot = g.agg(F.sum(amount).alias("claim_grouped"), F.count(F.lit(1)).alias("rows_grouped"))
-    c = comb.agg(F.sum(amount).alias("claim_combined"),
-                 F.sum(f"{amount}_SEQ").alias("claim_in_sequence"),
-                 F.sum(f"{amount}_NOT_SEQ").alias("claim_not_in_sequence"),
-                 F.sum("NUM_CLAIMS_SEQ").alias("num_in_sequence"),
-                 F.sum("NUM_CLAIMS_NOT_SEQ").alias("num_not_in_sequence"),
-                 F.sum(F.when(F.col("CL_YEAR") == cal_year, to_money(F.col("EXPOSURE_PREM")))).alias("premium_in_year"),
-                 F.sum(F.when(F.col("CL_YEAR") != cal_year, to_money(F.col("EXPOSURE_PREM")))).alias("premium_out_of_year"))
-    un = unmatched_claims(policy_years, claims, amount).agg(F.sum(amount).alias("claim_unmatched"),
-                                                           F.count(F.lit(1)).alias("rows_unmatched"))
-    dup = policy_years.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*KEYS, "CL_YEAR"))).alias("dup_gwp"))
-    pos = claims.filter(F.col(amount) >= 0).withColumn("LD_YEAR", F.year("OCCURENCE_DATE"))
-    dupc = pos.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*KEYS, "LD_YEAR"))).alias("dup_claim"))
-    return metric_rows(neg, tot, c, un, dup, dupc)
+    (premium as money, so the figures are exact). The claims are read twice: once for the
+    combination, once for all figures about the claims alone."""
+    a, positive = F.col(amount), F.col(amount) >= 0
+    groups = claims.withColumn("LD_YEAR", F.year("OCCURENCE_DATE")).groupBy(*KEYS, "LD_YEAR") \
+        .agg(F.sum(F.when(a < 0, a)).alias("_neg"), F.count_if(positive).alias("_rows"), F.sum(F.when(positive, a)).alias("_sum"))
+    known = policy_years.select(F.col("POLICY_ID").alias("_known")).distinct()
+    grouped = (F.col("_rows") > 0) & F.col("POLICY_ID").isNotNull() & F.col("CERTIFICATE_ID").isNotNull() & F.col("LD_YEAR").isNotNull()
+    lost = grouped & F.col("_known").isNull()
+    own = groups.join(known, F.col("POLICY_ID") == F.col("_known"), "left").agg(
+        F.sum("_neg").alias("claim_negative"),
+        F.sum(F.when(grouped, F.col("_sum"))).alias("claim_grouped"), F.count_if(grouped).alias("rows_grouped"),
+        F.sum(F.when(lost, F.col("_sum"))).alias("claim_unmatched"), F.count_if(lost).alias("rows_unmatched"),
+        (F.coalesce(F.sum("_rows"), F.lit(0)) - F.count_if(F.col("_rows") > 0)).alias("dup_claim"))
+    both = attach_claims(policy_years, claims, amount).agg(
+        F.sum(amount).alias("claim_combined"),
+        F.sum(f"{amount}_SEQ").alias("claim_in_sequence"),
+        F.sum(f"{amount}_NOT_SEQ").alias("claim_not_in_sequence"),
+        F.sum("NUM_CLAIMS_SEQ").alias("num_in_sequence"),
+        F.sum("NUM_CLAIMS_NOT_SEQ").alias("num_not_in_sequence"),
+        F.sum(F.when(F.col("CL_YEAR") == cal_year, to_money(F.col("EXPOSURE_PREM")))).alias("premium_in_year"),
+        F.sum(F.when(F.col("CL_YEAR") != cal_year, to_money(F.col("EXPOSURE_PREM")))).alias("premium_out_of_year"))
+    dup = key_counts(policy_years, [*KEYS, "CL_YEAR"]).select(F.col("DUPLICATE_ROWS").alias("dup_gwp"))
+    return metric_rows(own, both, dup)
 
 
 def metric_rows(*one_row_aggs: DataFrame) -> DataFrame:

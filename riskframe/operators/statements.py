@@ -187,10 +187,13 @@ def pl_atoms(src: DataFrame, period: tuple[dt.date, dt.date], ytd: tuple[dt.date
     CREDIT_SM = 911, by DEBIT_PL. CURRENT over the period, ACCUMULATED over the year to date.
     ``src`` is the mapped ledger or its summary (built for the same period)."""
     g = _summary(src, period, ytd).filter(F.col("IN_YTD"))
-    vals = {"CURRENT_AMOUNT": F.when(F.col("IN_PERIOD"), F.col("SUM_NET")), "ACCUMULATED_AMOUNT": F.col("SUM_NET")}
-    co = _atoms(g.filter(F.col("DEBIT_SM") == "911"), "PLCO", "CREDIT_PL", vals)
-    no = _atoms(g.filter(F.col("CREDIT_SM") == "911"), "PLNO", "DEBIT_PL", vals)
-    return co.unionByName(no)
+    sides = [F.when(F.col(own) == "911", F.struct(F.lit(atom).alias("_atom"), F.col(other).cast("string").alias("_key")))
+             for atom, own, other in (("PLCO", "DEBIT_SM", "CREDIT_PL"), ("PLNO", "CREDIT_SM", "DEBIT_PL"))]
+    # both atoms from one pass over the summary
+    both = g.withColumn("_side", F.explode(F.array_compact(F.array(*sides)))).select("*", "_side.*")
+    return both.groupBy("_key", "_atom").agg(
+        F.sum(F.when(F.col("IN_PERIOD"), F.col("SUM_NET"))).cast(MONEY).alias("CURRENT_AMOUNT"),
+        F.sum("SUM_NET").cast(MONEY).alias("ACCUMULATED_AMOUNT"))
 
 
 def cf_atoms(src: DataFrame, ytd: tuple[dt.date, dt.date], pl01: DataFrame | None = None) -> DataFrame:

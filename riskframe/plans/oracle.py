@@ -468,14 +468,14 @@ def _fmt_ok(c: str, fmt: str) -> str:
 
 def _validate_sql(settings=DIRTY_SETTINGS, view="v_dirty",
                   present=("event_id", "CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"),
-                  dup_keys=(("CLAIM_ID",),)) -> str:
+                  dup_keys=(("CLAIM_ID",),), info_only=True, unknown="always") -> str:
     """C9 written per column from the settings: INFO columns only, unknown check always, the
     given unique keys (standard names) reported on each of their columns."""
     std = {s.standard_name: s.import_name for s in settings if s.import_name in present}
     keys = [k for k in dup_keys if all(c in std for c in k)]
     parts = []
     for s in settings:
-        if s.variable_type != "INFO":
+        if info_only and s.variable_type != "INFO":
             continue
         if s.import_name not in present:
             parts.append(f"""SELECT '{s.standard_name}' AS COLUMN, CAST(NULL AS VARCHAR) AS TYPE, CAST(NULL AS BIGINT) AS MISSING_COUNT,
@@ -496,6 +496,7 @@ def _validate_sql(settings=DIRTY_SETTINGS, view="v_dirty",
         miss = f"count(*) FILTER (WHERE {c} IS NULL)"
         unk = f"count(*) FILTER (WHERE starts_with(coalesce({v}, 'None'), 'Unknown'))"
         miss_ok = "true" if s.allow_null else f"({miss} = 0)"
+        unk_ok = "true" if unknown == "never" or (unknown == "if_not_null_allowed" and s.allow_null) else f"({unk} = 0)"
         dup_ok = " AND ".join(
             ["true"] + [f"(count(*) = count(DISTINCT {{{', '.join(f'{chr(39)}k{i}{chr(39)}: {std[kc]}' for i, kc in enumerate(k))}}}))"
                         for k in keys if s.standard_name in k])
@@ -503,9 +504,9 @@ def _validate_sql(settings=DIRTY_SETTINGS, view="v_dirty",
         avg = round_sql(f"avg(TRY_CAST({v} AS DOUBLE))", 6) if numeric else "CAST(NULL AS DOUBLE)"
         parts.append(f"""SELECT '{s.standard_name}' AS COLUMN, '{s.data_type}' AS TYPE, {miss} AS MISSING_COUNT,
   {round_sql(f"{miss} * 100.0 / count(*)", 2)} AS MISSING_PCT, {unk} AS UNKNOWN_COUNT, {round_sql(f"{unk} * 100.0 / count(*)", 2)} AS UNKNOWN_PCT,
-  {type_ok} AS TYPE_OK, {miss_ok} AS MISSING_OK, ({unk} = 0) AS UNKNOWN_OK, ({dup_ok}) AS DUP_OK,
+  {type_ok} AS TYPE_OK, {miss_ok} AS MISSING_OK, {unk_ok} AS UNKNOWN_OK, ({dup_ok}) AS DUP_OK,
   {num('min')} AS MIN_VALUE, {num('max')} AS MAX_VALUE, {avg} AS AVG_VALUE,
-  CASE WHEN {type_ok} AND {miss_ok} AND ({dup_ok}) AND ({unk} = 0) THEN 'Pass' ELSE 'Fail' END AS "CHECK" FROM {view}""")
+  CASE WHEN {type_ok} AND {miss_ok} AND ({dup_ok}) AND {unk_ok} THEN 'Pass' ELSE 'Fail' END AS "CHECK" FROM {view}""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -676,3 +677,28 @@ SELECT {KEYS8}, CAST(NUM_CARS AS BIGINT) AS NUM_CARS, CAST(NUM_CLAIMS AS BIGINT)
   CAST(UPR_END + OSC_END + LARC_RES_END AS DECIMAL(38,4)) AS RES_END, CAST(UPR_BEG + OSC_BEG + LARC_RES_BEG AS DECIMAL(38,4)) AS RES_BEG,
   CAST((UPR_END + OSC_END + LARC_RES_END) - (UPR_BEG + OSC_BEG + LARC_RES_BEG) AS DECIMAL(38,4)) AS RES_PERIOD
 FROM j""")
+
+
+# ---------------------------------------------------------------- requests, files, other profiles
+_MOF_PRESENT = tuple(s.import_name for s in MOF_GWP_SETTINGS)
+_q("validate_glm_gwp", ("v_policy",), _validate_sql(MOF_GWP_SETTINGS, "v_policy", _MOF_PRESENT, (("POLICY_ID",),), info_only=False, unknown="never"))
+_q("validate_glm_cmb", ("v_dirty",), _validate_sql(dup_keys=(), unknown="if_not_null_allowed"))
+_q("validate_mof_reserve", ("v_policy",), _validate_sql(MOF_GWP_SETTINGS, "v_policy", _MOF_PRESENT, ()))
+_q("claims_prepared", ("v_claim",), """
+SELECT CLAIM_ID, POLICY_ID, CERTIFICATE_ID, OCCURENCE_DATE, CAST(CLAIM_PMT AS DOUBLE) AS CLAIM_COST, CAST(year(OCCURENCE_DATE) AS INT) AS LD_YEAR
+FROM v_claim WHERE year(OCCURENCE_DATE) = 1997""")
+_glm("rating_request", [("VEHICLE_AGE_GROUP", "TYPE_VEHICLE")], [1996, 1997])
+_glm("nway_health", [("USAGE_CODE",), ("PROVINCE",)], [1997],
+     wrap=lambda b: b.replace("count(DISTINCT POLICY_ID)", "count(DISTINCT CERTIFICATE_ID)").replace(
+         "PARTITION BY POLICY_ID ORDER BY CAL_YEAR", "PARTITION BY CERTIFICATE_ID ORDER BY CAL_YEAR, USAGE_CODE, PROVINCE, EXPOSURE_YEAR, EXPOSURE_PREM, VEHICLE_VALUE"))
+_q("read_columns", (), "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+_q("preview_parts", (), "SELECT f || '.parquet' AS FILE_NAME, i AS ROW_INDEX FROM (VALUES ('nation'), ('region')) t(f), range(3) r(i)")
+_q("two_header_import", (), "SELECT CAST(s_suppkey AS VARCHAR) AS STD_PARTY_ID, s_name AS STD_PARTY_NAME, CAST(s_nationkey AS VARCHAR) AS STD_NATION FROM supplier")
+_q("number_edges", ("v_dirty",), """
+SELECT event_id, CASE event_id % 8 WHEN 5 THEN 7 WHEN 6 THEN -25 END::BIGINT AS I,
+  CASE event_id % 8 WHEN 2 THEN 1e30 WHEN 5 THEN 7 WHEN 6 THEN -25 END::DOUBLE AS D FROM v_dirty""")
+_q("date_all_formats", ("v_policy",), "SELECT POLICY_ID, START_DATE AS PARSED FROM v_policy WHERE day(START_DATE) > 12")
+_STATEMENTS = {"balance_sheet": "balance_sheet", "pl01": "profit_loss", "pl02": "profit_loss_summary", "cf01": "cash_flow", "cf02": "cash_flow_indirect"}
+ORACLE["financial_report"] = ("SELECT 'trial_balance' AS STATEMENT, ACCOUNT AS LINE, CLOSING_NET_AMOUNT AS CURRENT_AMOUNT FROM ("
+                              + ORACLE["trial_balance"] + ")" + "".join(
+                                  f"\nUNION ALL SELECT '{k}', code, CURRENT_AMOUNT FROM ({ORACLE[v]})" for k, v in _STATEMENTS.items()))

@@ -1,11 +1,12 @@
 """Registered queries: ``name -> f(spark, sf_dir) -> DataFrame`` over the driver tables.
 
 Every query reads the whole driver tables (through the derived views of ``sources.fixtures``);
-none samples, caps or filters rows to make the check cheaper.
+periods and years are the operators' own parameters.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -505,3 +506,106 @@ def pnt11_combined_prior(spark, sf_dir):
     res = fx["v_reserve"].withColumnRenamed("USAGE_CODE", "COVERAGE_ID")
     return _pnt11_out(P.pnt11_report(fx["v_mof_premium"], fx["v_mof_claim"], res, fx["m_coverage"], fx["m_vehicle"],
                                      mof.AGE_EDGES, mof.AGE_UNIT, reserve_template="RES_PNT_11_01", prior_report=res))
+
+
+# ---------------------------------------------------------------- requests, files, other profiles
+from riskframe.operators.nway import rating_tables  # noqa: E402
+from riskframe.session import checkpoint_dir  # noqa: E402
+from riskframe.sources import files, sinks  # noqa: E402
+
+
+@query("financial_report")
+def financial_report(spark, sf_dir):
+    """The statements of one report as (STATEMENT, LINE, CURRENT_AMOUNT) rows, all from
+    one summary of the ledger, behind the mapping, period and balance guards."""
+    fx = _fx(spark, sf_dir)
+    year, code, value = mof.REPORT
+    templates = {k: fx[f"t_{k}"] for k in ("bs", "pl01", "pl02", "cf01", "cf02")}
+    report = S.financial_report(L.filter_period(fx["v_gl"], *mof.LEDGER_PERIOD), fx["v_account"], templates, year, code, value,
+                                mapping_status={"DEBIT_ACC": "Validated", "CREDIT_ACC": "Validated"})
+    out = report["trial_balance"].select(F.lit("trial_balance").alias("STATEMENT"), F.col("ACCOUNT").alias("LINE"),
+                                         F.col("CLOSING_NET_AMOUNT").alias("CURRENT_AMOUNT"))
+    for name in ("balance_sheet", "pl01", "pl02", "cf01", "cf02"):
+        out = out.unionByName(report[name].select(F.lit(name).alias("STATEMENT"), F.col("code").alias("LINE"), "CURRENT_AMOUNT"))
+    return out
+
+
+@query("claims_prepared")
+def claims_prepared(spark, sf_dir):
+    c = _fx(spark, sf_dir)["v_claim"]
+    text = c.select("CLAIM_ID", "POLICY_ID", "CERTIFICATE_ID", F.date_format("OCCURENCE_DATE", "MM-dd-yyyy").alias("OCCURENCE_DATE"),
+                    F.col("CLAIM_PMT").cast("string").alias("CLAIM_COST"))
+    return C.prepare_claims(text, cal_year=glm.ANALYSIS_YEAR)
+
+
+@query("rating_request")
+def rating_request(spark, sf_dir):
+    """F8/E5: one request: two factors, a year range and bins with the text ``Infinity``."""
+    t = glm.glm_table(_fx(spark, sf_dir)).drop("VEHICLE_AGE_GROUP")
+    return rating_tables(t, "CAR", ["VEHICLE_AGE_GROUP", "TYPE_VEHICLE"], 2, [1996, 1997],
+                         group_settings={"VEHICLE_AGE_GROUP": {"bin": [0, 3, 6, 10, "Infinity"], "unit": "years"}})
+
+
+@query("nway_health")
+def nway_health(spark, sf_dir):
+    """the HEALTH product counts certificates and sums SUM_ASSURED."""
+    t = glm.glm_table(_fx(spark, sf_dir)).withColumnRenamed("VEHICLE_VALUE", "SUM_ASSURED")
+    return n_way(t, NWaySpec(factors=["USAGE_CODE", "PROVINCE"], n=1, years=[glm.ANALYSIS_YEAR], product="HEALTH"))
+
+
+@query("validate_glm_gwp")
+def validate_glm_gwp(spark, sf_dir):
+    return V.validate(_fx(spark, sf_dir)["v_policy"], quality.MOF_GWP_SETTINGS, V.Profile.of("GLM_GWP"))
+
+
+@query("validate_glm_cmb")
+def validate_glm_cmb(spark, sf_dir):
+    return V.validate(_fx(spark, sf_dir)["v_dirty"], quality.DIRTY_SETTINGS, V.Profile.of("GLM_CMB"))
+
+
+@query("validate_mof_reserve")
+def validate_mof_reserve(spark, sf_dir):
+    """A reserve template has no key: repeated ids are no error."""
+    return V.validate(_fx(spark, sf_dir)["v_policy"], quality.MOF_GWP_SETTINGS, V.Profile.of("MOF", "RES_PNT_11"))
+
+
+@query("read_columns")
+def read_columns(spark, sf_dir):
+    return files.read_table(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderpriority"])
+
+
+@query("preview_parts")
+def preview_parts(spark, sf_dir):
+    """I4: the first rows of each part (their number is the feature)."""
+    return files.preview_parts(spark, [f"{sf_dir}/nation.parquet", f"{sf_dir}/region.parquet"], n=3).select("FILE_NAME", "ROW_INDEX")
+
+
+@query("two_header_import")
+def two_header_import(spark, sf_dir):
+    """An extract with two header rows is written, read back and mapped to standard names."""
+    s = _fx(spark, sf_dir)["supplier"].select(F.col("s_suppkey").cast("string").alias("PARTY_ID"), F.col("s_name").alias("PARTY_NAME"),
+                                              F.col("s_nationkey").cast("string").alias("NATION"))
+    header = spark.range(1).select(F.lit("Party number").alias("PARTY_ID"), F.lit("Party name").alias("PARTY_NAME"), F.lit("Nation key").alias("NATION"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/two-header-{uuid.uuid4().hex}"
+    header.unionByName(s).coalesce(1).write.option("header", True).csv(path)  # one file: the second header is its first row
+    data, mapping = files.read_two_header(spark, path)
+    sinks.write_report(data, f"{path}-report")
+    settings = [V.ColumnSetting(f"STD_{k}", k, "Text") for k in mapping]
+    return I.map_columns(files.read_table(spark, f"{path}-report", list(mapping)), settings)
+
+
+@query("number_edges")
+def number_edges(spark, sf_dir):
+    """Text that is no finite number, or beyond 64 bits, becomes null and never fails the job."""
+    odd = F.element_at(F.array(*[F.lit(x) for x in ("NaN", "Infinity", "1e30", "12d", "3f", " 7 ", "-2.5e1", "")]), (F.pmod("event_id", F.lit(8)) + 1).cast("int"))
+    t = _fx(spark, sf_dir)["v_dirty"].select("event_id", odd.alias("I"), odd.alias("D"))
+    return I.convert_types(t, [V.ColumnSetting("I", "I", "Integer"), V.ColumnSetting("D", "D", "Double")])
+
+
+@query("date_all_formats")
+def date_all_formats(spark, sf_dir):
+    """Every format that validation accepts imports to the same date, value by value."""
+    from riskframe.operators.validate import DATE_FORMATS
+    day = _fx(spark, sf_dir)["v_policy"].where(F.dayofmonth("START_DATE") > 12)
+    spelled = F.element_at(F.array(*[F.date_format("START_DATE", p) for _, p in DATE_FORMATS]), (F.pmod(F.col("POLICY_ID").cast("long"), F.lit(len(DATE_FORMATS))) + 1).cast("int"))
+    return day.select("POLICY_ID", spelled.alias("RAW")).select("POLICY_ID", I.to_date_multi("RAW", None).alias("PARSED"))

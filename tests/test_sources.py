@@ -17,9 +17,10 @@ def test_two_header_csv(spark):
 
 def test_numeric_second_row_is_rejected(spark):
     import pytest
-    df = spark.createDataFrame([("1", "2")], "a string, b string")
-    with pytest.raises(ValueError):
-        mapping_from_header(df)
+    for value in ("2.5", "2019-12-31", "2019-12-31 10:00:00"):
+        with pytest.raises(ValueError):
+            mapping_from_header(spark.createDataFrame([("x", value)], "a string, b string"))
+    assert mapping_from_header(spark.createDataFrame([("1", "Name")], "a string, b string")) == {"a": "1", "b": "Name"}
 
 
 def test_union_parts_by_prefix(spark):
