@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-from riskframe.functions.buckets import INF, amount_labels, unit_labels
 from riskframe.functions.money import money_sql
 from riskframe.functions.numeric import round_sql
 from riskframe.sources.fixtures import oracle_with
@@ -41,14 +40,24 @@ def _case(expr: str, edges, labels) -> str:
     return "CASE " + " ".join(parts) + " ELSE 'NaN' END"
 
 
-def _amount(expr, edges):
-    e, l = amount_labels(edges)
-    return _case(f"CAST({expr} AS DOUBLE)", e, l)
+# Written out, not taken from the engine: cut points (right-closed) and labels of the buckets.
+INF = math.inf
+AGE_CUTS, AGE_LABELS = [0, 2, 5, 9, INF], ["01-Under 3 years", "02-From 3 to 5 years", "03-From 6 to 9 years", "04-From 10 years and above"]
+SEAT_CUTS, SEAT_LABELS = [0, 5, 8, INF], ["01-Under 6 seats", "02-From 6 to 8 seats", "03-From 9 seats and above"]
+VALUE_CUTS, VALUE_LABELS = [0, 4e8, 8e8, 1.2e9, INF], ["01-From 0 to 400m", "02-Above 400m to 800m", "03-Above 800m to 1.20bn", "04-Above 1.20bn"]
+AGE_VI = ["Dưới 3 năm", "Từ 3 đến 5 năm", "Từ 6 đến 9 năm", "Từ 10 năm trở lên"]
+AGE_VI_CODES = ["01", "02", "03", "04"]
+IMPORT_FORMATS = ["%d/%m/%Y %H:%M", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d"]
+ACCEPTED_FORMATS = ["%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d.%m.%Y", "%m.%d.%Y", "%d %b %Y", "%d %B %Y",
+                    "%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%m-%d-%Y %I:%M %p"]
 
 
-def _unit(expr, edges, unit):
-    e, l = unit_labels(edges, unit)
-    return _case(f"CAST({expr} AS DOUBLE)", e, l)
+def _amount(expr):
+    return _case(f"CAST({expr} AS DOUBLE)", VALUE_CUTS, VALUE_LABELS)
+
+
+def _unit(expr, cuts, labels):
+    return _case(f"CAST({expr} AS DOUBLE)", cuts, labels)
 
 
 # ---------------------------------------------------------------- exposure
@@ -139,12 +148,10 @@ SELECT POLICY_ID, CERTIFICATE_ID, LD_YEAR, NUM_CLAIMS, CAST(CLAIM_PMT AS DECIMAL
 WHERE POLICY_ID NOT IN (SELECT POLICY_ID FROM py WHERE POLICY_ID IS NOT NULL)""")
 
 # ---------------------------------------------------------------- buckets
-_AGE = ([0, 3, 6, 10, INF], "years")
-_SEATS = ([0, 6, 9, INF], "seats")
-_VALUE = [0, 4e8, 8e8, 1.2e9, INF]
+_AGE, _SEATS = (AGE_CUTS, AGE_LABELS), (SEAT_CUTS, SEAT_LABELS)
 
 _q("bucket_amount", ("v_policy",), f"""
-SELECT {_amount('VEHICLE_VALUE', _VALUE)} AS VEHICLE_VALUE_GROUP, count(*) AS NUM_POLICIES, CAST(sum(GWP) AS DECIMAL(38,4)) AS GWP
+SELECT {_amount('VEHICLE_VALUE')} AS VEHICLE_VALUE_GROUP, count(*) AS NUM_POLICIES, CAST(sum(GWP) AS DECIMAL(38,4)) AS GWP
 FROM v_policy GROUP BY 1""")
 
 _q("bucket_unit", ("v_policy",), f"""
@@ -157,7 +164,7 @@ glm AS (SELECT py.*, CAST(py.CL_YEAR AS INT) AS CAL_YEAR, cg.NUM_CLAIMS, cg.CLAI
     cg.NUM_CLAIMS_AC01, cg.CLAIM_PMT_AC01, cg.NUM_CLAIMS_AC02, cg.CLAIM_PMT_AC02,
     {_unit('VEHICLE_AGE', *_AGE)} AS VEHICLE_AGE_GROUP,
     {_unit('VEHICLE_SEATS', *_SEATS)} AS VEHICLE_SEATS_GROUP,
-    {_amount('VEHICLE_VALUE', _VALUE)} AS VEHICLE_VALUE_GROUP
+    {_amount('VEHICLE_VALUE')} AS VEHICLE_VALUE_GROUP
   FROM py LEFT JOIN cg ON py.POLICY_ID = cg.POLICY_ID AND py.CERTIFICATE_ID = cg.CERTIFICATE_ID AND py.CL_YEAR = cg.LD_YEAR)"""
 
 FACTORS = ["VEHICLE_AGE_GROUP", "VEHICLE_SEATS_GROUP", "VEHICLE_VALUE_GROUP", "TYPE_VEHICLE", "USAGE_CODE", "PROVINCE"]
@@ -243,9 +250,7 @@ _glm("gwp_share", [("PROVINCE",)], [0],
 
 
 def _complete(b: str) -> str:
-    seats = unit_labels(*_SEATS)[1]
-    value = amount_labels(_VALUE)[1]
-    grid = ", ".join(f"('{s}', '{v}')" for s in seats for v in value)
+    grid = ", ".join(f"('{s}', '{v}')" for s in SEAT_LABELS for v in VALUE_LABELS)
     return f"""
 SELECT 1997 AS VAR_YEAR, '001: VEHICLE_SEATS_GROUP & VEHICLE_VALUE_GROUP' AS VAR_NAME_CODE,
   'VEHICLE_SEATS_GROUP' AS VAR_NAME1, 'VEHICLE_VALUE_GROUP' AS VAR_NAME2, coalesce(g.d1, r.VAR_DETAIL1) AS VAR_DETAIL1, coalesce(g.d2, r.VAR_DETAIL2) AS VAR_DETAIL2,
@@ -262,10 +267,8 @@ _glm("nway_complete", [("VEHICLE_SEATS_GROUP", "VEHICLE_VALUE_GROUP")], [1997],
 
 # ---------------------------------------------------------------- PNT-11
 def _age_vi(expr: str) -> tuple[str, str]:
-    e, labels = unit_labels([0, 3, 6, 10, INF], "năm", locale="vi")
-    clean = [lab.split("-", 1)[1] for lab in labels]
-    codes = [lab.split("-", 1)[0] for lab in labels]
-    return _case(f"CAST({expr} AS DOUBLE)", e, clean), _case(f"CAST({expr} AS DOUBLE)", e, codes)
+    x = f"CAST({expr} AS DOUBLE)"
+    return _case(x, AGE_CUTS, AGE_VI), _case(x, AGE_CUTS, AGE_VI_CODES)
 
 
 def _mapped(view: str, cov: str) -> str:
@@ -432,9 +435,7 @@ FROM t_cf02 t, q""")
 
 
 # ---------------------------------------------------------------- text, periods, quality, ingest
-from riskframe.functions.text import FOREIGN_PLATE_PATTERN, PLATE_PATTERN  # noqa: E402
-from riskframe.operators.ingest import IMPORT_DATE_FORMATS  # noqa: E402
-from riskframe.operators.validate import DATE_FORMATS  # noqa: E402
+PLATE_PATTERN, FOREIGN_PLATE_PATTERN = r"^[A-Z0-9]{1,2}[A-Z]{1,3}\d{3,6}[A-Z]?$", r"^\d{5}(NN|NG|QT|CV)\d{2}$"
 from riskframe.plans.quality import DIRTY_SETTINGS, EXPECTED_COLUMNS, MOF_GWP_SETTINGS  # noqa: E402
 
 # v_dirty holds ASCII text only, where NFKC is the identity, so the oracle needs no NFKC.
@@ -488,7 +489,7 @@ def _validate_sql(settings=DIRTY_SETTINGS, view="v_dirty",
         numeric = s.data_type in ("Double", "Integer")
         if s.data_type == "Date":
             has = f"(count(*) FILTER (WHERE {v} IS NOT NULL AND len({_vals(c)}) > 0) > 0)"
-            type_ok = has + " AND (" + " OR ".join(_fmt_ok(c, f) for f, _ in DATE_FORMATS) + ")"
+            type_ok = has + " AND (" + " OR ".join(_fmt_ok(c, f) for f in ACCEPTED_FORMATS) + ")"
         elif numeric:
             type_ok = f"(count(*) FILTER (WHERE {v} IS NOT NULL AND {v} <> '' AND TRY_CAST({v} AS DOUBLE) IS NULL) = 0 AND count(*) > 0)"
         else:
@@ -538,7 +539,7 @@ _q("validate_mof_status", ("v_policy",), _status_sql(_validate_sql(**_MOF_ARGS),
 
 _dates = []
 for _col, _src in (("DATE_TXT", "v_dirty"), ("START_DATE_TXT", "(SELECT strftime(START_DATE, '%Y-%m-%d') AS START_DATE_TXT FROM v_policy)")):
-    for _j, (_f, _) in enumerate(DATE_FORMATS):
+    for _j, _f in enumerate(ACCEPTED_FORMATS):
         _dates.append(f"SELECT '{_col}' AS COLUMN, {_j + 1} AS FORMAT_NO, '{_f}' AS FORMAT, {_fmt_ok(_col, _f)} AS PARSES_ALL FROM {_src}")
 _q("validate_dates", ("v_dirty", "v_policy"), "\n" + "\nUNION ALL\n".join(_dates))
 
@@ -564,20 +565,20 @@ _q("map_columns", ("v_dirty",), f"\nSELECT {_MAP_SELECT} FROM v_dirty")
 
 
 def _multi(expr: str, fmts) -> str:
-    return "coalesce(" + ", ".join(f"try_strptime(trim({expr}), '{f}')" for f, _ in fmts) + ")"
+    return "coalesce(" + ", ".join(f"try_strptime(trim({expr}), '{f}')" for f in fmts) + ")"
 
 
 _q("convert_types", ("v_dirty",), f""",
 m AS (SELECT {_MAP_SELECT} FROM v_dirty)
 SELECT CAST(TRY_CAST(CAST(CLAIM_ID AS VARCHAR) AS DOUBLE) AS BIGINT) AS CLAIM_ID, coalesce(SALES_CHANNEL, 'Unknown') AS SALES_CHANNEL,
-  TRY_CAST(GWP AS DOUBLE) AS GWP, CAST({_multi('START_DATE', IMPORT_DATE_FORMATS)} AS DATE) AS START_DATE,
+  TRY_CAST(GWP AS DOUBLE) AS GWP, CAST({_multi('START_DATE', IMPORT_FORMATS)} AS DATE) AS START_DATE,
   coalesce(REG_NO, 'Unknown') AS REG_NO,
   CASE WHEN regexp_matches(coalesce(COVERAGE_ID, 'Unknown'), '^0.') THEN coalesce(COVERAGE_ID, 'Unknown') ELSE '0' || coalesce(COVERAGE_ID, 'Unknown') END AS COVERAGE_ID
 FROM m""")
 
 _q("date_multi_format", ("v_dirty", "v_policy"), f""",
 p AS (SELECT POLICY_ID, strftime(START_DATE, '%-d/%-m/%Y') AS START_TXT FROM v_policy)
-SELECT CAST(event_id AS VARCHAR) AS ROW_ID, DATE_TXT AS RAW, CAST({_multi('DATE_TXT', IMPORT_DATE_FORMATS)} AS DATE) AS PARSED FROM v_dirty
+SELECT CAST(event_id AS VARCHAR) AS ROW_ID, DATE_TXT AS RAW, CAST({_multi('DATE_TXT', IMPORT_FORMATS)} AS DATE) AS PARSED FROM v_dirty
 UNION ALL
 SELECT POLICY_ID, START_TXT, CAST(try_strptime(trim(START_TXT), '%d/%m/%Y') AS DATE) FROM p""")
 
@@ -590,7 +591,7 @@ _q("low_cardinality", ("v_dirty",), "\n" + "\nUNION ALL\n".join(f"""SELECT '{c}'
   (count(DISTINCT {c}) * 1.0 / count(*)) < 0.5 AS IS_CATEGORICAL FROM v_dirty""" for c in ["CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"]))
 
 _q("clean_table", ("v_dirty",), f"""
-SELECT event_id, CHANNEL, TRY_CAST(AMOUNT_TXT AS DOUBLE) AS AMOUNT_TXT, {_multi('DATE_TXT', IMPORT_DATE_FORMATS)} AS DATE_TXT,
+SELECT event_id, CHANNEL, TRY_CAST(AMOUNT_TXT AS DOUBLE) AS AMOUNT_TXT, {_multi('DATE_TXT', IMPORT_FORMATS)} AS DATE_TXT,
   REG_NO, TRY_CAST(COVERAGE_ID AS DOUBLE) AS COVERAGE_ID FROM v_dirty""")
 
 _q("snapshot_diff", ("v_policy",), """,

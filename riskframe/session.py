@@ -10,7 +10,7 @@ import os
 import re
 import tempfile
 
-from pyspark import SparkConf
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a local session; a cluster session keeps its own values.
@@ -37,6 +37,9 @@ def get_spark(master: str | None = None, app: str = "riskframe", **conf: str) ->
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    args = os.environ.get("PYSPARK_SUBMIT_ARGS", "").replace("pyspark-shell", "").strip()
+    if args or "PYSPARK_GATEWAY_PORT" in os.environ:
+        SparkContext._ensure_initialized()  # started by spark-submit or with its arguments: they can be read
     given = SparkConf()
     submitted = given.contains("spark.master")
     builder = SparkSession.builder.appName(app)
