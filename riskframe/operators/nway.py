@@ -40,6 +40,10 @@ METRIC_COLUMNS = ["NUM_POLS", "NUM_CLAIMS", "EXPOSURE_YEAR", "EXPOSURE_PREM", "C
                   "AVG_SUM_ASSURED"]
 
 
+# Exposure is added up in units of 1e-12 years: exact, whatever the partitioning.
+YEARS = "decimal(20,12)"
+
+
 @dataclass(frozen=True)
 class Product:
     """which column counts policies and which is the sum assured."""
@@ -109,7 +113,7 @@ def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str |
     claim_cols = list(dict.fromkeys(x for c, _ in measures for x in cols(c)))
     yc, cnt, sa = spec.year_col, prod.count_col, prod.sum_assured
 
-    base = df.select(F.col(yc).cast("int").alias(yc), *factors, cnt, *claim_cols, "EXPOSURE_YEAR",
+    base = df.select(F.col(yc).cast("int").alias(yc), *factors, cnt, *claim_cols, F.col("EXPOSURE_YEAR").cast(YEARS).alias("EXPOSURE_YEAR"),
                      "EXPOSURE_PREM", sa, *[c for c in spec.order_by if c not in (yc, *factors, cnt)])
     if 0 not in years:
         base = base.filter(F.col(yc).isin(specific))
@@ -135,7 +139,8 @@ def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str |
                 F.explode(groups).alias("_g")).select("*", "_g.*").drop("_g").dropna(subset=vs)
     add = [F.sum(c).alias(c) for c in (*sums, *exposure)]
     keys = ["VAR_YEAR", "_combo", *vs]
-    joined = emitted.groupBy("_policy", *keys).agg(*add).groupBy(*keys).agg(F.count("_policy").alias("NUM_POLS"), *add)
+    joined = emitted.groupBy("_policy", *keys).agg(*add).groupBy(*keys).agg(F.count("_policy").alias("NUM_POLS"), *add) \
+        .withColumn("EXPOSURE_YEAR", F.col("EXPOSURE_YEAR").cast("double"))
 
     stacked = F.array(*[F.struct(F.lit(c).cast("string").alias("_code"), F.lit(d).cast("string").alias("_desc"),
                                  F.col(f"_s_{cols(c)[0]}").alias("NUM_CLAIMS"), F.col(f"_s_{cols(c)[1]}").alias("CLAIM_PMT"))

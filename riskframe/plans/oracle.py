@@ -200,7 +200,7 @@ SELECT {y} AS VAR_YEAR, '{label}{suffix}' AS VAR_NAME_CODE, {labels},
   a.NUM_POLS, a.NUM_CLAIMS, e.EXPOSURE_YEAR, e.EXPOSURE_PREM, a.CLAIM_PMT, e.SUM_ASSURED
 FROM (SELECT {fl}, count(DISTINCT POLICY_ID) AS NUM_POLS, sum({num}) AS NUM_CLAIMS, sum({pmt}) AS CLAIM_PMT
       FROM glm WHERE {where} AND {notnull} GROUP BY {fl}) a
-LEFT JOIN (SELECT {fl}, sum(EXPOSURE_YEAR) AS EXPOSURE_YEAR, sum(EXPOSURE_PREM) AS EXPOSURE_PREM, sum(VEHICLE_VALUE) AS SUM_ASSURED
+LEFT JOIN (SELECT {fl}, CAST(sum(CAST(EXPOSURE_YEAR AS DECIMAL(20,12))) AS DOUBLE) AS EXPOSURE_YEAR, sum(EXPOSURE_PREM) AS EXPOSURE_PREM, sum(VEHICLE_VALUE) AS SUM_ASSURED
       FROM (SELECT *, row_number() OVER (PARTITION BY POLICY_ID ORDER BY CAL_YEAR) AS rn FROM glm WHERE {where})
       WHERE rn = 1 AND {notnull} GROUP BY {fl}) e ON {join}""")
     body = "\nUNION ALL".join(parts)
