@@ -1,8 +1,8 @@
 """riskframe: insurance rating and statutory-reporting operators as PySpark DataFrame functions.
 
 Every public operator takes and returns ``pyspark.sql.DataFrame`` objects; all data work runs
-as Catalyst-planned joins, aggregations and windows. Settings are small dataclasses
-(``riskframe.settings``) evaluated at plan time.
+as Catalyst-planned joins, aggregations and windows. Settings are small dataclasses evaluated at
+plan time (``operators.validate.ColumnSetting``, ``operators.nway.NWaySpec``).
 """
 
 from riskframe.session import get_spark, checkpoint_dir  # noqa: F401

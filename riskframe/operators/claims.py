@@ -83,6 +83,14 @@ def claims_in_sequence(policy_years: DataFrame, claims: DataFrame, amount: str =
     return j.withColumn("IN_SEQ", F.col("OCCURENCE_DATE").between(F.col("START_SEQ"), F.col("END_SEQ")))
 
 
+def _totals(amount: str, codes: dict[str, object] | None) -> list:
+    """Claim count and sum of the rows, in all and per coverage code."""
+    out = [F.count("CLAIM_ID").alias("NUM_CLAIMS"), F.sum(amount).alias(amount)]
+    for code, cond in (codes or {}).items():
+        out += [F.count(F.when(cond, F.col("CLAIM_ID"))).alias(f"NUM_CLAIMS_{code}"), F.sum(F.when(cond, F.col(amount))).alias(f"{amount}_{code}")]
+    return out
+
+
 def claims_by_year(claims: DataFrame, amount: str = "CLAIM_PMT", codes: dict[str, object] | None = None) -> DataFrame:
     """Per (POLICY_ID, CERTIFICATE_ID, LD_YEAR): the grouped totals of F14 and ``_DATES``, the
     claims after F16's dedup summed per occurrence date (at most 366 entries).
@@ -90,10 +98,7 @@ def claims_by_year(claims: DataFrame, amount: str = "CLAIM_PMT", codes: dict[str
     Three aggregates, each with partial aggregation: by claim id (spreads a hot policy over its
     claims), by date (reduces it to 366 rows a task), by key.
     """
-    c = _usable(claims, amount)
-    raw = [F.count("CLAIM_ID").alias("NUM_CLAIMS"), F.sum(amount).alias(amount)]
-    for code, cond in (codes or {}).items():
-        raw += [F.count(F.when(cond, F.col("CLAIM_ID"))).alias(f"NUM_CLAIMS_{code}"), F.sum(F.when(cond, F.col(amount))).alias(f"{amount}_{code}")]
+    c, raw = _usable(claims, amount), _totals(amount, codes)
     totals = ["NUM_CLAIMS", amount, *[f"{x}_{code}" for code in (codes or {}) for x in ("NUM_CLAIMS", amount)]]
     # a claim without an id is no repetition of another: such claims stay apart by date
     by_claim = c.groupBy(*KEYS, "LD_YEAR", "CLAIM_ID", F.when(F.col("CLAIM_ID").isNull(), F.col("OCCURENCE_DATE")).alias("_own")) \
@@ -120,9 +125,9 @@ def attach_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLA
     """
     key = [*KEYS, "LD_YEAR"]
     py = policy_years.withColumn("LD_YEAR", F.col("CL_YEAR"))
+    if not with_sequence:  # totals alone need one aggregate
+        return py.join(_usable(claims, amount).groupBy(*key).agg(*_totals(amount, codes)), key, "left").drop("LD_YEAR")
     years = claims_by_year(claims, amount, codes)
-    if not with_sequence:
-        return py.join(years.drop("_DATES"), key, "left").drop("LD_YEAR")
     out = py.join(years, key, "left")
     dates = F.coalesce("_DATES", F.array().cast(years.schema["_DATES"].dataType))
     amount_type = years.schema["_DATES"].dataType.elementType["_amt"].dataType
