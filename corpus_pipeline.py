@@ -30,15 +30,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id; repeated ids keep one row.
+    """One row of each group of near copies: the smallest id (none comes last), then the least row hash.
 
-    Rows without an id cannot be told apart: they go if one of them is a copy of a row with an id.
+    Rows are told apart by id and content, so different texts under one id, or without one, all stay.
     """
-    groups = simhash.near_duplicates(docs, words=4, radius=4)
-    gone = common.written(groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")))
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    keyed = docs.withColumn("__row", F.xxhash64("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    prints = common.checkpointed(simhash.fingerprints(keyed, words=4, carry=("__row",)))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("__row").alias("__first"))
+    classes = simhash.linked_fingerprints(prints.groupBy("fp").agg(F.min(key).alias("key")), radius=4)
+    first = common.written(classes.groupBy("component").agg(F.min("key").alias("key")).select("key.__id", "key.__first"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first"))
+    kept = keyed.join(first.hint("shuffle_hash"), same, "left_semi")
+    repeated = not prints.groupBy("doc_id", "__row").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", "__row"]) if repeated else kept).select(docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

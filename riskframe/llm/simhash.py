@@ -37,8 +37,8 @@ MAX_LEVELS = 12
 #: Members of a branch that are compared outright.
 LEAF = 128
 
-#: Stands for a null id while classes are linked.
-_NO_ID = 2**63 - 1
+#: Parts that the fingerprints of one component are dealt to when they get its id.
+SALTS = 16
 _BIT_SUMS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
 
 
@@ -62,14 +62,14 @@ def fingerprint(text: bytes, words: int) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (64 bits as a signed long) of every row; a null text has no word."""
+def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (64 bits as a signed long) and the columns ``carry`` of every row; a null text has no word."""
     def make():
         def compute(texts):
             return [np.array([fingerprint(t, words) for t in common.utf8(texts)], np.uint64).view(np.int64)]
         return compute
-    return common.append_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text",
-                                 [("fp", T.LongType(), pa.int64())], make).select("doc_id", "fp")
+    return common.append_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry), "text",
+                                 [("fp", T.LongType(), pa.int64())], make).select("doc_id", "fp", *carry)
 
 
 def segment_masks(segments: int) -> list[int]:
@@ -242,18 +242,28 @@ def link_fingerprints(fps: DataFrame, radius: int, segments: int = 3) -> DataFra
     return visits.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
+def linked_fingerprints(classes: DataFrame, radius: int, segments: int = 3) -> DataFrame:
+    """Add ``component`` to rows of distinct ``fp``: the least fingerprint reachable over links, the own one included."""
+    classes = common.checkpointed(classes)
+    groups = connected_components(link_fingerprints(classes.select("fp", F.col("fp").alias("rep")), radius, segments))
+    return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3, segments: int = 3,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
     The component is the smallest id reachable over links of at most ``radius`` differing bits,
     the own id included. Equal fingerprints always link, rows without a word (fingerprint zero)
-    too. A null id takes part like any other and is never the smallest of a group that has an id.
+    too. Fingerprints are linked, not ids: rows that share an id, or have none, hang together only
+    by their texts. A null id is never the smallest of a group that has an id.
     """
     prints = common.checkpointed(fingerprints(docs, words, id_col, text_col))
-    classes = common.checkpointed(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("rep")))
-    groups = connected_components(link_fingerprints(classes, radius, segments))
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("fp", F.nullif(F.coalesce("component", "rep"), F.lit(_NO_ID)).alias("component_id"))
+    classes = common.checkpointed(linked_fingerprints(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, segments))
+    # a lone fingerprint has its own least id; the members of a large group are dealt to several parts
+    least = classes.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1") \
+        .select("component", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = classes.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(least, ["component", "salt"], "left") \
+        .select("fp", F.coalesce("first", "least").alias("component_id"))
     return prints.join(named, "fp") \
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
