@@ -263,12 +263,16 @@ def _order_open(size: int):
     def run(batches):
         held: list[tuple] = []
         held_bytes = 0
+        last = None
         for batch in batches:
             settled = batch.column(3).is_null()
             passed = batch.filter(settled)
             docs, poss = passed.column(1).to_pylist(), passed.column(2).to_pylist()
             rest = batch.filter(pc.invert(settled))
             for row in zip(*[c.to_pylist() for c in rest.columns], strict=True):
+                if row[:3] == last:  # the same run of a repeated row (equal id and text): one document
+                    continue
+                last = row[:3]
                 if held_bytes >= ORDER_BYTES and held[-1][0] != row[0]:
                     (d, p), _ = settle(held)
                     docs += d

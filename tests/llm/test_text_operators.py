@@ -139,6 +139,22 @@ def test_repeats_equal_brute_force(odd_docs, odd_rows, no_docs, spark, monkeypat
     assert sorted(r["n_removed"] for r in out.collect())[1] >= 200
 
 
+def test_repeated_rows_keep_a_short_phrase_that_others_hold(spark, monkeypatch):
+    rnd = random.Random(12)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrases = [noise(n) for n in (24, 40, 60, 99)]
+    texts = {i: "".join(f"{noise(150)}{i}{p}{i}" for p in phrases) + noise(150) for i in range(1, 6)}
+    rows = [(i, t) for i, t in texts.items() for _ in range(1 + i % 3)]
+    for chunk, order in ((1 << 20, 2 << 20), (500, 500)):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        monkeypatch.setattr(repeats, "ORDER_BYTES", order)
+        out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        want = helpers.repeats(rows)
+        assert len(out) == len(rows)
+        assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], texts[r["doc_id"]]] for r in out)
+        assert {r["n_removed"] for r in out} == {0}
+
+
 def test_repeated_windows_are_the_equal_groups():
     rnd = random.Random(9)
     data = sorted((bytes(rnd.choice(b"ab") for _ in range(104)) for _ in range(40)))
