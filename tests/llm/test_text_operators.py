@@ -323,3 +323,16 @@ def test_tree_matching_aligns_equal_structure():
     a, _ = html.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>")
     b, _ = html.parse("<div><p>1</p><table><tr><td>q</td></tr></table><p>3</p></div>")
     assert sorted((x.path, x.texts, y.texts) for x, y in html.match_trees(a, b) if x.texts) == [("/div/p", ["1"], ["1"]), ("/div/p", ["2"], ["3"])]
+
+
+def test_content_root_keeps_the_whole_article(spark):
+    say = lambda what, i, n: " ".join(f"{what}{i}{k}" for k in range(n))
+    layouts = {"a": "<article><h1>%s</h1><p>%s</p><section><p>%s</p></section></article>",
+               "b": "<article><h1>%s</h1><p>%s</p><div><p>%s</p></div></article>",
+               "c": "<main><h1>%s</h1><p>%s</p><table><tr><td>%s</td></tr></table></main>",
+               "d": "<div><h1>%s</h1><p>%s</p><div><p>%s</p></div></div>"}
+    parts = {(h, i): (say("title", i, 3), say("lead", i, 20), say("body", i, 40)) for h in layouts for i in range(6)}
+    rows = [(k, f"http://{h}.example.org/{i}", f"<html><body><nav>Home</nav>{layouts[h] % p}</body></html>") for k, ((h, i), p) in enumerate(parts.items())]
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, p in enumerate(parts.values()):
+        assert out[k].split("\n") == list(p)
