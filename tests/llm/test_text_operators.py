@@ -336,3 +336,13 @@ def test_content_root_keeps_the_whole_article(spark):
     out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k, p in enumerate(parts.values()):
         assert out[k].split("\n") == list(p)
+
+
+def test_wrappers_come_from_distinct_pages_of_any_length(spark):
+    long = lambda i: page(i).replace("<ul>", "".join(f"<p>words {i} {k} " + "x" * 900 + "</p>" for k in range(30)) + "<ul>")
+    assert len(long(0)) > 20_000
+    rows = [(i, "http://copies.example.org/", page(i)) for i in range(8) for _ in range(6)]
+    rows += [(100 + i, "http://long.example.org/", long(i)) for i in range(5)]
+    out = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    assert all("All rights kept by us today." not in r["text"] and f"Body {r['page_id'] % 100} one" in r["text"] for r in out)
