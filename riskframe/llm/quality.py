@@ -3,9 +3,10 @@
 A public subword vocabulary measures every text: characters per token, the share of byte-fallback
 tokens, and the entropy of the text's tokens against the most that so many tokens can have. Prose
 of one language and about one length keeps within bands of these measures; what lies far outside
-is rejected. The bands come from the whole corpus: for each language label (script, where there is
+is rejected. The bands come from all distinct texts: for each language label (script, where there is
 no label) and power of two of word characters, the quartiles of each measure, widened by a
-multiple of their distance.
+multiple of their distance. A group of few texts takes the band of its language, then of its
+script, then of the whole corpus.
 
 Base counts (words, symbols, repeated lines and five-word windows) are taken in the same pass.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +30,8 @@ MAX_REPEAT_PERCENT = 20
 #: Width of the bands in distances between the quartiles, and the least half-width of each measure.
 BAND = 3.0
 LEAST_WIDTH = {"chars_per_token": 0.06, "byte_share": 0.02, "entropy": 0.03}
-#: Texts that a band must come from at least; a group with fewer has no band and rejects nothing.
+#: Distinct texts that a band must come from at least; a group with fewer takes the next wider one. Of the
+#: whole corpus, any number will do.
 MIN_TEXTS = 30
 #: Accuracy of the quartiles (rank error one in so many rows).
 ACCURACY = 1000
@@ -148,16 +150,34 @@ def measure_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+_LEVELS = ("band", "label", "script", "corpus")
+
+
+def _group(level: str) -> Column:
+    """The name of a row's group at a level, unlike any name of another level."""
+    return F.concat_ws(":", F.lit(level), F.lit("") if level == "corpus" else F.col(level))
+
+
 def fit_bands(measured: DataFrame) -> DataFrame:
-    """Per ``band`` group, ``<measure>_low, <measure>_high`` of each measure over all texts that pass the base rules."""
+    """Per ``band, label, script``: ``<measure>_low, <measure>_high`` of each measure.
+
+    They come from the distinct texts (``digest``) that pass the base rules, in the narrowest of
+    the row's groups that has ``MIN_TEXTS`` of them.
+    """
     quart = [F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(m) for m in MEASURES]
-    groups = measured.where(~F.col("base_failed")).groupBy("band").agg(F.count("*").alias("n"), *quart).where(F.col("n") >= MIN_TEXTS)
-    out = ["band"]
+    texts = measured.where(~F.col("base_failed")).select(F.explode(F.array(*map(_group, _LEVELS))).alias("group"), "digest", *MEASURES).distinct()
+    groups = common.checkpointed(texts.groupBy("group").agg(F.count("*").alias("n"), *quart)
+                                 .where((F.col("n") >= MIN_TEXTS) | (F.col("group") == "corpus:")).select("group", F.struct(*MEASURES).alias("q")))
+    keys = measured.select("band", "label", "script").distinct()
+    for level in _LEVELS:
+        keys = keys.withColumn("group", _group(level)).join(groups.withColumnRenamed("q", f"q_{level}"), "group", "left").drop("group")
+    keys = keys.withColumn("q", F.coalesce(*[f"q_{level}" for level in _LEVELS]))
+    out = ["band", "label", "script"]
     for m in MEASURES:
-        low, high = F.col(m)[0], F.col(m)[1]
+        low, high = F.col("q")[m][0], F.col("q")[m][1]
         width = F.greatest(BAND * (high - low), F.lit(LEAST_WIDTH[m]))
         out += [(low - width).alias(f"{m}_low"), (high + width).alias(f"{m}_high")]
-    return groups.select(*out)
+    return keys.select(*out)
 
 
 def apply_bands(measured: DataFrame, bands: DataFrame) -> DataFrame:
@@ -165,7 +185,7 @@ def apply_bands(measured: DataFrame, bands: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for m in MEASURES:
         inside &= F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
-    joined = measured.join(bands, "band", "left")
+    joined = measured.join(bands, ["band", "label", "script"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & inside).drop(*[f"{m}_{e}" for m in MEASURES for e in ("low", "high")])
 
 
@@ -178,6 +198,8 @@ def quality_verdicts(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"))
     size = F.floor(F.log2(F.greatest("word_chars", F.lit(1)))).cast("string")
-    measured = common.checkpointed(measure_texts(rows, path, "text").drop("text")
-                                   .withColumn("band", F.concat_ws("/", F.coalesce("lang", "script"), size)).drop("lang"))
-    return apply_bands(measured, common.checkpointed(fit_bands(measured)))
+    label = F.coalesce("lang", "script")
+    measured = common.checkpointed(measure_texts(rows.withColumn("digest", F.xxhash64("text")), path, "text").drop("text")
+                                   .withColumns({"label": label, "band": F.concat_ws("/", label, size)}).drop("lang"))
+    columns = [c for c in measured.columns if c not in ("digest", "label", "band")]
+    return apply_bands(measured, common.checkpointed(fit_bands(measured))).select("band", *columns, "kept")

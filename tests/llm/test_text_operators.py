@@ -186,6 +186,20 @@ def test_quality_rejects_outliers(spark):
     assert not out.pop(999) and sum(out.values()) >= 198
 
 
+def test_quality_bands_count_copies_once_and_reach_small_groups(spark):
+    rnd = random.Random(6)
+    words = ["house", "garden", "window", "summer", "people", "nothing", "between", "morning", "water", "letter", "internationally", "a", "of", "qzxv"]
+    prose = lambda n=60: " ".join(rnd.choice(words) for _ in range(n))
+    noise = lambda: " ".join("%x7Q~" + chr(0x2500 + rnd.randint(0, 99)) for _ in range(70))
+    texts = [prose() for _ in range(200)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, texts[0], "en") for i in range(600)]
+    rows += [(5000, noise(), "xx"), (5001, " ".join(noise() for _ in range(40)), "en")]
+    out = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    assert not out[5000] and not out[5001]
+    alone = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows[:200], "doc_id long, text string, lang string"), PIECES).collect()}
+    assert sum(alone.values()) >= 195 and sum(out[i] for i in range(200)) >= 195
+
+
 # BPE
 
 def test_bpe_equals_the_library(odd_docs, odd_rows, no_docs):
