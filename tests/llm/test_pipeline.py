@@ -58,9 +58,15 @@ def test_rows_that_share_an_id_or_have_none_stay_unless_they_are_copies(spark):
     assert sorted(kept, key=key) == sorted([(7, u), (7, v), (5, x), (11, y), (None, z), (None, w), (12, _words(9))], key=key)
 
 
+def _near(text):
+    """The text with a word more, at 1 to 4 differing bits."""
+    more = (f"{text} {tail}" for tail in _words(0, 1000).split())
+    return next(t for t in more if 0 < (helpers.simhash(t, 4) ^ helpers.simhash(text, 4)).bit_count() <= 4)
+
+
 def test_null_ids_do_not_link_components(spark):
-    x, y = _words(1), _words(2)
-    rows = [(5, x), (None, x), (9, y), (None, y), (None, _words(3)), (None, _words(4)), (20, _words(5)), (20, _words(6)), (30, _words(6))]
+    x, y = _words(1, 200), _words(2, 200)
+    rows = [(5, x), (None, _near(x)), (9, y), (None, _near(y)), (None, _words(3)), (None, _words(4)), (20, _words(5)), (20, _words(6)), (30, _words(6))]
     out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, radius=4).collect()
     got = sorted(((r["doc_id"], r["component_id"]) for r in out), key=str)
     assert got == sorted([(5, 5), (None, 5), (9, 9), (None, 9), (None, None), (None, None), (20, 20), (20, 20), (30, 20)], key=str)
