@@ -1,10 +1,11 @@
 """Text normalisers as native Column expressions.
 
-NFKC has no Spark built-in; the compatibility characters that fold to a single plate character
-(letters, digits, separators and spaces — full-width forms, circled and mathematical letters,
-…) are generated from ``unicodedata`` by rule and applied with ``translate``. Characters whose
-NFKC form is several characters are not folded (the known gap; such plates are invalid anyway
-unless every expanded character is a plate character).
+NFKC has no Spark built-in. Characters that NFKC folds to plate characters (letters, digits,
+separators and spaces: full-width forms, circled and mathematical letters, unit signs, ligatures,
+Roman numerals, ...) are found from ``unicodedata`` by rule. Those that become one character are
+applied with ``translate``. Those that become several are looked up character by character in a
+map, only in texts that hold one. Every other effect of NFKC (composed letters, reordered marks)
+leaves a character that is no plate character, before and after, so the verdict is the same.
 """
 
 from __future__ import annotations
@@ -25,24 +26,25 @@ _PLATE_ALPHABET = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 
 
 @lru_cache(maxsize=1)
-def nfkc_single_char_table() -> tuple[str, str]:
-    """(from, to) strings for ``translate``: every non-ASCII code point whose NFKC form is one
-    character of the plate alphabet."""
-    src, dst = [], []
+def nfkc_table() -> dict[str, str]:
+    """Every non-ASCII character whose NFKC form consists of characters of the plate alphabet."""
+    out = {}
     for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        n = unicodedata.normalize("NFKC", ch)
-        if n != ch and len(n) == 1 and n in _PLATE_ALPHABET:
-            src.append(ch)
-            dst.append(n)
-    return "".join(src), "".join(dst)
+        if not 0xD800 <= cp <= 0xDFFF and (n := unicodedata.normalize("NFKC", ch)) != ch and _PLATE_ALPHABET.issuperset(n):
+            out[ch] = n
+    return out
 
 
 def nfkc_fold(c: Column) -> Column:
-    src, dst = nfkc_single_char_table()
-    return F.translate(c, src, dst)
+    table = nfkc_table()
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    several = {k: v for k, v in table.items() if len(v) > 1}
+    wide = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    # one lookup a character is the longest match: no folded form depends on a character's neighbours
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.element_at(wide, ch), ch)), "")
+    held = c.rlike("[" + "".join(several) + "]")
+    return F.translate(F.when(held, spelled).otherwise(c), "".join(single), "".join(single.values()))
 
 
 def standardize_reg_no(c: Column) -> Column:

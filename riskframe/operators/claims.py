@@ -10,10 +10,13 @@ intervals are matched against those dates inside the joined row. The per-claim t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskframe.functions.money import to_money
+from riskframe.operators.skew import SALT, HotKeys
 from riskframe.operators.validate import key_counts
 
 KEYS = ["POLICY_ID", "CERTIFICATE_ID"]
@@ -74,15 +77,57 @@ def _intervals(policy_years: DataFrame) -> DataFrame:
     return policy_years.select(*KEYS, F.col("CL_YEAR").alias("LD_YEAR"), "START_SEQ", "END_SEQ").distinct()
 
 
-def claims_in_sequence(policy_years: DataFrame, claims: DataFrame, amount: str = "CLAIM_PMT") -> DataFrame:
+#: Claims of one (policy, certificate, year) that a task reads at most, about; more are spread over salts.
+HOT_CLAIMS = 100_000
+#: Claims in one map, about.
+MAP_CLAIMS = 1_000
+
+
+def _by_claim(amount: str) -> list:
+    return ["CLAIM_ID", "OCCURENCE_DATE", amount]
+
+
+def claims_in_sequence(policy_years: DataFrame, claims: DataFrame, amount: str = "CLAIM_PMT",
+                       hot_claims: int = HOT_CLAIMS) -> DataFrame:
     """D8/F16 at claim level: each claim against each exposure interval of its policy-year,
-    with ``IN_SEQ`` = START_SEQ <= OCCURENCE_DATE <= END_SEQ (closed both ends)."""
-    iv = _intervals(policy_years)
-    rows = claim_rows(claims, amount)
-    j = rows.join(iv, KEYS + ["LD_YEAR"], "inner")
+    with ``IN_SEQ`` = START_SEQ <= OCCURENCE_DATE <= END_SEQ (closed both ends).
+
+    A policy-year with more than ``hot_claims`` claims is spread: its claims are dealt to salts by date
+    and id, and its intervals alone are repeated per salt."""
+    key = [*KEYS, "LD_YEAR"]
+    hot = HotKeys(_usable(claims, amount), key, hot_claims)
+    j = hot.join(claim_rows(claims, amount), _intervals(policy_years), _by_claim(amount))
     return j.withColumn("IN_SEQ", F.col("OCCURENCE_DATE").between(F.col("START_SEQ"), F.col("END_SEQ")))
 
 
+def claim_maps(policy_years: DataFrame, claims: DataFrame, amount: str = "CLAIM_PMT",
+               map_claims: int = MAP_CLAIMS) -> DataFrame:
+    """F14/F16/D7 as maps: per policy-year interval the claims inside and outside of it, as maps from
+    CLAIM_ID to the amount (``IN_SEQ``, ``NOT_SEQ``) beside the map of all (``CLAIM_OCCURENCE``: id to
+    date and amount).
+
+    A policy-year with more than ``map_claims`` claims has several rows per interval, numbered by
+    ``CHUNK``: ids are dealt by hash, so a map holds about that many claims however many the
+    policy has, and the maps of all chunks together hold every claim once. Claims without an
+    id cannot be map keys and are left out (``claims_in_sequence`` has them).
+    """
+    key = [*KEYS, "LD_YEAR"]
+    rows = claim_rows(claims.where("CLAIM_ID is not null"), amount)
+    hot = HotKeys(_usable(claims, amount), key, map_claims)
+    entry = F.struct("CLAIM_ID", F.struct("OCCURENCE_DATE", amount).alias("v"))
+    maps = hot.dealt(rows, _by_claim(amount)).groupBy(*key, SALT).agg(F.map_from_entries(F.collect_list(entry)).alias("CLAIM_OCCURENCE"))
+    j = maps.join(hot.repeated(_intervals(policy_years)), [*key, SALT])
+
+    def amounts(keep):
+        return F.transform_values(F.map_filter("CLAIM_OCCURENCE", keep), lambda _, v: v[amount])
+
+    def inside(_, v):
+        return v["OCCURENCE_DATE"].between(F.col("START_SEQ"), F.col("END_SEQ"))
+
+    return j.select(*key, F.col(SALT).alias("CHUNK"), "START_SEQ", "END_SEQ", "CLAIM_OCCURENCE",
+                    amounts(inside).alias("IN_SEQ"), amounts(lambda k, v: ~inside(k, v)).alias("NOT_SEQ"))
+
+
 def _totals(amount: str, codes: dict[str, object] | None) -> list:
     """Claim count and sum of the rows, in all and per coverage code."""
     out = [F.count("CLAIM_ID").alias("NUM_CLAIMS"), F.sum(amount).alias(amount)]
@@ -128,7 +173,11 @@ def attach_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLA
     if not with_sequence:  # totals alone need one aggregate
         return py.join(_usable(claims, amount).groupBy(*key).agg(*_totals(amount, codes)), key, "left").drop("LD_YEAR")
     years = claims_by_year(claims, amount, codes)
-    out = py.join(years, key, "left")
+    return _in_sequence(py.join(years, key, "left"), years, amount).drop("LD_YEAR")
+
+
+def _in_sequence(joined: DataFrame, years: DataFrame, amount: str) -> DataFrame:
+    """Replace ``_DATES`` by the counts and sums inside and outside of each row's interval."""
     dates = F.coalesce("_DATES", F.array().cast(years.schema["_DATES"].dataType))
     amount_type = years.schema["_DATES"].dataType.elementType["_amt"].dataType
 
@@ -140,7 +189,7 @@ def attach_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLA
         hit = F.filter(dates, keep)
         new[f"NUM_CLAIMS_{name}"] = F.aggregate(hit, F.lit(0).cast("long"), lambda x, d: x + d["_n"])
         new[f"{amount}_{name}"] = F.when(F.size(hit) > 0, F.aggregate(hit, F.lit(0).cast(amount_type), lambda x, d: (x + d["_amt"]).cast(amount_type)))
-    return out.withColumns(new).drop("LD_YEAR", "_DATES")
+    return joined.withColumns(new).drop("_DATES")
 
 
 def unmatched_claims(policy_years: DataFrame, claims: DataFrame, amount: str = "CLAIM_PMT") -> DataFrame:
@@ -178,6 +227,58 @@ def reconcile_claims(policy_years: DataFrame, claims: DataFrame, cal_year: int,
     return metric_rows(own, both, dup)
 
 
+def _all_claim_groups(claims: DataFrame, amount: str) -> DataFrame:
+    """``claims_by_year`` over all claims, negative and incomplete ones too: beside its columns the negative sum
+    and the count of the other rows of each group, and whether the group takes part in the combination."""
+    a, positive = F.col(amount), F.col(amount) >= 0
+    c = claims.withColumn("LD_YEAR", F.year("OCCURENCE_DATE"))
+    has_id = F.col("CLAIM_ID").isNotNull()
+    by_claim = c.groupBy(*KEYS, "LD_YEAR", "CLAIM_ID", F.when(~has_id, F.col("OCCURENCE_DATE")).alias("_own")) \
+        .agg(F.count(F.when(positive, F.col("CLAIM_ID"))).alias("NUM_CLAIMS"), F.sum(F.when(positive, a)).alias(amount), F.sum(F.when(a < 0, a)).alias("_neg"),
+             F.count_if(positive).alias("_rows"), F.max(F.when(positive, F.struct("OCCURENCE_DATE", amount))).alias("_last"))
+    sums = [F.sum(x).alias(x) for x in ("NUM_CLAIMS", amount, "_neg", "_rows")]
+    by_date = by_claim.groupBy(*KEYS, "LD_YEAR", F.col("_last.OCCURENCE_DATE").alias("_date")) \
+        .agg(*sums, F.sum(F.when(has_id, F.lit(1)).otherwise(F.col("_rows"))).alias("_n"),
+             F.sum(F.when(has_id, F.col(f"_last.{amount}")).otherwise(F.col(amount))).alias("_amt"))
+    groups = by_date.groupBy(*KEYS, "LD_YEAR").agg(*sums, F.collect_list(F.when(F.col("_date").isNotNull(), F.struct("_date", "_n", "_amt"))).alias("_DATES"))
+    complete = F.col("POLICY_ID").isNotNull() & F.col("CERTIFICATE_ID").isNotNull() & F.col("LD_YEAR").isNotNull()
+    return groups.withColumn("_grouped", (F.col("_rows") > 0) & complete)
+
+
+def write_combined(policy_years: DataFrame, claims: DataFrame, cal_year: int, path: str, amount: str = "CLAIM_PMT") -> DataFrame:
+    """F15 and C13 in one: write the combined table to ``path``/combined and return the figures of
+    ``reconcile_claims`` as (metric, value) rows.
+
+    Claims and policy-years are each read once. The claim groups are written to ``path``/claim_groups and
+    the combination to ``path``/combined, and both writes observe the figures of what they write (in
+    the writing stage, whose tasks count once even if they are run again). Unmatched claims and repeated
+    policy-years are then found from the key columns of what is written.
+    """
+    spark = policy_years.sparkSession
+    a, in_year = F.col(amount), F.col("CL_YEAR") == cal_year
+    premium = to_money(F.col("EXPOSURE_PREM"))
+    grouped, combined = Observation("claim_groups"), Observation("combined")
+    all_groups = _all_claim_groups(claims, amount)
+    all_groups.observe(
+        grouped, F.sum("_neg").alias("claim_negative"), F.sum(F.when(F.col("_grouped"), a)).alias("claim_grouped"),
+        F.count_if("_grouped").alias("rows_grouped"), (F.coalesce(F.sum("_rows"), F.lit(0)) - F.count_if(F.col("_rows") > 0)).alias("dup_claim")) \
+        .write.mode("overwrite").parquet(f"{path}/claim_groups")
+    groups = spark.read.schema(all_groups.schema).parquet(f"{path}/claim_groups").where("_grouped")
+    key = [*KEYS, "LD_YEAR"]
+    joined = policy_years.withColumn("LD_YEAR", F.col("CL_YEAR")).join(groups.select(*key, "NUM_CLAIMS", amount, "_DATES"), key, "left")
+    _in_sequence(joined, groups, amount).drop("LD_YEAR").observe(
+        combined, F.sum(amount).alias("claim_combined"), F.sum(f"{amount}_SEQ").alias("claim_in_sequence"), F.sum(f"{amount}_NOT_SEQ").alias("claim_not_in_sequence"),
+        F.sum("NUM_CLAIMS_SEQ").alias("num_in_sequence"), F.sum("NUM_CLAIMS_NOT_SEQ").alias("num_not_in_sequence"),
+        F.sum(F.when(in_year, premium)).alias("premium_in_year"), F.sum(F.when(~in_year, premium)).alias("premium_out_of_year")) \
+        .write.mode("overwrite").parquet(f"{path}/combined")
+    keys = spark.read.parquet(f"{path}/combined").select(*KEYS, "CL_YEAR")
+    lost = groups.select("POLICY_ID", amount).join(keys.select("POLICY_ID").distinct(), "POLICY_ID", "left_anti") \
+        .agg(F.sum(amount).alias("claim_unmatched"), F.count(F.lit(1)).alias("rows_unmatched"))
+    dup = key_counts(keys, [*KEYS, "CL_YEAR"]).select(F.col("DUPLICATE_ROWS").alias("dup_gwp"))
+    seen = spark.createDataFrame([(k, None if v is None else Decimal(v)) for k, v in {**grouped.get, **combined.get}.items()], "metric string, value decimal(38,4)")
+    return seen.unionByName(metric_rows(lost, dup))
+
+
 def metric_rows(*one_row_aggs: DataFrame) -> DataFrame:
     """Stack one-row aggregates into (metric, value) rows; values as DECIMAL(38,4)."""
     out = None

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskframe.operators.validate import key_counts
@@ -124,7 +124,11 @@ def reconcile_exposure(policies: DataFrame, *, start: str = "START_DATE", expiry
     """
     all_rows = split_exposure(policies, None, start=start, expiry=expiry, init=init, gwp=gwp, positive_only=False)
     duplicates = key_counts(all_rows, ["POLICY_ID", "CERTIFICATE_ID", "CL_YEAR"]).select("DUPLICATE_ROWS").scalar()
-    agg = all_rows.agg(
+    return all_rows.agg(*_figures(gwp)).withColumn("dup_policy_years", duplicates)
+
+
+def _figures(gwp: str) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("rows_after_split"),
         F.sum(F.when(F.col("YEAR_SEQ") == 1, F.col("NB_YEAR") + 1)).cast("long").alias("rows_expected"),
         F.sum(F.when(F.col("YEAR_SEQ") == 1, F.col(gwp))).cast("decimal(38,4)").alias("premium_of_original"),
@@ -132,5 +136,27 @@ def reconcile_exposure(policies: DataFrame, *, start: str = "START_DATE", expiry
         F.count_if(F.col("EXPOSURE_PREM") > 0).alias("rows_positive"),
         F.count_if(~(F.col("EXPOSURE_PREM") > 0)).alias("rows_non_positive"),
         F.count_if(F.col("EXPOSURE_PREM").isNull()).alias("rows_null_premium"),
-    )
-    return agg.withColumn("dup_policy_years", duplicates)
+    ]
+
+
+def write_exposure(policies: DataFrame, path: str, *, start: str = "START_DATE", expiry: str = "EXPIRY_DATE",
+                   init: str | None = "INIT_DATE", gwp: str = "GWP") -> DataFrame:
+    """F13 and C12 in one: write the split to ``path`` and return the figures of ``reconcile_exposure``.
+
+    The policies are read once: the write observes the figures of the rows that pass through it (the split
+    is narrow, so they are taken in the writing stage, whose tasks count once even if they are run
+    again). Rows go to ``path``/KEPT=true (positive premium, what the rating uses) or KEPT=false, and repeated
+    policy-years are counted from the key columns of what is written.
+    """
+    spark = policies.sparkSession
+    seen = Observation("exposure")
+    rows = split_exposure(policies, None, start=start, expiry=expiry, init=init, gwp=gwp, positive_only=False)
+    rows.observe(seen, *_figures(gwp)).withColumn("KEPT", F.coalesce(F.col("EXPOSURE_PREM") > 0, F.lit(False))) \
+        .write.mode("overwrite").partitionBy("KEPT").parquet(path)
+    schema = ("rows_after_split long, rows_expected long, premium_of_original decimal(38,4), premium_after_exposure double, "
+              "rows_positive long, rows_non_positive long, rows_null_premium long")
+    names = [c.split()[0] for c in schema.split(", ")]
+    figures = spark.createDataFrame([tuple(seen.get[c] for c in names)], schema)
+    key = ["POLICY_ID", "CERTIFICATE_ID", "CL_YEAR"]
+    written = spark.read.schema(rows.select(key).schema).parquet(path)
+    return figures.withColumn("dup_policy_years", key_counts(written, key).select("DUPLICATE_ROWS").scalar())

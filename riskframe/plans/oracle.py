@@ -8,9 +8,12 @@ with plain SQL: per-combination ``GROUP BY`` + ``UNION ALL`` instead of grouping
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 
 from riskframe.functions.money import money_sql
 from riskframe.functions.numeric import round_sql
+from riskframe.plans.quality import PLATE_FORMS
 from riskframe.sources.fixtures import oracle_with
 
 ORACLE: dict[str, str] = {}
@@ -693,12 +696,72 @@ _glm("nway_health", [("USAGE_CODE",), ("PROVINCE",)], [1997],
      wrap=lambda b: b.replace("count(DISTINCT POLICY_ID)", "count(DISTINCT CERTIFICATE_ID)").replace(
          "PARTITION BY POLICY_ID ORDER BY CAL_YEAR", "PARTITION BY CERTIFICATE_ID ORDER BY CAL_YEAR, USAGE_CODE, PROVINCE, EXPOSURE_YEAR, EXPOSURE_PREM, VEHICLE_VALUE"))
 _q("read_columns", (), "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
-_q("preview_parts", (), "SELECT f || '.parquet' AS FILE_NAME, i AS ROW_INDEX FROM (VALUES ('nation'), ('region')) t(f), range(3) r(i)")
+PREVIEW = {  # JSON of a row, as the standard writes it; doubles always have a decimal point
+    "orders": "o_orderkey o_custkey o_orderstatus:t o_totalprice:d o_orderdate:m o_orderpriority:t",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:t l_linestatus:t l_shipdate:m",
+    "customer": "c_custkey c_name:t c_nationkey c_acctbal:d c_mktsegment:t", "part": "p_partkey p_name:t p_brand:t p_type:t p_size p_retailprice:d",
+    "supplier": "s_suppkey s_name:t s_nationkey s_acctbal:d", "nation": "n_nationkey n_name:t n_regionkey", "region": "r_regionkey r_name:t",
+}
+
+
+def _json(columns: str) -> str:
+    def value(name: str, kind: str) -> str:
+        if kind == "t":
+            return f"'\"' || {name} || '\"'"
+        return f"'\"' || strftime({name}, '%Y-%m-%dT%H:%M:%S.000') || '\"'" if kind == "m" else f"CAST({name} AS VARCHAR)"
+
+    pairs = [(n, k) for n, _, k in (c.partition(":") for c in columns.split())]
+    return "'{' || " + " || ',' || ".join(f"'\"{n}\":' || {value(n, k)}" for n, k in pairs) + " || '}'"
+
+
+_q("preview_parts", (), "\nUNION ALL\n".join(
+    f"(SELECT '{t}.parquet' AS FILE_NAME, i - 1 AS ROW_INDEX, {_json(c)} AS ROW_JSON FROM (SELECT *, row_number() OVER () AS i FROM {t}) WHERE i <= 3)" for t, c in PREVIEW.items()))
 _q("two_header_import", (), "SELECT CAST(s_suppkey AS VARCHAR) AS STD_PARTY_ID, s_name AS STD_PARTY_NAME, CAST(s_nationkey AS VARCHAR) AS STD_NATION FROM supplier")
 _q("number_edges", ("v_dirty",), """
 SELECT event_id, CASE event_id % 8 WHEN 5 THEN 7 WHEN 6 THEN -25 END::BIGINT AS I,
   CASE event_id % 8 WHEN 2 THEN 1e30 WHEN 5 THEN 7 WHEN 6 THEN -25 END::DOUBLE AS D FROM v_dirty""")
-_q("date_all_formats", ("v_policy",), "SELECT POLICY_ID, START_DATE AS PARSED FROM v_policy WHERE day(START_DATE) > 12")
+_q("date_all_formats", ("v_policy",), """,
+o AS (SELECT POLICY_ID, START_DATE, f, CASE WHEN f IN (1, 2, 12) THEN '-' WHEN f IN (3, 4, 11) THEN '/' WHEN f IN (6, 7) THEN '.' END AS sep, f IN (2, 4, 7, 12) AS mdy
+  FROM (SELECT *, CAST(POLICY_ID AS BIGINT) % 13 AS f FROM v_policy)),
+e AS (SELECT sep, count(*) FILTER (WHERE mdy AND day(START_DATE) > 12) > count(*) FILTER (WHERE NOT mdy AND day(START_DATE) > 12) AS month_first FROM o WHERE sep IS NOT NULL GROUP BY sep)
+SELECT POLICY_ID, CASE WHEN o.sep IS NULL OR day(START_DATE) > 12 OR month_first = mdy THEN START_DATE ELSE make_date(year(START_DATE), day(START_DATE), month(START_DATE)) END AS PARSED
+FROM o LEFT JOIN e ON o.sep = e.sep""")
+_q("date_columns", ("v_policy",), "SELECT POLICY_ID, " + ", ".join(f"START_DATE AS D{i:02d}" for i in range(13)) + " FROM v_policy")
+_q("date_orders", ("v_policy", "v_dirty"), """
+SELECT 'START_TXT' AS COLUMN, '/' AS SEPARATOR, count(*) AS NUM_VALUES, 0::BIGINT AS DAY_FIRST, count(*) FILTER (WHERE day(START_DATE) > 12) AS MONTH_FIRST,
+  count(*) FILTER (WHERE day(START_DATE) <= 12) AS AMBIGUOUS, 0::BIGINT AS NO_DATE, 'MDY' AS DATE_ORDER FROM v_policy
+UNION ALL SELECT 'EXPIRY_TXT', '.', count(*), count(*) FILTER (WHERE day(EXPIRY_DATE) > 12), 0, count(*) FILTER (WHERE day(EXPIRY_DATE) <= 12), 0, 'DMY' FROM v_policy
+UNION ALL SELECT 'DATE_TXT', '/', count(*), count(*), 0, 0, 0, 'DMY' FROM v_dirty WHERE DATE_TXT = '31/12/2019'
+UNION ALL SELECT 'DATE_TXT', '-', count(*), 0, 0, 0, 0, 'DMY' FROM v_dirty WHERE DATE_TXT = '2019-12-31'
+UNION ALL SELECT 'DATE_TXT', '?', count(*), 0, 0, 0, count(*), 'DMY' FROM v_dirty WHERE DATE_TXT = 'n/a'""")
+_HOT_CTES = EXPOSURE_CTES + "," + CLAIM_CTES.replace("FROM v_claim\n", "FROM v_claim_hot\n") + SEQ_CTES
+_q("claims_in_sequence_hot", ("v_policy", "v_claim_hot"), _HOT_CTES + """
+SELECT CLAIM_ID, POLICY_ID, CERTIFICATE_ID, LD_YEAR, OCCURENCE_DATE, START_SEQ, END_SEQ, CAST(CLAIM_PMT AS DECIMAL(38,4)) AS CLAIM_PMT, IN_SEQ FROM cseq""")
+_q("claim_maps", ("v_policy", "v_claim_hot"), _HOT_CTES + """
+SELECT POLICY_ID, CERTIFICATE_ID, LD_YEAR, START_SEQ, END_SEQ, IN_SEQ, CLAIM_ID, CAST(CLAIM_PMT AS DECIMAL(38,4)) AS CLAIM_PMT FROM cseq""")
+_q("publish_snapshot", ("v_policy",), "SELECT POLICY_ID, CERTIFICATE_ID, START_DATE, EXPIRY_DATE, GWP, CAST(2 AS INT) AS PUBLISHED FROM v_policy")
+_q("report_periods", ("v_gl",), """
+SELECT CAST(year(INVOICE_DATE) AS INT) AS REPORT_YEAR, CAST(month(INVOICE_DATE) AS INT) AS REPORT_MONTH, DEBIT_ACC AS ACCOUNT,
+  CAST(sum(DEBIT_AMT) * CASE WHEN year(INVOICE_DATE) = 1997 AND month(INVOICE_DATE) = 3 THEN 2 ELSE 1 END AS DECIMAL(38,4)) AS DEBIT_AMT, count(*) AS NUM_ROWS
+FROM v_gl WHERE year(INVOICE_DATE) IN (1996, 1997) GROUP BY year(INVOICE_DATE), month(INVOICE_DATE), DEBIT_ACC""")
+ORACLE["exposure_write_figures"] = ORACLE["exposure_reconcile"]
+ORACLE["claims_write_figures"] = ORACLE["claims_reconcile"]
+_q("sketch_cardinality", ("v_dirty",), "\n" + "\nUNION ALL\n".join(f"""SELECT '{c}' AS COLUMN, count(*) AS NUM_ROWS, (count(DISTINCT {c}) * 1.0 / count(*)) < 0.5 AS IS_CATEGORICAL FROM v_dirty"""
+                                                                   for c in ["CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"]))
+_q("sketch_error", (), "\nUNION ALL\n".join(f"SELECT '{name}' AS COLUMN, count(*) AS NUM_ROWS, count(DISTINCT {c}) AS DISTINCT_VALUES, true AS WITHIN_ERROR FROM lineitem"
+                                            for name, c in (("ORDER_KEY", "l_orderkey"), ("PART_KEY", "l_partkey"), ("PRICE", "l_extendedprice"))))
+
+
+def plate_by_library(raw: str) -> str:
+    """A plate under Python's own NFKC, character by character of the rule."""
+    x = unicodedata.normalize("NFKC", raw.strip().upper())
+    x = "".join(c for c in x if c not in "-‐‑–‒—―." and not c.isspace())
+    return x if re.match(PLATE_PATTERN, x) or re.match(FOREIGN_PLATE_PATTERN, x) else "ERROR_REG_NO"
+
+
+_PLATES = ", ".join(f"({i}, {d}, '{f}{d}', '{plate_by_library(f'{f}{d}')}')" for i, f in enumerate(PLATE_FORMS) for d in range(10))
+_q("reg_no_unicode", (), f"""SELECT event_id, raw AS REG_NO, std AS REG_NO_STD FROM events JOIN (VALUES {_PLATES}) AS t(i, d, raw, std)
+  ON event_id % {len(PLATE_FORMS)} = i AND event_id % 10 = d""")
 _STATEMENTS = {"balance_sheet": "balance_sheet", "pl01": "profit_loss", "pl02": "profit_loss_summary", "cf01": "cash_flow", "cf02": "cash_flow_indirect"}
 ORACLE["financial_report"] = ("SELECT 'trial_balance' AS STATEMENT, ACCOUNT AS LINE, CLOSING_NET_AMOUNT AS CURRENT_AMOUNT FROM ("
                               + ORACLE["trial_balance"] + ")" + "".join(

@@ -28,3 +28,7 @@ MOF_GWP_SETTINGS = [
     ColumnSetting("COVERAGE_ID", "USAGE_CODE", "Text", False, "INFO"),
 ]
 MOF_GWP_TEMPLATE = "GWP_PNT_11"
+
+# Spellings of plates (a digit follows) that compatibility folding makes valid, or leaves invalid.
+PLATE_FORMS = ["３０Ａ１２３４", "𝟑𝟎𝐀𝟏𝟐𝟑", "①②Ⓐ③④⑤", "⑩⒜１２３", "30…A‥123", "№ 12345", "51℡1234", "29㏇12", "㊿B123", "30⒈A12", "Ⅻ1234", "ﬁ1234", "29ｄ－１２３",
+               "12㎏345", "30ª123", "½A123", "Å1234", "🄰🄱123", "29\u3000Ａ\u00a0123", "㍘A12", "ⅷ123", "30￣A1"]

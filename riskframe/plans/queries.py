@@ -574,10 +574,14 @@ def read_columns(spark, sf_dir):
     return files.read_table(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderpriority"])
 
 
+PREVIEWED = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region"]
+
+
 @query("preview_parts")
 def preview_parts(spark, sf_dir):
-    """I4: the first rows of each part (their number is the feature)."""
-    return files.preview_parts(spark, [f"{sf_dir}/nation.parquet", f"{sf_dir}/region.parquet"], n=3).select("FILE_NAME", "ROW_INDEX")
+    """I4: the first rows of each part (their number is the feature) with all their values."""
+    rows = files.preview_parts(spark, [f"{sf_dir}/{t}.parquet" for t in PREVIEWED], n=3)
+    return rows.select(F.col("FILE_NAME"), "ROW_INDEX", "ROW_JSON")
 
 
 @query("two_header_import")
@@ -585,9 +589,13 @@ def two_header_import(spark, sf_dir):
     """An extract with two header rows is written, read back and mapped to standard names."""
     s = _fx(spark, sf_dir)["supplier"].select(F.col("s_suppkey").cast("string").alias("PARTY_ID"), F.col("s_name").alias("PARTY_NAME"),
                                               F.col("s_nationkey").cast("string").alias("NATION"))
-    header = spark.range(1).select(F.lit("Party number").alias("PARTY_ID"), F.lit("Party name").alias("PARTY_NAME"), F.lit("Nation key").alias("NATION"))
     path = f"{checkpoint_dir(spark).rstrip('/')}/two-header-{uuid.uuid4().hex}"
-    header.unionByName(s).coalesce(1).write.option("header", True).csv(path)  # one file: the second header is its first row
+    # an extract of several files, written by as many tasks: every file begins with both header rows
+    n = spark.sparkContext.defaultParallelism
+    header = spark.range(n).select(F.lit("Party number").alias("PARTY_ID"), F.lit("Party name").alias("PARTY_NAME"), F.lit("Nation key").alias("NATION"),
+                                   F.col("id").alias("_file"), F.lit(0).alias("_row"))
+    rows = s.withColumns({"_file": F.pmod(F.xxhash64("PARTY_ID"), F.lit(n).cast("long")), "_row": F.lit(1)})
+    header.unionByName(rows).repartitionByRange(n, "_file").sortWithinPartitions("_file", "_row").drop("_file", "_row").write.option("header", True).csv(path)
     data, mapping = files.read_two_header(spark, path)
     sinks.write_report(data, f"{path}-report")
     settings = [V.ColumnSetting(f"STD_{k}", k, "Text") for k in mapping]
@@ -604,8 +612,135 @@ def number_edges(spark, sf_dir):
 
 @query("date_all_formats")
 def date_all_formats(spark, sf_dir):
-    """Every format that validation accepts imports to the same date, value by value."""
+    """One column that mixes every format that validation accepts, over all policies: its values together
+    say which of day and month comes first after each separator, and values that could be either follow."""
+    from riskframe.operators.validate import DATE_FORMATS
+    p = _fx(spark, sf_dir)["v_policy"]
+    spelled = F.element_at(F.array(*[F.date_format("START_DATE", f) for _, f in DATE_FORMATS]), (F.pmod(F.col("POLICY_ID").cast("long"), F.lit(len(DATE_FORMATS))) + 1).cast("int"))
+    return read_dates(p.select("POLICY_ID", spelled.alias("PARSED")), ["PARSED"])
+
+
+# ---------------------------------------------------------------- date orders, hot keys, maps, snapshots, periods, figures, sketches
+from riskframe.operators import sketches as K  # noqa: E402
+from riskframe.operators.dateorder import date_orders as _date_orders  # noqa: E402
+from riskframe.operators.dateorder import read_dates  # noqa: E402
+from riskframe.operators.exposure import write_exposure  # noqa: E402
+from riskframe.operators.ingest import low_cardinality as _exact_cardinality  # noqa: E402
+from riskframe.sources.snapshots import Snapshots  # noqa: E402
+
+
+def _own_folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("date_columns")
+def date_columns(spark, sf_dir):
+    """One column per accepted format: each column's own values give its order, so days 1 to 12 are read rightly too."""
     from riskframe.operators.validate import DATE_FORMATS
-    day = _fx(spark, sf_dir)["v_policy"].where(F.dayofmonth("START_DATE") > 12)
-    spelled = F.element_at(F.array(*[F.date_format("START_DATE", p) for _, p in DATE_FORMATS]), (F.pmod(F.col("POLICY_ID").cast("long"), F.lit(len(DATE_FORMATS))) + 1).cast("int"))
-    return day.select("POLICY_ID", spelled.alias("RAW")).select("POLICY_ID", I.to_date_multi("RAW", None).alias("PARSED"))
+    names = [f"D{i:02d}" for i in range(len(DATE_FORMATS))]
+    p = _fx(spark, sf_dir)["v_policy"].select("POLICY_ID", *[F.date_format("START_DATE", f).alias(n) for n, (_, f) in zip(names, DATE_FORMATS, strict=True)])
+    return read_dates(p, names)
+
+
+@query("date_orders")
+def date_orders(spark, sf_dir):
+    """The evidence on the order of day and month, per column and separator."""
+    fx = _fx(spark, sf_dir)
+    p = fx["v_policy"].select(F.date_format("START_DATE", "M/d/yyyy").alias("START_TXT"), F.date_format("EXPIRY_DATE", "d.M.yyyy").alias("EXPIRY_TXT"))
+    return _date_orders(p, ["START_TXT", "EXPIRY_TXT"]).unionByName(_date_orders(fx["v_dirty"], ["DATE_TXT"]))
+
+
+@query("claims_in_sequence_hot")
+def claims_in_sequence_hot(spark, sf_dir):
+    """D8/F16 where one policy holds a third of all claims: its years are spread over salts."""
+    fx = _fx(spark, sf_dir)
+    s = C.claims_in_sequence(glm.policy_years(fx), fx["v_claim_hot"], hot_claims=500)
+    return s.select("CLAIM_ID", "POLICY_ID", "CERTIFICATE_ID", "LD_YEAR", "OCCURENCE_DATE", "START_SEQ", "END_SEQ",
+                    F.col("CLAIM_PMT").cast("decimal(38,4)").alias("CLAIM_PMT"), "IN_SEQ")
+
+
+@query("claim_maps")
+def claim_maps(spark, sf_dir):
+    """The entries of the maps of claims inside and outside of each interval (one policy holds a third of the claims)."""
+    fx = _fx(spark, sf_dir)
+    m = C.claim_maps(glm.policy_years(fx), fx["v_claim_hot"], map_claims=200)
+    key = ["POLICY_ID", "CERTIFICATE_ID", "LD_YEAR", "START_SEQ", "END_SEQ"]
+    sides = [m.select(*key, F.lit(inside).alias("IN_SEQ"), F.explode(c).alias("CLAIM_ID", "CLAIM_PMT")) for c, inside in (("IN_SEQ", True), ("NOT_SEQ", False))]
+    return sides[0].unionByName(sides[1]).withColumn("CLAIM_PMT", F.col("CLAIM_PMT").cast("decimal(38,4)"))
+
+
+@query("publish_snapshot")
+def publish_snapshot(spark, sf_dir):
+    """The older extract is published, again (in another order: nothing changes), and then the new one; what readers see at the end."""
+    p = _fx(spark, sf_dir)["v_policy"].select("POLICY_ID", "CERTIFICATE_ID", "START_DATE", "EXPIRY_DATE", "GWP")
+    shop = Snapshots(spark, _own_folder(spark, "snapshots"))
+    older = p.where(F.col("POLICY_ID").cast("long") % 11 != 0)
+    steps = [shop.publish(older), shop.publish(older.repartition(7)), shop.publish(p), shop.publish(p.orderBy("GWP"))]
+    return shop.read().withColumn("PUBLISHED", F.lit(sum(steps)))
+
+
+def _monthly(fx):
+    g = fx["v_gl"].groupBy(F.year("INVOICE_DATE").alias("REPORT_YEAR"), F.month("INVOICE_DATE").alias("REPORT_MONTH"), F.col("DEBIT_ACC").alias("ACCOUNT"))
+    return g.agg(F.sum("DEBIT_AMT").cast("decimal(38,4)").alias("DEBIT_AMT"), F.count(F.lit(1)).alias("NUM_ROWS"))
+
+
+@query("report_periods")
+def report_periods(spark, sf_dir):
+    """A report by year and month; March 1997 is corrected (twice the amounts) in place, and 1996 and 1997 are read back."""
+    report, path = _monthly(_fx(spark, sf_dir)), _own_folder(spark, "report")
+    period = ["REPORT_YEAR", "REPORT_MONTH"]
+    sinks.write_periods(report, path, period, sort_by=["ACCOUNT"])
+    one = report.where("REPORT_YEAR = 1997 and REPORT_MONTH = 3").withColumn("DEBIT_AMT", (F.col("DEBIT_AMT") * 2).cast("decimal(38,4)"))
+    sinks.write_periods(one, path, period, sort_by=["ACCOUNT"])
+    return spark.read.parquet(path).where(F.col("REPORT_YEAR").isin(1996, 1997)).select(*period, "ACCOUNT", "DEBIT_AMT", "NUM_ROWS")
+
+
+@query("exposure_write_figures")
+def exposure_write_figures(spark, sf_dir):
+    """C12 in the pass that writes the split."""
+    r = write_exposure(_fx(spark, sf_dir)["v_policy"], _own_folder(spark, "exposure"))
+    return r.select("rows_after_split", "rows_expected", "dup_policy_years", "premium_of_original",
+                    to_money(F.col("premium_after_exposure"), 2, 36).cast("decimal(38,2)").alias("premium_after_exposure"),
+                    "rows_positive", "rows_non_positive", "rows_null_premium")
+
+
+@query("claims_write_figures")
+def claims_write_figures(spark, sf_dir):
+    """C13 in the passes that write the claim groups and the combination."""
+    fx = _fx(spark, sf_dir)
+    return C.write_combined(glm.policy_years(fx), fx["v_claim"], glm.ANALYSIS_YEAR, _own_folder(spark, "combined"))
+
+
+@query("sketch_cardinality")
+def sketch_cardinality(spark, sf_dir):
+    """B7 from stored sketches of four parts, the last of which is added later; columns that they cannot settle are counted."""
+    d = _fx(spark, sf_dir)["v_dirty"].withColumn("PART", F.concat(F.lit("part-"), F.pmod("event_id", F.lit(4)).cast("string")))
+    columns = ["CHANNEL", "AMOUNT_TXT", "DATE_TXT", "REG_NO", "COVERAGE_ID"]
+    path = _own_folder(spark, "sketches")
+    for parts in ("PART < 'part-3'", "PART = 'part-3'"):
+        K.part_sketches(d.where(parts), columns, F.col("PART")).write.mode("append").parquet(path)
+    settled = K.categorical(spark.read.schema(K.SCHEMA).parquet(path)).select("COLUMN", "NUM_ROWS", "IS_CATEGORICAL")
+    open_ = [r["COLUMN"] for r in settled.where("IS_CATEGORICAL is null").collect()]
+    if not open_:
+        return settled
+    return settled.where("IS_CATEGORICAL is not null").unionByName(_exact_cardinality(d, open_).select("COLUMN", "NUM_ROWS", "IS_CATEGORICAL"))
+
+
+@query("sketch_error")
+def sketch_error(spark, sf_dir):
+    """Whether each merged estimate keeps within four times the stated error of the exact count, and which keys surely repeat."""
+    li = _fx(spark, sf_dir)["lineitem"].select(F.col("l_orderkey").alias("ORDER_KEY"), F.col("l_partkey").alias("PART_KEY"), F.col("l_extendedprice").alias("PRICE"),
+                                               F.concat(F.lit("m"), F.pmod("l_orderkey", F.lit(12)).cast("string")).alias("PART"))
+    columns = ["ORDER_KEY", "PART_KEY", "PRICE"]
+    m = K.merged(K.part_sketches(li, columns, F.col("PART")))
+    exact = _exact_cardinality(li, columns).select("COLUMN", "DISTINCT_VALUES")
+    off = F.abs(F.col("DISTINCT_ESTIMATE") - F.col("DISTINCT_VALUES")) / F.col("DISTINCT_VALUES")
+    return m.join(exact, "COLUMN").select("COLUMN", "NUM_ROWS", "DISTINCT_VALUES", (off <= K.CERTAIN * K.relative_error()).alias("WITHIN_ERROR"))
+
+
+@query("reg_no_unicode")
+def reg_no_unicode(spark, sf_dir):
+    """Plates in full-width, circled, mathematical and multi-character forms."""
+    forms = F.element_at(F.array(*[F.lit(f) for f in quality.PLATE_FORMS]), (F.pmod("event_id", F.lit(len(quality.PLATE_FORMS))) + 1).cast("int"))
+    d = _fx(spark, sf_dir)["events"].select("event_id", F.concat(forms, F.pmod("event_id", F.lit(10)).cast("string")).alias("REG_NO"))
+    return d.select("event_id", "REG_NO", standardize_reg_no(F.col("REG_NO")).alias("REG_NO_STD"))

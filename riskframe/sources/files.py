@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,23 +57,38 @@ def union_data_parts(spark: SparkSession, paths: Sequence[str], prefix: str = "D
     return out
 
 
+def _part_columns(spark: SparkSession, paths: Sequence[str], fmt: str) -> list[tuple[str, list[str]]]:
+    """The qualified address and the column names of each part. Spark reads one footer (or header) a part in a
+    task of its own; several parts are asked for at once."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def one(path: str) -> tuple[str, list[str]]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+        return where.getFileSystem(conf).makeQualified(where).toUri().toString(), spark.read.format(fmt).load(path).columns
+
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(one, paths))
+
+
 def profile_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """A4: per file of every part: FILE_NAME, NUM_ROWS, HAS_DATA (more than one row),
-    NUM_COLUMNS and FIRST_COLUMNS (the first ten names). Row counts come from one scan per part
-    that reads no data column; the schema comes from the part's footer on the driver (one per
-    part, bounded by the number of parts, not by the data)."""
-    out = None
-    for p in paths:
-        df = spark.read.format(fmt).load(p)
-        names = df.columns
-        counts = (df.select(F.col("_metadata.file_name").alias("FILE_NAME")).groupBy("FILE_NAME")
-                    .agg(F.count(F.lit(1)).alias("NUM_ROWS"))
-                    .withColumns({"HAS_DATA": F.col("NUM_ROWS") > 1, "NUM_COLUMNS": F.lit(len(names)).cast("long"),
-                                  "FIRST_COLUMNS": F.lit(",".join(names[:10]))}))
-        out = counts if out is None else out.unionByName(counts)
-    if out is None:
+    NUM_COLUMNS and FIRST_COLUMNS (the first ten names of the part).
+
+    One scan over all parts, whatever their number and schemas: it reads no data column and is
+    grouped by the file's address, with a row a task and file shuffled. The names are a small table that
+    is joined by the part that a file lies under.
+    """
+    if not paths:
         raise ValueError("no parts to profile")
-    return out
+    parts = _part_columns(spark, paths, fmt)
+    names = spark.createDataFrame([(p, len(c), ",".join(c[:10])) for p, c in parts], "_part string, NUM_COLUMNS long, FIRST_COLUMNS string")
+    rows = spark.read.format(fmt).schema("_none string").load(list(paths)).select("_metadata.file_path", "_metadata.file_name")
+    files = rows.groupBy("file_path", F.col("file_name").alias("FILE_NAME")).agg(F.count(F.lit(1)).alias("NUM_ROWS"))
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  file:/x and file:///x are one address
+    steps = F.split(plain("file_path"), "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/")))
+    return files.withColumn("_part", above).join(names.withColumn("_part", plain("_part")), "_part") \
+        .select("FILE_NAME", "NUM_ROWS", (F.col("NUM_ROWS") > 1).alias("HAS_DATA"), "NUM_COLUMNS", "FIRST_COLUMNS")
 
 
 def preview_parts(spark: SparkSession, paths: Sequence[str], n: int = 3) -> DataFrame:

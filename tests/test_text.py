@@ -17,3 +17,18 @@ def test_reg_no(spark, raw, expected):
 def test_coverage_prefix(spark):
     df = spark.createDataFrame([("0",), ("01",), ("1",), ("010",)], "c string")
     assert [r[0] for r in df.select(coverage_prefix(F.col("c"))).collect()] == ["00", "01", "01", "010"]
+
+
+def test_folding_equals_the_library_on_every_character(spark):
+    """Plates that hold any one non-ASCII character get the verdict of Python's own NFKC."""
+    import unicodedata
+
+    from riskframe.functions.text import nfkc_fold, nfkc_table
+    from riskframe.plans.oracle import plate_by_library
+    table = nfkc_table()
+    assert sum(len(v) > 1 for v in table.values()) > 50 and all(unicodedata.normalize("NFKC", k) == v for k, v in table.items())
+    forms = sorted(table)
+    df = spark.createDataFrame([(c, f"30{c}123", f"{c}A12{c}3") for c in forms], "c string, p string, q string")
+    for r in df.select("c", "p", "q", nfkc_fold(F.col("p")).alias("fold"), standardize_reg_no(F.col("p")).alias("x"), standardize_reg_no(F.col("q")).alias("y")).collect():
+        assert r.fold == unicodedata.normalize("NFKC", r.p)
+        assert (r.x, r.y) == (plate_by_library(r.p), plate_by_library(r.q)), repr(r.c)
