@@ -38,9 +38,9 @@ SELECT CLAIM_ID, CASE WHEN CLAIM_ID LIKE '%1-1-%' OR CLAIM_ID LIKE '%7-2-%' THEN
   CERTIFICATE_ID, OCCURENCE_DATE, CLAIM_PMT FROM {v_claim}""",
     # a third of all claims belong to one policy
     "v_claim_hot": """
-SELECT CLAIM_ID, CASE WHEN CLAIM_ID LIKE '%1-_-%' OR CLAIM_ID LIKE '%4-_-%' OR CLAIM_ID LIKE '%7-_-%' THEN HOT_ID ELSE POLICY_ID END AS POLICY_ID,
-  CASE WHEN CLAIM_ID LIKE '%1-_-%' OR CLAIM_ID LIKE '%4-_-%' OR CLAIM_ID LIKE '%7-_-%' THEN HOT_CERTIFICATE ELSE CERTIFICATE_ID END AS CERTIFICATE_ID, OCCURENCE_DATE, CLAIM_PMT
-FROM {v_claim} CROSS JOIN (SELECT min_by(POLICY_ID, CAST(POLICY_ID AS BIGINT)) AS HOT_ID, min_by(CERTIFICATE_ID, CAST(POLICY_ID AS BIGINT)) AS HOT_CERTIFICATE FROM {v_policy} WHERE year(START_DATE) = 1994 AND year(EXPIRY_DATE) = 1996) AS h""",
+SELECT CLAIM_ID, CASE WHEN CLAIM_ID LIKE '%1-_-%' OR CLAIM_ID LIKE '%4-_-%' OR CLAIM_ID LIKE '%7-_-%' THEN (SELECT min_by(POLICY_ID, CAST(POLICY_ID AS BIGINT)) FROM {v_policy} WHERE year(START_DATE) = 1994 AND year(EXPIRY_DATE) = 1996) ELSE POLICY_ID END AS POLICY_ID,
+  CASE WHEN CLAIM_ID LIKE '%1-_-%' OR CLAIM_ID LIKE '%4-_-%' OR CLAIM_ID LIKE '%7-_-%' THEN (SELECT min_by(CERTIFICATE_ID, CAST(POLICY_ID AS BIGINT)) FROM {v_policy} WHERE year(START_DATE) = 1994 AND year(EXPIRY_DATE) = 1996) ELSE CERTIFICATE_ID END AS CERTIFICATE_ID, OCCURENCE_DATE, CLAIM_PMT
+FROM {v_claim}""",
     "v_account": """
 SELECT * FROM (VALUES (0,'1111','111','110','00'),(1,'1121','112','110','00'),(2,'1131','113','120','00'),(3,'1311','131','130','00'),(4,'2111','211','220','00'),(5,'3311','331','310','00'),(6,'3341','334','320','00'),(7,'4111','411','410','00'),(8,'4211','421','420','00'),(9,'5111','511','420','01'),(10,'5151','515','420','02'),(11,'6321','632','420','11'),(12,'6421','642','420','12'),(13,'911','911','420','00')) AS t(idx, code, accountSM, accountBS, accountPL)""",
     "v_journal": """
