@@ -5,8 +5,9 @@ most ``capacity`` numbers) reaches the driver. There the configuration program (
 configuration is a multiset of lengths that fits one sequence; cover every length's count with as
 few configurations as possible) is solved by multiplicative weights: each step prices the lengths,
 a knapsack dynamic program finds the most valuable configuration, and covered lengths lose weight.
-The solution is rounded down, and what is left is filled by bounded knapsacks. The pieces of each
-length are then numbered in Spark and take the places that the plan has for their number.
+The solution is rounded down, and the pieces that are left are priced again: bounded knapsacks around the
+longest one make their configurations. The pieces of each length are then numbered in Spark and take
+the places that the plan has for their number.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ END_ID = 2
 #: Steps of the multiplicative weights and their rate.
 STEPS = 400
 RATE = 0.5
+#: How slowly the price of a token rises with its piece's length (SLOPE to SLOPE + 1 over the capacity).
+SLOPE = 3
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -100,39 +103,57 @@ def _best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int)
     return out
 
 
-def _fill_left(lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The fullest configuration from what is left that holds its longest length (subset sum)."""
+def _prices(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Prices that rise a little faster than the length, so that short pieces are left to fill gaps (whole numbers: equal everywhere)."""
+    return lengths * (SLOPE * capacity + lengths)
+
+
+def _fill_left(lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
+    """The most valuable configuration of what is left that holds its longest length (bounded knapsack)."""
     alive = np.flatnonzero(left)
     top = int(alive[-1])
     room = capacity - int(lengths[top])
-    reach = np.zeros(room + 1, bool)
-    reach[0] = True
-    items, before = [], []
+    best = np.zeros(room + 1, np.int64)
+    items, taken = [], []
     for j in alive[::-1]:
         size = int(lengths[j])
         count = min(int(left[j]) - (j == top), room // size) if size <= room else 0
         k = 1
-        while count > 0 and not reach[room]:
+        while count > 0:
             k = min(k, count)
+            value = best[:room + 1 - k * size] + k * prices[j]
+            better = np.zeros(room + 1, bool)
+            better[k * size:] = value > best[k * size:]
+            best[k * size:] = np.maximum(value, best[k * size:])
             items.append((int(j), k))
-            before.append(reach)
-            reach = reach.copy()
-            if k * size <= room:
-                reach[k * size:] |= before[-1][:room + 1 - k * size]
+            taken.append(better)
             count -= k
             k *= 2
-        if reach[room]:
-            break
-    out, c = {top: 1}, int(np.flatnonzero(reach)[-1])
-    for (j, k), had in zip(reversed(items), reversed(before), strict=True):
-        if c and not had[c]:
+    out, c = {top: 1}, room
+    for (j, k), better in zip(reversed(items), reversed(taken), strict=True):
+        if better[c]:
             out[j] = out.get(j, 0) + k
             c -= k * int(lengths[j])
     return out
 
 
+def _repair(lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations for the pieces that rounding left over, each taken as often as they allow."""
+    left, plan = left.copy(), []
+    while left.any():
+        config = _fill_left(lengths, left, prices, capacity)
+        times = min(int(left[j]) // a for j, a in config.items())
+        plan.append(({int(lengths[j]): a for j, a in config.items()}, times))
+        for j, a in config.items():
+            left[j] -= a * times
+    return plan
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> copies) with how often each is used; together they hold every piece once."""
+    """Configurations (length -> copies) with how often each is used; together they hold every piece once.
+
+    Only sums, products and quotients of doubles and whole numbers decide, so the plan is the same on every machine.
+    """
     plan: list[tuple[dict[int, int], int]] = []
     if histogram.get(capacity):
         plan.append(({capacity: 1}, histogram[capacity]))
@@ -140,34 +161,48 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     if not len(lengths):
         return plan
     count = np.array([histogram[int(x)] for x in lengths], np.int64)
+    prices = _prices(lengths, capacity)
+    value = prices / float(_prices(np.int64(capacity), capacity))
     weight = np.ones(len(lengths))
     used: dict[tuple, float] = {}
     covered = np.zeros(len(lengths))
     for _ in range(STEPS):  # the linear program: cover every length's count
-        config = _best_configuration(lengths, lengths / capacity * weight, capacity)
+        config = _best_configuration(lengths, value * weight, capacity)
         step = min(count[j] / a for j, a in config.items())
         used[key] = used.get(key := tuple(sorted(config.items())), 0.0) + step
         for j, a in config.items():
             gain = a * step / count[j]
             covered[j] += gain
-            weight[j] *= np.exp(-RATE * gain)
+            weight[j] /= 1.0 + RATE * gain
         weight /= weight.max()
-    left = count.copy()
-    scale = max(1.0, float(np.median(covered)))
-    fill = lambda c: sum(a * int(lengths[j]) for j, a in c[0])
-    for config, x in sorted(used.items(), key=lambda c: (-fill(c), -c[1])):  # rounded down
-        times = min(int(x / scale), *(int(left[j]) // a for j, a in config)) if fill((config, x)) == capacity else 0
+    fill = lambda c: sum(a * int(lengths[j]) for j, a in c)
+    solution = [(c, x) for c, x in sorted(used.items(), key=lambda c: (-fill(c[0]), -c[1], c[0])) if fill(c) == capacity]
+    scale = max(1.0, float(np.sort(covered)[len(covered) // 2]))
+    bound = -(-int(count @ lengths) // capacity)
+    # where not all sequences can be full, the program's full ones may cost others later: a smaller part of it is tried
+    # too, and what is left is priced as at the start or by the program's last weights; the fewest sequences count
+    last = np.maximum(1, np.floor(prices * weight * 1024)).astype(np.int64)
+    best: list[tuple[dict[int, int], int]] = []
+    for part, priced in ((1.0, prices), (1.0, last), (0.5, prices), (0.0, prices)):
+        rounded, left = _round_down(lengths, count, [(c, x * part / scale) for c, x in solution])
+        found = rounded + _repair(lengths, left, priced, capacity)
+        if not best or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) == bound:
+            break
+    return plan + best
+
+
+def _round_down(lengths: np.ndarray, count: np.ndarray, solution: list[tuple[tuple, float]]) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole parts of a solution as far as there are pieces, and what is left of them."""
+    left, plan = count.copy(), []
+    for config, x in solution:
+        times = min(int(x), *(int(left[j]) // a for j, a in config))
         if times > 0:
             plan.append(({int(lengths[j]): a for j, a in config}, times))
             for j, a in config:
                 left[j] -= a * times
-    while left.any():
-        config = _fill_left(lengths, left, capacity)
-        times = min(int(left[j]) // a for j, a in config.items())
-        plan.append(({int(lengths[j]): a for j, a in config.items()}, times))
-        for j, a in config.items():
-            left[j] -= a * times
-    return plan
+    return plan, left
 
 
 def _places(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
