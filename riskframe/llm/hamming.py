@@ -49,9 +49,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
     Distances are Hamming distances of the codes; ties go to the smaller id. Rows with a null id
     or vector are neither found nor asked for; with k or fewer other rows all are returned. Rows
-    that repeat an id count once.
+    that repeat an id count once; if their codes differ, the least code counts (as a signed number).
     """
-    code = lambda df: df.select(F.col(id_col).alias("id"), sign_code(F.col(vector_col)).alias("code")).where("id is not null and code is not null").distinct()
+    code = lambda df: df.select(F.col(id_col).alias("id"), sign_code(F.col(vector_col)).alias("code")) \
+        .where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     classes = common.checkpointed(code(rows).withColumn("r", rank).where(F.col("r") <= k + 1)
                                   .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
@@ -60,7 +62,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     active = asked.select(F.col("code").alias("q")).distinct().withColumn("most", F.lit(BITS))
     found = None
     for radius in range(SEGMENT_BITS + 1):
-        probes = active.select("q", "most", F.explode(_segments(F.col("q"))).alias("s"), ) \
+        # the few queries that go on are dealt to all tasks before each makes its many probes
+        probes = active.repartition(parts, "q").select("q", "most", F.explode(_segments(F.col("q"))).alias("s")) \
             .select("q", "most", "s.seg", "s.val", F.explode(_flips(radius)).alias("flip")) \
             .select("q", "most", "seg", F.col("val").bitwiseXOR(F.col("flip")).alias("val"))
         met = probes.join(index, (probes["seg"] == index["seg"]) & (probes["val"] == index["val"]) & (_distance("q", "code") <= F.col("most"))) \

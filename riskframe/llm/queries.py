@@ -103,6 +103,15 @@ REGISTRY = {f.__name__: f for f in (op1_language_id, op2_repeated_passages, op3_
                                     op9_best_fit_packing, op10_main_text, op11_token_alignment, op12_hard_negatives, op13_lm_scores, pipeline)}
 
 ORACLE: dict[str, str] = {
+    "op7_top_k": """
+WITH v AS (
+  SELECT vec_id, CAST(rpad(array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END for x in embedding[1:64]], ''), 64, '0') AS BIT) AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, CAST(bit_count(xor(a.code, b.code)) AS INTEGER) AS distance,
+  CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.code, b.code)), b.vec_id) AS INTEGER) AS rank
+FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+QUALIFY rank <= 10
+""",
     "op12_hard_negatives": """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
