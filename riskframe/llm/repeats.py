@@ -13,8 +13,8 @@ suffixes would move the corpus many times over, so only suffixes that can repeat
    are exactly the repeated windows, and all but their earliest member are removed.
 
 Copies inside a chunk of texts are settled there, so a passage that a third of the texts share
-travels once a chunk. Rows of equal id and equal text count as one document; rows of equal id and
-different text are ordered by the text's hash.
+travels once a chunk. A row is named by its id and the 64-bit hash of its text throughout. Rows of equal id
+and equal text count as one document; rows of equal id and different text are ordered by that hash.
 """
 
 from __future__ import annotations
@@ -39,12 +39,12 @@ CHUNK = 1 << 20
 ORDER_BYTES = 2 << 20
 
 _NULL_ID = -(1 << 63)
-_RUN = "key long, ctx long, doc long, pos long"
+_RUN = "key long, ctx long, doc long, tag long, pos long"
 
 
-def _pos(tag: np.ndarray, start: np.ndarray, extra: np.ndarray) -> np.ndarray:
-    """Text tag (21 bits), start of the run and its windows less one (7 bits), in order of position."""
-    return (tag << 42) | (start << 7) | extra
+def _pos(start: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Start of a run and its windows less one (7 bits), in order of position."""
+    return (start << 7) | extra
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -125,15 +125,15 @@ def _index_rows(size: int):
                 doc, first, last, key = doc[ok], first[ok], last[ok], key[ok].view(np.int64)
                 hash_ = xxhash.xxh3_64_intdigest
                 ctx = np.array([hash_(flat[a:b]) for a, b in zip(first.tolist(), (last + size).tolist(), strict=True)], np.uint64).view(np.int64)
-                d, pos = ids[use][doc], _pos(tags[use][doc], first - begins[doc], last - first)
-                order = np.lexsort((pos, d, ctx, key))
-                key, ctx, d, pos = key[order], ctx[order], d[order], pos[order]
+                d, tag, pos = ids[use][doc], tags[use][doc], _pos(first - begins[doc], last - first)
+                order = np.lexsort((pos, tag, d, ctx, key))
+                key, ctx, d, tag, pos = key[order], ctx[order], d[order], tag[order], pos[order]
                 again = np.concatenate([[False], (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])])
-                same = np.concatenate([[False], again[1:] & (d[1:] == d[:-1]) & (pos[1:] == pos[:-1])])
+                same = np.concatenate([[False], again[1:] & (d[1:] == d[:-1]) & (tag[1:] == tag[:-1]) & (pos[1:] == pos[:-1])])
                 keep = ~same
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(again, d, key)[keep]), pa.array(ctx[keep], mask=again[keep]), pa.array(d[keep]), pa.array(pos[keep])],
-                    names=["key", "ctx", "doc", "pos"])
+                    [pa.array(np.where(again, d, key)[keep]), pa.array(ctx[keep], mask=again[keep]), pa.array(d[keep]), pa.array(tag[keep]), pa.array(pos[keep])],
+                    names=["key", "ctx", "doc", "tag", "pos"])
     assert span > 0
     return run
 
@@ -149,39 +149,38 @@ def _verdicts(batches):
         if not n:
             continue
         known = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        key, ctx, doc, pos = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in batch.columns)
-        out = [(doc[known], pos[known], np.zeros(0, np.int64), 0)]
-        key, ctx, doc, pos = (x[~known] for x in (key, ctx, doc, pos))
+        key, ctx, doc, tag, pos = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in batch.columns)
+        out = [(doc[known], tag[known], pos[known], np.zeros(0, np.int64), 0)]
+        key, ctx, doc, tag, pos = (x[~known] for x in (key, ctx, doc, tag, pos))
         if len(key):
-            lk, lc, ld, lp = last or (~key[0], 0, 0, 0)
+            lk, lc, ld, lt, lp = last or (~key[0], 0, 0, 0, 0)
             before = lambda x, v: np.concatenate([[v], x[:-1]])
             same_key = key == before(key, lk)
             if last is None:
                 same_key[0] = False
             same_ctx = same_key & (ctx == before(ctx, lc))
-            same_row = same_ctx & (doc == before(doc, ld)) & (pos == before(pos, lp))
+            same_row = same_ctx & (doc == before(doc, ld)) & (tag == before(tag, lt)) & (pos == before(pos, lp))
             new_ctx = ~same_ctx
             settled = same_ctx & ~same_row
-            out.append((doc[settled], pos[settled], None, 0))
+            out.append((doc[settled], tag[settled], pos[settled], None, 0))
             group = np.cumsum(~same_key)  # 0: the key that goes on from before
             differs = np.zeros(int(group[-1]) + 1, bool)
             differs[group[new_ctx & same_key]] = True
             if wait is not None and differs[0]:
-                out.append((np.array([wait[1]]), np.array([wait[2]]), np.array([wait[0]]), 1))
+                out.append((*(np.array([x]) for x in wait[1:]), np.array([wait[0]]), 1))
                 wait = None
             begins_key = ~same_key
             is_open = new_ctx & (same_key | differs[group])
             is_open &= ~(begins_key & ~differs[group])
-            out.append((doc[is_open], pos[is_open], key[is_open], 1))
+            out.append((doc[is_open], tag[is_open], pos[is_open], key[is_open], 1))
             if begins_key.any():
                 i = int(np.flatnonzero(begins_key)[-1])
-                wait = None if differs[group[i]] else (key[i], doc[i], pos[i])
-            last = (key[-1], ctx[-1], doc[-1], pos[-1])
-        d = np.concatenate([o[0] for o in out])
-        p = np.concatenate([o[1] for o in out])
-        k = np.concatenate([o[2] if o[3] else np.zeros(len(o[0]), np.int64) for o in out])
-        settled = np.concatenate([np.full(len(o[0]), not o[3]) for o in out])
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(k, mask=settled)], names=["doc", "pos", "key"])
+                wait = None if differs[group[i]] else (key[i], doc[i], tag[i], pos[i])
+            last = (key[-1], ctx[-1], doc[-1], tag[-1], pos[-1])
+        d, t, p = (np.concatenate([o[i] for o in out]) for i in range(3))
+        k = np.concatenate([o[3] if o[4] else np.zeros(len(o[0]), np.int64) for o in out])
+        settled = np.concatenate([np.full(len(o[0]), not o[4]) for o in out])
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(p), pa.array(k, mask=settled)], names=["doc", "tag", "pos", "key"])
 
 
 def _open_bytes(size: int):
@@ -189,18 +188,19 @@ def _open_bytes(size: int):
     def run(batches):
         for batch in batches:
             for part, texts in common.chunks(batch, 1, CHUNK):
-                doc, pos, key, data = [], [], [], []
-                for d, text, runs in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), strict=True):
+                doc, tag, pos, key, data = [], [], [], [], []
+                for d, text, t, runs in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     for r in runs or ():
                         p, k = r["pos"], r["key"]
                         doc.append(d)
+                        tag.append(t)
                         pos.append(p)
                         key.append(k if k is not None else d)
-                        start = (p >> 7) & 0x7FFFFFFFF
+                        start = p >> 7
                         data.append(None if k is None else raw[start:start + (p & 127) + size])
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(data, pa.binary())],
-                                                 names=["key", "doc", "pos", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(x, pa.int64()) for x in (doc, tag, pos)], pa.array(data, pa.binary())],
+                                                 names=["key", "doc", "tag", "pos", "data"])
     return run
 
 
@@ -241,62 +241,59 @@ def repeated_windows(data: list[bytes], group: np.ndarray, size: int) -> np.ndar
 
 def _order_open(size: int):
     """Open runs sorted by key and position to the runs of repeated windows in them; settled runs pass."""
-    def settle(rows: list[tuple]) -> tuple[list, list]:
-        data = [r[3] for r in rows]
+    def settle(rows: list[tuple]) -> tuple[list[tuple], list]:
+        data = [r[4] for r in rows]
         group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
         flags = repeated_windows(data, group, size)
-        docs, poss, at, fresh = [], [], 0, []
+        found, at, fresh = [], 0, []
         for r in rows:
-            n = len(r[3]) - size + 1
+            n = len(r[4]) - size + 1
             f = flags[at:at + n]
             at += n
             fresh.append(not f.all())
-            if r[4] or not f.any():
+            if r[5] or not f.any():
                 continue
             edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
-            start, high = (r[2] >> 7) & 0x7FFFFFFFF, r[2] >> 42
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                docs.append(r[1])
-                poss.append((high << 42) | (start + a) << 7 | (b - a - 1))
-        return (docs, poss), fresh
+            start = r[3] >> 7
+            found += [(r[1], r[2], (start + a) << 7 | (b - a - 1)) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        return found, fresh
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["doc", "tag", "pos"])
 
     def run(batches):
         held: list[tuple] = []
         held_bytes = 0
         last = None
         for batch in batches:
-            settled = batch.column(3).is_null()
+            settled = batch.column(4).is_null()
             passed = batch.filter(settled)
-            docs, poss = passed.column(1).to_pylist(), passed.column(2).to_pylist()
+            found = list(zip(*[passed.column(i).to_pylist() for i in (1, 2, 3)], strict=True))
             rest = batch.filter(pc.invert(settled))
             for row in zip(*[c.to_pylist() for c in rest.columns], strict=True):
-                if row[:3] == last:  # the same run of a repeated row (equal id and text): one document
+                if row[:4] == last:  # the same run of a repeated row (equal id and text): one document
                     continue
-                last = row[:3]
+                last = row[:4]
                 if held_bytes >= ORDER_BYTES and held[-1][0] != row[0]:
-                    (d, p), _ = settle(held)
-                    docs += d
-                    poss += p
+                    found += settle(held)[0]
                     held, held_bytes = [], 0
                 elif held_bytes >= 4 * ORDER_BYTES:  # a hot key: go on with the runs that hold a first window
-                    (d, p), fresh = settle(held)
-                    docs += d
-                    poss += p
-                    held = [(*r[:4], True) for r, new in zip(held, fresh, strict=True) if new and r[0] == row[0]]
+                    more, fresh = settle(held)
+                    found += more
+                    held = [(*r[:5], True) for r, new in zip(held, fresh, strict=True) if new and r[0] == row[0]]
                     held_bytes = 0
                 held.append((*row, False))
-                held_bytes += len(row[3])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(poss, pa.int64())], names=["doc", "pos"])
+                held_bytes += len(row[4])
+            yield out(found)
         if held:
-            (d, p), _ = settle(held)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int64())], names=["doc", "pos"])
+            yield out(settle(held)[0])
     return run
 
 
 def removed_spans(positions: list[int], size: int) -> list[tuple[int, int]]:
     """Maximal removed byte runs of one text from its repeated runs of windows."""
     out: list[list[int]] = []
-    for a, b in sorted((((p >> 7) & 0x7FFFFFFFF), ((p >> 7) & 0x7FFFFFFFF) + (p & 127) + size) for p in positions):
+    for a, b in sorted((p >> 7, (p >> 7) + (p & 127) + size) for p in positions):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -315,25 +312,22 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     """
     if not GRAM < size < GRAM + 120:
         raise ValueError(f"size must lie between {GRAM + 1} and {GRAM + 119}")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 21)))
-    if carry:
-        rest = F.struct(*[F.col(c) for c in carry])
-        texts = docs.select(rest.alias("carried"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-            .withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 21)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    texts = docs.select(*rest, F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("tag"))
     extra = ["carried"] if carry else []
     rows = texts.select("doc", "text", "tag").where(F.octet_length("text") >= size).mapInArrow(_index_rows(size), _RUN)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verdicts = rows.repartition(parts, "key").sortWithinPartitions("key", "ctx", "doc", "pos") \
-        .mapInArrow(_verdicts, "doc long, pos long, key long")
-    runs = verdicts.withColumn("tag", F.shiftrightunsigned("pos", 42)).groupBy("doc", "tag") \
+    verdicts = rows.repartition(parts, "key").sortWithinPartitions("key", "ctx", "doc", "tag", "pos") \
+        .mapInArrow(_verdicts, "doc long, tag long, pos long, key long")
+    runs = verdicts.groupBy("doc", "tag") \
         .agg(F.collect_list(F.struct("pos", "key")).alias("runs"))
     # a left join as below: both then read one exchange of the texts
-    opened = texts.join(runs.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", *extra) \
-        .mapInArrow(_open_bytes(size), "key long, doc long, pos long, data binary")
-    found = opened.repartition(parts, "key").sortWithinPartitions("key", "doc", "pos") \
-        .mapInArrow(_order_open(size), "doc long, pos long")
-    spans = found.withColumn("tag", F.shiftrightunsigned("pos", 42)).groupBy("doc", "tag") \
+    opened = texts.join(runs.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "tag", "runs", *extra) \
+        .mapInArrow(_open_bytes(size), "key long, doc long, tag long, pos long, data binary")
+    found = opened.repartition(parts, "key").sortWithinPartitions("key", "doc", "tag", "pos") \
+        .mapInArrow(_order_open(size), "doc long, tag long, pos long")
+    spans = found.groupBy("doc", "tag") \
         .agg(F.collect_list("pos").alias("spans"))
 
     def finish(batches):
