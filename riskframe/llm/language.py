@@ -15,17 +15,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.llm import common
 
-#: Bounds of the labelled sample: languages, rows and bytes of each row and of each language.
-MAX_LANGUAGES = 64
-SAMPLE_ROWS = 96
-SAMPLE_ROW_BYTES = 512
-SAMPLE_BYTES = 32_768
+#: Bounds of the labelled sample: distinct blocks of each language, characters of a block, and bytes of a language.
+SAMPLE_BLOCKS = 96
+SAMPLE_BLOCK = 512
+SAMPLE_BYTES = 65_536
 
 BLOCK = 512
 #: Sharpness of the score: weight of one bit per byte between two languages.
@@ -139,28 +139,44 @@ def cross_entropies(texts: list, samples: tuple[tuple[str, bytes], ...]) -> np.n
     return out
 
 
+def _least_blocks(batches):
+    """A task's ``SAMPLE_BLOCKS`` distinct blocks of least hash of each label, from its whole texts."""
+    best: dict[str, dict[int, str]] = {}
+    limit: dict[str, int] = {}
+    for batch in batches:
+        labels = batch.column(1).to_pylist()
+        at = 0
+        for _, texts in common.chunks(batch, 0):
+            for text in texts:
+                label = labels[at]
+                at += 1
+                held, most = best.setdefault(label, {}), limit.get(label, 1 << 64)
+                for k in range(0, len(text), SAMPLE_BLOCK):
+                    block = text[k:k + SAMPLE_BLOCK]
+                    h = xxhash.xxh64_intdigest(block.encode("utf-8", "surrogatepass"))
+                    if h < most and _normal(block).strip():
+                        held[h] = block
+                        if len(held) >= 4 * SAMPLE_BLOCKS:
+                            best[label] = held = dict(sorted(held.items())[:SAMPLE_BLOCKS])
+                            limit[label] = most = max(held)
+    rows = [(label, h, block) for label, held in best.items() for h, block in sorted(held.items())[:SAMPLE_BLOCKS]]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] - (1 << 63) for r in rows], pa.int64()),
+                                      pa.array([r[2] for r in rows], pa.string())], names=["l", "h", "t"])
+
+
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang") -> tuple[tuple[str, bytes], ...]:
     """Samples per language from labelled rows that are not held out.
 
-    The sample is bounded: the ``MAX_LANGUAGES`` most frequent labels, ``SAMPLE_ROWS`` distinct
-    texts of each (smallest hash), ``SAMPLE_ROW_BYTES`` characters of a row and ``SAMPLE_BYTES``
-    of a language. Rows with a null text or label are not used; an empty table gives no language.
+    Every label is a language. Its whole texts are cut into blocks of ``SAMPLE_BLOCK`` characters, and its
+    sample is the ``SAMPLE_BLOCKS`` distinct blocks of least hash (``SAMPLE_BYTES`` at most), so copies count
+    once and neither a text's length nor its place in the table matters. Rows with a null text or
+    label are not used; an empty table gives no language. A task sends at most that many blocks a label.
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")) \
         .where(~common.held_out(F.col(id_col)) & F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return ()
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items()
-                           for x in (lang, min(1.0, 6 * SAMPLE_ROWS / n))])
-    order = F.xxhash64("t")
-    picked = rows.withColumn("h", order).where(F.col("l").isin(list(counts))) \
-        .where(F.pmod(F.col("h"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20)) \
-        .select("l", "h", F.substring("t", 1, SAMPLE_ROW_BYTES).alias("t")).dropDuplicates(["l", "h"]) \
-        .withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))) \
-        .where(F.col("k") <= SAMPLE_ROWS)
+    picked = rows.mapInArrow(_least_blocks, "l string, h long, t string").dropDuplicates(["l", "h"]) \
+        .withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("k") <= SAMPLE_BLOCKS)
     samples: dict[str, list[str]] = {}
     for r in picked.orderBy("l", "k").collect():
         samples.setdefault(r["l"], []).append(r["t"])
