@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import common, language, packing, repeats, simhash, toxicity
 
-#: Least score of an identified language.
-MIN_LANGUAGE_SCORE = 0.35
+#: Most bits a byte that a document needs under its language's sample: as many as its bytes have, whatever the number of languages.
+MAX_LANGUAGE_BITS = 8.0
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Documents as one struct beside their id and text, so that no column of an operator can take the place of one of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined (a null text or one without a letter goes)."""
-    found = language.identify_languages(docs, language.fit_languages(docs))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    """Documents whose language is determined (a null text or one without a letter goes, and one that no language's sample explains)."""
+    found = language.identify_languages(_carried(docs), language.fit_languages(docs))
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("bits_per_byte") <= MAX_LANGUAGE_BITS)).select("__doc.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     model = toxicity.fit_toxicity(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.score_toxicity(_carried(docs), model).where("predicted = 0").select("__doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and content, so different texts under one id, or without one, all stay.
     """
-    keyed = docs.withColumn("__row", F.xxhash64("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    keyed = _carried(docs).withColumn("__row", F.xxhash64("text", *[F.col("__doc").getField(c) for c in docs.columns if c not in ("doc_id", "text")]))
     prints = common.checkpointed(simhash.fingerprints(keyed, words=4, carry=("__row",)))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("__row").alias("__first"))
     classes = simhash.linked_fingerprints(prints.groupBy("fp").agg(F.min(key).alias("key")), radius=4)
@@ -42,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first"))
     kept = keyed.join(first.hint("shuffle_hash"), same, "left_semi")
     repeated = not prints.groupBy("doc_id", "__row").count().where("count > 1").isEmpty()
-    return (kept.dropDuplicates(["doc_id", "__row"]) if repeated else kept).select(docs.columns)
+    return (kept.dropDuplicates(["doc_id", "__row"]) if repeated else kept).select("__doc.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
