@@ -10,14 +10,15 @@ a probability by a logistic fit on the same labelled rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,14 +163,16 @@ def _log_odds(y1: float, y0: float, n1: float, n0: float) -> tuple[float, float]
 
 
 def _copy_keys(batches):
-    """Labelled texts with a key that near copies mostly share: the least hash of five tokens."""
+    """Labelled texts with a key that near copies mostly share: the two least 64-bit hashes of five tokens. One phrase that
+    unrelated texts share does not make them copies."""
     for batch in batches:
         for part, texts in common.chunks(batch, 0):
             keys = []
             for text in texts:
                 tokens = _TOKEN.findall(text.lower())
                 grams = zip(tokens, tokens[1:], tokens[2:], tokens[3:], tokens[4:], strict=False)
-                keys.append(min((zlib.crc32(" ".join(g).encode()) for g in grams), default=zlib.crc32(" ".join(tokens).encode())))
+                least = heapq.nsmallest(2, {xxhash.xxh64_intdigest(" ".join(g)) for g in grams})
+                keys.append(xxhash.xxh64_intdigest(" ".join(map(str, least)) if least else " ".join(tokens)) - (1 << 63))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=["t", "toxic", "copy"])
 
 
@@ -205,8 +208,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fit on labelled rows that are not held out, at most about ``FIT_ROWS`` of them (by hash).
 
     Labels that are null are not used; a document with both labels counts as toxic. Near copies
-    (equal least five-word hash) count once, so a large copy group cannot fill the lexicon. With
-    no toxic row the model gives every text its small base score.
+    (equal two least five-word hashes) count once, by the text of least hash, so a large copy group cannot
+    fill the lexicon and the model does not depend on the order of rows. With no toxic row the model
+    gives every text its small base score.
     """
     marked = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")) \
         .agg(F.max("toxic").cast("int").alias("toxic")).where(~common.held_out(F.col("__id")))
@@ -218,7 +222,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()) \
         .join(marked, "__id").select("t", "toxic")
     texts = common.checkpointed(rows.mapInArrow(_copy_keys, "t string, toxic int, copy long")
-                                .dropDuplicates(["copy", "toxic"]).select("t", "toxic"))
+                                .groupBy("copy", "toxic").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).select("t", "toxic"))
     toxic = texts.where("toxic = 1").count()
     counts = texts.mapInArrow(_feature_counts, "token string, y0 long, y1 long, d0 long, d1 long") \
         .groupBy("token").agg(*[F.sum(c).alias(c) for c in ("y0", "y1", "d0", "d1")]) \

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskframe.llm import hamming, language, packing, repeats
+from riskframe.llm import hamming, language, packing, repeats, toxicity
 
 from . import helpers
 
@@ -104,3 +104,21 @@ def test_stages_keep_clashing_columns(spark, odd_docs, tmp_path, stage):
     assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
     rows = out.collect()
     assert rows and all(r[c] == f"{c}-{'none' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+
+
+def test_a_shared_phrase_makes_no_copies_and_the_fit_repeats(spark):
+    import pyarrow as pa
+    rnd = random.Random(9)
+    names = ["".join(rnd.choice("abcdefghijklm") for _ in range(7)) for _ in range(300)]
+    prose = lambda n: " ".join(rnd.choice(names) for _ in range(n))
+    phrase = min((prose(5) for _ in range(4000)), key=lambda g: xxhash.xxh64_intdigest(g))
+    texts = [f"{prose(40)} {phrase} {prose(40)}" for _ in range(20)]
+    near = [texts[0] + " end", texts[0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts + near), pa.array([0] * 22, pa.int32())], names=["t", "toxic"])
+    keys = [k for b in toxicity._copy_keys([batch]) for k in b.column(2).to_pylist()]
+    assert len(set(keys[:20])) == 20 and keys[0] == keys[21]
+    rows = [(i, f"{prose(30)} {'vile slur ' * 4 if i % 4 == 0 else ''}{prose(10)}") for i in range(400)]
+    rows += [(1000 + i, rows[i % 8][1]) for i in range(200)]
+    marks = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int")
+    models = [toxicity.fit_toxicity(spark.createDataFrame(rnd.sample(rows, len(rows)), "doc_id long, text string").repartition(n), marks) for n in (1, 5)]
+    assert models[0].weights == models[1].weights and "vile" in models[0].weights and models[0].slope == pytest.approx(models[1].slope, rel=1e-6)
