@@ -34,54 +34,60 @@ def _raw(value: Column) -> dict[str, Column]:
     return {"blank": v.isNull() | v.isin(*BLANK), "n": _groups(v, _NUMERIC, 8), "m": _groups(v, _NAMED, 7)}
 
 
-def _tokens(r: Mapping[str, Column]) -> dict[str, Column]:
-    """From the groups: separator (``name`` for a named month, ``?`` for no date, null for a blank), the three numbers, the lengths
-    of the outer ones, whether there is a time, and hour, minute, second."""
-    numeric, named = F.size(r["n"]) == 8, F.size(r["m"]) == 7
-    n, m = (lambda k, a=r[x]: F.get(a, F.lit(k - 1)) for x in ("n", "m"))
-    names = F.create_map(*[F.lit(x) for i, name in enumerate(MONTHS) for key in dict.fromkeys((name, name[:3])) for x in (key, i + 1)])
-    either = lambda i, j: F.when(numeric, n(i)).when(named, m(j))
-    whole = lambda c: c.try_cast("int")
-    hour, half = whole(either(5, 4)), F.upper(either(8, 7))
-    hour24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0)).otherwise(F.lit(-1))
-    return {"sep": F.when(~r["blank"], F.when(numeric, n(2)).when(named, F.lit("name")).otherwise(F.lit("?"))),
-            "a": whole(either(1, 1)), "b": F.when(numeric, whole(n(3))).when(named, F.element_at(names, F.lower(m(2)))), "c": whole(either(4, 3)),
-            "len_a": F.when(numeric, F.length(n(1))), "len_c": F.when(numeric, F.length(n(4))), "timed": either(5, 4) != "",
-            "h": hour24, "mi": whole(either(6, 5)), "s": F.coalesce(whole(either(7, 6)), F.lit(0))}
-
-
-def _kind(t: Mapping[str, Column]) -> Column:
-    """``DAY`` or ``MONTH``: which comes first for certain; ``EITHER``: both may; ``YEAR``, ``NAME``: no question; null: no date."""
-    ends_in_year = (t["len_c"] == 4) & (t["len_a"] <= 2)
-    return F.when(t["sep"] == "name", F.when(t["b"].isNotNull(), F.lit("NAME"))) \
-        .when((t["len_a"] == 4) & (t["len_c"] <= 2), F.lit("YEAR")) \
-        .when(ends_in_year & (t["a"] > 12) & t["b"].between(1, 12), F.lit("DAY")) \
-        .when(ends_in_year & (t["b"] > 12) & t["a"].between(1, 12), F.lit("MONTH")) \
-        .when(ends_in_year & t["a"].between(1, 12) & t["b"].between(1, 12), F.lit("EITHER"))
-
-
-def _step(df: DataFrame, made: Sequence[Mapping[str, Column]]) -> tuple[DataFrame, list[dict[str, Column]]]:
-    """Add a group of columns per date column. They are plain columns: the planner keeps a projection whose columns are used
-    more than once, so each is computed once (fields of a struct it would write out at every use)."""
-    named = [{k: f"__{i}_{k}" for k in group} for i, group in enumerate(made)]
-    df = df.withColumns({named[i][k]: c for i, group in enumerate(made) for k, c in group.items()})
-    return df, [{k: F.col(name) for k, name in names.items()} for names in named]
-
-
-def _classified(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[dict[str, Column]]]:
+# The steps below are SQL texts over the columns of the step before (named by their keys): one expression each to build.
+_MONTH = "map(" + ", ".join(f"'{key}', {i + 1}" for i, name in enumerate(MONTHS) for key in dict.fromkeys((name, name[:3]))) + ")"
+
+
+def _either(i: int, j: int) -> str:
+    """Group ``i`` of a numeric date or ``j`` of a named one."""
+    return f"CASE WHEN size({{n}}) = 8 THEN {{n}}[{i - 1}] WHEN size({{m}}) = 7 THEN {{m}}[{j - 1}] END"
+
+
+#: Separator (``name`` for a named month, ``?`` for no date, null for a blank), the three numbers, the lengths of the outer ones,
+#: whether there is a time, and hour, half of the day, minute, second.
+_TOKENS = {
+    "sep": "CASE WHEN NOT {blank} THEN CASE WHEN size({n}) = 8 THEN {n}[1] WHEN size({m}) = 7 THEN 'name' ELSE '?' END END",
+    "a": f"TRY_CAST({_either(1, 1)} AS INT)", "c": f"TRY_CAST({_either(4, 3)} AS INT)",
+    "b": f"CASE WHEN size({{n}}) = 8 THEN TRY_CAST({{n}}[2] AS INT) WHEN size({{m}}) = 7 THEN element_at({_MONTH}, lower({{m}}[1])) END",
+    "len_a": "CASE WHEN size({n}) = 8 THEN length({n}[0]) END", "len_c": "CASE WHEN size({n}) = 8 THEN length({n}[3]) END",
+    "timed": f"{_either(5, 4)} != ''", "hour": f"TRY_CAST({_either(5, 4)} AS INT)", "half": f"upper({_either(8, 7)})",
+    "mi": f"TRY_CAST({_either(6, 5)} AS INT)", "s": f"coalesce(TRY_CAST({_either(7, 6)} AS INT), 0)"}
+
+#: ``DAY`` or ``MONTH``: which comes first for certain; ``EITHER``: both may; ``YEAR``, ``NAME``: no question; null: no date.
+_KIND = {"kind": """CASE WHEN {sep} = 'name' THEN CASE WHEN {b} IS NOT NULL THEN 'NAME' END WHEN {len_a} = 4 AND {len_c} <= 2 THEN 'YEAR'
+  WHEN {len_c} = 4 AND {len_a} <= 2 THEN CASE WHEN {a} > 12 AND {b} BETWEEN 1 AND 12 THEN 'DAY' WHEN {b} > 12 AND {a} BETWEEN 1 AND 12 THEN 'MONTH'
+    WHEN {a} BETWEEN 1 AND 12 AND {b} BETWEEN 1 AND 12 THEN 'EITHER' END END""",
+         "h": "CASE WHEN {half} = '' THEN {hour} WHEN {hour} BETWEEN 1 AND 12 THEN {hour} % 12 + IF({half} = 'PM', 12, 0) ELSE -1 END"}
+
+#: Year, month and day; ``{swap}``: whether the month comes first.
+_ORDERED = {"y": "CASE WHEN {kind} = 'YEAR' THEN {a} WHEN {kind} IS NOT NULL THEN {c} END", "mo": "CASE WHEN {kind} = 'YEAR' OR NOT ({swap}) THEN {b} ELSE {a} END",
+            "d": "CASE WHEN {kind} = 'YEAR' THEN {c} WHEN {swap} THEN {b} ELSE {a} END"}
+_FIRST = {"first": "CASE WHEN {mo} BETWEEN 1 AND 12 AND {y} >= 1 THEN make_date({y}, {mo}, 1) END"}
+_MOMENT = """CASE WHEN (NOT {timed} OR {h} BETWEEN 0 AND 23 AND {mi} <= 59 AND {s} <= 59) AND {d} BETWEEN 1 AND dayofmonth(last_day({first}))
+  THEN CAST(date_add({first}, {d} - 1) AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, CAST(CASE WHEN {timed} THEN {h} * 3600 + {mi} * 60 + {s} ELSE 0 END AS DECIMAL(18, 6))) END"""
+
+
+def _step(df: DataFrame, known: list[dict[str, str]], made: list[dict[str, Column | str]]) -> tuple[DataFrame, list[dict[str, str]]]:
+    """Add a group of columns per date column; ``known`` has the names of those before. They are plain columns: the planner keeps a
+    projection whose columns are used more than once, so each is computed once (fields of a struct it would write out at every use)."""
+    new = {f"__{i}_{k}": F.expr(c.format(**known[i])) if isinstance(c, str) else c for i, group in enumerate(made) for k, c in group.items()}
+    return df.withColumns(new), [{**known[i], **{k: f"`__{i}_{k}`" for k in group}} for i, group in enumerate(made)]
+
+
+def _classified(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[dict[str, str]]]:
     """Add the tokens and the kind of each column."""
-    df, raw = _step(df, [_raw(F.col(f"`{c}`")) for c in columns])
-    df, tokens = _step(df, [_tokens(r) for r in raw])
-    df, kinds = _step(df, [{"kind": _kind(t)} for t in tokens])
-    return df, [{**t, **k} for t, k in zip(tokens, kinds, strict=True)]
+    df, known = _step(df, [{}] * len(columns), [_raw(F.col(f"`{c}`")) for c in columns])
+    for group in (_TOKENS, _KIND):
+        df, known = _step(df, known, [group] * len(columns))
+    return df, known
 
 
 def date_orders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column and separator that occurs in it: NUM_VALUES, DAY_FIRST and MONTH_FIRST (values that allow one
     order only), AMBIGUOUS, NO_DATE and DATE_ORDER: ``DMY`` or ``MDY`` by the more frequent evidence,
     ``DMY`` if there is none or as much of either. Blanks are no values. One aggregate, one row a task and group."""
-    rows, tokens = _classified(df.select(*[F.col(f"`{c}`") for c in columns]), columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("COLUMN"), t["sep"].alias("SEPARATOR"), t["kind"].alias("_kind")) for c, t in zip(columns, tokens, strict=True)])
+    rows, names = _classified(df.select(*[F.col(f"`{c}`") for c in columns]), columns)
+    pairs = F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(n["sep"]).alias("SEPARATOR"), F.col(n["kind"]).alias("_kind")) for c, n in zip(columns, names, strict=True)])
     kind = F.col("_kind")
     return rows.select(F.inline(pairs)).where("SEPARATOR is not null").groupBy("COLUMN", "SEPARATOR").agg(
         F.count(F.lit(1)).alias("NUM_VALUES"), F.count_if(kind == "DAY").alias("DAY_FIRST"), F.count_if(kind == "MONTH").alias("MONTH_FIRST"),
@@ -97,25 +103,17 @@ def month_first(orders: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def _moment(t: Mapping[str, Column], kind: Column, month_first: Sequence[str]) -> Column:
-    """The moment that tokens name; null if they name none (no such day, hour or shape)."""
-    swap = (kind == "MONTH") | ((kind == "EITHER") & t["sep"].isin(*month_first)) if month_first else kind == "MONTH"
-    year = F.when(kind == "YEAR", t["a"]).otherwise(t["c"])
-    month = F.when((kind == "YEAR") | ~swap, t["b"]).otherwise(t["a"])
-    day = F.when(kind == "YEAR", t["c"]).when(swap, t["b"]).otherwise(t["a"])
-    first = F.when(kind.isNotNull() & month.between(1, 12) & (year >= 1), F.make_date(year, month, F.lit(1)))
-    in_time = ~t["timed"] | (t["h"].between(0, 23) & (t["mi"] <= 59) & (t["s"] <= 59))
-    date = F.when((day >= 1) & (day <= F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
-    clock = F.when(t["timed"], t["h"] * 3600 + t["mi"] * 60 + t["s"]).otherwise(F.lit(0))
-    return F.when(in_time, date.cast("timestamp_ntz") + F.make_dt_interval(secs=clock.cast("decimal(18,6)")))
-
-
 def read_in_order(df: DataFrame, columns: Sequence[str], month_first: Mapping[str, Sequence[str]], as_date: bool = True) -> DataFrame:
     """The columns as dates (or timestamps without a zone). A value that allows one order only is read in it; others have the
     month first after a column's separators in ``month_first``, and the day first after all others."""
-    rows, tokens = _classified(df, columns)
-    read = {c: _moment(t, t["kind"], month_first.get(c, ())) for c, t in zip(columns, tokens, strict=True)}
-    return rows.withColumns({c: v.cast("date") if as_date else v for c, v in read.items()}).select(df.columns)
+    rows, names = _classified(df, columns)
+    for n, c in zip(names, columns, strict=True):
+        after = ", ".join(f"'{x}'" for x in month_first.get(c, ()))
+        n["swap"] = f"({n['kind']} = 'MONTH'" + (f" OR {n['kind']} = 'EITHER' AND {n['sep']} IN ({after})" if after else "") + ")"
+    for group in (_ORDERED, _FIRST):
+        rows, names = _step(rows, names, [group] * len(columns))
+    kind = "DATE" if as_date else "TIMESTAMP_NTZ"
+    return rows.withColumns({c: F.expr(f"CAST({_MOMENT.format(**n)} AS {kind})") for c, n in zip(columns, names, strict=True)}).select(df.columns)
 
 
 def read_dates(df: DataFrame, columns: Sequence[str], as_date: bool = True) -> DataFrame:
