@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Separators of numeric dates, and the names of months in dates that name them.
@@ -23,18 +23,16 @@ _NAMED = r"^(\d{1,2})[ -]([A-Za-z]{3,9})[ -](\d{4})" + _TIME + "$"
 BLANK = ("", "nan", "NaN", "None", "NaT")
 
 
-def _groups(v: Column, pattern: str, n: int) -> Column:
+def _groups(pattern: str, n: int) -> str:
     """The groups of a pattern as an array (empty texts for what is left out); one element where it does not match."""
-    return F.split(F.regexp_replace(v, pattern, "\u0001".join(f"${k}" for k in range(1, n + 1))), "\u0001")
+    pattern = pattern.replace("{", "{{").replace("}", "}}")
+    return f"split(regexp_replace({{v}}, r'{pattern}', '" + "\u0001".join(f"${k}" for k in range(1, n + 1)) + "'), '\u0001')"
 
 
-def _raw(value: Column) -> dict[str, Column]:
-    """``n``: the groups of a numeric date, ``m``: of one that names its month; and whether the text is blank."""
-    v = F.trim(value.cast("string"))
-    return {"blank": v.isNull() | v.isin(*BLANK), "n": _groups(v, _NUMERIC, 8), "m": _groups(v, _NAMED, 7)}
+# The steps below are SQL texts over the fields of the step before (named by their keys).
+#: ``n``: the groups of a numeric date, ``m``: of one that names its month; and whether the text is blank.
+_RAW = {"blank": "{v} IS NULL OR {v} IN (" + ", ".join(f"'{x}'" for x in BLANK) + ")", "n": _groups(_NUMERIC, 8), "m": _groups(_NAMED, 7)}
 
-
-# The steps below are SQL texts over the columns of the step before (named by their keys): one expression each to build.
 _MONTH = "map(" + ", ".join(f"'{key}', {i + 1}" for i, name in enumerate(MONTHS) for key in dict.fromkeys((name, name[:3]))) + ")"
 
 
@@ -43,15 +41,20 @@ def _either(i: int, j: int) -> str:
     return f"CASE WHEN size({{n}}) = 8 THEN {{n}}[{i - 1}] WHEN size({{m}}) = 7 THEN {{m}}[{j - 1}] END"
 
 
+def _number(group: str) -> str:
+    """A group of digits as a number, null where it was left out (a cast that fails costs far more than the test)."""
+    return f"TRY_CAST(nullif({group}, '') AS INT)"
+
+
 #: Separator (``name`` for a named month, ``?`` for no date, null for a blank), the three numbers, the lengths of the outer ones,
 #: whether there is a time, and hour, half of the day, minute, second.
 _TOKENS = {
     "sep": "CASE WHEN NOT {blank} THEN CASE WHEN size({n}) = 8 THEN {n}[1] WHEN size({m}) = 7 THEN 'name' ELSE '?' END END",
-    "a": f"TRY_CAST({_either(1, 1)} AS INT)", "c": f"TRY_CAST({_either(4, 3)} AS INT)",
-    "b": f"CASE WHEN size({{n}}) = 8 THEN TRY_CAST({{n}}[2] AS INT) WHEN size({{m}}) = 7 THEN element_at({_MONTH}, lower({{m}}[1])) END",
+    "a": _number(_either(1, 1)), "c": _number(_either(4, 3)),
+    "b": f"CASE WHEN size({{n}}) = 8 THEN {_number('{n}[2]')} WHEN size({{m}}) = 7 THEN element_at({_MONTH}, lower({{m}}[1])) END",
     "len_a": "CASE WHEN size({n}) = 8 THEN length({n}[0]) END", "len_c": "CASE WHEN size({n}) = 8 THEN length({n}[3]) END",
-    "timed": f"{_either(5, 4)} != ''", "hour": f"TRY_CAST({_either(5, 4)} AS INT)", "half": f"upper({_either(8, 7)})",
-    "mi": f"TRY_CAST({_either(6, 5)} AS INT)", "s": f"coalesce(TRY_CAST({_either(7, 6)} AS INT), 0)"}
+    "timed": f"{_either(5, 4)} != ''", "hour": _number(_either(5, 4)), "half": f"upper({_either(8, 7)})",
+    "mi": _number(_either(6, 5)), "s": f"coalesce({_number(_either(7, 6))}, 0)"}
 
 #: ``DAY`` or ``MONTH``: which comes first for certain; ``EITHER``: both may; ``YEAR``, ``NAME``: no question; null: no date.
 _KIND = {"kind": """CASE WHEN {sep} = 'name' THEN CASE WHEN {b} IS NOT NULL THEN 'NAME' END WHEN {len_a} = 4 AND {len_c} <= 2 THEN 'YEAR'
@@ -59,7 +62,10 @@ _KIND = {"kind": """CASE WHEN {sep} = 'name' THEN CASE WHEN {b} IS NOT NULL THEN
     WHEN {a} BETWEEN 1 AND 12 AND {b} BETWEEN 1 AND 12 THEN 'EITHER' END END""",
          "h": "CASE WHEN {half} = '' THEN {hour} WHEN {hour} BETWEEN 1 AND 12 THEN {hour} % 12 + IF({half} = 'PM', 12, 0) ELSE -1 END"}
 
-#: Year, month and day; ``{swap}``: whether the month comes first.
+#: Whether the month comes first: for certain, or after one of the column's separators that write it so.
+_SWAP = {"swap": "{kind} = 'MONTH' OR {kind} = 'EITHER' AND array_contains({after}, {sep})"}
+
+#: Year, month and day.
 _ORDERED = {"y": "CASE WHEN {kind} = 'YEAR' THEN {a} WHEN {kind} IS NOT NULL THEN {c} END", "mo": "CASE WHEN {kind} = 'YEAR' OR NOT ({swap}) THEN {b} ELSE {a} END",
             "d": "CASE WHEN {kind} = 'YEAR' THEN {c} WHEN {swap} THEN {b} ELSE {a} END"}
 _FIRST = {"first": "CASE WHEN {mo} BETWEEN 1 AND 12 AND {y} >= 1 THEN make_date({y}, {mo}, 1) END"}
@@ -67,29 +73,37 @@ _MOMENT = """CASE WHEN (NOT {timed} OR {h} BETWEEN 0 AND 23 AND {mi} <= 59 AND {
   THEN CAST(date_add({first}, {d} - 1) AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, CAST(CASE WHEN {timed} THEN {h} * 3600 + {mi} * 60 + {s} ELSE 0 END AS DECIMAL(18, 6))) END"""
 
 
-def _step(df: DataFrame, known: list[dict[str, str]], made: list[dict[str, Column | str]]) -> tuple[DataFrame, list[dict[str, str]]]:
-    """Add a group of columns per date column; ``known`` has the names of those before. They are plain columns: the planner keeps a
-    projection whose columns are used more than once, so each is computed once (fields of a struct it would write out at every use)."""
-    new = {f"__{i}_{k}": F.expr(c.format(**known[i])) if isinstance(c, str) else c for i, group in enumerate(made) for k, c in group.items()}
-    return df.withColumns(new), [{**known[i], **{k: f"`__{i}_{k}`" for k in group}} for i, group in enumerate(made)]
+def _quoted(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _values(columns: Sequence[str], month_first: Mapping[str, Sequence[str]], *steps: Mapping[str, str], keep: Sequence[str] = ()) -> str:
+    """The steps over an array with one value a column, each a struct with the fields that later steps use, or that ``keep`` names.
 
-def _classified(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[dict[str, str]]]:
-    """Add the tokens and the kind of each column."""
-    df, known = _step(df, [{}] * len(columns), [_raw(F.col(f"`{c}`")) for c in columns])
-    for group in (_TOKENS, _KIND):
-        df, known = _step(df, known, [group] * len(columns))
-    return df, known
+    Each step is one function over the array: its text is compiled once whatever the number of columns, and what
+    it makes is kept, so no step is computed again for every use of it.
+    """
+    texts = lambda values: "CAST(array(" + ", ".join(f"'{x}'" for x in values) + ") AS ARRAY<STRING>)"
+    out = "array(" + ", ".join(f"named_struct('column', {_quoted(c)}, 'v', trim(CAST(`{c}` AS STRING)), 'after', {texts(month_first.get(c, ()))})" for c in columns) + ")"
+    known = ["column", "v", "after"]
+    for k, group in enumerate(steps):
+        names = {x: f"s{k}.{x}" for x in known}
+        later = [text for step in steps[k + 1:] for text in step.values()]
+        known = [x for x in known if x in keep or any(f"{{{x}}}" in text for text in later)]
+        fields = [*[f"'{x}', s{k}.{x}" for x in known], *[f"'{x}', {text.format(**names)}" for x, text in group.items()]]
+        out = f"transform({out}, s{k} -> named_struct({', '.join(fields)}))"
+        known = [*known, *group]
+    return out
 
 
 def date_orders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column and separator that occurs in it: NUM_VALUES, DAY_FIRST and MONTH_FIRST (values that allow one
     order only), AMBIGUOUS, NO_DATE and DATE_ORDER: ``DMY`` or ``MDY`` by the more frequent evidence,
     ``DMY`` if there is none or as much of either. Blanks are no values. One aggregate, one row a task and group."""
-    rows, names = _classified(df.select(*[F.col(f"`{c}`") for c in columns]), columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("COLUMN"), F.col(n["sep"]).alias("SEPARATOR"), F.col(n["kind"]).alias("_kind")) for c, n in zip(columns, names, strict=True)])
+    values = _values(columns, {}, _RAW, _TOKENS, _KIND, keep=("column", "sep", "kind"))
+    pairs = F.expr(f"transform({values}, s -> named_struct('COLUMN', s.column, 'SEPARATOR', s.sep, '_kind', s.kind))")
     kind = F.col("_kind")
-    return rows.select(F.inline(pairs)).where("SEPARATOR is not null").groupBy("COLUMN", "SEPARATOR").agg(
+    return df.select(F.inline(pairs)).where("SEPARATOR is not null").groupBy("COLUMN", "SEPARATOR").agg(
         F.count(F.lit(1)).alias("NUM_VALUES"), F.count_if(kind == "DAY").alias("DAY_FIRST"), F.count_if(kind == "MONTH").alias("MONTH_FIRST"),
         F.count_if(kind == "EITHER").alias("AMBIGUOUS"), F.count_if(kind.isNull()).alias("NO_DATE")) \
         .withColumn("DATE_ORDER", F.when(F.col("MONTH_FIRST") > F.col("DAY_FIRST"), F.lit("MDY")).otherwise(F.lit("DMY")))
@@ -106,14 +120,10 @@ def month_first(orders: DataFrame) -> dict[str, list[str]]:
 def read_in_order(df: DataFrame, columns: Sequence[str], month_first: Mapping[str, Sequence[str]], as_date: bool = True) -> DataFrame:
     """The columns as dates (or timestamps without a zone). A value that allows one order only is read in it; others have the
     month first after a column's separators in ``month_first``, and the day first after all others."""
-    rows, names = _classified(df, columns)
-    for n, c in zip(names, columns, strict=True):
-        after = ", ".join(f"'{x}'" for x in month_first.get(c, ()))
-        n["swap"] = f"({n['kind']} = 'MONTH'" + (f" OR {n['kind']} = 'EITHER' AND {n['sep']} IN ({after})" if after else "") + ")"
-    for group in (_ORDERED, _FIRST):
-        rows, names = _step(rows, names, [group] * len(columns))
     kind = "DATE" if as_date else "TIMESTAMP_NTZ"
-    return rows.withColumns({c: F.expr(f"CAST({_MOMENT.format(**n)} AS {kind})") for c, n in zip(columns, names, strict=True)}).select(df.columns)
+    values = _values(columns, month_first, _RAW, _TOKENS, _KIND, _SWAP, _ORDERED, _FIRST, {"moment": _MOMENT}, keep=("moment",))
+    dates = F.expr(f"transform({values}, s -> CAST(s.moment AS {kind}))")
+    return df.withColumn("__dates", dates).withColumns({c: F.col("__dates")[i] for i, c in enumerate(columns)}).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def read_dates(df: DataFrame, columns: Sequence[str], as_date: bool = True) -> DataFrame:

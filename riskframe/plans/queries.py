@@ -638,7 +638,9 @@ def date_columns(spark, sf_dir):
     """One column per accepted format: each column's own values give its order, so days 1 to 12 are read rightly too."""
     from riskframe.operators.validate import DATE_FORMATS
     names = [f"D{i:02d}" for i in range(len(DATE_FORMATS))]
-    p = _fx(spark, sf_dir)["v_policy"].select("POLICY_ID", *[F.date_format("START_DATE", f).alias(n) for n, (_, f) in zip(names, DATE_FORMATS, strict=True)])
+    # reading 13 texts a row is far more work than the scan: rows are dealt to all tasks, however few splits the table has
+    rows = _fx(spark, sf_dir)["v_policy"].select("POLICY_ID", "START_DATE").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = rows.select("POLICY_ID", *[F.date_format("START_DATE", f).alias(n) for n, (_, f) in zip(names, DATE_FORMATS, strict=True)])
     return read_dates(p, names)
 
 

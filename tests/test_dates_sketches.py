@@ -70,3 +70,16 @@ def test_sketches_of_null_columns_and_empty_tables(spark):
     got = {r.COLUMN: r for r in sketches.categorical(sketches.part_sketches(df, ["a", "b"], "p")).collect()}
     assert (got["a"].NUM_VALUES, got["a"].DISTINCT_ESTIMATE, got["a"].IS_CATEGORICAL, got["b"].IS_CATEGORICAL) == (0, 0, True, False)
     assert sketches.merged(sketches.part_sketches(df.limit(0), ["a"], F.lit("p"))).count() == 0
+
+
+def test_steps_are_compiled_once_whatever_the_columns(spark):
+    import datetime
+
+    from riskframe.operators import dateorder
+    steps = lambda n: dateorder._values([f"c{i}" for i in range(n)], {}, dateorder._RAW, dateorder._TOKENS, dateorder._KIND)
+    assert steps(13).count("transform(") == steps(1).count("transform(") == 3
+    names = ["a", "it's"]
+    df = spark.createDataFrame([("13/1/2020", "1.31.2021"), ("2/3/2020 4:05 PM", "2.3.2021"), ("2 March 2020", None), ("", "x")], names)
+    day = datetime.date
+    got = [tuple(r) for r in read_dates(df, names).collect()]
+    assert got == [(day(2020, 1, 13), day(2021, 1, 31)), (day(2020, 3, 2), day(2021, 2, 3)), (day(2020, 3, 2), None), (None, None)]
