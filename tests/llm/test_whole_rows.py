@@ -122,3 +122,18 @@ def test_a_shared_phrase_makes_no_copies_and_the_fit_repeats(spark):
     marks = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int")
     models = [toxicity.fit_toxicity(spark.createDataFrame(rnd.sample(rows, len(rows)), "doc_id long, text string").repartition(n), marks) for n in (1, 5)]
     assert models[0].weights == models[1].weights and "vile" in models[0].weights and models[0].slope == pytest.approx(models[1].slope, rel=1e-6)
+
+
+def test_cells_of_any_size_give_the_same_neighbours_without_broadcasts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 64)))]
+    df = spark.createDataFrame(rows + [(400 + i, rows[0][1]) for i in range(30)], "vec_id long, embedding array<double>")
+    ask = lambda: sorted(map(tuple, hamming.search(df, df.where("vec_id % 50 = 0"), 7).collect()))
+    whole = ask()
+    monkeypatch.setattr(hamming, "BLOCK_CODES", 60)
+    monkeypatch.setattr(hamming, "GROUP_QUERIES", 4)
+    monkeypatch.setattr(hamming, "STEP", 100)
+    assert ask() == whole and len(whole) == 9 * 7
+    code = {i: sum(1 << b for b, x in enumerate(v) if x > 0) for i, v in rows + [(400 + i, rows[0][1]) for i in range(30)]}
+    for q in range(0, 430, 50):
+        assert [(r[2], r[1]) for r in whole if r[0] == q] and sorted((r[2], r[1]) for r in whole if r[0] == q) == sorted(((code[q] ^ c).bit_count(), i) for i, c in code.items() if i != q)[:7]
