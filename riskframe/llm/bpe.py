@@ -4,7 +4,7 @@ Frequent words are compiled, with the ids that the merges give them, into a mini
 automaton: words share prefixes and suffixes, and the numbers on the edges of a word's path add up
 to the word's place in the table of ids. The automaton is one array that each executor's workers
 memory-map. A word that it does not hold is merged exactly. What the lexicon holds changes the
-speed only, never a result, so it is compiled from a bounded sample.
+speed only, never a result; its words are the most frequent ones of all texts.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 
 from riskframe.llm import common
 
-#: The sample that the lexicon is compiled from, and the lexicon's words.
-LEXICON_ROWS = 2_000
+#: The lexicon's words, and the distinct words that a task counts before it hands them on.
+COUNT_WORDS = 200_000
 LEXICON_WORDS = 30_000
 #: Longest word in bytes that the lexicon holds; words that a worker remembers.
 LEXICON_WORD_BYTES = 48
@@ -233,22 +233,24 @@ class Encoder:
 
 
 def fit_lexicon(docs: DataFrame, path: str, text_col: str = "text") -> bytes:
-    """Compile the most frequent words of a bounded sample of texts (about ``LEXICON_ROWS`` rows by hash)."""
-    n = docs.count()
-    sample = docs.select(F.col(text_col).alias("t"))
-    if n > LEXICON_ROWS:
-        sample = sample.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < max(1, int(LEXICON_ROWS / n * (1 << 20))))
-
+    """Compile the most frequent words of all texts. A task hands its counts on whenever it holds ``COUNT_WORDS`` words."""
     def count(batches):
         bpe, counts = ByteBpe(path), Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+            counts.clear()
+            return out
+
         for batch in batches:
             for _, texts in common.chunks(batch, 0):
                 for t in texts:
                     counts.update(bpe.pre_tokens(t) if t else [])
-        top = counts.most_common(2 * LEXICON_WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], names=["w", "n"])
+                if len(counts) >= COUNT_WORDS:
+                    yield rows()
+        yield rows()
 
-    top = sample.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")) \
+    top = docs.select(F.col(text_col)).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")) \
         .where(F.octet_length("w") <= LEXICON_WORD_BYTES).orderBy(F.desc("n"), "w").limit(LEXICON_WORDS).collect()
     bpe = ByteBpe(path)
     return compile_lexicon({w: bpe.merge(w) for w in (r["w"].encode() for r in top) if w.decode() not in bpe.special}).tobytes()

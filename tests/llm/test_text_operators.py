@@ -233,6 +233,13 @@ def test_transducer_is_minimal_and_maps_every_word():
     assert len(lex.final) <= 10  # both stems share one tail
 
 
+def test_lexicon_counts_the_words_of_all_texts(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe, "COUNT_WORDS", 300, raising=False)
+    docs = spark.range(4000).select(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    assert np.frombuffer(bpe.fit_lexicon(docs, path), np.int64)[2] == 4000
+
+
 # top k
 
 def test_top_k_equals_brute_force(spark):
