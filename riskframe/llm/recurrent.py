@@ -10,8 +10,9 @@ backpropagation: the state is carried from window to window, the gradient is not
 Documents of a task run side by side in lanes, one after another in each lane. A document's state is
 carried over all of its windows, so its score is the log-likelihood of the complete text.
 
-Training starts on a bounded sample in one task. Then every task trains a copy on its own share of
-the training documents, and the copies are averaged.
+Every training document is learnt from. A first pass over a few of them in one task only sets where the
+training starts; then every task trains a copy on all training documents of its partition, a bounded
+number at a time, and the copies are averaged.
 """
 
 from __future__ import annotations
@@ -34,13 +35,14 @@ ENDINGS = 31
 HIDDEN = 32
 #: Longest word of the model in bytes.
 WORD_BYTES = 64
-#: Documents of the first training (about), passes over them, and the share of the training documents that the second trains on.
+#: Documents that set the start of the training (about), and passes over them.
 FIT_ROWS = 2_000
 FIRST_PASSES = 2
-SHARE = 1 / 32
 #: Steps of a window, lanes in training and in scoring, and the rates of both trainings.
 WINDOW = 24
 TRAIN_LANES, SCORE_LANES = 96, 512
+#: Tokens that a task holds at a time while it trains (one longer document is held alone).
+TRAIN_TOKENS = 1 << 21
 RATE, SECOND_RATE = 3e-3, 1e-3
 #: Numbers in a row of a model on its way to the average.
 CHUNK = 1 << 13
@@ -380,6 +382,20 @@ def _places(batches, text: int, encode) -> list[np.ndarray]:
     return [np.array(encode(words(t)), np.uint16) for batch in batches for _, texts in common.chunks(batch, text) for t in texts]
 
 
+def _runs(batches, encode):
+    """The places of documents, about ``TRAIN_TOKENS`` at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for _, texts in common.chunks(batch, 0):
+            held += [np.array(encode(words(t)), np.uint16) for t in texts]
+            size += sum(map(len, held[len(held) - len(texts):]))
+            if size >= TRAIN_TOKENS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _trained(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray | None, passes: int, rate: float) -> np.ndarray:
     """The average, by places learnt from, of the models that the tasks train from ``start`` on their documents (``text``)."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, start))
@@ -389,9 +405,11 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray | None,
         net = Network(vocabulary)
         if start is not None:
             net.load(start)
-        learn = _places(batches, 0, vocabulary.encoder())
-        if learn:
-            weight = sum(train(net, learn, rate) for _ in range(passes)) / passes
+        weight = 0.0
+        for learn in _runs(batches, vocabulary.encoder()):
+            lanes = SCORE_LANES if 2 * sum(map(len, learn)) >= TRAIN_TOKENS else TRAIN_LANES  # much text: more of it a step
+            weight += sum(train(net, learn, rate, lanes) for _ in range(passes)) / passes
+        if weight:
             flat = net.vector()
             parts = [flat[at:at + CHUNK] for at in range(0, len(flat), CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([weight] * len(parts), pa.float64()),
@@ -411,13 +429,12 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary, start: np.ndarray | None,
     return np.frombuffer(b"".join(bytes(r["numbers"]) for r in found), np.float32) if found else Network(vocabulary).vector() if start is None else start
 
 
-def fit(docs: DataFrame, stats: Statistics, rows: int = FIT_ROWS, share: float = SHARE) -> np.ndarray:
-    """The network's numbers: trained on about ``rows`` training documents in one task, then on a share of all (``rows`` at least) in every task."""
+def fit(docs: DataFrame, stats: Statistics, rows: int = FIT_ROWS) -> np.ndarray:
+    """The network's numbers: started on about ``rows`` training documents in one task, then trained on all of them in every task."""
     learnt = docs.where("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "key_a"), F.lit(1 << 30)).alias("part"))
-    near = lambda x: F.col("part") < int(min(1.0, x) * (1 << 30))
-    n = max(stats.documents, 1)
-    first = _trained(learnt.where(near(rows / n)).coalesce(1), stats.vocabulary, None, FIRST_PASSES, RATE)
-    return _trained(learnt.where(near(max(rows / n, share))), stats.vocabulary, first, 1, SECOND_RATE)
+    start = learnt.where(F.col("part") < int(min(1.0, rows / max(stats.documents, 1)) * (1 << 30)))
+    first = _trained(start.coalesce(1), stats.vocabulary, None, FIRST_PASSES, RATE)
+    return _trained(learnt, stats.vocabulary, first, 1, SECOND_RATE)
 
 
 def network_scores(docs: DataFrame, vocabulary: Vocabulary, numbers: np.ndarray) -> DataFrame:

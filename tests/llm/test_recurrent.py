@@ -105,3 +105,20 @@ def test_no_training_documents(spark):
     rows = [(i, "a b c") for i in range(200) if out_of_training(i)]
     got = recurrent.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all((r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and r.score < 0 for r in got)
+
+
+def test_every_training_document_is_learnt_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(recurrent, "_trained", lambda docs, *rest: seen.append(docs.count()) or np.zeros(1, np.float32))
+    docs = recurrent.keyed(spark.range(700).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), "id").alias("text")), "doc_id", "text")
+    learnt = sum(not out_of_training(i) for i in range(700))
+    recurrent.fit(docs, recurrent.Statistics(0, 0, learnt, None, 0, {}, 1.0), rows=20)
+    assert seen[0] < 100 and seen[1] == learnt
+
+
+def test_texts_are_trained_on_a_bounded_number_at_a_time(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(recurrent, "TRAIN_TOKENS", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a b c"] * 4)], names=["text"]) for _ in range(5)]
+    runs = list(recurrent._runs(batches, lambda ws: [1] * len(ws) + [0]))
+    assert sum(map(len, runs)) == 20 and max(map(len, runs)) == 4
