@@ -60,3 +60,21 @@ def test_coverage_codes(spark):
                                ("GWP", "Premium", "INFO", 4)],
                               "standard_name string, import_name string, variable_type string, ordinal int")
     assert [tuple(r) for r in coverage_codes(s).collect()] == [("AC01", "Windscreen")]
+
+
+def test_claims_are_summed_in_two_shuffles(spark):
+    from datetime import date
+    from decimal import Decimal
+    from riskframe.operators.claims import claims_by_year
+    rows = [("p", "c", f"k{i % 40}" if i % 9 else None, date(2020, 1, 1 + i % 28), Decimal(i)) for i in range(300)]
+    claims = spark.createDataFrame(rows, "POLICY_ID string, CERTIFICATE_ID string, CLAIM_ID string, OCCURENCE_DATE date, CLAIM_PMT decimal(20,4)")
+    years = claims_by_year(claims)
+    got = years.collect()
+    last = {}
+    for *_, k, d, a in rows:
+        if k:
+            last[k] = max(last.get(k, (date.min, 0)), (d, a))
+    assert len(got) == 1 and got[0].CLAIM_PMT == sum(r[-1] for r in rows) and got[0].NUM_CLAIMS == sum(r[2] is not None for r in rows)
+    assert sum(d._n for d in got[0]._DATES) == len(last) + sum(r[2] is None for r in rows)
+    assert sum(d._amt for d in got[0]._DATES) == sum(a for _, a in last.values()) + sum(r[-1] for r in rows if r[2] is None)
+    assert years._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
