@@ -12,11 +12,12 @@ Plan shape (one job and one scan for every combination × year):
 
 1. ``groupBy(scope, policy, factor tuple)``: claim sums and the tuple's first row. Partial
    aggregation reduces a policy that holds a third of all rows before the shuffle;
-2. in one partitioning by (scope, policy): the first tuple carries the policy's exposure, each
-   tuple emits its (combination, values) groups with ``explode``, and a second aggregate over the
-   same partitioning leaves one record per policy and group, so policies are counted with a plain
-   count. Nothing is expanded before the policy shuffle, and only group-sized partial sums are
-   shuffled after it.
+2. in one partitioning by (scope, policy), streamed policy by policy: the first tuple carries the
+   policy's exposure, and each tuple is marked with the combinations in which no earlier tuple of the
+   policy has its values, so that a policy counts once per group without being expanded. (A policy of
+   more than ``OWN_TUPLES`` tuples keeps its name and is counted by it.);
+3. rows of equal factor values and marks are added up before ``explode`` emits their (combination,
+   values) groups: what a task holds depends on the factor values, not on the number of policies.
 
 Decisions: division by zero gives 0 (the reference keeps ±inf for x/0; inf poisons later sums);
 null factor values are dropped per combination (pandas ``dropna``); the order of "first" is
@@ -25,6 +26,7 @@ explicit (``order_by``), ties broken by the row's values so results are determin
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -43,6 +45,10 @@ METRIC_COLUMNS = ["NUM_POLS", "NUM_CLAIMS", "EXPOSURE_YEAR", "EXPOSURE_PREM", "C
 # Exposure is added up in units of 1e-12 years: exact, whatever the partitioning.
 YEARS = "decimal(20,12)"
 
+# Tuples of a policy that are compared within its own partition; policies of more keep their name and are counted by it.
+OWN_TUPLES = 64
+WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
+
 
 @dataclass(frozen=True)
 class Product:
@@ -89,6 +95,10 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def _all_of(conditions: Sequence[Column]) -> Column:
+    return functools.reduce(lambda a, b: a & b, conditions)
+
+
 def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str | None]] | None = None) -> DataFrame:
     """Rating table for every combination × year in one plan (see module doc).
 
@@ -127,20 +137,34 @@ def n_way(df: DataFrame, spec: NWaySpec, codes: Sequence[tuple[str | None, str |
     sums = [f"_s_{x}" for x in claim_cols]
     tuples = scoped.groupBy("VAR_YEAR", cnt, *factors) \
         .agg(F.min(order).alias("_o"), *[F.sum(x).alias(y) for x, y in zip(claim_cols, sums, strict=True)])
-    # --- in the policy's own partition: its first tuple gives the exposure, every tuple emits its
-    # groups, and a policy counts once per group ---------------------------------------------------
-    first = F.row_number().over(Window.partitionBy("VAR_YEAR", cnt).orderBy("_o")) == 1
-    exposure = {c: f"o{len(order_cols) - 3 + i}" for i, c in enumerate(("EXPOSURE_YEAR", "EXPOSURE_PREM", "SUM_ASSURED"))}
+    # --- in the policy's own partition: its first tuple gives the exposure, and every tuple learns in which
+    # of its groups the policy is new, so it counts there alone; policies of very many tuples keep their name -----
+    own = Window.partitionBy("VAR_YEAR", cnt).orderBy("_o")
     vs = [f"_v{i + 1}" for i in range(n)]
-    groups = F.array(*[F.struct(F.lit(k).alias("_combo"), *[F.col(c).cast("string").alias(v) for c, v in zip(combo, vs, strict=True)])
-                       for k, combo in enumerate(combos)])
-    emitted = tuples.withColumn("_first", first) \
-        .select("VAR_YEAR", F.col(cnt).alias("_policy"), *sums, *[F.when(F.col("_first"), F.col(f"_o.{o}")).alias(c) for c, o in exposure.items()],
-                F.explode(groups).alias("_g")).select("*", "_g.*").drop("_g").dropna(subset=vs)
+    exposure = {c: f"o{len(order_cols) - 3 + i}" for i, c in enumerate(("EXPOSURE_YEAR", "EXPOSURE_PREM", "SUM_ASSURED"))}
+    values = F.struct(*[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(factors)])
+    placed = tuples.withColumns({"_rank": F.row_number().over(own), "_tuples": F.count(F.lit(1)).over(own.rowsBetween(*WHOLE))})
+    several = F.col("_tuples").between(2, OWN_TUPLES)
+    placed = placed.withColumn("_all", F.collect_list(F.when(several, values)).over(own.rowsBetween(*WHOLE)))
+    is_new = lambda combo: ~F.exists(F.slice("_all", F.lit(1), F.col("_rank") - 1),
+                                     lambda t: _all_of([t[f"f{factors.index(f)}"].eqNullSafe(F.col(f).cast("string")) for f in combo]))
+    hot = F.col("_tuples") > OWN_TUPLES
+    reduced = placed.select(
+        "VAR_YEAR", *factors, *sums, F.col(cnt).alias("_id"), hot.alias("_hot"), F.when(hot, F.col(cnt)).alias("_policy"),
+        F.when(several & (F.col("_rank") > 1), F.array(*[is_new(c) for c in combos])).alias("_new"),
+        *[F.when(F.col("_rank") == 1, F.col(f"_o.{o}")).alias(c) for c, o in exposure.items()])
     add = [F.sum(c).alias(c) for c in (*sums, *exposure)]
+    reduced = reduced.groupBy("VAR_YEAR", *factors, "_hot", "_policy", "_new").agg(F.count("_id").alias("_n"), *add)
+    # --- the groups of what is left; a policy that kept its name counts once a group -------------------
+    groups = F.array(*[F.struct(F.lit(k).alias("_combo"), *[F.col(c).cast("string").alias(v) for c, v in zip(combo, vs, strict=True)],
+                                F.when(F.coalesce(F.col("_new")[k], F.lit(True)), F.col("_n")).otherwise(F.lit(0)).alias("_count"))
+                       for k, combo in enumerate(combos)])
+    emitted = reduced.select("VAR_YEAR", "_hot", "_policy", *sums, *exposure, F.explode(groups).alias("_g")) \
+        .select("*", "_g.*").drop("_g").dropna(subset=vs)
     keys = ["VAR_YEAR", "_combo", *vs]
-    joined = emitted.groupBy("_policy", *keys).agg(*add).groupBy(*keys).agg(F.count("_policy").alias("NUM_POLS"), *add) \
-        .withColumn("EXPOSURE_YEAR", F.col("EXPOSURE_YEAR").cast("double"))
+    pols = F.sum(F.when(F.col("_hot"), F.col("_policy").isNotNull().cast("long")).otherwise(F.col("_count")))
+    joined = emitted.groupBy("_hot", "_policy", *keys).agg(F.sum("_count").alias("_count"), *add) \
+        .groupBy(*keys).agg(pols.alias("NUM_POLS"), *add).withColumn("EXPOSURE_YEAR", F.col("EXPOSURE_YEAR").cast("double"))
 
     stacked = F.array(*[F.struct(F.lit(c).cast("string").alias("_code"), F.lit(d).cast("string").alias("_desc"),
                                  F.col(f"_s_{cols(c)[0]}").alias("NUM_CLAIMS"), F.col(f"_s_{cols(c)[1]}").alias("CLAIM_PMT"))

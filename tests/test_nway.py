@@ -72,3 +72,37 @@ def test_rating_tables_request(spark):
     assert {r.VAR_YEAR for r in out} == {2020, 2021}
     assert {r.VAR_NAME_CODE for r in out} == {"001: A & VEHICLE_AGE_GROUP: AC01", "001: A & VEHICLE_AGE_GROUP"}
     assert {r.VAR_DETAIL2 for r in out} == {"02-From 3 to 5 years: Glass", "02-From 3 to 5 years"}
+
+
+def test_policies_of_few_and_of_many_tuples_count_once_a_group(spark, monkeypatch):
+    """Policies of one, of several and of very many factor tuples, and a null policy, against the definition;
+    with one tuple each, nothing is grouped by policy after the policies' own shuffle."""
+    import random
+
+    from riskframe.operators import nway
+    rnd = random.Random(3)
+    rows = [(2020 + rnd.randint(0, 1), f"p{p}" if p else None, rnd.choice(["x", "y", None]), rnd.choice("uvw"), 1, Decimal(rnd.randint(1, 9)), 0.5, Decimal("50"), Decimal("10"))
+            for p in range(60) for _ in range(rnd.choice([1, 2, 3, 40]))]
+    t = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for y, p, a, b, *_ in rows:
+        for scope in (0, y):
+            for combo, v in (("001_A", a), ("002_B", b)):
+                if v is not None:
+                    want.setdefault((scope, combo, v), set()).add(p)
+    for most in (1, 3, 64):
+        monkeypatch.setattr(nway, "OWN_TUPLES", most)
+        got = n_way(t, NWaySpec(factors=["A", "B"], years=[0, 2020, 2021])).collect()
+        assert {(r.VAR_YEAR, r.VAR_NAME_CODE, r.VAR_DETAIL): r.NUM_POLS for r in got} == {k: len(v - {None}) for k, v in want.items()}
+        assert sum(r.NUM_CLAIMS for r in got if r.VAR_YEAR == 0 and r.VAR_NAME_CODE == "002_B") == len(rows)
+
+
+def test_rows_are_added_up_before_they_are_expanded(spark):
+    from pyspark.sql import functions as F
+    t = spark.range(2000).select(F.lit(2020).alias("CAL_YEAR"), F.col("id").cast("string").alias("POLICY_ID"), F.lit("x").alias("A"), F.lit("u").alias("B"), F.lit(1).cast("long").alias("NUM_CLAIMS"),
+                                 F.lit(1).cast("decimal(20,4)").alias("CLAIM_PMT"), F.lit(0.5).alias("EXPOSURE_YEAR"), F.lit(1).cast("decimal(20,4)").alias("EXPOSURE_PREM"), F.lit(1).cast("decimal(20,4)").alias("VEHICLE_VALUE"))
+    plan = n_way(t, NWaySpec(factors=["A", "B"], years=[2020]))._jdf.queryExecution().optimizedPlan().toString()
+    steps = [x.strip(" :+-") for x in plan.splitlines()]
+    generate = next(i for i, x in enumerate(steps) if x.startswith("Generate explode") and "_combo" in x)
+    below = next(x for x in steps[generate + 1:] if x.startswith(("Aggregate", "Window")))
+    assert below.startswith("Aggregate")
