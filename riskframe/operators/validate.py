@@ -11,6 +11,7 @@ reproduced; a column is a date column when one of the explicit formats parses al
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -81,8 +82,18 @@ def date_values(c: str) -> Column:
     return F.filter(F.transform(F.split(v, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+# What a text must look like for a letter of a pattern; all that parses does, so the parser sees hardly any text that fails.
+_LOOKS = {"yyyy": r"[+-]?\d{4,}", "M": r"0*(?:[1-9]|1[0-2])", "d": r"0*(?:[1-9]|[12]\d|3[01])", "MMM": r"\S+", "MMMM": r"\S+",
+          "H": r"-?\d+", "h": r"-?\d+", "m": r"-?\d+", "s": r"-?\d+", "a": r"\S+"}
+
+
+def _looks(pattern: str) -> str:
+    """A regular expression that every text which the pattern parses matches (a failing parse costs far more)."""
+    return "^" + re.sub(r"([A-Za-z])\1*|.", lambda m: _LOOKS.get(m[0]) or re.escape(m[0]), pattern) + "$"
+
+
 def _parses(pattern: str):
-    return lambda x: F.try_to_timestamp(x, F.lit(pattern)).isNotNull()
+    return lambda x: x.rlike(_looks(pattern)) & F.try_to_timestamp(x, F.lit(pattern)).isNotNull()
 
 
 def date_format_exprs(c: str) -> list[Column]:

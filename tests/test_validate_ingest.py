@@ -67,3 +67,21 @@ def test_mof_composite_duplicate_reported_on_both_columns(spark):
     st = V.validation_status(V.validate(df, settings, p), p).first()
     # unknown counts in MOF status, duplicate comes after it in the order of families
     assert st.FIRST_FAILURE == "unknown" and st.MESSAGE == "Data validation failed! Due to unknown: CHANNEL"
+
+
+def test_texts_that_no_format_parses_do_not_reach_the_parser(spark):
+    """The look of a text turns nearly all away that do not parse, and none that does."""
+    from pyspark.sql import functions as F
+
+    from riskframe.operators.validate import DATE_FORMATS, _looks, _parses
+    texts = ["2019-12-31", "31-12-2019", "12-31-2019", "31/12/2019", "12/31/2019", "2019/1/2", "1.2.2019", "31.12.2019", "12.31.2019", "7 May 2020", "07 may 2020", "7 January 2020",
+             "2019-1-2 3:04:05", "2/1/2019 23:59:59", "1-2-2019 9:30 PM", "1-2-2019 09:30 am", "0012-1-1", "012-001-2019", "+12019-1-1", "-2019-1-1", "12019-1-1", "n/a", "13/13/2019",
+             "2019-00-10", "2019-1-32", "19-1-1", "", " ", "2019-12-31x", "x2019-12-31", "2019-12-31 24:00:00", "1-2-2019 13:00 PM", "٣-1-2019", "2019-02-30"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for _, pattern in DATE_FORMATS:
+        parses, looks = F.try_to_timestamp("v", F.lit(pattern)).isNotNull(), F.col("v").rlike(_looks(pattern))
+        rows = df.select("v", parses.alias("p"), looks.alias("l"), _parses(pattern)(F.col("v")).alias("both")).collect()
+        assert [r.v for r in rows if r.p != r.both] == []
+        assert sum(r.l and not r.p for r in rows) <= 5 and any(r.p for r in rows)
+    plan = df.agg(*[F.bool_and(_parses(p)(F.col("v"))) for _, p in DATE_FORMATS])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("RLIKE") >= len(DATE_FORMATS)
