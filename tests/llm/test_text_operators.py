@@ -364,3 +364,32 @@ def test_wrappers_come_from_distinct_pages_of_any_length(spark):
     out = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == len(rows)
     assert all(f"Body {r['page_id'] % 100} one" in r["text"] for r in out)
+
+
+def test_words_of_the_pieces_are_the_words_of_the_text():
+    """Texts are cut at blanks for counting; whatever white space, scripts and special tokens, the words are those of the whole text."""
+    own, rnd = bpe.ByteBpe(BPE), random.Random(6)
+    signs = [" ", " ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "a", "B", "\xe9", "1", "\u0663", "'", "s", "'ve", ".", "\u4e2d", "\U0001f642", "<|endoftext|>", "\U000e0fff", "x" * 70]
+    for _ in range(20000):
+        text = "".join(rnd.choices(signs, k=rnd.randint(0, 14)))
+        first, pieces = own.cut(text)
+        assert [*first, *own.words_of(pieces)] == own.pre_tokens(text)
+        assert "<|endoftext|>" in text or "\U000e0fff" in text or own.pre_tokens(text) == own.words.findall(text)
+        assert [*first, *(w for p in pieces for w in own.words_of([p]))] == own.pre_tokens(text)
+
+
+def test_words_merged_side_by_side_have_the_ids_of_each_alone():
+    own, rnd = bpe.ByteBpe(BPE), random.Random(7)
+    words = [bytes(rnd.choices(b"aaaethonrsi .\xe2\x80\x94", k=rnd.randint(0, 70))) for _ in range(6000)] + [b"", b"a", b"th", b"the"] * 40 + [b"a" * n for n in range(70)] * 3
+    assert own.merge_many(words) == [own.merge(w) for w in words]
+    assert own.merge_many([]) == []
+
+
+def test_words_that_their_ids_do_not_give_back_are_decoded_from_the_ids():
+    enc = bpe.Encoder(BPE, bpe.compile_lexicon({b"the": [1]}).tobytes())
+    words = enc.prepare(["a the b", "the", "a b"])
+    assert "the" in enc.changed or enc.back["the"] == b"the"
+    enc.back["a"] = b"x\xff"
+    enc.changed.add("a")
+    assert [enc.decoded(w).decode() for w in words] == ["x\ufffd the b", enc.back["the"].decode("utf-8", "replace"), "x\ufffd b"]
+    assert enc.decoded(enc.prepare(["c \u4e2d <|endoftext|>"])[0]).decode() == "c \u4e2d <|endoftext|>"
