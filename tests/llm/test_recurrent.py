@@ -122,3 +122,38 @@ def test_texts_are_trained_on_a_bounded_number_at_a_time(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(["a b c"] * 4)], names=["text"]) for _ in range(5)]
     runs = list(recurrent._runs(batches, lambda ws: [1] * len(ws) + [0]))
     assert sum(map(len, runs)) == 20 and max(map(len, runs)) == 4
+
+
+def test_words_of_a_column_are_those_of_each_text():
+    import pyarrow as pa
+    texts = [None, "", " \t", "A b\vÄb a\x1c ", "b\r\nA  a", "x"]
+    term, sizes, distinct = recurrent.words(pa.array(texts, pa.string()))
+    assert len(set(distinct.to_pylist())) == len(distinct)
+    got = [[distinct[t].as_py().decode() for t in own] for own in np.split(term, np.cumsum(sizes)[:-1])]
+    assert got == [tokens(t) for t in texts]
+
+
+def test_blocks_do_not_follow_the_batches(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(recurrent.blocks, "BLOCK_BYTES", 10)  # 40 bytes a block
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t], pa.string())], names=["id", "text"]) for k, t in enumerate(["a" * 8] * 11 + ["b" * 100, None, "c"])]
+    got = list(recurrent._blocks(batches, 1))
+    assert [len(b) for b in got] == [5, 5, 1, 1, 2] and [i for b in got for i in b.column(0).to_pylist()] == list(range(14))
+
+
+def test_rows_are_added_to_repeated_places():
+    ids, rows = np.repeat([5, 0, 3, 2], [40, 1, 8, 9]).astype(np.uint16), np.random.default_rng(1).normal(size=(58, 4)).astype(np.float32)
+    mixed = np.random.default_rng(2).permutation(58)
+    got, want = np.zeros((6, 4), np.float32), np.zeros((6, 4))
+    recurrent._add_rows(got, ids[mixed], rows)
+    np.add.at(want, ids[mixed], rows)
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_large_logits_count_as_the_largest(small):
+    vocabulary, _, _ = small
+    net, h = recurrent.Network(vocabulary, hidden=6), np.full((3, 6), 0.5, np.float32)
+    net.wc[:, 1] = 100
+    every = np.arange(net.start)
+    assert np.exp(net.output(np.repeat(h[:1], len(every), axis=0), every)[0]).sum() == pytest.approx(1, abs=1e-4)
+    assert net.output(h[:1], np.array([1]))[0][0] == pytest.approx(-60, abs=8)
