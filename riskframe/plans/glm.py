@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.buckets import INF, amount_labels, bucketize_all, unit_labels
 from riskframe.functions.money import to_money
-from riskframe.operators.claims import attach_claims
+from riskframe.operators.claims import KEYS, attach_claims
 from riskframe.operators.exposure import split_exposure
 from riskframe.sources.fixtures import Fixtures
 
@@ -40,8 +40,9 @@ def code_conditions() -> dict:
     return {"AC01": supp % 2 == 1, "AC02": supp % 2 == 0}
 
 
-def policy_years(fx: Fixtures, years=None) -> DataFrame:
-    return split_exposure(fx["v_policy"], years)
+def policy_years(fx: Fixtures, years=None, dealt: bool = False) -> DataFrame:
+    """``dealt``: policies are partitioned by their keys before they are split, so the rows of their years need no shuffle by key."""
+    return split_exposure(fx["v_policy"].repartition(*KEYS) if dealt else fx["v_policy"], years)
 
 
 def glm_table(fx: Fixtures, with_codes: bool = False) -> DataFrame:

@@ -710,7 +710,7 @@ def exposure_write_figures(spark, sf_dir):
 def claims_write_figures(spark, sf_dir):
     """C13 in the passes that write the claim groups and the combination."""
     fx = _fx(spark, sf_dir)
-    return C.write_combined(glm.policy_years(fx), fx["v_claim"], glm.ANALYSIS_YEAR, _own_folder(spark, "combined"))
+    return C.write_combined(glm.policy_years(fx, dealt=True), fx["v_claim"], glm.ANALYSIS_YEAR, _own_folder(spark, "combined"))
 
 
 @query("sketch_cardinality")

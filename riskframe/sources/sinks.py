@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.operators.ingest import clean_table, snapshot_changed
@@ -50,3 +50,9 @@ def write_if_changed(new: DataFrame, previous_path: str | None, path: str) -> bo
             return False
     write_report(new, path)
     return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a write that is not needed any more (any file system that Spark writes to)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
